@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import packing, token_counts
 
-_QUERIES = {"op2_token_counts": token_counts.op2_token_counts}
+_QUERIES = {
+    "op10_packing": packing.op10_packing,
+    "op2_token_counts": token_counts.op2_token_counts,
+}
 _SQL: dict[str, str] = {}
 
 
