@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import matroska, packing, token_counts
 
 _QUERIES = {
     "op10_packing": packing.op10_packing,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_matroska": matroska.op3_matroska,
 }
 _SQL: dict[str, str] = {}
 
