@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import matroska, packing, token_counts
+from . import line_dedup, matroska, packing, token_counts
 
 _QUERIES = {
     "op10_packing": packing.op10_packing,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_matroska": matroska.op3_matroska,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+}
+_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
-_SQL: dict[str, str] = {}
 
 
 def queries() -> dict:
