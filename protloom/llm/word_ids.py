@@ -3,8 +3,8 @@
 The vocabulary's pre-tokens are independent of each other, so a text's ids are its
 pre-tokens' ids in a row. For texts made only of characters for which lower-casing,
 composition and character classes are the same everywhere (Basic Latin, Latin-1 and
-Latin Extended-A, without control characters and without İ), Python splits the text
-and a bounded cache holds each pre-token's ids. Every other text, and every text with
+Latin Extended-A, without control characters and without İ), Python splits the text,
+the library's model encodes each pre-token that is new, and a bounded cache holds its ids. Every other text, and every text with
 one of the special strings inside, goes to the library as a whole.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 #: Distinct pre-tokens kept in a worker before the cache starts anew.
 CACHE_WORDS = 400_000
@@ -21,9 +22,26 @@ _LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
+#: How byte-level vocabularies write bytes that are no printable characters: by code points from 256 on, in order.
+_BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
 _open: dict[str, WordIds] = {}
 
 
+class _Words(dict):
+    """Pre-tokens and their ids; what is missing comes from the library's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        found = [x.id for x in self.tokenize(spelt)]
+        out = self[word] = struct.pack(f"<{len(found)}I", *found)
+        return out
+
+
 class WordIds:
     """Ids as little-endian unsigned 32-bit bytes."""
 
@@ -35,35 +53,24 @@ class WordIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.tokenizer.model)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
-        import numpy as np
-
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        rest, split = [], []
+        rest = []
+        ids = self.words.__getitem__
         for i, text in enumerate(texts):
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
             if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                split.append((i, _SPLIT.findall(text.lower())))
+                out[i] = b"".join(map(ids, _SPLIT.findall(text.lower())))
             else:
                 rest.append(i)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        wanted: set[str] = set()
-        for _, words in split:
-            wanted.update(words)
-        new = [w for w in wanted if w not in self.words]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.words.update(zip(part, self.whole(part), strict=True))
-        ids = self.words.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(ids, words))
         if rest:
             for i, got in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
                 out[i] = got
