@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, matroska, packing, token_counts
+from . import language_id, line_dedup, matroska, packing, quality, token_counts
 
 _QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op7_quality": quality.op7_quality,
     "op10_packing": packing.op10_packing,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_matroska": matroska.op3_matroska,
