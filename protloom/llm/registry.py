@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, matroska, packing, quality, token_counts
+from . import chat, language_id, line_dedup, matroska, packing, quality, token_counts
 
 _QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op6_chat": chat.op6_chat,
     "op7_quality": quality.op7_quality,
     "op10_packing": packing.op10_packing,
     "op2_token_counts": token_counts.op2_token_counts,
@@ -13,6 +14,7 @@ _QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 _SQL: dict[str, str] = {
+    "op6_chat": chat.OP6_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
 
