@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, line_dedup, matroska, packing, quality, token_counts
+from . import chat, decontaminate, jaccard_join, language_id, line_dedup, matroska, packing, quality, token_counts
 
 _QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_chat": chat.op6_chat,
     "op7_quality": quality.op7_quality,
     "op10_packing": packing.op10_packing,
