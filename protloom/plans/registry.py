@@ -1,11 +1,315 @@
-"""Named queries over the driver's tables and the SQL that mirrors them."""
+"""Named queries over the driver's text tables, and the SQL that mirrors them.
+
+``documents`` is the target collection and ``benchmark`` the queries: a text's letters are a residue
+sequence. Hashes are shown as unsigned decimals, doubles rounded to 10 digits on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import alphabet
+from ..functions.hashing import unsigned_text
+from ..operators import kmers as km
+from ..operators import search as se
+from ..operators import signature_ops as so
+from ..operators import stitch as st
+from . import sql
+
+K = 8
+SCALED = 5
+_TABLES = {"d": ("documents", "doc_id"), "b": ("benchmark", "item_id")}
+
+
+def _raw(spark: SparkSession, sf: str, t: str) -> DataFrame:
+    table, key = _TABLES[t]
+    return spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).cast("string").alias("name"), "text")
+
+
+def _sequences(spark: SparkSession, sf: str, t: str) -> DataFrame:
+    return _raw(spark, sf, t).select("name", alphabet.letters_only(F.col("text")).alias("sequence"))
+
+
+def _kmers(spark: SparkSession, sf: str, t: str, moltype: str = "protein", scaled: int = 1) -> DataFrame:
+    return km.kmer_positions(_sequences(spark, sf, t), K, moltype, scaled)
+
+
+def _sketch(spark: SparkSession, sf: str, t: str, moltype: str = "protein", scaled: int = 1) -> DataFrame:
+    return km.sketches(_sequences(spark, sf, t), K, moltype, scaled)
+
+
+def _hash(name: str = "hashval") -> Column:
+    return unsigned_text(F.col(name)).alias(name)
+
+
+def _digits(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 10).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint") else F.col(c) for c, kind in df.dtypes))
+
+
+# ---- residues ----
+
+
+def validate_residues(spark: SparkSession, sf: str) -> DataFrame:
+    bad = alphabet.first_invalid(F.col("text"))
+    return _raw(spark, sf, "d").select("name", bad.isNull().alias("valid"), bad["char"].alias("bad_char"), bad["position"].cast("long").alias("bad_position"))
+
+
+def stop_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    cut = alphabet.truncate_at_stop(F.col("text"))
+    return _raw(spark, sf, "d").select("name", F.length(cut).cast("long").alias("kept"), F.md5(cut.cast("binary")).alias("digest"))
+
+
+def resolve_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return _raw(spark, sf, "d").select("name", F.length(text).cast("long").alias("length"), F.md5(alphabet.resolve_ambiguity(text).cast("binary")).alias("digest"))
+
+
+def _encoded(moltype: str):  # noqa: ANN202
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        return _sequences(spark, sf, "d").select("name", F.md5(alphabet.encode(F.col("sequence"), moltype).cast("binary")).alias("digest"))
+
+    return query
+
+
+# ---- k-mers and sketches ----
+
+
+def kmer_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return _digits(_kmers(spark, sf, "b", "dayhoff").select("name", "start", "kmer", "encoded", _hash()))
+
+
+def kmer_info_map(spark: SparkSession, sf: str) -> DataFrame:
+    infos = km.kmer_infos(_kmers(spark, sf, "b", "hp"))
+    return infos.select("name", _hash(), "encoded", "kmer", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+def murmur_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return _kmers(spark, sf, "d", "dayhoff").select("encoded", _hash()).distinct()
+
+
+def scaled_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return km.signature_names(_sketch(spark, sf, "d", "protein", SCALED)).select("name", "n_hashes", "occurrences")
+
+
+def sketch_abundance(spark: SparkSession, sf: str) -> DataFrame:
+    return _sketch(spark, sf, "b", "hp").select("name", _hash(), "abund")
+
+
+def pseudo_md5(spark: SparkSession, sf: str) -> DataFrame:
+    return km.signature_names(_sketch(spark, sf, "d")).select("name", "pseudo_md5")
+
+
+def true_md5(spark: SparkSession, sf: str) -> DataFrame:
+    return km.sketch_digests(_sketch(spark, sf, "d"), K)
+
+
+def combined_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return km.combined_sketch(_sketch(spark, sf, "d")).groupBy("df", "abund").agg(F.count("*").alias("n_hashes"))
+
+
+def kmer_idf_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    n = _raw(spark, sf, "b").count()
+    return _digits(km.frequencies(_sketch(spark, sf, "b", "hp"), n).select(_hash(), "df", "frequency", "idf"))
+
+
+def hash_membership(spark: SparkSession, sf: str) -> DataFrame:
+    known = _sketch(spark, sf, "b", "dayhoff").select("hashval").distinct()
+    return _kmers(spark, sf, "d", "dayhoff").join(known, "hashval", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
+
+
+# ---- search ----
+
+
+def manysearch(spark: SparkSession, sf: str) -> DataFrame:
+    return _digits(se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein"))
+
+
+def multisearch(spark: SparkSession, sf: str) -> DataFrame:
+    n = _raw(spark, sf, "d").count()
+    return _digits(se.multisearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), n, K, 1, "protein"))
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    return se.kmer_hits(_kmers(spark, sf, "b"), _kmers(spark, sf, "d"))
+
+
+def kmer_hit_join(spark: SparkSession, sf: str) -> DataFrame:
+    return _digits(_hits(spark, sf).select("query_name", "match_name", "start_query", "start_match", "kmer_query", "kmer_match", "encoded", _hash()))
+
+
+def search_kmer_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein").select("query_name", "match_name", "containment", "intersect_hashes")
+    return _digits(se.search_hits(found, _hits(spark, sf)).groupBy("query_name", "match_name", "containment", "intersect_hashes").agg(F.count("*").alias("n_hits"), F.min("start_query").alias("first_query"), F.max("start_match").alias("last_match")))
+
+
+def stitch_compat(spark: SparkSession, sf: str) -> DataFrame:
+    return _digits(st.stitch(_hits(spark, sf)))
+
+
+def stitch_diagonal(spark: SparkSession, sf: str) -> DataFrame:
+    return _digits(st.stitch(_hits(spark, sf), "diagonal", K))
+
+
+# ---- analytics ----
+
+
+def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return so.kmer_counts(_kmers(spark, sf, "d", "hp")).select("name", _hash(), "n")
+
+
+def group_kmers_by_count(spark: SparkSession, sf: str) -> DataFrame:
+    return so.kmers_by_count(_kmers(spark, sf, "d", "hp")).select("name", "n", F.col("n_hashes"), F.md5(F.array_join("hashes", ",").cast("binary")).alias("hashes"))
+
+
+def multi_position_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    return so.multi_position_kmers(_kmers(spark, sf, "d", "dayhoff")).select("name", _hash(), "n")
+
+
+def kmers_at_position(spark: SparkSession, sf: str) -> DataFrame:
+    return so.kmers_at(_kmers(spark, sf, "d"), 10).select("name", _hash())
+
+
+def kmer_density(spark: SparkSession, sf: str) -> DataFrame:
+    counted = so.total_occurrences(_kmers(spark, sf, "d", "protein", SCALED))
+    lengths = _sequences(spark, sf, "d").select("name", F.length("sequence").alias("length"))
+    return _digits(lengths.join(counted, "name", "left").select("name", so.density(F.coalesce("n", F.lit(0)), F.col("length")).alias("density")))
+
+
+def overlapping_kmers(spark: SparkSession, sf: str) -> DataFrame:
+    return so.overlapping_kmers(_kmers(spark, sf, "d", "hp")).groupBy("name").agg(F.count("*").alias("pairs"))
+
+
+def unique_kmer_count(spark: SparkSession, sf: str) -> DataFrame:
+    return so.unique_kmer_counts(_kmers(spark, sf, "b", "hp")).select("name", _hash(), "n_originals")
+
+
+def estimated_size(spark: SparkSession, sf: str) -> DataFrame:
+    return so.estimated_size(_kmers(spark, sf, "d", "dayhoff"), _sequences(spark, sf, "d"))
+
+
+def index_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    own, other = _kmers(spark, sf, "b", "hp"), _kmers(spark, sf, "b", "dayhoff")
+    count = lambda a, b, side: so.differing(a, b).agg(F.count("*").alias("n")).select(F.lit(side).alias("other"), (F.col("n") == 0).alias("equal"))
+    again = _kmers(spark, sf, "b", "hp").repartition(3, "hashval")
+    return count(own, again, "hp").unionByName(count(own, other, "dayhoff"))
+
+
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    combined = km.combined_sketch(_sketch(spark, sf, "d")).agg(F.count("*").alias("combined_hashes"), F.sum("abund").alias("occurrences"))
+    return _raw(spark, sf, "d").agg(F.count("*").alias("signatures")).crossJoin(combined)  # one row each
+
+
+_QUERIES = {f.__name__: f for f in (
+    validate_residues, stop_truncate, resolve_ambiguity, kmer_positions, kmer_info_map, murmur_hash, scaled_sample, sketch_abundance, pseudo_md5, true_md5, combined_sketch, kmer_idf_frequency,
+    hash_membership, manysearch, multisearch, kmer_hit_join, search_kmer_join, stitch_compat, stitch_diagonal, kmer_counts, group_kmers_by_count, multi_position_kmers, kmers_at_position,
+    kmer_density, overlapping_kmers, unique_kmer_count, estimated_size, index_equivalence, index_stats,
+)} | {f"encode_{m}": _encoded(m) for m in ("protein", "hp", "dayhoff")}
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+# ---- SQL ----
+
+_ROUND = "round({}, 10)"
+
+
+def _k(t: str, moltype: str) -> list:
+    return sql.kmers(t, *_TABLES[t], K, moltype)
+
+
+def _t(t: str, moltype: str) -> list:
+    return sql.sketch(t, *_TABLES[t], K, moltype)
+
+
+def _encode_sql(moltype: str) -> str:
+    own = alphabet.table_of(moltype)
+    encoded = "sequence" if own is None else f"translate(sequence, '{''.join(own)}', '{''.join(own.values())}')"
+    return sql.statement(sql.sequences("d", *_TABLES["d"]), f"SELECT name, md5({encoded}) AS digest FROM d_s")
+
+
+def _sizes(t: str) -> tuple[str, str]:
+    return (f"{t}_z", f"SELECT name, count(*) AS n, CAST(sum(abund) AS BIGINT) AS total, md5('{3 * K}' || string_agg(CAST(hash AS VARCHAR), '' ORDER BY hash)) AS md5 FROM {t}_t GROUP BY name")
+
+
+def _pairs() -> list:
+    shared = "SELECT q.name AS query_name, t.name AS match_name, q.hash, q.abund AS query_abund, t.abund AS match_abund FROM b_t q JOIN d_t t USING (hash)"
+    return [*_t("b", "protein"), *_t("d", "protein"), _sizes("b"), _sizes("d"), ("shared", shared)]
+
+
+_HITS = [*_k("b", "protein"), *_k("d", "protein"), ("hits", "SELECT q.name AS query_name, t.name AS match_name, q.start AS start_query, t.start AS start_match, q.kmer AS kmer_query, t.kmer AS kmer_match, q.encoded, q.hash FROM b_k q JOIN d_k t ON q.hash = t.hash AND q.encoded = t.encoded")]
+_LIMIT = f"CAST({int(float(2**64 - 1) / SCALED)} AS UBIGINT)"
+
+
+def _stitch_sql(keys: str, islands: list) -> str:
+    part = lambda kmer, step: f"CASE WHEN {step} IS NULL OR {step} = 0 THEN {kmer} WHEN {step} > 0 THEN right({kmer}, CAST({step} AS INTEGER)) ELSE substr({kmer}, 1 - {step}) END"
+    return sql.statement([
+        *_HITS, *islands,
+        ("stepped", f"SELECT *, start_query - lag(start_query) OVER w AS sq, start_match - lag(start_match) OVER w AS sm FROM {'islands' if islands else 'hits'} WINDOW w AS (PARTITION BY {keys} ORDER BY start_query, start_match)"),
+        ("glued", f"""SELECT {keys}, min(start_query) AS query_start, min(start_match) AS match_start, string_agg({part('kmer_query', 'sm')}, '' ORDER BY start_query, start_match) AS query,
+            string_agg({part('kmer_match', 'sm')}, '' ORDER BY start_query, start_match) AS match, string_agg({part('encoded', 'sq')}, '' ORDER BY start_query, start_match) AS encoded FROM stepped GROUP BY {keys}"""),
+    ], """SELECT match_name, query_name, CAST(query_start AS BIGINT) AS query_start, CAST(query_start + length(query) AS BIGINT) AS query_end, query, CAST(match_start AS BIGINT) AS match_start,
+        CAST(match_start + length(query) AS BIGINT) AS match_end, match, encoded, CAST(length(query) AS BIGINT) AS length FROM glued""")
 
 
 def oracle_sql() -> dict:
-    return {}
+    ani = lambda x: f"pow({x}, 1.0 / {3 * K})"
+    both, nq, nt = "CAST(p.n AS DOUBLE)", "q.n", "t.n"
+    counted = "SELECT name, hash, count(*) AS n FROM d_k GROUP BY ALL"
+    return {
+        "validate_residues": r"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS name, text, length(regexp_extract(text, '^[A-Z]*')) AS good FROM documents),
+            c AS (SELECT name, good, substr(text, good + 1, 1) AS c FROM p)
+            SELECT name, c IN ('', '*') AS valid, CASE WHEN c NOT IN ('', '*') THEN c END AS bad_char, CASE WHEN c NOT IN ('', '*') THEN CAST(good + 1 AS BIGINT) END AS bad_position FROM c""",
+        "stop_truncate": r"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN position('*' IN text) > 0 THEN substr(text, 1, position('*' IN text)) ELSE text END AS cut FROM documents)
+            SELECT name, CAST(length(cut) AS BIGINT) AS kept, md5(cut) AS digest FROM c""",
+        "resolve_ambiguity": sql.statement(sql.sequences("d", *_TABLES["d"]), "SELECT name, CAST(length(sequence) AS BIGINT) AS length, md5(sequence) AS digest FROM d_s"),
+        **{f"encode_{m}": _encode_sql(m) for m in ("protein", "hp", "dayhoff")},
+        "kmer_positions": sql.statement(_k("b", "dayhoff"), "SELECT name, CAST(start AS BIGINT) AS start, kmer, encoded, CAST(hash AS VARCHAR) AS hashval FROM b_k"),
+        "kmer_info_map": sql.statement(_k("b", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, encoded, kmer, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) AS positions FROM b_k GROUP BY ALL"),
+        "murmur_hash": sql.statement(_k("d", "dayhoff"), "SELECT DISTINCT encoded, CAST(hash AS VARCHAR) AS hashval FROM d_k"),
+        "scaled_sample": sql.statement(_t("d", "protein"), f"SELECT name, count(*) AS n_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM d_t WHERE hash <= {_LIMIT} GROUP BY name"),
+        "sketch_abundance": sql.statement(_t("b", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, abund FROM b_t"),
+        "pseudo_md5": sql.statement(_t("d", "protein"), f"SELECT name, lower(to_hex(CAST(sum(CAST(hash AS HUGEINT)) % CAST({2**64} AS HUGEINT) AS UBIGINT))) AS pseudo_md5 FROM d_t GROUP BY name"),
+        "true_md5": sql.statement([*_t("d", "protein"), _sizes("d")], "SELECT name, md5 FROM d_z"),
+        "combined_sketch": sql.statement([*_t("d", "protein"), ("c", "SELECT hash, CAST(sum(abund) AS BIGINT) AS abund, count(*) AS df FROM d_t GROUP BY hash")], "SELECT df, abund, count(*) AS n_hashes FROM c GROUP BY ALL"),
+        "kmer_idf_frequency": sql.statement(_t("b", "hp"), f"""SELECT CAST(hash AS VARCHAR) AS hashval, count(*) AS df, {_ROUND.format('sum(abund)::DOUBLE / (SELECT sum(abund) FROM b_t)')} AS frequency,
+            {_ROUND.format('ln(((SELECT count(*) FROM benchmark) + 1)::DOUBLE / (count(*) + 1)) + 1')} AS idf FROM b_t GROUP BY hash"""),
+        "hash_membership": sql.statement([*_k("b", "dayhoff"), *_k("d", "dayhoff")], "SELECT name, count(*) AS n FROM d_k WHERE hash IN (SELECT hash FROM b_k) GROUP BY name"),
+        "manysearch": sql.statement([*_pairs(), ("p", """SELECT query_name, match_name, count(*) AS n, avg(match_abund) AS average_abund, median(match_abund) AS median_abund, stddev_pop(match_abund) AS std_abund,
+            CAST(sum(match_abund) AS BIGINT) AS found FROM shared GROUP BY ALL"""), ("m", f"""SELECT p.*, q.md5 AS query_md5, t.md5 AS match_md5, q.n AS nq, t.n AS nt, t.total, {both} / {nq} AS cq, {both} / {nt} AS ct,
+            {ani(f'{both} / {nq}')} AS aq, {ani(f'{both} / {nt}')} AS at_ FROM p JOIN b_z q ON q.name = p.query_name JOIN d_z t ON t.name = p.match_name""")],
+            f"""SELECT query_name, query_md5, match_name, {_ROUND.format('cq')} AS containment, n AS intersect_hashes, CAST({3 * K} AS BIGINT) AS ksize, CAST(1 AS BIGINT) AS scaled, 'protein' AS moltype, match_md5,
+            {_ROUND.format('n::DOUBLE / (nq + nt - n)')} AS jaccard, {_ROUND.format('n::DOUBLE / least(nq, nt)')} AS max_containment, {_ROUND.format('average_abund')} AS average_abund, {_ROUND.format('median_abund')} AS median_abund,
+            {_ROUND.format('std_abund')} AS std_abund, {_ROUND.format('aq')} AS query_containment_ani, {_ROUND.format('at_')} AS match_containment_ani, {_ROUND.format('(aq + at_) / 2')} AS average_containment_ani,
+            {_ROUND.format('greatest(aq, at_)')} AS max_containment_ani, found AS n_weighted_found, total AS total_weighted_hashes, {_ROUND.format('ct')} AS containment_target_in_query,
+            {_ROUND.format('found::DOUBLE / total')} AS f_weighted_target_in_query FROM m"""),
+        "multisearch": sql.statement([*_pairs(), ("qa", "SELECT hash, sum(abund) AS a FROM b_t GROUP BY hash"), ("ta", "SELECT hash, sum(abund) AS a, count(*) AS df FROM d_t GROUP BY hash"),
+            ("w", "SELECT hash, qa.a::DOUBLE / (SELECT sum(abund) FROM b_t) * ta.a / (SELECT sum(abund) FROM d_t) AS p, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) + 1 AS idf FROM qa JOIN ta USING (hash)"),
+            ("p", "SELECT query_name, match_name, count(*) AS n, sum(p) AS prob, sum(query_abund * idf) AS weighted FROM shared JOIN w USING (hash) GROUP BY ALL"),
+            ("m", f"SELECT p.*, q.md5 AS query_md5, t.md5 AS match_md5, q.n AS nq, t.n AS nt, q.total, {both} / q.n AS cq, prob * (SELECT count(*) FROM documents) AS adjusted FROM p JOIN b_z q ON q.name = p.query_name JOIN d_z t ON t.name = p.match_name")],
+            f"""SELECT query_name, query_md5, match_name, match_md5, {_ROUND.format('cq')} AS containment, {_ROUND.format('n::DOUBLE / least(nq, nt)')} AS max_containment, {_ROUND.format('n::DOUBLE / (nq + nt - n)')} AS jaccard,
+            CAST(n AS DOUBLE) AS intersect_hashes, CAST({3 * K} AS BIGINT) AS ksize, CAST(1 AS BIGINT) AS scaled, 'protein' AS moltype, {_ROUND.format('prob')} AS prob_overlap, {_ROUND.format('adjusted')} AS prob_overlap_adjusted,
+            {_ROUND.format('cq / adjusted')} AS containment_adjusted, {_ROUND.format('log10(cq / adjusted)')} AS containment_adjusted_log10, {_ROUND.format('weighted / total')} AS tf_idf_score FROM m"""),
+        "kmer_hit_join": sql.statement(_HITS, "SELECT query_name, match_name, CAST(start_query AS BIGINT) AS start_query, CAST(start_match AS BIGINT) AS start_match, kmer_query, kmer_match, encoded, CAST(hash AS VARCHAR) AS hashval FROM hits"),
+        "search_kmer_join": sql.statement(_HITS, f"""SELECT query_name, match_name, {_ROUND.format('count(DISTINCT hash)::DOUBLE / any_value(nq)')} AS containment, count(DISTINCT hash) AS intersect_hashes, count(*) AS n_hits,
+            CAST(min(start_query) AS BIGINT) AS first_query, CAST(max(start_match) AS BIGINT) AS last_match FROM hits JOIN (SELECT name AS query_name, count(DISTINCT hash) AS nq FROM b_k GROUP BY name) USING (query_name) GROUP BY query_name, match_name"""),
+        "stitch_compat": _stitch_sql("match_name, query_name", []),
+        "stitch_diagonal": _stitch_sql("match_name, query_name, diagonal, island", [
+            ("offsets", f"SELECT *, start_match - start_query AS diagonal, CASE WHEN start_query - lag(start_query) OVER w <= {K} THEN 0 ELSE 1 END AS opens FROM hits WINDOW w AS (PARTITION BY match_name, query_name, start_match - start_query ORDER BY start_query)"),
+            ("islands", "SELECT *, sum(opens) OVER (PARTITION BY match_name, query_name, diagonal ORDER BY start_query) AS island FROM offsets")]),
+        "kmer_counts": sql.statement(_k("d", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, count(*) AS n FROM d_k GROUP BY ALL"),
+        "group_kmers_by_count": sql.statement([*_k("d", "hp"), ("c", counted)], "SELECT name, n, count(*) AS n_hashes, md5(string_agg(CAST(hash AS VARCHAR), ',' ORDER BY CAST(hash AS VARCHAR))) AS hashes FROM c GROUP BY name, n"),
+        "multi_position_kmers": sql.statement([*_k("d", "dayhoff"), ("c", counted)], "SELECT name, CAST(hash AS VARCHAR) AS hashval, n FROM c WHERE n > 1"),
+        "kmers_at_position": sql.statement(_k("d", "protein"), "SELECT DISTINCT name, CAST(hash AS VARCHAR) AS hashval FROM d_k WHERE start = 10"),
+        "kmer_density": sql.statement([*_k("d", "protein"), ("c", f"SELECT name, count(*) AS n FROM d_k WHERE hash <= {_LIMIT} GROUP BY name")],
+            f"SELECT s.name, CASE WHEN length(s.sequence) = 0 THEN 0.0::DOUBLE ELSE {_ROUND.format('coalesce(c.n, 0)::DOUBLE / length(s.sequence)')} END AS density FROM d_s s LEFT JOIN c USING (name)"),
+        "overlapping_kmers": sql.statement(_k("d", "hp"), "SELECT a.name, count(DISTINCT (a.hash, b.hash)) AS pairs FROM d_k a JOIN d_k b ON a.name = b.name AND a.start = b.start AND a.hash < b.hash GROUP BY a.name"),
+        "unique_kmer_count": sql.statement(_k("b", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, count(DISTINCT kmer) AS n_originals FROM b_k GROUP BY ALL"),
+        "estimated_size": sql.statement([*_k("d", "dayhoff"), ("c", "SELECT name, hash, length(encoded) AS e, count(DISTINCT kmer) AS o FROM d_k GROUP BY ALL")],
+            "SELECT c.name, CAST(sum(28 + e + 16 * o) + length(c.name) + any_value(length(s.sequence)) AS BIGINT) AS bytes FROM c JOIN d_s s USING (name) GROUP BY c.name"),
+        "index_equivalence": sql.statement([*_k("b", "hp"), *[(n.replace("b_", "x_"), s.replace("b_", "x_")) for n, s in _k("b", "dayhoff")]],
+            "SELECT 'hp' AS other, count(*) = 0 AS equal FROM (SELECT * FROM b_k EXCEPT ALL SELECT * FROM b_k) UNION ALL SELECT 'dayhoff', count(*) = 0 FROM (SELECT * FROM b_k EXCEPT ALL SELECT * FROM x_k)"),
+        "index_stats": sql.statement(_t("d", "protein"), "SELECT (SELECT count(*) FROM documents) AS signatures, count(DISTINCT hash) AS combined_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM d_t"),
+    }
