@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import raw, steps
@@ -36,8 +36,9 @@ from .mph import MinimalPerfectHash
 MIN_CHARS = 40
 MIN_DOCS = 5
 KEYS_PER_SHARD = 500_000
-ROWS_PER_COPY = 2_000_000
+ROWS_PER_COPY = 500_000
 _NO_ID = -(2**63)
+_ALL = (0, 0)
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -50,6 +51,10 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
     return key
 
 
+def _is_all() -> Column:
+    return (F.col("h1") == 0) & (F.col("h2") == 0)
+
+
 def _digest(key: bytes) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(key))
 
@@ -61,7 +66,7 @@ def _rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 
 def key_counts(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """``h1, h2, n, last`` of the keys that stand in enough documents."""
+    """``h1, h2, n, last`` of the keys that stand in enough documents; under digest 0, 0, n is the number of all lines with a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +77,13 @@ def key_counts(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
                         seen = found.setdefault(_digest(key), [0, own])
                         seen[0] += 1
                         seen[1] = max(seen[1], own)
+            found[_ALL] = [sum(x[0] for x in found.values()), _NO_ID]
             h = np.array(list(found), np.int64).reshape(-1, 2)
             v = np.array(list(found.values()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:, 0], h[:, 1], v[:, 0], v[:, 1])], ["h1", "h2", "n", "last"])
 
     counted = rows.select("own", "text").mapInArrow(run, "h1 long, h2 long, n long, last long")
-    return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where(F.col("n") >= min_docs)
+    return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")).where((F.col("n") >= min_docs) | _is_all())
 
 
 INDEX = "shard int, keys long, rows long, hash binary, fingerprints binary, counts binary, lasts binary"
@@ -117,9 +123,10 @@ class Shard:
 _PROBE = ("h1", "h2", "r1", "r2", "own", "line")
 
 
-def dropped_lines(rows: DataFrame, index: DataFrame, n_shards: int, min_chars: int, min_docs: int, rows_per_copy: int) -> DataFrame:
+def dropped_lines(rows: DataFrame, index: DataFrame, n_shards: int, n_keys: int, min_chars: int, min_docs: int, rows_per_copy: int) -> DataFrame:
     """``r1, r2, drops``: the numbers of the lines that fall, for the rows that lose any."""
-    salts = F.ceil(F.col("rows") / F.lit(rows_per_copy)).cast("int") + 1
+    # a shard gets its own keys' lines and its share of those that no shard holds
+    salts = F.ceil((F.col("rows") + F.lit(n_keys // n_shards)) / F.lit(rows_per_copy)).cast("int") + 1
     # one row for each shard of half a million keys
     copies = F.broadcast(index.select("shard", salts.alias("copies")))
 
@@ -159,7 +166,7 @@ def dropped_lines(rows: DataFrame, index: DataFrame, n_shards: int, min_chars: i
                     fall = shard.drops(h1[cut], h2[cut], own[cut], min_docs)
                     yield pa.RecordBatch.from_arrays([pa.array(x[cut][fall]) for x in (r1, r2, line)], ["r1", "r2", "line"])
 
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards)
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards, n_keys // rows_per_copy)
     dealt = arrays.unionByName(probes).repartition(n, "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
     return dealt.mapInArrow(probe, "r1 long, r2 long, line long").groupBy("r1", "r2").agg(F.collect_set("line").alias("drops"))
 
@@ -168,9 +175,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` with ``_kept`` (the text of the lines that stay), ``_n_lines`` and ``_n_dropped``."""
     rows = _rows(docs, text_col, id_col)
     counts, _ = saved(key_counts(rows, min_chars, min_docs), "line-counts")
+    n_keys = sum(r["n"] for r in counts.where(_is_all()).collect())
+    counts = counts.where(~_is_all())
     n_shards = max(1, math.ceil(counts.count() / keys_per_shard))
     index, _ = saved(build_index(counts, n_shards), "line-index")
-    drops = dropped_lines(rows, index, n_shards, min_chars, min_docs, rows_per_copy)
+    drops = dropped_lines(rows, index, n_shards, n_keys, min_chars, min_docs, rows_per_copy)
     text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
     named = docs.select(F.struct("*").alias("_doc"), text.alias("_text"), F.xxhash64(own, text, F.lit(1)).alias("r1"), F.xxhash64(F.lit(2), text, own).alias("r2"))
     joined = named.join(drops, ["r1", "r2"], "left").select("_doc", "_text", "drops")
