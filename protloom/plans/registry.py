@@ -1,7 +1,7 @@
 """Named queries over the driver's text tables, and the SQL that mirrors them.
 
 ``documents`` is the target collection and ``benchmark`` the queries: a text's letters are a residue
-sequence. Hashes are shown as unsigned decimals, doubles rounded to 10 digits on both sides.
+sequence. Hashes are shown as unsigned decimals, doubles rounded on both sides, so that the order of a sum does not show.
 """
 
 from __future__ import annotations
@@ -43,8 +43,12 @@ def _hash(name: str = "hashval") -> Column:
     return unsigned_text(F.col(name)).alias(name)
 
 
+#: Digits of doubles that are no shares.
+_DIGITS = {"containment_adjusted": 3, "prob_overlap": 14, "prob_overlap_adjusted": 12}
+
+
 def _digits(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 10).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint") else F.col(c) for c, kind in df.dtypes))
+    return df.select(*(F.round(c, _DIGITS.get(c, 8)).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint") else F.col(c) for c, kind in df.dtypes))
 
 
 # ---- residues ----
@@ -213,7 +217,7 @@ def queries() -> dict:
 
 # ---- SQL ----
 
-_ROUND = "round({}, 10)"
+_ROUND = "round({}, 8)"
 
 
 def _k(t: str, moltype: str) -> list:
@@ -290,8 +294,8 @@ def oracle_sql() -> dict:
             ("p", "SELECT query_name, match_name, count(*) AS n, sum(p) AS prob, sum(query_abund * idf) AS weighted FROM shared JOIN w USING (hash) GROUP BY ALL"),
             ("m", f"SELECT p.*, q.md5 AS query_md5, t.md5 AS match_md5, q.n AS nq, t.n AS nt, q.total, {both} / q.n AS cq, prob * (SELECT count(*) FROM documents) AS adjusted FROM p JOIN b_z q ON q.name = p.query_name JOIN d_z t ON t.name = p.match_name")],
             f"""SELECT query_name, query_md5, match_name, match_md5, {_ROUND.format('cq')} AS containment, {_ROUND.format('n::DOUBLE / least(nq, nt)')} AS max_containment, {_ROUND.format('n::DOUBLE / (nq + nt - n)')} AS jaccard,
-            CAST(n AS DOUBLE) AS intersect_hashes, CAST({3 * K} AS BIGINT) AS ksize, CAST(1 AS BIGINT) AS scaled, 'protein' AS moltype, {_ROUND.format('prob')} AS prob_overlap, {_ROUND.format('adjusted')} AS prob_overlap_adjusted,
-            {_ROUND.format('cq / adjusted')} AS containment_adjusted, {_ROUND.format('log10(cq / adjusted)')} AS containment_adjusted_log10, {_ROUND.format('weighted / total')} AS tf_idf_score FROM m"""),
+            CAST(n AS DOUBLE) AS intersect_hashes, CAST({3 * K} AS BIGINT) AS ksize, CAST(1 AS BIGINT) AS scaled, 'protein' AS moltype, round(prob, 14) AS prob_overlap, round(adjusted, 12) AS prob_overlap_adjusted,
+            round(cq / adjusted, 3) AS containment_adjusted, {_ROUND.format('log10(cq / adjusted)')} AS containment_adjusted_log10, {_ROUND.format('weighted / total')} AS tf_idf_score FROM m"""),
         "kmer_hit_join": sql.statement(_HITS, "SELECT query_name, match_name, CAST(start_query AS BIGINT) AS start_query, CAST(start_match AS BIGINT) AS start_match, kmer_query, kmer_match, encoded, CAST(hash AS VARCHAR) AS hashval FROM hits"),
         "search_kmer_join": sql.statement(_HITS, f"""SELECT query_name, match_name, {_ROUND.format('count(DISTINCT hash)::DOUBLE / any_value(nq)')} AS containment, count(DISTINCT hash) AS intersect_hashes, count(*) AS n_hits,
             CAST(min(start_query) AS BIGINT) AS first_query, CAST(max(start_match) AS BIGINT) AS last_match FROM hits JOIN (SELECT name AS query_name, count(DISTINCT hash) AS nq FROM b_k GROUP BY name) USING (query_name) GROUP BY query_name, match_name"""),

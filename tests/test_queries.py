@@ -18,7 +18,7 @@ def db():
 
 
 def rounded(rows):
-    return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    return sorted((tuple(round(x, 14) if isinstance(x, float) else x for x in r) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
