@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, language_id, line_dedup, matroska, packing, quality, token_counts
+from . import chat, decontaminate, jaccard_join, language_id, line_dedup, lm_score, matroska, packing, quality, token_counts
 
 _QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,10 +13,12 @@ _QUERIES = {
     "op10_packing": packing.op10_packing,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_matroska": matroska.op3_matroska,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 _SQL: dict[str, str] = {
     "op6_chat": chat.OP6_SQL,
+    "op8_lm_score": lm_score.op8_lm_score,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
 
