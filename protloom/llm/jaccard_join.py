@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._arrow import steps, texts
-from ._store import saved, table
+from ._store import forget, saved, table
 from .graphs import components
 from .mph import mix
 
 THRESHOLD = 0.8
 TARGET_RECALL = 0.995
 COORDINATES = 64
-LEAF = 128
+LEAF = 2048
 DEPTH = 6
 #: Coordinates that a tree's root samples, and on average a node further down.
 ROOT_BRANCHES, BRANCHES = 2, 1.5
@@ -141,18 +141,17 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "path")
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric boolean matrix."""
-    out, todo = [], np.ones(len(near), bool)
-    for i in range(len(near)):
-        if todo[i]:
-            todo[i], stack = False, [i]
-            while stack:
-                j = stack.pop()
-                new = np.flatnonzero(near[j] & todo)
-                todo[new] = False
-                out += [(j, k) for k in new.tolist()]
-                stack += new.tolist()
+def forest(marks: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that agree in ``least`` bytes or more; each row is compared once with those not reached yet."""
+    out, todo = [], np.arange(len(marks))
+    while len(todo):
+        stack, todo = [int(todo[0])], todo[1:]
+        while stack and len(todo):
+            j = stack.pop()
+            near = (marks[todo] == marks[j]).sum(1) >= least
+            new, todo = todo[near].tolist(), todo[~near]
+            out += [(j, k) for k in new]
+            stack += new
     return out
 
 
@@ -177,7 +176,7 @@ def candidate_links(leaves: DataFrame, least: int) -> DataFrame:
             a, b = [node[hit]], [node[hit + 1]]
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 own = marks[s : s + n]
-                for j, k in forest((own[:, None, :] == own[None, :, :]).sum(2) >= least):
+                for j, k in forest(own, least):
                     a.append(node[s + j : s + j + 1])
                     b.append(node[s + k : s + k + 1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -188,11 +187,13 @@ def candidate_links(leaves: DataFrame, least: int) -> DataFrame:
 def chosen_path_links(nodes: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Candidate links between stored ``node, mins``."""
     mins = nodes.select("node", "mins")
-    least = int((threshold - SLACK) * COORDINATES)
-    rows, found = first_paths(nodes, runs_for(target, threshold)), []
+    rows, leaves = first_paths(nodes, runs_for(target, threshold)), None
     for level in range(depth):
-        sized, _ = saved(shared(rows), "paths")
-        found.append(candidate_links(sized.where(F.col("n") <= leaf).join(mins, "node"), least))
+        rows, path = saved(rows, "paths")
+        sized, _ = saved(shared(rows), "shared-paths")
+        forget(nodes.sparkSession, path)
+        ended = sized.where(F.col("n") <= leaf).select("path", "node")
+        leaves = ended if leaves is None else leaves.unionByName(ended)
         large = sized.where(F.col("n") > leaf)
         if not large.limit(1).count():
             break
@@ -202,12 +203,8 @@ def chosen_path_links(nodes: DataFrame, threshold: float = THRESHOLD, target: fl
             blocks = F.ceil(F.col("n") / (leaf // 2)).cast("int")
             own = F.pmod(F.xxhash64("node", "path"), blocks).cast("int")
             pairs = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            pairs = pairs.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "node")
-            found.append(candidate_links(pairs.join(mins, "node"), least))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+            leaves = leaves.unionByName(pairs.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "node"))
+    return candidate_links(leaves.join(mins, "node"), int((threshold - SLACK) * COORDINATES))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
