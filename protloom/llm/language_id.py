@@ -75,8 +75,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     for r in drawn:
         n_of[r["_lang"]] = n_of.get(r["_lang"], 0) + r["n"]
     languages = sorted(n_of, key=lambda x: (-n_of[x], x))
-    wanted = [r["h"] for r in drawn]
-    found = own.where(F.col("_hash").isin(wanted)).select("_lang", "_hash", F.substring(F.coalesce("_text", F.lit("")), 1, draw_chars).alias("t"))
+    # one row for each language and hash class
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r["h"],) for r in drawn], "_hash long"))
+    found = own.join(wanted, "_hash", "left_semi").select("_lang", "_hash", F.substring(F.coalesce("_text", F.lit("")), 1, draw_chars).alias("t"))
     contents = {x: bytearray() for x in languages}
     for r in sorted(found.toLocalIterator(), key=lambda r: (r["_hash"], r["t"])):
         if len(contents[r["_lang"]]) < dict_bytes:
