@@ -1,6 +1,6 @@
 """An index of protein sequences: a folder of Parquet tables.
 
-``kmers`` (positioned k-mers), ``sketch`` (hashes with abundance, by sequence), ``sequences`` (names, lengths, and the
+``kmers`` (positioned k-mers), ``sketch`` (hashes with abundance, by sequence), ``signatures`` (counts and digests of sequences), ``sequences`` (names, lengths, and the
 sequences if they are stored) and ``metadata`` (one row). Every record keeps its place, also when
 two have the same hashes; the pseudo-digest is a column, not a key. A sequence with an invalid residue fails
 the call, and nothing of the call is stored. Nothing is collected but counts and the metadata row.
@@ -95,6 +95,7 @@ class ProteinIndex:
         own = self.spark.read.schema("name string, sequence string").parquet(staged)
         km.kmer_positions(own, self.ksize, self.moltype, self.scaled).write.mode("append").parquet(f"{self.path}/kmers")
         km.sketches(own, self.ksize, self.moltype, self.scaled).write.mode("append").parquet(f"{self.path}/sketch")
+        km.signatures(own, self.ksize, self.moltype, self.scaled).write.mode("append").parquet(f"{self.path}/signatures")
         raw = F.col("sequence") if self.store_raw_sequences else F.lit(None).cast("string")
         own.select("name", F.length("sequence").alias("length"), raw.alias("sequence")).write.mode("append").parquet(f"{self.path}/sequences")
         self._metadata()
@@ -130,9 +131,8 @@ class ProteinIndex:
         return self._table("sequences", "name string, length int, sequence string")
 
     def signatures(self) -> DataFrame:
-        """``name, n_hashes, occurrences, pseudo_md5``; sequences without hashes have none, 0 and ``0``."""
-        own = self.sequences().select("name").join(km.signature_names(self.sketch()), "name", "left")
-        return own.select("name", F.coalesce("n_hashes", F.lit(0)).alias("n_hashes"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("pseudo_md5", F.lit("0")).alias("pseudo_md5"))
+        """``name, n_hashes, occurrences, pseudo_md5, md5``; sequences without hashes have 0, 0 and ``0``."""
+        return self._table("signatures", km.SIGNATURES)
 
     def combined(self) -> DataFrame:
         return km.combined_sketch(self.sketch())
@@ -155,8 +155,7 @@ class ProteinIndex:
         return not differing(self._content(), other._content()).limit(1).count()
 
     def _content(self) -> DataFrame:
-        named = km.signature_names(self.sketch()).select("name", "pseudo_md5")
-        return self.kmers().join(named, "name").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
+        return self.kmers().join(self.signatures().select("name", "pseudo_md5"), "name").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
 
 
 @dataclass

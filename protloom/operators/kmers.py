@@ -108,6 +108,34 @@ def sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled:
     return _named(sequences, name, sequence).mapInArrow(run, SKETCH)
 
 
+SIGNATURES = "name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string"
+
+
+def signatures(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """``name, n_hashes, occurrences, pseudo_md5, md5`` of each sequence's sketch, where the sequence is read: no shuffle.
+
+    A sequence without sampled k-mers has 0, 0, ``0`` and the digest of the k-mer size alone.
+    """
+    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            for names, own in _steps(batch):
+                owner, _, _, _, hashed = _windows(own, ksize, lookup, limit)
+                ends = np.searchsorted(owner, np.arange(len(names) + 1))
+                rows = []
+                for k, label in enumerate(names):
+                    mins = np.unique(hashed[ends[k] : ends[k + 1]])
+                    digest = hashlib.md5((str(3 * ksize) + "".join(map(str, mins.tolist()))).encode(), usedforsecurity=False).hexdigest()
+                    rows.append((label, len(mins), int(ends[k + 1] - ends[k]), f"{int(mins.sum(dtype=np.uint64)):x}", digest))
+                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SIGNATURES.split(", ")])
+
+    return _named(sequences, name, sequence).mapInArrow(run, SIGNATURES)
+
+
 def kmer_infos(kmers: DataFrame) -> DataFrame:
     """``name, hashval, encoded, kmer, positions`` with ascending positions."""
     return kmers.groupBy("name", "hashval", "encoded", "kmer").agg(F.array_sort(F.collect_list("start")).alias("positions"))

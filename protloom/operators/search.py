@@ -1,7 +1,8 @@
 """Similarity search of sketches: pairs of query and target that share a hash, with their measures.
 
 Pairs come from one equi-join on the hash, after sampling. The query side is left to Spark's own size
-check for a broadcast. Occurrence and size columns are joined on after the pairs are counted.
+check for a broadcast. Occurrence and size columns are joined on after the pairs are counted, from
+the collections' signatures where these are given, else from the sketches.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from .kmers import idf, sketch_digests
 
 
-def _sizes(sketch: DataFrame, ksize: int, side: str) -> DataFrame:
-    sizes = sketch.groupBy("name").agg(F.count("*").alias(f"{side}_n"), F.sum("abund").alias(f"{side}_total"))
-    return sizes.join(sketch_digests(sketch, ksize), "name").select(F.col("name").alias(f"{side}_name"), F.col("md5").alias(f"{side}_md5"), f"{side}_n", f"{side}_total")
+def _sizes(sketch: DataFrame, ksize: int, side: str, signatures: DataFrame | None) -> DataFrame:
+    if signatures is None:
+        sizes = sketch.groupBy("name").agg(F.count("*").alias("n_hashes"), F.sum("abund").alias("occurrences"))
+        signatures = sizes.join(sketch_digests(sketch, ksize), "name")
+    return signatures.select(F.col("name").alias(f"{side}_name"), F.col("md5").alias(f"{side}_md5"), F.col("n_hashes").alias(f"{side}_n"), F.col("occurrences").alias(f"{side}_total"))
 
 
 def shared_hashes(queries: DataFrame, targets: DataFrame) -> DataFrame:
@@ -24,14 +27,14 @@ def shared_hashes(queries: DataFrame, targets: DataFrame) -> DataFrame:
     return t.join(q, "hashval")
 
 
-def manysearch(queries: DataFrame, targets: DataFrame, ksize: int, scaled: int, moltype: str) -> DataFrame:
+def manysearch(queries: DataFrame, targets: DataFrame, ksize: int, scaled: int, moltype: str, query_signatures: DataFrame | None = None, target_signatures: DataFrame | None = None) -> DataFrame:
     """22 measures of every pair of sketches that share a hash."""
     k3 = 3 * ksize
     a = F.col("match_abund")
     pairs = shared_hashes(queries, targets).groupBy("query_name", "match_name").agg(
         F.count("*").alias("intersect_hashes"), F.avg(a).alias("average_abund"), F.median(a).alias("median_abund"), F.stddev_pop(a).alias("std_abund"), F.sum(a).alias("n_weighted_found")
     )
-    rows = pairs.join(_sizes(queries, ksize, "query"), "query_name").join(_sizes(targets, ksize, "match"), "match_name")
+    rows = pairs.join(_sizes(queries, ksize, "query", query_signatures), "query_name").join(_sizes(targets, ksize, "match", target_signatures), "match_name")
     both, nq, nt = F.col("intersect_hashes"), F.col("query_n"), F.col("match_n")
     rows = rows.withColumns({"containment": both / nq, "containment_target_in_query": both / nt})
     rows = rows.withColumns({"query_containment_ani": F.pow("containment", F.lit(1 / k3)), "match_containment_ani": F.pow("containment_target_in_query", F.lit(1 / k3))})
@@ -43,7 +46,7 @@ def manysearch(queries: DataFrame, targets: DataFrame, ksize: int, scaled: int,
     )
 
 
-def multisearch(queries: DataFrame, targets: DataFrame, n_targets: int, ksize: int, scaled: int, moltype: str) -> DataFrame:
+def multisearch(queries: DataFrame, targets: DataFrame, n_targets: int, ksize: int, scaled: int, moltype: str, query_signatures: DataFrame | None = None, target_signatures: DataFrame | None = None) -> DataFrame:
     """16 measures of every pair, among them the probability of the overlap by chance and tf-idf.
 
     A hash's frequency is its share of all occurrences in the query and in the target collection;
@@ -55,7 +58,7 @@ def multisearch(queries: DataFrame, targets: DataFrame, n_targets: int, ksize: i
     weights = q_all.join(t_all, "hashval").crossJoin(totals).select("hashval", (F.col("q_abund") / F.col("q_total") * F.col("t_abund") / F.col("t_total")).alias("p"), idf(F.lit(n_targets), F.col("df")).alias("idf"))
     shared = shared_hashes(queries, targets).join(weights, "hashval")
     pairs = shared.groupBy("query_name", "match_name").agg(F.count("*").alias("n"), F.sum("p").alias("prob_overlap"), F.sum(F.col("query_abund") * F.col("idf")).alias("weighted"))
-    rows = pairs.join(_sizes(queries, ksize, "query"), "query_name").join(_sizes(targets, ksize, "match"), "match_name")
+    rows = pairs.join(_sizes(queries, ksize, "query", query_signatures), "query_name").join(_sizes(targets, ksize, "match", target_signatures), "match_name")
     both, nq, nt = F.col("n"), F.col("query_n"), F.col("match_n")
     rows = rows.withColumns({"containment": both / nq, "prob_overlap_adjusted": F.col("prob_overlap") * n_targets})
     adjusted = F.col("containment") / F.col("prob_overlap_adjusted")

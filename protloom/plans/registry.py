@@ -39,6 +39,10 @@ def _sketch(spark: SparkSession, sf: str, t: str, moltype: str = "protein", scal
     return km.sketches(_sequences(spark, sf, t), K, moltype, scaled)
 
 
+def _signatures(spark: SparkSession, sf: str, t: str, scaled: int = 1) -> DataFrame:
+    return km.signatures(_sequences(spark, sf, t), K, "protein", scaled)
+
+
 def _hash(name: str = "hashval") -> Column:
     return unsigned_text(F.col(name)).alias(name)
 
@@ -93,7 +97,7 @@ def murmur_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scaled_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return km.signature_names(_sketch(spark, sf, "d", "protein", SCALED)).select("name", "n_hashes", "occurrences")
+    return _signatures(spark, sf, "d", SCALED).where("n_hashes > 0").select("name", "n_hashes", "occurrences")
 
 
 def sketch_abundance(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,11 +105,11 @@ def sketch_abundance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pseudo_md5(spark: SparkSession, sf: str) -> DataFrame:
-    return km.signature_names(_sketch(spark, sf, "d")).select("name", "pseudo_md5")
+    return _signatures(spark, sf, "d").where("n_hashes > 0").select("name", "pseudo_md5")
 
 
 def true_md5(spark: SparkSession, sf: str) -> DataFrame:
-    return km.sketch_digests(_sketch(spark, sf, "d"), K)
+    return _signatures(spark, sf, "d").where("n_hashes > 0").select("name", "md5")
 
 
 def combined_sketch(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,12 +130,12 @@ def hash_membership(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def manysearch(spark: SparkSession, sf: str) -> DataFrame:
-    return _digits(se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein"))
+    return _digits(se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein", _signatures(spark, sf, "b"), _signatures(spark, sf, "d")))
 
 
 def multisearch(spark: SparkSession, sf: str) -> DataFrame:
     n = _raw(spark, sf, "d").count()
-    return _digits(se.multisearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), n, K, 1, "protein"))
+    return _digits(se.multisearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), n, K, 1, "protein", _signatures(spark, sf, "b"), _signatures(spark, sf, "d")))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,7 +147,7 @@ def kmer_hit_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_kmer_join(spark: SparkSession, sf: str) -> DataFrame:
-    found = se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein").select("query_name", "match_name", "containment", "intersect_hashes")
+    found = se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein", _signatures(spark, sf, "b"), _signatures(spark, sf, "d")).select("query_name", "match_name", "containment", "intersect_hashes")
     return _digits(se.search_hits(found, _hits(spark, sf)).groupBy("query_name", "match_name", "containment", "intersect_hashes").agg(F.count("*").alias("n_hits"), F.min("start_query").alias("first_query"), F.max("start_match").alias("last_match")))
 
 
@@ -159,7 +163,7 @@ def stitch_diagonal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return so.kmer_counts(_kmers(spark, sf, "d", "hp")).select("name", _hash(), "n")
+    return _sketch(spark, sf, "d", "hp").select("name", _hash(), F.col("abund").alias("n"))
 
 
 def group_kmers_by_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +171,7 @@ def group_kmers_by_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multi_position_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    return so.multi_position_kmers(_kmers(spark, sf, "d", "dayhoff")).select("name", _hash(), "n")
+    return _sketch(spark, sf, "d", "dayhoff").where("abund > 1").select("name", _hash(), F.col("abund").alias("n"))
 
 
 def kmers_at_position(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,9 +179,8 @@ def kmers_at_position(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_density(spark: SparkSession, sf: str) -> DataFrame:
-    counted = so.total_occurrences(_kmers(spark, sf, "d", "protein", SCALED))
     lengths = _sequences(spark, sf, "d").select("name", F.length("sequence").alias("length"))
-    return _digits(lengths.join(counted, "name", "left").select("name", so.density(F.coalesce("n", F.lit(0)), F.col("length")).alias("density")))
+    return _digits(lengths.join(_signatures(spark, sf, "d", SCALED), "name").select("name", so.density(F.col("occurrences"), F.col("length")).alias("density")))
 
 
 def overlapping_kmers(spark: SparkSession, sf: str) -> DataFrame:

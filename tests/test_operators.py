@@ -80,6 +80,18 @@ def test_differing(spark):
     assert sorted((r["x"], r["side"]) for r in so.differing(a, b).collect()) == [("a", "left"), ("c", "right")]
 
 
+def test_signatures_equal_the_sketches(spark, two):
+    sketch = km.sketches(two, 5, "hp", 2)
+    want = {r["name"]: (r["n_hashes"], r["occurrences"], r["pseudo_md5"]) for r in km.signature_names(sketch).collect()}
+    digests = {r["name"]: r["md5"] for r in km.sketch_digests(sketch, 5).collect()}
+    rows = km.signatures(two, 5, "hp", 2).collect()
+    assert {r["name"]: (r["n_hashes"], r["occurrences"], r["pseudo_md5"]) for r in rows if r["n_hashes"]} == want
+    assert {r["name"]: r["md5"] for r in rows if r["n_hashes"]} == digests
+    assert {r["pseudo_md5"] for r in rows if not r["n_hashes"]} == {"0"} and len(rows) == 5
+    with_ = se.manysearch(sketch, sketch, 5, 2, "hp", km.signatures(two, 5, "hp", 2), km.signatures(two, 5, "hp", 2))
+    assert sorted(map(str, with_.collect())) == sorted(map(str, se.manysearch(sketch, sketch, 5, 2, "hp").collect()))
+
+
 def test_search_measures(spark, two):
     sketch = km.sketches(two, 5)
     rows = {(r["query_name"], r["match_name"]): r for r in se.manysearch(sketch, sketch, 5, 1, "protein").collect()}
