@@ -70,25 +70,27 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     """
     head = F.concat(F.lit(TURN), escape(F.col("role"), role=True), F.lit("\n"))
     body = escape(F.col("text"))
-    rows = numbered(turns).select("c", "conv_id", "cost", "i", "before", (F.col("role") == ASSISTANT).alias("target"), ((F.col("role") == SYSTEM) & (F.col("i") == 0)).alias("system"), head.alias("head"), body.alias("body"))
+    rows = numbered(turns).select("c", "cost", "i", "before", (F.col("role") == ASSISTANT).alias("target"), ((F.col("role") == SYSTEM) & (F.col("i") == 0)).alias("system"), head.alias("head"), body.alias("body"))
     rows, _ = saved(rows, "turns")
-    told = rows.where("system").select("c", F.col("cost").alias("system_cost"), F.col("head").alias("system_head"), F.col("body").alias("system_body"))
-    new = rows.where(~F.col("system")).join(told.select("c", "system_cost"), "c", "left").withColumn("system_cost", F.coalesce("system_cost", F.lit(0)))
+    # windows are chosen without the texts, which are joined on once
+    plan = rows.select("c", "i", "cost", "before", "system")
+    told = plan.where("system").select("c", F.col("cost").alias("system_cost"))
+    new = plan.where(~F.col("system")).join(told, "c", "left").withColumn("system_cost", F.coalesce("system_cost", F.lit(0)))
     cell = F.floor(F.greatest(F.lit(budget - history) - F.col("system_cost"), F.lit(budget // 4)) / 2)
     new = new.withColumn("before", F.col("before") - F.col("system_cost"))
     new = new.withColumn("window", F.floor((F.col("before") + F.col("cost") - 1) / cell) * 2 + F.when(F.col("cost") > cell, 0).otherwise(1))
-    part = lambda repeated: F.struct("i", F.lit(repeated).alias("repeated"), "target", "head", "body").alias("part")
     starts = new.groupBy("c", "window").agg(F.min("before").alias("start"))
-    parts = new.select("c", "window", part(False))
+    parts = new.select("c", "window", "i", F.lit(False).alias("repeated"))
     if history > 0:
         # a window starts in the history cell of a turn before it, or in the next one
-        cells = new.withColumn("at", F.explode(F.array(F.floor(F.col("before") / history), F.floor(F.col("before") / history) + 1)))
+        cells = new.select("c", "i", "cost", "before", F.explode(F.array(F.floor(F.col("before") / history), F.floor(F.col("before") / history) + 1)).alias("at"))
         near = starts.withColumnRenamed("window", "later").withColumn("at", F.floor(F.col("start") / history))
         seen = cells.join(near, ["c", "at"]).where((F.col("before") + F.col("cost") <= F.col("start")) & (F.col("before") >= F.col("start") - history))
-        parts = parts.unionByName(seen.select("c", F.col("later").alias("window"), part(True)))
+        parts = parts.unionByName(seen.select("c", F.col("later").alias("window"), "i", F.lit(True).alias("repeated")))
     alone = told.join(starts.select("c").distinct(), "c", "left_anti").select("c", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("start"))
-    first = F.struct(F.lit(0).cast("long").alias("i"), (F.col("start") > 0).alias("repeated"), F.lit(False).alias("target"), F.col("system_head").alias("head"), F.col("system_body").alias("body"))
-    parts = parts.unionByName(starts.unionByName(alone).join(told, "c").select("c", "window", first.alias("part")))
+    first = starts.unionByName(alone).join(told, "c").select("c", "window", F.lit(0).cast("long").alias("i"), (F.col("start") > 0).alias("repeated"))
+    parts = parts.unionByName(first).join(rows.select("c", "i", "target", "head", "body"), ["c", "i"])
+    parts = parts.select("c", "window", F.struct("i", "repeated", "target", "head", "body").alias("part"))
     whole = parts.groupBy("c", "window").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     text = F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
