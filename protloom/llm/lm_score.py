@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._arrow import steps, texts
-from ._store import table
+from ._store import forget, saved, table
 from .jaccard_join import groups
 from .mph import mix
 
@@ -89,29 +89,31 @@ def _find(table_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, heavy: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Tokens in all, and the words and pairs that are heavy in some batch: whatever is heavy in all is heavy in one of its parts."""
+    """Tokens in all, and words and pairs that hold every heavy one; at most ``2 * heavy`` of each.
+
+    Each part of the scan tells what has an eighth of the heavy share there. The sums are lower bounds; what is heavy in all
+    keeps seven eighths of its count, and at most ``2 * heavy`` sums reach half of the heavy share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[], []]
-            n = 0
-            for part in steps(batch, "text", 2 << 20):
+            for part in steps(batch, "text", 8 << 20):
                 x, y, _ = pairs_of(_words.split(texts(part)))
-                own[0].append(y)
-                own[1].append(pair_hash(x, y))
-                n += len(y)
-            out = [(0, 0, n)]
-            if n:
-                for kind, hashes in enumerate(own, 1):
-                    h, c = np.unique(np.concatenate(hashes), return_counts=True)
-                    keep = c * heavy >= n
-                    keep &= c > 1
-                    out += [(kind, k, 0) for k in h[keep].view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["kind", "h", "n"])
-
-    found = rows.select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).collect()
-    pick = lambda kind: np.sort(np.array([r["h"] for r in found if r["kind"] == kind], np.int64).view(np.uint64))
-    return sum(r["n"] for r in found), pick(1), pick(2)
+                kinds, hashes, counts = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [np.array([len(y)])]
+                for kind, own in ((1, y), (2, pair_hash(x, y))):
+                    h, c = np.unique(own, return_counts=True)
+                    keep = (c * 8 * heavy >= len(y)) & (c > 1)
+                    kinds.append(np.full(keep.sum(), kind, np.int32))
+                    hashes.append(h[keep].view(np.int64))
+                    counts.append(c[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, hashes, counts)], ["kind", "h", "n"])
+
+    found, path = saved(rows.select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "heavy")
+    total = sum(r["n"] for r in found.where("kind = 0").collect())
+    own = found.where((F.col("kind") > 0) & (F.col("n") * 2 * heavy >= total)).select("kind", "h").collect()
+    forget(rows.sparkSession, path)
+    pick = lambda kind: np.sort(np.array([r["h"] for r in own if r["kind"] == kind], np.int64).view(np.uint64))
+    return total, pick(1), pick(2)
 
 
 def heavy_counts(rows: DataFrame, heavy: int = HEAVY) -> Heavy:
@@ -203,7 +205,7 @@ def packed_pairs(rows: DataFrame, heavy: Heavy, n_buckets: int, alpha: float, mi
         pack = zstandard.ZstdCompressor(level=1).compress
         logs = pair_logs(heavy, alpha, min_count)
         for batch in batches:
-            for part in steps(batch, "text", 16 << 20):
+            for part in steps(batch, "text", 8 << 20):
                 words = _words.split(texts(part))
                 x, y, doc = pairs_of(words)
                 place = _find(heavy.pairs, pair_hash(x, y))
@@ -264,37 +266,40 @@ def bucket_sums(packed: DataFrame, heavy: Heavy, n_buckets: int, alpha: float, m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+
+        def decoded(k: int, at: np.ndarray, data: pa.ChunkedArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = _WIDTH[k]
+            size = int(n[at].sum())
+            home, other, doc = np.zeros(size, "<u8"), np.zeros(size if b else 0, "<u8"), np.zeros(size, "<u2")
+            s = 0
+            for p in at.tolist():
+                raw, m = unpack(data[p].as_py()), int(n[p])
+                home[s : s + m] = _unplanes(raw[: a * m], m, a)
+                if b:
+                    other[s : s + m] = _unplanes(raw[a * m : (a + b) * m], m, b)
+                doc[s : s + m] = _unplanes(raw[(a + b) * m :], m, 2)
+                s += m
+            return home, other, doc
+
         for group in groups(batches, ["bucket"]):
             row, kind, n = (group.column(c).to_numpy() for c in ("row", "kind", "n"))
             data = group.column("data")
             out = [(int(row[k]), None, None, data[k].as_py()) for k in np.flatnonzero(kind == -1).tolist()]
-            found: dict[int, list] = {}
-            for k in range(5):
-                at = np.flatnonzero(kind == k).tolist()
-                if not at:
+            # kinds that share their homes' counts, one set at a time
+            for kinds in ((BOTH,), (SECOND_HEAVY_FIRST, SECOND_RARE), (FIRST_HEAVY_SECOND, FIRST_RARE)):
+                found = [(k, at, *decoded(k, at, data, n)) for k in kinds if len(at := np.flatnonzero(kind == k))]
+                if not found:
                     continue
-                a, b = _WIDTH[k]
-                cols: list[list] = [[], [], []]
-                for p in at:
-                    raw, m = unpack(data[p].as_py()), int(n[p])
-                    for c, (s, w) in enumerate(((0, a), (a, b), (a + b, 2))):
-                        cols[c].append(_unplanes(raw[s * m : (s + w) * m], m, w) if w else np.zeros(m, np.uint64))
-                found[k] = [at, *(np.concatenate(c) for c in cols)]
-            totals: dict[int, np.ndarray] = {}
-            for pair in ((SECOND_HEAVY_FIRST, SECOND_RARE), (FIRST_HEAVY_SECOND, FIRST_RARE)):
-                own = [k for k in pair if k in found]
-                if own:
-                    counts = _group_counts(np.concatenate([found[k][1] for k in own]))
-                    for k, part in zip(own, np.split(counts, np.cumsum([len(found[k][1]) for k in own])[:-1]), strict=True):
-                        totals[k] = part
-            for k, (at, home, other, doc) in found.items():
-                values, s = score(k, home, other, totals.get(k)), 0
-                for p in at:
-                    d, v = doc[s : s + int(n[p])].astype(np.int64), values[s : s + int(n[p])]
-                    s += int(n[p])
-                    sums = np.bincount(d, weights=v)
-                    full = np.flatnonzero(sums)
-                    out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f4").tobytes(), None))
+                totals = _group_counts(np.concatenate([home for _, _, home, _, _ in found])) if BOTH not in kinds else None
+                done = 0
+                for k, at, home, other, doc in found:
+                    values, s = score(k, home, other, totals[done : done + len(home)] if totals is not None else None), 0
+                    done += len(home)
+                    for p in at.tolist():
+                        sums = np.bincount(doc[s : s + n[p]], weights=values[s : s + n[p]])
+                        s += n[p]
+                        full = np.flatnonzero(sums)
+                        out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f4").tobytes(), None))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in SUMS.split(", ")])
 
