@@ -335,3 +335,18 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, target: floa
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and numbers of links of all documents."""
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+numbered AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM words),
+shingle AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM numbered),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b, s.n = x.n AND s.n = y.n AS same FROM shared s JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 5 * s.n >= 4 * (x.n + y.n - s.n)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n, count(*) FILTER (WHERE same) AS copies FROM link GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(c.least, doc_id)) AS class_id, coalesce(n.n, 0) AS n_links, coalesce(n.copies, 0) + 1 AS copies
+FROM documents d LEFT JOIN class c ON c.a = doc_id LEFT JOIN counted n ON n.a = doc_id
+"""

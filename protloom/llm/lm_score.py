@@ -299,7 +299,7 @@ def bucket_sums(packed: DataFrame, heavy: Heavy, n_buckets: int, alpha: float, m
                         sums = np.bincount(doc[s : s + n[p]], weights=values[s : s + n[p]])
                         s += n[p]
                         full = np.flatnonzero(sums)
-                        out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f4").tobytes(), None))
+                        out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f8").tobytes(), None))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in SUMS.split(", ")])
 
@@ -323,7 +323,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
             total = np.frombuffer(head, "<f8", n, 24 * n).copy()
             for d, s in zip(group.column("docs").to_pylist(), group.column("sums").to_pylist(), strict=True):
                 if d is not None:
-                    total[np.frombuffer(d, "<u2")] += np.frombuffer(s, "<f4")
+                    total[np.frombuffer(d, "<u2")] += np.frombuffer(s, "<f8")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none.astype(bool)), pa.array(tokens), pa.array(total)], ["doc_id", "n_tokens", "log_sum"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -332,5 +332,21 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents."""
-    return lm_scores(table(spark, sf_dir, "documents"))
+    """Scores of all documents, rounded so that the order of sums does not show."""
+    out = lm_scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", F.round("log_sum", 6).alias("log_sum"), F.round("score", 8).alias("score"))
+
+
+OP8_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+numbered AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+token AS (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS x, w[i] AS y FROM numbered),
+pair AS (SELECT x, y, count(*) AS n FROM token GROUP BY ALL),
+first_ AS (SELECT x, count(*) AS n FROM token GROUP BY ALL),
+second_ AS (SELECT y, count(*) AS n FROM token GROUP BY ALL),
+scored AS (
+  SELECT doc_id, CASE WHEN p.n >= 2 THEN ln(p.n) - ln(f.n) ELSE ln(0.4) + ln(s.n) - ln((SELECT count(*) FROM token)) END AS v
+  FROM token JOIN pair p USING (x, y) JOIN first_ f USING (x) JOIN second_ s USING (y)),
+summed AS (SELECT doc_id, count(*) AS n, sum(v) AS v FROM scored GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(v, 0.0), 6) AS log_sum, round(v / n, 8) AS score FROM documents d LEFT JOIN summed USING (doc_id)
+"""
