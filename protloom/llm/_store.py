@@ -27,8 +27,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_root(spark)}/protloom/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/protloom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that read them can no longer be used."""
+    forget(spark, _own(spark))
 
 
 def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
