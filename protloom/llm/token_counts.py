@@ -105,7 +105,8 @@ def update_cache(docs: DataFrame, cache_path: str, model: str = MODEL, text_col:
         misses = misses.join(known.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
     misses = misses.dropDuplicates(["_digest"])
     encode_misses(misses, model).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
-    return read_cache(spark, cache_path, version).dropDuplicates(["digest"])
+    # the digest is a new column: the join then deals both sides itself, and a hot digest's rows can be split
+    return read_cache(spark, cache_path, version).dropDuplicates(["digest"]).select(F.concat("digest", F.lit(b"")).alias("digest"), "n_tokens")
 
 
 def count_tokens(docs: DataFrame, cache_path: str, model: str = MODEL, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
