@@ -95,8 +95,10 @@ def shingle_sets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return docs.select(*_keys(text_col, id_col)).mapInArrow(run, "doc_id long, r1 long, r2 long, digest binary, n long, mins binary")
 
 
-def _mins(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("mins").to_pylist()), "<u4").reshape(-1, COORDINATES)
+def _mins(column: pa.BinaryArray) -> np.ndarray:
+    """The MinHash values of a column without nulls, in place."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(column.buffers()[2], "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0]).reshape(-1, COORDINATES)
 
 
 def _child(path: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -110,7 +112,7 @@ def first_paths(nodes: DataFrame, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                mins, node = _mins(batch), batch.column("node").to_numpy()
+                mins, node = _mins(batch.column("mins")), batch.column("node").to_numpy()
                 for k in range(runs):
                     root = np.full(len(node), mix(np.array([k + 1], np.uint64))[0])
                     for c in chosen[k]:
@@ -128,7 +130,7 @@ def next_paths(large: DataFrame) -> DataFrame:
         limit = np.uint64(int(BRANCHES / COORDINATES * 2**64))
         for batch in batches:
             if batch.num_rows:
-                mins, node, path = _mins(batch), batch.column("node").to_numpy(), batch.column("path").to_numpy().view(np.uint64)
+                mins, node, path = _mins(batch.column("mins")), batch.column("node").to_numpy(), batch.column("path").to_numpy().view(np.uint64)
                 row, c = np.nonzero(mix(path[:, None] ^ salt[None, :]) < limit)
                 yield pa.RecordBatch.from_arrays([pa.array(_child(path[row], c, mins[row, c]).view(np.int64)), pa.array(node[row])], ["path", "node"])
 
@@ -160,26 +162,29 @@ def candidate_links(leaves: DataFrame, least: int) -> DataFrame:
     sketch = F.struct("node", "mins")
     buckets = leaves.groupBy("path").agg(F.collect_list(sketch).alias("rows"))
 
+    def links_of(rows: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        node, mins = rows.flatten().flatten()
+        node, marks = node.to_numpy(), _mins(mins).astype(np.uint8)
+        size = rows.value_lengths().to_numpy()
+        start = np.cumsum(size) - size
+        two = start[size == 2]
+        hit = two[(marks[two] == marks[two + 1]).sum(1) >= least]
+        a, b = [node[hit]], [node[hit + 1]]
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            found = np.array(forest(marks[s : s + n], least), np.int64).reshape(-1, 2) + s
+            a.append(node[found[:, 0]])
+            b.append(node[found[:, 1]])
+        return np.concatenate(a), np.concatenate(b)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column("rows")
-            flat = rows.flatten()
-            node = flat.field("node").to_numpy()
-            mins = np.frombuffer(b"".join(flat.field("mins").to_pylist()), "<u4").reshape(-1, COORDINATES)
-            marks = mins.astype(np.uint8)
-            size = rows.value_lengths().to_numpy()
-            start = np.cumsum(size) - size
-            two = start[size == 2]
-            hit = two[(marks[two] == marks[two + 1]).sum(1) >= least]
-            a, b = [node[hit]], [node[hit + 1]]
-            for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                own = marks[s : s + n]
-                for j, k in forest(own, least):
-                    a.append(node[s + j : s + j + 1])
-                    b.append(node[s + k : s + k + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            size = batch.column("rows").value_lengths().to_numpy()
+            ends, at = np.cumsum(size), 0
+            while at < len(size):  # some thousand sets at once
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8 * LEAF, side="right")))
+                a, b = links_of(batch.column("rows").slice(at, stop - at))
+                at = stop
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return buckets.select("rows").mapInArrow(run, "a long, b long").distinct()
 
