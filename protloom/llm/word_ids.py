@@ -15,7 +15,7 @@ import re
 import struct
 
 #: Distinct pre-tokens kept in a worker before the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _SIMPLE = re.compile("[\t\n\r -~¡-¬®-įı-ſ]*")
 _LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
