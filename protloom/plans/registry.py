@@ -22,9 +22,19 @@ SCALED = 5
 _TABLES = {"d": ("documents", "doc_id"), "b": ("benchmark", "item_id")}
 
 
+#: Bytes of a usual row group, below which a scan cannot be split.
+_ROW_GROUP = 128 << 20
+
+
 def _raw(spark: SparkSession, sf: str, t: str) -> DataFrame:
+    """Names and texts. A table with fewer row groups than cores is dealt out first; a larger one is read as it lies."""
     table, key = _TABLES[t]
-    return spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).cast("string").alias("name"), "text")
+    path = f"{sf}/{table}.parquet"
+    rows = spark.read.parquet(path).select(F.col(key).cast("string").alias("name"), "text")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size < cores * _ROW_GROUP else rows
 
 
 def _sequences(spark: SparkSession, sf: str, t: str) -> DataFrame:
