@@ -53,9 +53,11 @@ def multisearch(queries: DataFrame, targets: DataFrame, n_targets: int, ksize: i
     the adjustment multiplies by the number of targets; tf is the hash's share of the query's occurrences.
     """
     q_all = queries.groupBy("hashval").agg(F.sum("abund").alias("q_abund"))
-    t_all = targets.groupBy("hashval").agg(F.sum("abund").alias("t_abund"), F.count("*").alias("df"))
-    totals = F.broadcast(queries.agg(F.sum("abund").alias("q_total")).crossJoin(targets.agg(F.sum("abund").alias("t_total"))))  # one row
-    weights = q_all.join(t_all, "hashval").crossJoin(totals).select("hashval", (F.col("q_abund") / F.col("q_total") * F.col("t_abund") / F.col("t_total")).alias("p"), idf(F.lit(n_targets), F.col("df")).alias("idf"))
+    # only hashes of the queries matter: the collection meets them before it is counted
+    t_all = targets.join(q_all, "hashval").groupBy("hashval").agg(F.sum("abund").alias("t_abund"), F.count("*").alias("df"), F.first("q_abund").alias("q_abund"))
+    total = lambda sketch, signatures, name: sketch.agg(F.sum("abund").alias(name)) if signatures is None else signatures.agg(F.sum("occurrences").alias(name))
+    totals = F.broadcast(total(queries, query_signatures, "q_total").crossJoin(total(targets, target_signatures, "t_total")))  # one row
+    weights = t_all.crossJoin(totals).select("hashval", (F.col("q_abund") / F.col("q_total") * F.col("t_abund") / F.col("t_total")).alias("p"), idf(F.lit(n_targets), F.col("df")).alias("idf"))
     shared = shared_hashes(queries, targets).join(weights, "hashval")
     pairs = shared.groupBy("query_name", "match_name").agg(F.count("*").alias("n"), F.sum("p").alias("prob_overlap"), F.sum(F.col("query_abund") * F.col("idf")).alias("weighted"))
     rows = pairs.join(_sizes(queries, ksize, "query", query_signatures), "query_name").join(_sizes(targets, ksize, "match", target_signatures), "match_name")
