@@ -5,10 +5,10 @@ of shingles) each window of so many shingles of a document gets a 64-bit SimHash
 of bit counts. Fingerprints within ``RADIUS`` of an item's must agree with it in one of four
 16-bit blocks up to ``RADIUS // 4`` bits; tables of all such block values find every one of them. A candidate is then
 verified by the weighted Jaccard similarity of the two multisets of shingles, weights
-falling with the number of items that hold a shingle; ``THRESHOLD`` or more is a match. Windows advance by
-``n // STRIDE`` of their ``n`` shingles, so that one lies within a twelfth of its length of any passage; around a
-candidate, up to the next windows, every place at which some shingle of the item lines up is verified. A document shorter
-than an item, but long enough to reach the threshold, is one window.
+falling with the number of items that hold a shingle; ``THRESHOLD`` or more is a match. Every window that holds a
+shingle of an item of its length is fingerprinted; all others have similarity 0 with those items. Around a candidate, up to
+its own length away, every place is bounded by running sums of weights, and verified where the bound reaches the threshold. A
+document shorter than an item is one window.
 
 The items are searched in blocks of ``ITEM_BLOCK``, each with tables of bounded size.
 
@@ -36,11 +36,14 @@ from ._store import table
 RADIUS = 15
 THRESHOLD = 0.8
 ITEM_BLOCK = 4096
-STRIDE = 6
 _BLOCKS, _BITS = 4, 16
 _SPAN = 4096
 
 
+#: Running sums of weights differ from sums of their own by less.
+_SLACK = 1e-9
+
+
 @dataclass
 class Item:
     """One benchmark item: distinct shingles (ascending), where each first stands, their counts and weights."""
@@ -68,7 +71,7 @@ def window_counts(hashes: np.ndarray, longest: int) -> np.ndarray:
 
 
 class Buffers:
-    """Memory for the windows of one span, kept from class to class."""
+    """Memory for the windows of one span, kept from run to run."""
 
     def __init__(self) -> None:
         self.counts, self.set = np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -95,12 +98,30 @@ def simhash(hashes: np.ndarray) -> int:
     return int(fingerprints(sums, lane, len(hashes))[0])
 
 
+def _find(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``known`` (ascending, not empty), and whether the value is there."""
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return at, known[at] == values
+
+
 def near_values(value: int, radius: int) -> np.ndarray:
     """All 16-bit values within ``radius`` bits of ``value``."""
     every = np.arange(1 << _BITS)
     return every[np.bitwise_count(every ^ value) <= radius]
 
 
+def _merged(first: np.ndarray, last: np.ndarray, of: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Ascending ranges from ``first`` to ``last``, joined where they meet (and are ``of`` the same)."""
+    if not len(first):
+        return iter(())
+    new = first[1:] > last[:-1] + 1
+    if of is not None:
+        new |= of[1:] != of[:-1]
+    cuts = np.flatnonzero(new)
+    return zip(first[np.append(0, cuts + 1)].tolist(), last[np.append(cuts, len(last) - 1)].tolist(), strict=True)
+
+
 class Index:
     """Items by length class, with the multi-index tables of each class."""
 
@@ -130,6 +151,12 @@ class Index:
                 for b in range(_BLOCKS):
                     marks[b, near_values(item.fingerprint >> _BITS * b & 0xFFFF, radius // _BLOCKS)] = True
             self.tables[n] = marks
+        # a shingle's leading bits tell whether some item may hold it
+        self.held = {n: np.unique(np.concatenate([i.shingles for i in members])) for n, members in self.classes.items()}
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held.values()]))
+        self.shift = np.uint64(64 - max(16, len(every).bit_length() + 4))
+        self.may_hold = np.zeros(1 << 64 - int(self.shift), bool)
+        self.may_hold[every >> self.shift] = True
         self.prints = {n: np.array([i.fingerprint for i in members], np.uint64) for n, members in self.classes.items()}
 
     def near(self, n: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,19 +173,19 @@ class Index:
         row, member = np.nonzero(distance <= self.radius)
         return at[row], member
 
-    def alignments(self, item: Item, hashes: np.ndarray, n_places: int) -> list[int]:
-        """Places among the first ``n_places`` at which some shingle of the item stands where it first stands in the item."""
-        place = np.searchsorted(item.shingles, hashes)
-        place[place == len(item.shingles)] = 0
-        at = np.flatnonzero(item.shingles[place] == hashes)
-        return np.unique(np.clip(at - item.first[place[at]], 0, n_places - 1)).tolist()
+    def bounds(self, item: Item, hashes: np.ndarray, n: int) -> np.ndarray:
+        """The most that the similarity of each window of ``n`` can be: that of windows without repeated shingles."""
+        place, same = _find(item.shingles, hashes)
+        shared = np.append(0.0, np.cumsum(np.where(same, item.weights[place], 0.0)))
+        all_ = np.append(0.0, np.cumsum(np.where(same, item.weights[place], self.rare)))
+        own = float((item.counts * item.weights).sum())
+        both = np.minimum(shared[n:] - shared[:-n], own)
+        return both / (own + all_[n:] - all_[:-n] - both)
 
     def similarity(self, item: Item, hashes: np.ndarray) -> float:
         """Weighted Jaccard similarity of an item and a window's shingles."""
         distinct, counts = np.unique(hashes, return_counts=True)
-        place = np.searchsorted(item.shingles, distinct)
-        place[place == len(item.shingles)] = 0
-        same = item.shingles[place] == distinct
+        place, same = _find(item.shingles, distinct)
         k = place[same]
         weight = item.weights[k]
         both = float((np.minimum(counts[same], item.counts[k]) * weight).sum())
@@ -176,43 +203,50 @@ class Index:
         size = np.bincount(doc, minlength=len(rows)) if len(doc) else np.zeros(len(rows), int)
         begin = np.cumsum(size) - size
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        seen: set[tuple[int, int, int]] = set()
 
-        def verify(d: int, item: Item, places: range, n: int) -> None:
-            for k in self.alignments(item, h[places.start : places.stop - 1 + n], len(places)):
-                place = places.start + k
-                if (d, item.item_id, place) in seen:
+        def verify(d: int, item: Item, low: int, high: int, n: int) -> None:
+            bound = self.bounds(item, h[low : high + n], n)
+            places = np.flatnonzero(bound >= self.threshold - _SLACK)
+            key = (d, item.item_id)
+            for k in places[np.argsort(-bound[places], kind="stable")].tolist():
+                place = low + k
+                if key in best and (bound[k] < best[key][0] - _SLACK or (bound[k] < best[key][0] + _SLACK and place >= best[key][1])):
                     continue
-                seen.add((d, item.item_id, place))
                 value = self.similarity(item, h[place : place + n])
-                key = (d, item.item_id)
+                if self.threshold - _SLACK <= value < self.threshold:
+                    value = self.threshold  # but for rounding
                 if value >= self.threshold and (key not in best or (value, -place) > (best[key][0], -best[key][1])):
                     best[key] = (value, place, n)
 
-        # windows may hang over into the next text, or behind the last one, by less than a stride
         buffers = Buffers()
-        padded = np.concatenate([h, np.zeros(self.longest // STRIDE, np.uint64)])
-        for at in range(0, len(h), _SPAN):
-            sums, lane = window_counts(padded[at : at + _SPAN + self.longest - 1], self.longest)
-            for n, members in self.classes.items():
-                step = max(1, n // STRIDE)
-                first, n_windows = -at % step, min(_SPAN, len(sums) - n)
-                if n_windows <= first:
-                    continue
-                place, member = self.near(n, fingerprints(sums[: n_windows + n], lane, n, first, step, buffers))
-                for p, m in zip((at + first + place * step).tolist(), member.tolist(), strict=True):
-                    d = int(doc[min(p + n // 2, len(doc) - 1)])
-                    low, high = int(begin[d]), int(begin[d] + size[d]) - n
-                    verify(d, members[m], range(max(low, p - step + 1), min(high, p + step - 1) + 1), n)
-        # texts shorter than an item, but long enough to match it, are windows of their own
-        for d in np.flatnonzero((size > 0) & (size < self.longest)).tolist():
-            m = int(size[d])
-            classes = [n for n in self.classes if m < n and m >= self.threshold * n]
-            if classes:
-                print_ = np.array([simhash(h[begin[d] : begin[d] + m])], "<u8")
-                for n in classes:
-                    for k in self.near(n, print_)[1].tolist():
-                        verify(d, self.classes[n][k], range(int(begin[d]), int(begin[d]) + 1), m)
+        hits = np.flatnonzero(self.may_hold[h >> self.shift])
+        for n, members in self.classes.items():
+            at = hits[_find(self.held[n], h[hits])[1]]
+            low, end = begin[doc[at]], begin[doc[at]] + size[doc[at]] - n
+            short = np.unique(doc[at[end < low]])
+            # runs of windows that hold a hit and lie in its text
+            first, last = np.maximum(at - n + 1, low), np.minimum(at, end)
+            first, last = first[end >= low], last[end >= low]
+            places, found = [], []
+            for a, b in _merged(first, last):
+                for s in range(a, b + 1, _SPAN):
+                    e = min(b + 1, s + _SPAN)
+                    place, member = self.near(n, fingerprints(*window_counts(h[s : e - 1 + n], n), n, buffers=buffers))
+                    if len(place):
+                        places.append(s + place)
+                        found.append(member)
+            if places:
+                place, member = np.concatenate(places), np.concatenate(found)
+                for m in np.unique(member).tolist():
+                    p = place[member == m]
+                    low = begin[doc[p]]
+                    for a, b in _merged(np.maximum(p - n, low), np.minimum(p + n, low + size[doc[p]] - n), doc[p]):
+                        verify(int(doc[a]), members[m], a, b, n)
+            # texts shorter than an item are windows of their own
+            for d in short.tolist():
+                a, m = int(begin[d]), int(size[d])
+                for k in self.near(n, np.array([simhash(h[a : a + m])], "<u8"))[1].tolist():
+                    verify(d, members[k], a, a, m)
         for (d, item_id), (value, place, n) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
             out[d].append((item_id, value, int(own.word[place] - words.first[d]), n))
         return out

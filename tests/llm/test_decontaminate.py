@@ -121,3 +121,45 @@ def test_words_and_shingles_by_definition():
     assert len(set(names.values())) == len(names)
     again = _words.shingles(_words.split([t * 1 for t in reversed(texts)]))
     assert sorted(again.hash.tolist()) == sorted(own.hash.tolist())
+
+
+def changed_passages(n_docs, seed):
+    """Items, and documents that each hold one of them with one or two changed words, behind some other words."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    items = [(k, " ".join(word() for _ in range(rng.randint(25, 90)))) for k in range(20)]
+    docs = []
+    for d in range(n_docs):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randint(1, 2)):
+            words[rng.randrange(len(words))] = word()
+        docs.append((d, " ".join([word() for _ in range(rng.randint(0, 40))] + words + [word() for _ in range(rng.randint(0, 40))])))
+    return items, docs
+
+
+def test_no_window_within_the_radius_is_missed():
+    items, docs = changed_passages(600, 8)
+    index = dc.Index(items)
+    got = {(d, m[0]) for (d, _), own in zip(docs, index.matches([t for _, t in docs]), strict=True) for m in own}
+    want = plain(docs, items, 0.8 - 1e-9)  # 0.8 but for rounding counts
+    near = set()
+    for d, i in want:
+        h = _words.shingles(_words.split([docs[d][1]])).hash
+        (item,) = [x for members in index.classes.values() for x in members if x.item_id == i]
+        if any((dc.simhash(h[p : p + item.n]) ^ item.fingerprint).bit_count() <= dc.RADIUS for p in range(len(h) - item.n + 1)):
+            near.add((d, i))
+    assert len(want) > 150 and near <= got <= want
+    assert len(got) >= 0.99 * len(want)
+
+
+def test_moved_parts_and_weighted_short_texts():
+    words = [f"w{j}" for j in range(60)]
+    moved = words[-9:] + words[:-9]
+    index = dc.Index([(1, " ".join(words))])
+    (found,) = index.matches([" ".join(["before"] * 7 + moved + ["after"] * 7)])
+    assert plain([(0, " ".join(moved))], [(1, " ".join(words))]) == {(0, 1)} == {(0, m[0]) for m in found}
+    # a template that all items share weighs little, so a text without half of it still matches
+    template = [f"t{j}" for j in range(20)]
+    items = [(k, " ".join([f"i{k}x{j}" for j in range(30)] + template)) for k in range(60)]
+    docs = [(0, " ".join(items[7][1].split()[:37]))]
+    assert {(0, m[0]) for m in dc.Index(items).matches([docs[0][1]])[0]} == plain(docs, items) == {(0, 7)}
