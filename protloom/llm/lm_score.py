@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of documents under the corpus's own bigram counts.
+"""Stupid-backoff scores of documents under the corpus's own n-gram counts, bigrams unless told otherwise.
 
 A token ``y`` after ``x`` scores ``c(x y) / c(x)`` if the pair stands in the corpus ``min_count`` times or more, else
 ``alpha * c(y) / N``; a document's score is the sum of the logarithms. A document's first token follows a start
@@ -19,7 +19,12 @@ with sorts and sends each step's documents their partial sums back.
 
 Defined results: a text without words (null, empty, signs only) has 0 tokens, sum 0 and a null score; repeated rows are counted and
 scored each; an empty table gives an empty result; further columns are ignored, whatever their names.
-Trigrams and longer n-grams are not kept: their exchange does not fit the disk that a bigram exchange takes.
+
+With ``order`` other than 2 every level k from ``order`` to 1 is an exchange of its own: a token's k-gram, if it stands
+``min_count`` times or more (or is a single word) and its (k+1)-gram does not, scores
+``alpha ** (order - k) * c(k-gram) / c(context)``. Heavy n-grams are broadcast with their counts. A token meets the counts
+of a level at the home of its context; if that is heavy, of its k-gram; if that is heavy too, of its (k+1)-gram, which all hold every
+row of the counts that are not broadcast. Texts begin with ``order - 1`` start marks.
 """
 
 from __future__ import annotations
@@ -306,12 +311,214 @@ def bucket_sums(packed: DataFrame, heavy: Heavy, n_buckets: int, alpha: float, m
     return packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SUMS)
 
 
-def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, heavy: int = HEAVY, pairs_per_bucket: int = PAIRS_PER_BUCKET, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+# ---- any order ----
+
+#: Where a token meets the counts of a level: the home of its context, of its k-gram or of its (k+1)-gram.
+AT_CONTEXT, AT_GRAM, AT_NEXT = range(3)
+
+
+def grams_of(words: _words.Words, order: int) -> list[np.ndarray]:
+    """Hashes of the 1- to ``order``-grams that end at each token."""
+    out = [words.hash]
+    heads = words.first[:-1][np.diff(words.first) > 0]
+    for k in range(1, order):
+        context = np.empty_like(words.hash)
+        context[1:] = out[-1][:-1]
+        context[heads] = _START + np.uint64(k)
+        out.append(pair_hash(context, words.hash))
+    return out
+
+
+@dataclass
+class HeavyGrams:
+    """Of each level, heavy n-grams (ascending hashes) and their counts; and how often each, and lastly the start, is the next level's context."""
+
+    total: int
+    grams: list[np.ndarray]
+    counts: list[np.ndarray]
+    contexts: list[np.ndarray]
+
+    def numbers(self, words: _words.Words, grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each level the places of the tokens' n-grams and of their contexts among the heavy ones, or -1."""
+        own = [_find(known, g) for known, g in zip(self.grams, grams, strict=True)]
+        heads = words.first[:-1][np.diff(words.first) > 0]
+        before = [np.zeros(len(words.hash), np.int64)]
+        for known, at in zip(self.grams[:-1], own[:-1], strict=True):
+            context = np.empty_like(at)
+            context[1:] = at[:-1]
+            context[heads] = len(known)
+            before.append(context)
+        return own, before
+
+
+def heavy_grams(rows: DataFrame, order: int, heavy: int = HEAVY) -> HeavyGrams:
+    """Candidates as in ``_candidates``, then their exact counts."""
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", 8 << 20):
+                grams = grams_of(_words.split(texts(part)), order)
+                kinds, hashes, counts = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [np.array([len(grams[0])])]
+                for k, own in enumerate(grams, 1):
+                    h, c = np.unique(own, return_counts=True)
+                    keep = (c * 8 * heavy >= len(own)) & (c > 1)
+                    kinds.append(np.full(keep.sum(), k, np.int32))
+                    hashes.append(h[keep].view(np.int64))
+                    counts.append(c[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, hashes, counts)], ["kind", "h", "n"])
+
+    found, path = saved(rows.select("text").mapInArrow(candidates, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "heavy")
+    total = sum(r["n"] for r in found.where("kind = 0").collect())
+    picked: list[list[int]] = [[] for _ in range(order)]
+    for r in found.where((F.col("kind") > 0) & (F.col("n") * 2 * heavy >= total)).select("kind", "h").collect():
+        picked[r["kind"] - 1].append(r["h"])
+    forget(rows.sparkSession, path)
+    likely = HeavyGrams(total, [np.sort(np.array(x, np.int64).view(np.uint64)) for x in picked], [], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(g) + 1, np.int64) for g in likely.grams * 2]
+        for batch in batches:
+            for part in steps(batch, "text", 2 << 20):
+                words = _words.split(texts(part))
+                own, before = likely.numbers(words, grams_of(words, order))
+                for k, at in enumerate([*own, *before[1:]]):
+                    sums[k] += np.bincount(at[at >= 0], minlength=len(sums[k]))
+        kind = np.repeat(np.arange(len(sums), dtype=np.int32), [len(s) for s in sums])
+        number, n = np.concatenate([np.arange(len(s), dtype=np.int32) for s in sums]), np.concatenate(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(x[n > 0]) for x in (kind, number, n)], ["kind", "k", "n"])
+
+    counts = [np.zeros(len(g) + 1, np.int64) for g in likely.grams * 2]
+    for r in rows.select("text").mapInArrow(run, "kind int, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).collect():
+        counts[r["kind"]][r["k"]] = r["n"]
+    keep = [c[:-1] * heavy >= total for c in counts[:order]]
+    contexts = [np.array([total])] + [c[np.append(x, True)] for c, x in zip(counts[order:-1], keep, strict=False)]
+    return HeavyGrams(total, [g[x] for g, x in zip(likely.grams, keep, strict=True)], [c[:-1][x] for c, x in zip(counts, keep, strict=False)], contexts)
+
+
+def _gram_widths(level: int, where: int, order: int) -> tuple[int, int, int]:
+    """Bytes of the home, the other and the next."""
+    after = 5 if level < order else 0
+    return {AT_CONTEXT: (6, 5, after), AT_GRAM: (6, 2, after), AT_NEXT: (6, 2, 2)}[where]
+
+
+def _level_logs(level: int, order: int, alpha: float, min_count: int, own: np.ndarray, context: np.ndarray, after: np.ndarray | None) -> np.ndarray:
+    """What a level gives, from the counts of k-gram, context and (k+1)-gram; 0 where another level scores."""
+    here = (own >= min_count) | (level == 1)
+    if after is not None:
+        here &= after < min_count
+    return np.where(here, (order - level) * math.log(alpha) + np.log(np.maximum(own, 1)) - np.log(np.maximum(context, 1)), 0.0)
+
+
+def packed_grams(rows: DataFrame, heavy: HeavyGrams, order: int, n_buckets: int, alpha: float, min_count: int) -> DataFrame:
+    """Each step's tokens by bucket, level and home; as kind -1 its documents' ids, tokens and sums of what is heavy throughout."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for part in steps(batch, "text", 8 << 20):
+                words = _words.split(texts(part))
+                grams, doc = grams_of(words, order), words.doc
+                own, before = heavy.numbers(words, grams)
+                row, sums, out = part.column("row")[0].as_py(), np.zeros(words.n), []
+                for k in range(order):
+                    known, last = own[k] >= 0, k == order - 1
+                    all_known = known if last else known & (own[k + 1] >= 0)
+                    at = np.flatnonzero(all_known)
+                    values = _level_logs(k + 1, order, alpha, min_count, heavy.counts[k][own[k][at]], heavy.contexts[k][before[k][at]], None if last else heavy.counts[k + 1][own[k + 1][at]])
+                    sums += np.bincount(doc[at], weights=values, minlength=words.n)
+                    for where, mask in ((AT_CONTEXT, before[k] < 0), (AT_GRAM, ~known & (before[k] >= 0)), (AT_NEXT, known & ~all_known)):
+                        at = np.flatnonzero(mask)
+                        if not len(at):
+                            continue
+                        if where == AT_CONTEXT:
+                            home, other = grams[k - 1][at - 1], grams[k][at] & _LOW40
+                        elif where == AT_GRAM:
+                            home, other = grams[k][at], before[k][at].astype(np.uint64)
+                        else:
+                            home, other = grams[k + 1][at], own[k][at].astype(np.uint64)
+                        next_ = before[k][at].astype(np.uint64) if where == AT_NEXT else np.zeros(len(at), np.uint64) if last else grams[k + 1][at] & _LOW40
+                        bucket, key = bucket_of(home, n_buckets)
+                        by = np.lexsort((key, bucket))
+                        bucket, key, other, next_, d = bucket[by], key[by], other[by], next_[by], doc[at][by]
+                        cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
+                        a, b, c = _gram_widths(k + 1, where, order)
+                        for s, e in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
+                            out.append((int(bucket[s]), row, 3 * k + where, e - s, pack(_planes(key[s:e], a) + _planes(other[s:e], b) + _planes(next_[s:e], c) + _planes(d[s:e], 2))))
+                ids = part.column("doc_id")
+                head = np.concatenate([ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null()).astype("<i8"), np.diff(words.first).astype("<i8")])
+                out.append((int(mix(np.array([row], np.uint64))[0] % np.uint64(n_buckets)), row, -1, words.n, pack(head.tobytes() + sums.astype("<f8").tobytes())))
+                for k in range(0, len(out), 512):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def _nested_counts(home: np.ndarray, other: np.ndarray, next_: np.ndarray) -> list[np.ndarray]:
+    """For each row, how many rows have its home; its home and other; all three."""
+    order = np.lexsort((next_, other, home))
+    new, out = np.zeros(len(order), bool), []
+    new[:1] = True
+    for key in (home, other, next_):
+        own = key[order]
+        new[1:] |= own[1:] != own[:-1]
+        at = np.flatnonzero(new)
+        counts = np.diff(np.append(at, len(order)))
+        out.append(np.empty(len(order), np.int64))
+        out[-1][order] = np.repeat(counts, counts)
+    return out
+
+
+def gram_sums(packed: DataFrame, heavy: HeavyGrams, order: int, n_buckets: int, alpha: float, min_count: int) -> DataFrame:
+    """Partial sums of each step's documents from each bucket; one level and kind of home at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for group in groups(batches, ["bucket"]):
+            row, kind, n = (group.column(c).to_numpy() for c in ("row", "kind", "n"))
+            data = group.column("data")
+            out = [(int(row[k]), None, None, data[k].as_py()) for k in np.flatnonzero(kind == -1).tolist()]
+            for code in np.unique(kind[kind >= 0]).tolist():
+                k, where = divmod(code, 3)
+                at, last = np.flatnonzero(kind == code).tolist(), k == order - 1
+                a, b, c = _gram_widths(k + 1, where, order)
+                size, s = int(n[at].sum()), 0
+                home, other, next_, doc = np.empty(size, "<u8"), np.empty(size, "<u8"), np.zeros(size, "<u8"), np.empty(size, "<u2")
+                for p in at:
+                    raw, m = unpack(data[p].as_py()), int(n[p])
+                    for to, begin, width in ((home, 0, a), (other, a, b), (next_, a + b, c), (doc, a + b + c, 2)):
+                        if width:
+                            to[s : s + m] = _unplanes(raw[begin * m : (begin + width) * m], m, width)
+                    s += m
+                per_home, per_other, per_next = _nested_counts(home, other, next_)
+                if where == AT_CONTEXT:
+                    own, context, after = per_other, per_home, per_next
+                elif where == AT_GRAM:
+                    own, context, after = per_home, heavy.contexts[k][other.astype(np.int64)], per_next
+                else:
+                    own, context, after = heavy.counts[k][other.astype(np.int64)], heavy.contexts[k][next_.astype(np.int64)], per_home
+                values, s = _level_logs(k + 1, order, alpha, min_count, own, context, None if last else after), 0
+                for p in at:
+                    sums = np.bincount(doc[s : s + n[p]], weights=values[s : s + n[p]])
+                    s += n[p]
+                    full = np.flatnonzero(sums)
+                    out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f8").tobytes(), None))
+            for k in range(0, len(out), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in SUMS.split(", ")])
+
+    return packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SUMS)
+
+
+def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, heavy: int = HEAVY, pairs_per_bucket: int = PAIRS_PER_BUCKET, text_col: str = "text", id_col: str = "doc_id", order: int = 2) -> DataFrame:
     """``doc_id, n_tokens, log_sum, score``: the sum of the tokens' logarithms and its mean."""
     rows = _rows(docs, text_col, id_col)
-    own = heavy_counts(rows, heavy)
-    n_buckets = max(1, math.ceil(own.total / pairs_per_bucket))
-    sums = bucket_sums(packed_pairs(rows, own, n_buckets, alpha, min_count), own, n_buckets, alpha, min_count)
+    if order == 2:
+        own = heavy_counts(rows, heavy)
+        n_buckets = max(1, math.ceil(own.total / pairs_per_bucket))
+        sums = bucket_sums(packed_pairs(rows, own, n_buckets, alpha, min_count), own, n_buckets, alpha, min_count)
+    else:
+        own = heavy_grams(rows, order, heavy)
+        n_buckets = max(1, math.ceil(own.total / pairs_per_bucket))
+        sums = gram_sums(packed_grams(rows, own, order, n_buckets, alpha, min_count), own, order, n_buckets, alpha, min_count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -337,6 +544,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.round("log_sum", 6).alias("log_sum"), F.round("score", 8).alias("score"))
 
 
+def op8_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with trigrams, backing off to pairs and single words."""
+    out = lm_scores(table(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_tokens", F.round("log_sum", 6).alias("log_sum"), F.round("score", 8).alias("score"))
+
+
 OP8_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
 numbered AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),

@@ -14,6 +14,7 @@ _QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_matroska": matroska.op3_matroska,
     "op8_lm_score": lm_score.op8_lm_score,
+    "op8_lm_score_trigrams": lm_score.op8_lm_score_trigrams,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 _SQL: dict[str, str] = {

@@ -60,3 +60,43 @@ def test_planes():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 2**40, 1000, dtype=np.uint64)
     assert (lm._unplanes(lm._planes(values, 5), 1000, 5) == values).all()
+
+
+def plain_of_order(docs, order, alpha=0.4, min_count=2):
+    """Stupid backoff by its definition, from the longest n-gram down."""
+    grams, contexts, total = Counter(), Counter(), 0
+    padded = [(i, [None] * (order - 1) + tokens(text)) for i, text in docs]
+    for _, own in padded:
+        total += len(own) - order + 1
+        for at in range(order - 1, len(own)):
+            for k in range(1, order + 1):
+                grams[tuple(own[at - k + 1 : at + 1])] += 1
+                contexts[tuple(own[at - k + 1 : at])] += 1
+    out = []
+    for i, own in padded:
+        value = 0.0
+        for at in range(order - 1, len(own)):
+            k = next(k for k in range(order, 0, -1) if k == 1 or grams[tuple(own[at - k + 1 : at + 1])] >= min_count)
+            value += math.log(alpha ** (order - k) * grams[tuple(own[at - k + 1 : at + 1])] / contexts[tuple(own[at - k + 1 : at])])
+        out.append((i, len(own) - order + 1, value))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("order", "heavy", "bucket"), [(3, 60_000, 3_000_000), (3, 200, 20_000), (3, 3, 5_000), (4, 1000, 50_000), (1, 100, 50_000)])
+def test_longer_contexts(spark, odd_docs, order, heavy, bucket):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(3).unionByName(odd_docs.select("doc_id", "text"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = plain_of_order(rows, order)
+    if order == 3:
+        assert plain_of_order(rows, 2) != want
+    got = [(r["doc_id"], r["n_tokens"], r["log_sum"]) for r in lm.lm_scores(docs, heavy=heavy, pairs_per_bucket=bucket, order=order).collect()]
+    key = lambda x: (str(x[0]), x[1], round(x[2], 2))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (g[0], g[1]) == (w[0], w[1]) and g[2] == pytest.approx(w[2], rel=1e-7, abs=1e-6)
+
+
+def test_trigrams_are_registered_and_differ(spark, sf):
+    from protloom.llm import registry
+
+    three, two = (registry.queries()[q](spark, sf).orderBy("doc_id").collect() for q in ("op8_lm_score_trigrams", "op8_lm_score"))
+    assert [r["doc_id"] for r in three] == [r["doc_id"] for r in two] and [r["score"] for r in three] != [r["score"] for r in two]
