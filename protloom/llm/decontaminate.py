@@ -10,7 +10,8 @@ shingle of an item of its length is fingerprinted; all others have similarity 0
 its own length away, every place is bounded by running sums of weights, and verified where the bound reaches the threshold. A
 document shorter than an item is one window.
 
-The items are searched in blocks of ``ITEM_BLOCK``, each with tables of bounded size.
+The items are searched in blocks of ``ITEM_BLOCK``, each with tables of bounded size; weights count the items of the whole
+benchmark, so that results do not depend on blocks.
 
 Defined results: null and empty texts and items match nothing; an item of fewer than five words is one shingle
 and matches only documents of exactly its words; a document given several times matches each time; of several windows the most
@@ -46,11 +47,10 @@ _SLACK = 1e-9
 
 @dataclass
 class Item:
-    """One benchmark item: distinct shingles (ascending), where each first stands, their counts and weights."""
+    """One benchmark item: distinct shingles (ascending), their counts and weights."""
 
     item_id: int
     shingles: np.ndarray
-    first: np.ndarray
     counts: np.ndarray
     weights: np.ndarray
     n: int
@@ -122,26 +122,53 @@ def _merged(first: np.ndarray, last: np.ndarray, of: np.ndarray | None = None) -
     return zip(first[np.append(0, cuts + 1)].tolist(), last[np.append(cuts, len(last) - 1)].tolist(), strict=True)
 
 
+@dataclass
+class Held:
+    """Of a whole benchmark, shingles that two items or more hold (ascending), by how many each, and the number of items with shingles."""
+
+    shingles: np.ndarray
+    counts: np.ndarray
+    n_items: int
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        """Weights of shingles, of which one that no item holds counts as held by one."""
+        out = np.full(len(hashes), math.log(1 + self.n_items))
+        if len(self.shingles):
+            at, same = _find(self.shingles, hashes)
+            out[same] = np.log(1 + self.n_items / self.counts[at[same]])
+        return out
+
+
+def _shingles_of(items: list[tuple[int, str]]) -> list[np.ndarray]:
+    own = _words.shingles(_words.split([t if t is not None else "" for _, t in items]))
+    cuts = np.searchsorted(own.doc, np.arange(len(items) + 1))
+    return [own.hash[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def held_by(blocks: Iterable[list[tuple[int, str]]]) -> Held:
+    """Counts over all blocks of a benchmark."""
+    known, counts, n_items = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    for items in blocks:
+        each = [np.unique(h) for h in _shingles_of(items)]
+        n_items += sum(len(h) > 0 for h in each)
+        every, place = np.unique(np.concatenate([known, *each]), return_inverse=True)
+        n = np.bincount(place[len(known) :], minlength=len(every))
+        n[place[: len(known)]] += counts
+        known, counts = every, n
+    return Held(known[counts > 1], counts[counts > 1], n_items)
+
+
 class Index:
     """Items by length class, with the multi-index tables of each class."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, threshold: float = THRESHOLD, held: Held | None = None):
         self.radius, self.threshold = radius, threshold
-        words = _words.split([t if t is not None else "" for _, t in items])
-        own = _words.shingles(words)
-        each = [own.hash[own.doc == k] for k in range(len(items))]
-        held: dict[int, int] = {}
-        for h in each:
-            for s in np.unique(h).tolist():
-                held[s] = held.get(s, 0) + 1
-        n_items = sum(len(h) > 0 for h in each)
-        self.rare = math.log(1 + n_items)
+        self.weights = (held_by([items]) if held is None else held).weights
         self.classes: dict[int, list[Item]] = {}
-        for (item_id, _), h in zip(items, each, strict=True):
+        for (item_id, _), h in zip(items, _shingles_of(items), strict=True):
             if len(h):
-                distinct, first, counts = np.unique(h, return_index=True, return_counts=True)
-                weights = np.array([math.log(1 + n_items / held[s]) for s in distinct.tolist()])
-                self.classes.setdefault(len(h), []).append(Item(item_id, distinct, first, counts, weights, len(h), simhash(h)))
+                distinct, counts = np.unique(h, return_counts=True)
+                self.classes.setdefault(len(h), []).append(Item(item_id, distinct, counts, self.weights(distinct), len(h), simhash(h)))
         self.longest = max(self.classes, default=0)
         # a block's table: bit 0 of a value's entry tells that some item of the class is near it there
         self.tables: dict[int, np.ndarray] = {}
@@ -175,9 +202,9 @@ class Index:
 
     def bounds(self, item: Item, hashes: np.ndarray, n: int) -> np.ndarray:
         """The most that the similarity of each window of ``n`` can be: that of windows without repeated shingles."""
-        place, same = _find(item.shingles, hashes)
-        shared = np.append(0.0, np.cumsum(np.where(same, item.weights[place], 0.0)))
-        all_ = np.append(0.0, np.cumsum(np.where(same, item.weights[place], self.rare)))
+        same, weights = _find(item.shingles, hashes)[1], self.weights(hashes)
+        shared = np.append(0.0, np.cumsum(np.where(same, weights, 0.0)))
+        all_ = np.append(0.0, np.cumsum(weights))
         own = float((item.counts * item.weights).sum())
         both = np.minimum(shared[n:] - shared[:-n], own)
         return both / (own + all_[n:] - all_[:-n] - both)
@@ -189,7 +216,7 @@ class Index:
         k = place[same]
         weight = item.weights[k]
         both = float((np.minimum(counts[same], item.counts[k]) * weight).sum())
-        all_ = float((item.counts * item.weights).sum()) + float((counts[same] * weight).sum()) + self.rare * float(counts[~same].sum()) - both
+        all_ = float((item.counts * item.weights).sum()) + float((counts[same] * weight).sum()) + float((counts[~same] * self.weights(distinct[~same])).sum()) - both
         return both / all_
 
     def matches(self, rows: list[str]) -> list[list[tuple[int, float, int, int]]]:
@@ -272,10 +299,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, " + MATCH
     out = docs.sparkSession.createDataFrame([], schema)
+    held = held_by(item_blocks(benchmark, item_block))
     for items in item_blocks(benchmark, item_block):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, radius, threshold)
+            index = Index(items, radius, threshold, held)
             for batch in batches:
                 for part in steps(batch, "text", 2 << 20):
                     found = [(doc, *m) for doc, own in zip(part.column("doc_id").to_pylist(), index.matches(texts(part)), strict=True) for m in own]
@@ -289,6 +317,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK,
 def with_matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, radius: int = RADIUS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_matches``, an array of the matching items of each row (empty where there is none)."""
     out = docs.withColumn("_matches", F.array().cast(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"))
+    held = held_by(item_blocks(benchmark, item_block))
     for items in item_blocks(benchmark, item_block):
         opened: list[Index] = []
 
@@ -297,7 +326,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_B
             import pandas as pd
 
             if not opened:
-                opened.append(Index(items, radius, threshold))
+                opened.append(Index(items, radius, threshold, held))
             found, at = [], 0
             while at < len(batch):
                 end, size = at, 0

@@ -163,3 +163,18 @@ def test_moved_parts_and_weighted_short_texts():
     items = [(k, " ".join([f"i{k}x{j}" for j in range(30)] + template)) for k in range(60)]
     docs = [(0, " ".join(items[7][1].split()[:37]))]
     assert {(0, m[0]) for m in dc.Index(items).matches([docs[0][1]])[0]} == plain(docs, items) == {(0, 7)}
+
+
+def test_weights_are_of_the_whole_benchmark(spark):
+    template = [f"t{j}" for j in range(20)]
+    items = [(k, " ".join([f"i{k}x{j}" for j in range(30)] + template)) for k in range(60)] + [(60, " ".join(f"z{j}" for j in range(100)))]
+    own = items[7][1].split()
+    # without half of the template; with a changed template; with a template of other items in the middle
+    docs = [(0, " ".join(own[:37])), (1, " ".join([*own[:34], *"abcdefghijklmnop"])), (2, " ".join([*(f"z{j}" for j in range(86)), *template[:14]])), (3, "other words only, nothing of an item")]
+    want = plain(docs, items)
+    assert {(0, 7), (2, 60)} <= want
+    rows, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted(tuple(r) for r in dc.matches(rows, benchmark.orderBy(by), item_block=n).collect()) for n in (4096, 20) for by in ("item_id", "text")]
+    assert {(r[0], r[1]) for r in found[0]} == want and all(f == found[0] for f in found)
+    marked = dc.with_matches(rows, benchmark, item_block=20).collect()
+    assert {(r["doc_id"], m["item_id"]) for r in marked for m in r["_matches"]} == want
