@@ -40,3 +40,16 @@ def test_queries_do_without_the_optional_part(spark, monkeypatch):
     find = entry.importlib.util.find_spec
     monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None if name.endswith("llm") else find(name))
     assert set(entry.queries()) == set(registry.queries())
+
+
+@pytest.mark.parametrize("name", ["kmer_positions", "kmer_info_map", "sketch_abundance", "kmer_idf_frequency", "unique_kmer_count", "index_equivalence"])
+def test_targets_are_covered(spark, name):
+    over = registry.queries()[f"{name}_documents"](spark, SF)
+    if name == "index_equivalence":
+        assert {(r["other"], r["equal"]) for r in over.collect()} == {("hp", True), ("dayhoff", False)}
+    elif name == "kmer_idf_frequency":
+        assert over.agg({"df": "max"}).first()[0] > registry.queries()[name](spark, SF).agg({"df": "max"}).first()[0]
+    else:
+        names = {r["name"] for r in over.select("name").distinct().collect()}
+        long_enough = registry.scaled_sample(spark, SF).select("name").distinct().count()
+        assert len(names) >= long_enough > 40
