@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: Text bytes that one step of a Python worker holds beside the Arrow batch.
@@ -12,8 +13,6 @@ STEP_BYTES = 4 << 20
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose ``column`` holds about ``limit`` bytes (one row at least)."""
-    import numpy as np
-
     n = batch.num_rows
     if not n:
         return
@@ -44,3 +43,24 @@ def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     col = batch.column(column)
     col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()) if not pa.types.is_binary(col.type) else col
     return [x if x is not None else b"" for x in col.to_pylist()]
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of rows that stand together by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.column_stack([batch.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1
+        edges = [0, *cuts.tolist(), len(cols)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            key = tuple(cols[s].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

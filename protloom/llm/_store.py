@@ -1,28 +1,42 @@
-"""Folders for intermediate tables that every executor can read.
+"""Folders for intermediate tables that every executor can read, and batches of bounded size.
 
-Lineage is cut by writing Parquet into the folder that the cluster names in
-``spark.checkpoint.dir``. Only where that is unset (tests, notebooks) a folder of
-this machine is chosen.
+Lineage is cut by writing Parquet into the folder that the cluster names in ``spark.checkpoint.dir``. Only on a local master,
+where there are no other machines, an unset folder is replaced by a temporary one, which goes when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a batch, as rows are whole documents: a scan's columns in the JVM, and what goes to a Python worker at once.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
 _fallback: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """``BATCH_ROWS`` for this session, where the application has no settings of its own."""
+    told = spark.sparkContext.getConf()
+    for key, rows in BATCH_ROWS.items():
+        if told.get(key, None) is None:
+            spark.conf.set(key, rows)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder, as a URI or path without a trailing slash."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="protloom-")
+        atexit.register(shutil.rmtree, _fallback[app], ignore_errors=True)
     return _fallback[app]
 
 
@@ -62,4 +76,5 @@ def forget(spark: SparkSession, *paths: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

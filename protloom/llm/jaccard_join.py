@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._arrow import steps, texts
+from ._arrow import groups, steps, texts
 from ._store import forget, saved, table
 from .graphs import components
 from .mph import mix
@@ -212,27 +212,6 @@ def chosen_path_links(nodes: DataFrame, threshold: float = THRESHOLD, target: fl
     return candidate_links(leaves.join(mins, "node"), int((threshold - SLACK) * COORDINATES))
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of rows that stand together by ``keys``."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = np.column_stack([batch.column(k).to_numpy() for k in keys])
-        cuts = np.flatnonzero((cols[1:] != cols[:-1]).any(1)) + 1
-        edges = [0, *cuts.tolist(), len(cols)]
-        for s, e in zip(edges, edges[1:], strict=False):
-            key = tuple(cols[s].tolist())
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def exact_links(sets: list[np.ndarray], threshold: float, split: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set the later sets at the threshold or above; with ``split``, only pairs across it count."""
     size = np.array([len(s) for s in sets])

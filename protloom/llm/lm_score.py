@@ -1,37 +1,29 @@
-"""Stupid-backoff scores of documents under the corpus's own n-gram counts, bigrams unless told otherwise.
+"""Stupid-backoff scores of documents under the corpus's own n-gram counts, trigrams unless told otherwise.
 
-A token ``y`` after ``x`` scores ``c(x y) / c(x)`` if the pair stands in the corpus ``min_count`` times or more, else
-``alpha * c(y) / N``; a document's score is the sum of the logarithms. A document's first token follows a start
-mark; ``c(x)`` counts ``x`` where a token follows. All documents are counted and all are scored.
+A token's k-gram, for the largest k up to ``order`` with a k-gram that stands ``min_count`` times or more in the corpus (single
+words always do), scores ``alpha ** (order - k) * c(k-gram) / c(context)``; the context of a single word is the
+corpus. A document's score is the sum of the logarithms. Texts begin with ``order - 1`` start marks; ``c(context)`` counts it
+where a token follows. All documents are counted and all are scored.
 
-The exploded pairs meet their counts by hash. Each pair has a home where every count it needs is complete:
+1. The n-grams of all orders of a step of texts are exploded to one row for each distinct n-gram with its count there, so a
+   very common n-gram is one row a step, whoever holds it. They are dealt by ranges of their hash to the parts of the count table.
+2. A part is grouped by n-gram; the totals are its share of the count table, and they are joined back to the steps' rows.
+3. Totals return to their steps, every token gets its counts, and logarithms are summed per document.
 
-* words with at least one in ``HEAVY`` of all tokens are heavy: at most ``HEAVY`` of them, so their exact counts are
-  broadcast; likewise heavy pairs, which are scored where the text is read, so that no very
-  common pair is dealt out;
-* a pair of heavy words goes to its own hash, a pair with one rare word to the rare word's hash, a pair of
-  rare words to both: the first word's home knows the pair's and the first word's count, the second word's
-  home the rest. No home gets more than one in ``HEAVY`` of the pairs by one key.
+Rows travel as columns: sorted hashes as differences (whole 64 bits, about 45 of them after that), counts as bytes. As rows of
+their own they would take more than six times the input of disk.
 
-Pairs travel packed: for each step of the scan and each bucket of hashes one row of sorted, truncated
-(48-bit in a bucket, 40-bit for a second word) hashes and document numbers, in compressed byte planes. A bucket counts
-with sorts and sends each step's documents their partial sums back.
+The texts are read twice and must come in the same order both times; what does not is told by the sizes and fails. ``stored`` says that
+``docs`` are files as they lie; all else is written first.
 
 Defined results: a text without words (null, empty, signs only) has 0 tokens, sum 0 and a null score; repeated rows are counted and
-scored each; an empty table gives an empty result; further columns are ignored, whatever their names.
-
-With ``order`` other than 2 every level k from ``order`` to 1 is an exchange of its own: a token's k-gram, if it stands
-``min_count`` times or more (or is a single word) and its (k+1)-gram does not, scores
-``alpha ** (order - k) * c(k-gram) / c(context)``. Heavy n-grams are broadcast with their counts. A token meets the counts
-of a level at the home of its context; if that is heavy, of its k-gram; if that is heavy too, of its (k+1)-gram, which all hold every
-row of the counts that are not broadcast. Texts begin with ``order - 1`` start marks.
+scored each; rows without an id keep a null id; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,526 +32,235 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._arrow import steps, texts
-from ._store import forget, saved, table
-from .jaccard_join import groups
+from ._arrow import groups, steps, texts
+from ._store import saved, table
 from .mph import mix
 
-HEAVY = 60_000
-ALPHA, MIN_COUNT = 0.4, 2
-PAIRS_PER_BUCKET = 3_000_000
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+#: Tokens of a part of the count table, and text bytes of a step.
+TOKENS_PER_PART, STEP_BYTES = 2_000_000, 6 << 20
 _START = np.uint64(0x5BD1E9955BD1E995)
-_LOW40 = np.uint64((1 << 40) - 1)
-
-
-def _rows(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return mix(x * np.uint64(0x9E3779B97F4A7C15) ^ mix(y))
 
 
-def pairs_of(words: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, second word and text number of every token."""
-    y = words.hash
-    x = np.empty_like(y)
-    x[1:] = y[:-1]
-    x[words.first[:-1][np.diff(words.first) > 0]] = _START
-    return x, y, words.doc
-
-
-@dataclass
-class Heavy:
-    """The start mark and heavy words (ascending hashes) with their counts as first and second word; heavy pairs with theirs."""
-
-    total: int
-    words: np.ndarray
-    firsts: np.ndarray
-    seconds: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """A word's place among the heavy ones, or -1."""
-        return _find(self.words, hashes)
-
-
-def _find(table_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(table_):
-        return np.full(len(values), -1)
-    at = np.searchsorted(table_, values)
-    at[at == len(table_)] = 0
-    return np.where(table_[at] == values, at, -1)
-
-
-def _candidates(rows: DataFrame, heavy: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Tokens in all, and words and pairs that hold every heavy one; at most ``2 * heavy`` of each.
-
-    Each part of the scan tells what has an eighth of the heavy share there. The sums are lower bounds; what is heavy in all
-    keeps seven eighths of its count, and at most ``2 * heavy`` sums reach half of the heavy share.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch, "text", 8 << 20):
-                x, y, _ = pairs_of(_words.split(texts(part)))
-                kinds, hashes, counts = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [np.array([len(y)])]
-                for kind, own in ((1, y), (2, pair_hash(x, y))):
-                    h, c = np.unique(own, return_counts=True)
-                    keep = (c * 8 * heavy >= len(y)) & (c > 1)
-                    kinds.append(np.full(keep.sum(), kind, np.int32))
-                    hashes.append(h[keep].view(np.int64))
-                    counts.append(c[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, hashes, counts)], ["kind", "h", "n"])
-
-    found, path = saved(rows.select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "heavy")
-    total = sum(r["n"] for r in found.where("kind = 0").collect())
-    own = found.where((F.col("kind") > 0) & (F.col("n") * 2 * heavy >= total)).select("kind", "h").collect()
-    forget(rows.sparkSession, path)
-    pick = lambda kind: np.sort(np.array([r["h"] for r in own if r["kind"] == kind], np.int64).view(np.uint64))
-    return total, pick(1), pick(2)
-
-
-def heavy_counts(rows: DataFrame, heavy: int = HEAVY) -> Heavy:
-    """Exact counts of the candidates, of which those stay that are heavy in all."""
-    total, words, pairs = _candidates(rows, heavy)
-    words = np.sort(np.append(words, _START))
+def grams_of(hashes: np.ndarray, heads: np.ndarray, order: int) -> list[np.ndarray]:
+    """Hashes of the 1- to ``order``-grams that end at each word; ``heads`` are the texts' first words."""
+    out = [hashes]
+    for k in range(1, order):
+        context = np.empty_like(hashes)
+        context[1:] = out[-1][:-1]
+        context[heads] = _START + np.uint64(k)
+        out.append(pair_hash(context, hashes))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)]
-        for batch in batches:
-            for part in steps(batch, "text", 2 << 20):
-                x, y, _ = pairs_of(_words.split(texts(part)))
-                for k, (known, values) in enumerate(((words, x), (words, y), (pairs, pair_hash(x, y)))):
-                    at = _find(known, values)
-                    sums[k] += np.bincount(at[at >= 0], minlength=len(known))
-        kind = np.repeat(np.arange(3, dtype=np.int32), [len(s) for s in sums])
-        number = np.concatenate([np.arange(len(s), dtype=np.int32) for s in sums])
-        n = np.concatenate(sums)
-        keep = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (kind, number, n)], ["kind", "k", "n"])
 
-    counts = [np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)]
-    for r in rows.select("text").mapInArrow(run, "kind int, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).collect():
-        counts[r["kind"]][r["k"]] = r["n"]
-    keep = (counts[1] * heavy >= total) | (words == _START)
-    kept = counts[2] * heavy >= total
-    return Heavy(total, words[keep], counts[0][keep], counts[1][keep], pairs[kept], counts[2][kept])
+def heads_of(n_tokens: np.ndarray) -> np.ndarray:
+    """First words of the texts that have words."""
+    return (np.cumsum(n_tokens) - n_tokens)[n_tokens > 0]
 
 
-# ---- packing ----
+# ---- columns as bytes ----
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, in as many bytes as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    own = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + np.ascontiguousarray(own.T).tobytes())
 
 
-def _unplanes(data: bytes, n: int, width: int) -> np.ndarray:
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    got = zstandard.ZstdDecompressor().decompress(data)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    out[:, : got[0]] = np.frombuffer(got, np.uint8, offset=1).reshape(got[0], n).T
     return out.view("<u8").reshape(-1)
 
 
-#: For each kind of pair, bytes of the home and of the other word: heavy pairs of words as one code; a rare home with a heavy or rare other word.
-BOTH, SECOND_HEAVY_FIRST, FIRST_HEAVY_SECOND, FIRST_RARE, SECOND_RARE = range(5)
-_WIDTH = {BOTH: (4, 0), SECOND_HEAVY_FIRST: (6, 2), FIRST_HEAVY_SECOND: (6, 2), FIRST_RARE: (6, 5), SECOND_RARE: (6, 5)}
+def _ascending(values: np.ndarray) -> bytes:
+    """Ascending numbers (one at least): the first, then the differences."""
+    return int(values[0]).to_bytes(8, "little") + _planes(np.diff(values))
 
 
-def bucket_of(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash's bucket and 48 of its further bits."""
-    h = mix(hashes)
-    return ((h >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64), mix(hashes + np.uint64(1)) >> np.uint64(16)
+def _unascending(data: bytes, n: int) -> np.ndarray:
+    out = np.empty(n, np.uint64)
+    out[0] = int.from_bytes(data[:8], "little")
+    out[1:] = _unplanes(data[8:], n - 1)
+    return np.cumsum(out, dtype=np.uint64)
 
 
-def dealt_pairs(x: np.ndarray, y: np.ndarray, doc: np.ndarray, heavy: Heavy, n_buckets: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``kind, bucket, home, other, doc`` of each group of pairs."""
-    i, j = heavy.number(x), heavy.number(y)
-    parts = [
-        (BOTH, (i >= 0) & (j >= 0), None, None),
-        (SECOND_HEAVY_FIRST, (i >= 0) & (j < 0), y, i),
-        (FIRST_HEAVY_SECOND, (i < 0) & (j >= 0), x, j),
-        (FIRST_RARE, (i < 0) & (j < 0), x, y & _LOW40),
-        (SECOND_RARE, (i < 0) & (j < 0), y, x & _LOW40),
-    ]
-    for kind, mask, home, other in parts:
-        at = np.flatnonzero(mask)
-        if not len(at):
-            continue
-        if kind == BOTH:
-            code = i[at].astype(np.uint64) << np.uint64(16) | j[at].astype(np.uint64)
-            bucket, key, other_ = bucket_of(code, n_buckets)[0], code, np.zeros(len(at), np.uint64)
-        else:
-            bucket, key = bucket_of(home[at], n_buckets)
-            other_ = other[at].astype(np.uint64)
-        order = np.lexsort((key, bucket))
-        bucket, key, other_, d = bucket[order], key[order], other_[order], doc[at][order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
-            yield kind, int(bucket[s]), key[s:e], other_[s:e], d[s:e]
+def part_bounds(n_parts: int) -> np.ndarray:
+    """Where each part's hashes begin, by their upper 32 bits."""
+    return np.array([-(-(p << 32) // n_parts) for p in range(n_parts + 1)], np.uint64)
 
 
-PACKED = "bucket int, row long, kind int, n int, data binary"
-SUMS = "row long, docs binary, sums binary, ids binary"
+# ---- the tables ----
 
+GRAMS = "step long, part int, level int, size int, hashes binary, counts binary, ends binary"
+TOTALS = "step long, level int, part int, size int, a binary, b binary, tokens long, texts long"
 
-def packed_pairs(rows: DataFrame, heavy: Heavy, n_buckets: int, alpha: float, min_count: int) -> DataFrame:
-    """The pairs of each step by bucket and kind; as kind -1 its documents' ids, tokens and sums of heavy pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        logs = pair_logs(heavy, alpha, min_count)
-        for batch in batches:
-            for part in steps(batch, "text", 8 << 20):
-                words = _words.split(texts(part))
-                x, y, doc = pairs_of(words)
-                place = _find(heavy.pairs, pair_hash(x, y))
-                known = place >= 0
-                i, j = heavy.number(x[known]), heavy.number(y[known])
-                sums = np.bincount(doc[known], weights=logs(heavy.pair_counts[place[known]], heavy.firsts[i], heavy.seconds[j]), minlength=words.n)
-                ids = part.column("doc_id")
-                none = np.array(ids.is_null())
-                head = np.concatenate([ids.fill_null(0).to_numpy().astype("<i8"), none.astype("<i8"), np.diff(words.first).astype("<i8")])
-                row = part.column("row")[0].as_py()
-                out = [(int(mix(np.array([row], np.uint64))[0] % np.uint64(n_buckets)), row, -1, words.n, pack(head.tobytes() + sums.astype("<f8").tobytes()))]
-                rest = ~known
-                for kind, bucket, home, other, d in dealt_pairs(x[rest], y[rest], doc[rest], heavy, n_buckets):
-                    a, b = _WIDTH[kind]
-                    out.append((bucket, row, kind, len(home), pack(_planes(home, a) + _planes(other, b) + _planes(d, 2))))
-                for k in range(0, len(out), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in PACKED.split(", ")])
-
-    return rows.mapInArrow(run, PACKED)
-
-
-def pair_logs(heavy: Heavy, alpha: float, min_count: int):  # noqa: ANN201
-    """A function of the counts of pair, first and second word."""
-    back = math.log(alpha) - math.log(max(1, heavy.total))
-
-    def logs(pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        return np.where(pair >= min_count, np.log(pair) - np.log(np.maximum(first, 1)), back + np.log(np.maximum(second, 1)))
-
-    return logs
-
-
-def _group_counts(*keys: np.ndarray) -> np.ndarray:
-    """For each row, how many rows have its keys."""
-    order = np.lexsort(keys)
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(order)))
-    out = np.empty(len(order), np.int64)
-    out[order] = np.repeat(counts, counts)
-    return out
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, names, strict=True)], [n for n, _ in names])
 
 
-def bucket_sums(packed: DataFrame, heavy: Heavy, n_buckets: int, alpha: float, min_count: int) -> DataFrame:
-    """Partial sums of each step's documents from each bucket."""
-
-    def score(kind: int, home: np.ndarray, other: np.ndarray, per_home: np.ndarray) -> np.ndarray:
-        logs = pair_logs(heavy, alpha, min_count)
-        if kind == BOTH:
-            return logs(_group_counts(home), heavy.firsts[(home >> np.uint64(16)).astype(np.int64)], heavy.seconds[(home & np.uint64(0xFFFF)).astype(np.int64)])
-        pair = _group_counts(other, home)
-        if kind == SECOND_HEAVY_FIRST:
-            return logs(pair, heavy.firsts[other.astype(np.int64)], per_home)
-        if kind == FIRST_HEAVY_SECOND:
-            return logs(pair, per_home, heavy.seconds[other.astype(np.int64)])
-        whole = logs(pair, per_home, per_home)  # a pair of rare words: the part that this home knows
-        return np.where((pair >= min_count) == (kind == FIRST_RARE), whole, 0.0)
+def step_grams(rows: DataFrame, order: int, n_parts: int) -> DataFrame:
+    """The distinct n-grams of each step by level and part, with their counts and, below the highest order, how many end a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-
-        def decoded(k: int, at: np.ndarray, data: pa.ChunkedArray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            a, b = _WIDTH[k]
-            size = int(n[at].sum())
-            home, other, doc = np.zeros(size, "<u8"), np.zeros(size if b else 0, "<u8"), np.zeros(size, "<u2")
-            s = 0
-            for p in at.tolist():
-                raw, m = unpack(data[p].as_py()), int(n[p])
-                home[s : s + m] = _unplanes(raw[: a * m], m, a)
-                if b:
-                    other[s : s + m] = _unplanes(raw[a * m : (a + b) * m], m, b)
-                doc[s : s + m] = _unplanes(raw[(a + b) * m :], m, 2)
-                s += m
-            return home, other, doc
-
-        for group in groups(batches, ["bucket"]):
-            row, kind, n = (group.column(c).to_numpy() for c in ("row", "kind", "n"))
-            data = group.column("data")
-            out = [(int(row[k]), None, None, data[k].as_py()) for k in np.flatnonzero(kind == -1).tolist()]
-            # kinds that share their homes' counts, one set at a time
-            for kinds in ((BOTH,), (SECOND_HEAVY_FIRST, SECOND_RARE), (FIRST_HEAVY_SECOND, FIRST_RARE)):
-                found = [(k, at, *decoded(k, at, data, n)) for k in kinds if len(at := np.flatnonzero(kind == k))]
-                if not found:
-                    continue
-                totals = _group_counts(np.concatenate([home for _, _, home, _, _ in found])) if BOTH not in kinds else None
-                done = 0
-                for k, at, home, other, doc in found:
-                    values, s = score(k, home, other, totals[done : done + len(home)] if totals is not None else None), 0
-                    done += len(home)
-                    for p in at.tolist():
-                        sums = np.bincount(doc[s : s + n[p]], weights=values[s : s + n[p]])
-                        s += n[p]
-                        full = np.flatnonzero(sums)
-                        out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f8").tobytes(), None))
-            for k in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in SUMS.split(", ")])
-
-    return packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SUMS)
-
-
-# ---- any order ----
-
-#: Where a token meets the counts of a level: the home of its context, of its k-gram or of its (k+1)-gram.
-AT_CONTEXT, AT_GRAM, AT_NEXT = range(3)
-
-
-def grams_of(words: _words.Words, order: int) -> list[np.ndarray]:
-    """Hashes of the 1- to ``order``-grams that end at each token."""
-    out = [words.hash]
-    heads = words.first[:-1][np.diff(words.first) > 0]
-    for k in range(1, order):
-        context = np.empty_like(words.hash)
-        context[1:] = out[-1][:-1]
-        context[heads] = _START + np.uint64(k)
-        out.append(pair_hash(context, words.hash))
-    return out
-
-
-@dataclass
-class HeavyGrams:
-    """Of each level, heavy n-grams (ascending hashes) and their counts; and how often each, and lastly the start, is the next level's context."""
-
-    total: int
-    grams: list[np.ndarray]
-    counts: list[np.ndarray]
-    contexts: list[np.ndarray]
-
-    def numbers(self, words: _words.Words, grams: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Of each level the places of the tokens' n-grams and of their contexts among the heavy ones, or -1."""
-        own = [_find(known, g) for known, g in zip(self.grams, grams, strict=True)]
-        heads = words.first[:-1][np.diff(words.first) > 0]
-        before = [np.zeros(len(words.hash), np.int64)]
-        for known, at in zip(self.grams[:-1], own[:-1], strict=True):
-            context = np.empty_like(at)
-            context[1:] = at[:-1]
-            context[heads] = len(known)
-            before.append(context)
-        return own, before
-
-
-def heavy_grams(rows: DataFrame, order: int, heavy: int = HEAVY) -> HeavyGrams:
-    """Candidates as in ``_candidates``, then their exact counts."""
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = part_bounds(n_parts)
         for batch in batches:
-            for part in steps(batch, "text", 8 << 20):
-                grams = grams_of(_words.split(texts(part)), order)
-                kinds, hashes, counts = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [np.array([len(grams[0])])]
-                for k, own in enumerate(grams, 1):
-                    h, c = np.unique(own, return_counts=True)
-                    keep = (c * 8 * heavy >= len(own)) & (c > 1)
-                    kinds.append(np.full(keep.sum(), k, np.int32))
-                    hashes.append(h[keep].view(np.int64))
-                    counts.append(c[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kinds, hashes, counts)], ["kind", "h", "n"])
-
-    found, path = saved(rows.select("text").mapInArrow(candidates, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "heavy")
-    total = sum(r["n"] for r in found.where("kind = 0").collect())
-    picked: list[list[int]] = [[] for _ in range(order)]
-    for r in found.where((F.col("kind") > 0) & (F.col("n") * 2 * heavy >= total)).select("kind", "h").collect():
-        picked[r["kind"] - 1].append(r["h"])
-    forget(rows.sparkSession, path)
-    likely = HeavyGrams(total, [np.sort(np.array(x, np.int64).view(np.uint64)) for x in picked], [], [])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(len(g) + 1, np.int64) for g in likely.grams * 2]
-        for batch in batches:
-            for part in steps(batch, "text", 2 << 20):
+            for part in steps(batch, "text", STEP_BYTES):
                 words = _words.split(texts(part))
-                own, before = likely.numbers(words, grams_of(words, order))
-                for k, at in enumerate([*own, *before[1:]]):
-                    sums[k] += np.bincount(at[at >= 0], minlength=len(sums[k]))
-        kind = np.repeat(np.arange(len(sums), dtype=np.int32), [len(s) for s in sums])
-        number, n = np.concatenate([np.arange(len(s), dtype=np.int32) for s in sums]), np.concatenate(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(x[n > 0]) for x in (kind, number, n)], ["kind", "k", "n"])
-
-    counts = [np.zeros(len(g) + 1, np.int64) for g in likely.grams * 2]
-    for r in rows.select("text").mapInArrow(run, "kind int, k int, n long").groupBy("kind", "k").agg(F.sum("n").alias("n")).collect():
-        counts[r["kind"]][r["k"]] = r["n"]
-    keep = [c[:-1] * heavy >= total for c in counts[:order]]
-    contexts = [np.array([total])] + [c[np.append(x, True)] for c, x in zip(counts[order:-1], keep, strict=False)]
-    return HeavyGrams(total, [g[x] for g, x in zip(likely.grams, keep, strict=True)], [c[:-1][x] for c, x in zip(counts, keep, strict=False)], contexts)
-
-
-def _gram_widths(level: int, where: int, order: int) -> tuple[int, int, int]:
-    """Bytes of the home, the other and the next."""
-    after = 5 if level < order else 0
-    return {AT_CONTEXT: (6, 5, after), AT_GRAM: (6, 2, after), AT_NEXT: (6, 2, 2)}[where]
-
-
-def _level_logs(level: int, order: int, alpha: float, min_count: int, own: np.ndarray, context: np.ndarray, after: np.ndarray | None) -> np.ndarray:
-    """What a level gives, from the counts of k-gram, context and (k+1)-gram; 0 where another level scores."""
-    here = (own >= min_count) | (level == 1)
-    if after is not None:
-        here &= after < min_count
-    return np.where(here, (order - level) * math.log(alpha) + np.log(np.maximum(own, 1)) - np.log(np.maximum(context, 1)), 0.0)
-
+                step, n_tokens = part.column("row")[0].as_py(), np.diff(words.first)
+                last = words.first[1:][n_tokens > 0] - 1
+                for level, own in enumerate(grams_of(words.hash, heads_of(n_tokens), order), 1):
+                    distinct, counts = np.unique(own, return_counts=True)
+                    ends = np.zeros(len(distinct), np.uint64)
+                    if level < order:
+                        ended, n = np.unique(own[last], return_counts=True)
+                        ends[np.searchsorted(distinct, ended)] = n
+                    cuts = np.searchsorted(distinct >> np.uint64(32), bounds)
+                    out = []
+                    for p in np.flatnonzero(np.diff(cuts)).tolist():
+                        s, e = int(cuts[p]), int(cuts[p + 1])
+                        out.append((step, p, level, e - s, _ascending(distinct[s:e]), _planes(counts[s:e]), _planes(ends[s:e])))
+                    for k in range(0, len(out), 512):
+                        yield _batch(out[k : k + 512], GRAMS)
+
+    return rows.mapInArrow(run, GRAMS)
+
+
+def gram_totals(grams: DataFrame, n_parts: int) -> DataFrame:
+    """The count table, part by part, joined to the rows it was made of: totals in the order of each row's n-grams.
+
+    The first row of a part of single words also has the part's tokens and texts' ends.
+    """
 
-def packed_grams(rows: DataFrame, heavy: HeavyGrams, order: int, n_buckets: int, alpha: float, min_count: int) -> DataFrame:
-    """Each step's tokens by bucket, level and home; as kind -1 its documents' ids, tokens and sums of what is heavy throughout."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["part", "level"]):
+            step, size = group.column("step").to_pylist(), group.column("size").to_pylist()
+            part, level = group.column("part")[0].as_py(), group.column("level")[0].as_py()
+            read = lambda name, of: np.concatenate([of(x.as_py(), n) for x, n in zip(group.column(name), size, strict=True)])  # noqa: B023, E731
+            hashes = read("hashes", _unascending)
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            times = np.diff(np.append(first, len(order)))
+            del hashes
+            joined = []
+            for name in ("counts", "ends"):
+                own = read(name, _unplanes)
+                total = np.add.reduceat(own[order], first)
+                own[order] = np.repeat(total, times)
+                joined.append((own, int(total.sum()) if level == 1 else 0))
+            out, s = [], 0
+            for k, (x, n) in enumerate(zip(step, size, strict=True)):
+                out.append((x, level, part, n, *(_planes(own[s : s + n]) for own, _ in joined), *(0 if k else total for _, total in joined)))
+                s += n
+            for k in range(0, len(out), 512):
+                yield _batch(out[k : k + 512], TOTALS)
+
+    return grams.repartition(n_parts, "part").sortWithinPartitions("part", "level", "step").mapInArrow(run, TOTALS)
+
+
+def step_texts(rows: DataFrame) -> DataFrame:
+    """As level 0 the steps' texts: ids and numbers of words, and the words as numbers into the distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for part in steps(batch, "text", 8 << 20):
-                words = _words.split(texts(part))
-                grams, doc = grams_of(words, order), words.doc
-                own, before = heavy.numbers(words, grams)
-                row, sums, out = part.column("row")[0].as_py(), np.zeros(words.n), []
-                for k in range(order):
-                    known, last = own[k] >= 0, k == order - 1
-                    all_known = known if last else known & (own[k + 1] >= 0)
-                    at = np.flatnonzero(all_known)
-                    values = _level_logs(k + 1, order, alpha, min_count, heavy.counts[k][own[k][at]], heavy.contexts[k][before[k][at]], None if last else heavy.counts[k + 1][own[k + 1][at]])
-                    sums += np.bincount(doc[at], weights=values, minlength=words.n)
-                    for where, mask in ((AT_CONTEXT, before[k] < 0), (AT_GRAM, ~known & (before[k] >= 0)), (AT_NEXT, known & ~all_known)):
-                        at = np.flatnonzero(mask)
-                        if not len(at):
-                            continue
-                        if where == AT_CONTEXT:
-                            home, other = grams[k - 1][at - 1], grams[k][at] & _LOW40
-                        elif where == AT_GRAM:
-                            home, other = grams[k][at], before[k][at].astype(np.uint64)
-                        else:
-                            home, other = grams[k + 1][at], own[k][at].astype(np.uint64)
-                        next_ = before[k][at].astype(np.uint64) if where == AT_NEXT else np.zeros(len(at), np.uint64) if last else grams[k + 1][at] & _LOW40
-                        bucket, key = bucket_of(home, n_buckets)
-                        by = np.lexsort((key, bucket))
-                        bucket, key, other, next_, d = bucket[by], key[by], other[by], next_[by], doc[at][by]
-                        cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
-                        a, b, c = _gram_widths(k + 1, where, order)
-                        for s, e in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
-                            out.append((int(bucket[s]), row, 3 * k + where, e - s, pack(_planes(key[s:e], a) + _planes(other[s:e], b) + _planes(next_[s:e], c) + _planes(d[s:e], 2))))
-                ids = part.column("doc_id")
-                head = np.concatenate([ids.fill_null(0).to_numpy().astype("<i8"), np.array(ids.is_null()).astype("<i8"), np.diff(words.first).astype("<i8")])
-                out.append((int(mix(np.array([row], np.uint64))[0] % np.uint64(n_buckets)), row, -1, words.n, pack(head.tobytes() + sums.astype("<f8").tobytes())))
-                for k in range(0, len(out), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in PACKED.split(", ")])
-
-    return rows.mapInArrow(run, PACKED)
-
-
-def _nested_counts(home: np.ndarray, other: np.ndarray, next_: np.ndarray) -> list[np.ndarray]:
-    """For each row, how many rows have its home; its home and other; all three."""
-    order = np.lexsort((next_, other, home))
-    new, out = np.zeros(len(order), bool), []
-    new[:1] = True
-    for key in (home, other, next_):
-        own = key[order]
-        new[1:] |= own[1:] != own[:-1]
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(order)))
-        out.append(np.empty(len(order), np.int64))
-        out[-1][order] = np.repeat(counts, counts)
-    return out
+            for part in steps(batch, "text", STEP_BYTES):
+                words, ids = _words.split(texts(part)), part.column("doc_id")
+                distinct, number = np.unique(words.hash, return_inverse=True)
+                head = np.concatenate([ids.fill_null(0).to_numpy().view(np.uint64), np.array(ids.is_null()).astype(np.uint64), np.diff(words.first).astype(np.uint64)])
+                known = _ascending(distinct) if len(distinct) else b""
+                body = len(distinct).to_bytes(8, "little") + len(known).to_bytes(8, "little") + known + _planes(number.astype(np.uint64))
+                yield _batch([(part.column("row")[0].as_py(), 0, 0, words.n, _planes(head), body, 0, 0)], TOTALS)
 
+    return rows.mapInArrow(run, TOTALS)
 
-def gram_sums(packed: DataFrame, heavy: HeavyGrams, order: int, n_buckets: int, alpha: float, min_count: int) -> DataFrame:
-    """Partial sums of each step's documents from each bucket; one level and kind of home at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for group in groups(batches, ["bucket"]):
-            row, kind, n = (group.column(c).to_numpy() for c in ("row", "kind", "n"))
-            data = group.column("data")
-            out = [(int(row[k]), None, None, data[k].as_py()) for k in np.flatnonzero(kind == -1).tolist()]
-            for code in np.unique(kind[kind >= 0]).tolist():
-                k, where = divmod(code, 3)
-                at, last = np.flatnonzero(kind == code).tolist(), k == order - 1
-                a, b, c = _gram_widths(k + 1, where, order)
-                size, s = int(n[at].sum()), 0
-                home, other, next_, doc = np.empty(size, "<u8"), np.empty(size, "<u8"), np.zeros(size, "<u8"), np.empty(size, "<u2")
-                for p in at:
-                    raw, m = unpack(data[p].as_py()), int(n[p])
-                    for to, begin, width in ((home, 0, a), (other, a, b), (next_, a + b, c), (doc, a + b + c, 2)):
-                        if width:
-                            to[s : s + m] = _unplanes(raw[begin * m : (begin + width) * m], m, width)
-                    s += m
-                per_home, per_other, per_next = _nested_counts(home, other, next_)
-                if where == AT_CONTEXT:
-                    own, context, after = per_other, per_home, per_next
-                elif where == AT_GRAM:
-                    own, context, after = per_home, heavy.contexts[k][other.astype(np.int64)], per_next
-                else:
-                    own, context, after = heavy.counts[k][other.astype(np.int64)], heavy.contexts[k][next_.astype(np.int64)], per_home
-                values, s = _level_logs(k + 1, order, alpha, min_count, own, context, None if last else after), 0
-                for p in at:
-                    sums = np.bincount(doc[s : s + n[p]], weights=values[s : s + n[p]])
-                    s += n[p]
-                    full = np.flatnonzero(sums)
-                    out.append((int(row[p]), full.astype("<u2").tobytes(), sums[full].astype("<f8").tobytes(), None))
-            for k in range(0, len(out), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in SUMS.split(", ")])
-
-    return packed.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SUMS)
-
-
-def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, heavy: int = HEAVY, pairs_per_bucket: int = PAIRS_PER_BUCKET, text_col: str = "text", id_col: str = "doc_id", order: int = 2) -> DataFrame:
-    """``doc_id, n_tokens, log_sum, score``: the sum of the tokens' logarithms and its mean."""
-    rows = _rows(docs, text_col, id_col)
-    if order == 2:
-        own = heavy_counts(rows, heavy)
-        n_buckets = max(1, math.ceil(own.total / pairs_per_bucket))
-        sums = bucket_sums(packed_pairs(rows, own, n_buckets, alpha, min_count), own, n_buckets, alpha, min_count)
-    else:
-        own = heavy_grams(rows, order, heavy)
-        n_buckets = max(1, math.ceil(own.total / pairs_per_bucket))
-        sums = gram_sums(packed_grams(rows, own, order, n_buckets, alpha, min_count), own, order, n_buckets, alpha, min_count)
+def step_scores(rows: DataFrame, order: int, alpha: float, min_count: int, n_tokens: int, n_texts: int) -> DataFrame:
+    """``doc_id, n_tokens, log_sum`` from the texts and totals of steps; ``n_texts`` have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for group in groups(batches, ["row"]):
-            (head,) = [x for x in group.column("ids").to_pylist() if x is not None]
-            head = unpack(head)
-            n = len(head) // 32
-            ids, none, tokens = np.frombuffer(head, "<i8", 3 * n).reshape(3, n)
-            total = np.frombuffer(head, "<f8", n, 24 * n).copy()
-            for d, s in zip(group.column("docs").to_pylist(), group.column("sums").to_pylist(), strict=True):
-                if d is not None:
-                    total[np.frombuffer(d, "<u2")] += np.frombuffer(s, "<f8")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=none.astype(bool)), pa.array(tokens), pa.array(total)], ["doc_id", "n_tokens", "log_sum"])
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = sums.repartition(n, "row").sortWithinPartitions("row").mapInArrow(run, "doc_id long, n_tokens long, log_sum double")
+        for group in groups(batches, ["step"]):
+            level, size = (group.column(c).to_numpy() for c in ("level", "size"))
+            a, b = group.column("a"), group.column("b")
+            if not len(level) or level[0] or (level[1:] == 0).any():
+                raise ValueError("the texts of a step changed between two readings")
+            n = int(size[0])
+            head = _unplanes(a[0].as_py(), 3 * n).reshape(3, n)
+            each = head[2].astype(np.int64)
+            body, total = b[0].as_py(), int(each.sum())
+            n_known, width = (int.from_bytes(body[k : k + 8], "little") for k in (0, 8))
+            number = _unplanes(body[16 + width :], total).astype(np.int64)
+            hashes = _unascending(body[16 : 16 + width], n_known)[number] if n_known else np.zeros(0, np.uint64)
+            heads, values, open_ = heads_of(each), np.zeros(total), np.ones(total, bool)
+            counted: list[tuple[np.ndarray, np.ndarray]] = []
+            for k, own in enumerate(grams_of(hashes, heads, order), 1):
+                place = number if k == 1 else np.unique(own, return_inverse=True)[1]
+                at = np.flatnonzero(level == k)
+                if int(size[at].sum()) != (int(place.max()) + 1 if total else 0):
+                    raise ValueError("the texts of a step changed between two readings")
+                got = [np.concatenate([np.zeros(0, np.uint64), *(_unplanes(col[p].as_py(), int(size[p])) for p in at.tolist())]).astype(np.int64)[place] for col in (a, b)]
+                counted.append((got[0], got[0] - got[1]))  # as a whole, and where a token follows
+            for k in range(order, 0, -1):
+                own = counted[k - 1][0]
+                context = np.full(total, n_tokens)
+                if k > 1:
+                    context[1:] = counted[k - 2][1][:-1]
+                    context[heads] = n_texts
+                here = open_ & ((own >= min_count) | (k == 1))
+                values[here] = (order - k) * math.log(alpha) + np.log(own[here]) - np.log(context[here])
+                open_ &= ~here
+            doc = np.repeat(np.arange(n), each)
+            ids = pa.array(head[0].view(np.int64), pa.int64(), mask=head[1].astype(bool))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(each), pa.array(np.bincount(doc, weights=values, minlength=n), pa.float64())], ["doc_id", "n_tokens", "log_sum"])
+
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "step").sortWithinPartitions("step", "level", "part").mapInArrow(run, "doc_id long, n_tokens long, log_sum double")
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, tokens_per_part: int = TOKENS_PER_PART, text_col: str = "text", id_col: str = "doc_id", stored: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, log_sum, score``: the sum of the tokens' logarithms and its mean."""
+    if order < 1:
+        raise ValueError("order is 1 or more")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not stored:
+        own, _ = saved(own, "lm-texts")
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(1, math.ceil(size / 6 / tokens_per_part))  # a token and what parts it have about six bytes
+    totals, _ = saved(gram_totals(step_grams(rows, order, n_parts), n_parts), "gram-totals")
+    n_tokens, n_texts = (x or 0 for x in totals.where("level = 1").agg(F.sum("tokens"), F.sum("texts")).first())
+    found = step_scores(totals.unionByName(step_texts(rows)), order, alpha, min_count, n_tokens, n_texts)
     return found.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_sum") / F.col("n_tokens")))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, rounded so that the order of sums does not show."""
-    out = lm_scores(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_tokens", F.round("log_sum", 6).alias("log_sum"), F.round("score", 8).alias("score"))
-
-
-def op8_lm_score_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with trigrams, backing off to pairs and single words."""
-    out = lm_scores(table(spark, sf_dir, "documents"), order=3)
+    out = lm_scores(table(spark, sf_dir, "documents"), stored=True)
     return out.select("doc_id", "n_tokens", F.round("log_sum", 6).alias("log_sum"), F.round("score", 8).alias("score"))
 
 
 OP8_SQL = r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10FFFF}]+') AS w FROM documents),
 numbered AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-token AS (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS x, w[i] AS y FROM numbered),
-pair AS (SELECT x, y, count(*) AS n FROM token GROUP BY ALL),
-first_ AS (SELECT x, count(*) AS n FROM token GROUP BY ALL),
-second_ AS (SELECT y, count(*) AS n FROM token GROUP BY ALL),
+token AS (SELECT doc_id, CASE WHEN i < 3 THEN '' ELSE w[i - 2] END AS x, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS y, w[i] AS z FROM numbered),
+three AS (SELECT x, y, z, count(*) AS n FROM token GROUP BY ALL),
+before_three AS (SELECT x, y, count(*) AS n FROM token GROUP BY ALL),
+two AS (SELECT y, z, count(*) AS n FROM token GROUP BY ALL),
+before_two AS (SELECT y, count(*) AS n FROM token GROUP BY ALL),
+one AS (SELECT z, count(*) AS n FROM token GROUP BY ALL),
 scored AS (
-  SELECT doc_id, CASE WHEN p.n >= 2 THEN ln(p.n) - ln(f.n) ELSE ln(0.4) + ln(s.n) - ln((SELECT count(*) FROM token)) END AS v
-  FROM token JOIN pair p USING (x, y) JOIN first_ f USING (x) JOIN second_ s USING (y)),
+  SELECT doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n) - ln(b3.n) WHEN c2.n >= 2 THEN ln(0.4) + ln(c2.n) - ln(b2.n) ELSE 2 * ln(0.4) + ln(c1.n) - ln((SELECT count(*) FROM token)) END AS v
+  FROM token JOIN three c3 USING (x, y, z) JOIN before_three b3 USING (x, y) JOIN two c2 USING (y, z) JOIN before_two b2 USING (y) JOIN one c1 USING (z)),
 summed AS (SELECT doc_id, count(*) AS n, sum(v) AS v FROM scored GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(coalesce(v, 0.0), 6) AS log_sum, round(v / n, 8) AS score FROM documents d LEFT JOIN summed USING (doc_id)
 """

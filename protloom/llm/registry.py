@@ -14,13 +14,11 @@ _QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_matroska": matroska.op3_matroska,
     "op8_lm_score": lm_score.op8_lm_score,
-    "op8_lm_score_trigrams": lm_score.op8_lm_score_trigrams,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 _SQL: dict[str, str] = {
     "op5_jaccard_join": jaccard_join.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
-    "op8_lm_score": lm_score.op8_lm_score,
     "op8_lm_score": lm_score.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
