@@ -3,7 +3,7 @@
 Texts and items become five-word shingles. For every length class of items (their number
 of shingles) each window of so many shingles of a document gets a 64-bit SimHash from running sums
 of bit counts. Fingerprints within ``RADIUS`` of an item's must agree with it in one of four
-16-bit blocks up to ``RADIUS // 4`` bits; tables of all such block values find every one of them. A candidate is then
+16-bit blocks up to ``RADIUS // 4`` bits; posting lists from all such block values to items find every one of them. A candidate is then
 verified by the weighted Jaccard similarity of the two multisets of shingles, weights
 falling with the number of items that hold a shingle; ``THRESHOLD`` or more is a match. Every window that holds a
 shingle of an item of its length is fingerprinted; all others have similarity 0 with those items. Around a candidate, up to
@@ -11,18 +11,19 @@ its own length away, every place is bounded by running sums of weights, and veri
 document shorter than an item is one window.
 
 The items are searched in blocks of ``ITEM_BLOCK``, each with tables of bounded size; weights count the items of the whole
-benchmark, so that results do not depend on blocks.
+benchmark, so that results do not depend on blocks. With several blocks all documents are read once, past a Bloom filter of the items' shingles,
+and only those that may hold one are searched block by block.
 
-Defined results: null and empty texts and items match nothing; an item of fewer than five words is one shingle
+Defined results: null and empty texts and items match nothing; texts of any length are searched whole; an item of fewer than five words is one shingle
 and matches only documents of exactly its words; a document given several times matches each time; of several windows the most
 similar is reported, then the first; empty tables give no match; further columns are carried along by ``with_matches``
-whatever their names.
+in a struct, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,11 +33,14 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._arrow import steps, texts
-from ._store import table
+from ._store import saved, table
+from .mph import mix
 
 RADIUS = 15
 THRESHOLD = 0.8
 ITEM_BLOCK = 4096
+#: Bits of the filter of all items' shingles, in powers of two: for each shingle, and at most in all (32 MB).
+SIEVE_BITS, SIEVE_MOST = 5, 28
 _BLOCKS, _BITS = 4, 16
 _SPAN = 4096
 
@@ -129,6 +133,7 @@ class Held:
     shingles: np.ndarray
     counts: np.ndarray
     n_items: int
+    n_shingles: int
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         """Weights of shingles, of which one that no item holds counts as held by one."""
@@ -155,7 +160,31 @@ def held_by(blocks: Iterable[list[tuple[int, str]]]) -> Held:
         n = np.bincount(place[len(known) :], minlength=len(every))
         n[place[: len(known)]] += counts
         known, counts = every, n
-    return Held(known[counts > 1], counts[counts > 1], n_items)
+    return Held(known[counts > 1], counts[counts > 1], n_items, len(known))
+
+
+class Sieve:
+    """A Bloom filter: tells of texts that they hold no shingle of any item."""
+
+    def __init__(self, n: int):
+        self.bits = min(SIEVE_MOST, max(16, (max(1, n) - 1).bit_length() + SIEVE_BITS))
+        self.table = np.zeros(1 << self.bits - 3, np.uint8)
+
+    def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+        other = mix(hashes)
+        for k in range(4):
+            yield (hashes + np.uint64(k) * other) >> np.uint64(64 - self.bits)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at in self._places(hashes):
+            np.bitwise_or.at(self.table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def may_hold(self, rows: list[str]) -> np.ndarray:
+        own = _words.shingles(_words.split(rows))
+        hit = np.ones(len(own.hash), bool)
+        for at in self._places(own.hash):
+            hit &= (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return np.bincount(own.doc[hit], minlength=len(rows)) > 0
 
 
 class Index:
@@ -170,14 +199,18 @@ class Index:
                 distinct, counts = np.unique(h, return_counts=True)
                 self.classes.setdefault(len(h), []).append(Item(item_id, distinct, counts, self.weights(distinct), len(h), simhash(h)))
         self.longest = max(self.classes, default=0)
-        # a block's table: bit 0 of a value's entry tells that some item of the class is near it there
+        # for each block the values that some item of the class is near to, and, by value, the items
         self.tables: dict[int, np.ndarray] = {}
+        self.postings: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for n, members in self.classes.items():
-            marks = np.zeros((_BLOCKS, 1 << _BITS), bool)
-            for item in members:
-                for b in range(_BLOCKS):
-                    marks[b, near_values(item.fingerprint >> _BITS * b & 0xFFFF, radius // _BLOCKS)] = True
-            self.tables[n] = marks
+            marks, lists = np.zeros((_BLOCKS, 1 << _BITS), bool), []
+            for b in range(_BLOCKS):
+                near = [near_values(item.fingerprint >> _BITS * b & 0xFFFF, radius // _BLOCKS).astype(np.uint16) for item in members]
+                value, item = np.concatenate(near), np.repeat(np.arange(len(members), dtype=np.int32), [len(x) for x in near])
+                order = np.argsort(value, kind="stable")
+                marks[b, value] = True
+                lists.append((value[order], item[order]))
+            self.tables[n], self.postings[n] = marks, lists
         # a shingle's leading bits tell whether some item may hold it
         self.held = {n: np.unique(np.concatenate([i.shingles for i in members])) for n, members in self.classes.items()}
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.held.values()]))
@@ -189,16 +222,20 @@ class Index:
     def near(self, n: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``found`` and members of class ``n`` within the radius of each other."""
         parts = found.view("<u2").reshape(-1, _BLOCKS)
-        marks = self.tables[n]
-        hit = marks[0][parts[:, 0]]
-        for b in range(1, _BLOCKS):
-            hit |= marks[b][parts[:, b]]
-        at = np.flatnonzero(hit)
-        if not len(at):
-            return at, at
-        distance = np.bitwise_count(found[at][:, None] ^ self.prints[n][None, :])
-        row, member = np.nonzero(distance <= self.radius)
-        return at[row], member
+        rows, members = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for b, (values, items) in enumerate(self.postings[n]):
+            at = np.flatnonzero(self.tables[n][b][parts[:, b]])
+            if not len(at):
+                continue
+            first, last = (np.searchsorted(values, parts[at, b], side=side) for side in ("left", "right"))
+            size = last - first
+            row = np.repeat(at, size)
+            member = items[np.arange(len(row)) - np.repeat(np.cumsum(size) - size - first, size)]
+            close = np.bitwise_count(found[row] ^ self.prints[n][member]) <= self.radius
+            rows.append(row[close])
+            members.append(member[close])
+        pairs = np.unique(np.concatenate(rows) * len(self.prints[n]) + np.concatenate(members))
+        return pairs // len(self.prints[n]), pairs % len(self.prints[n])
 
     def bounds(self, item: Item, hashes: np.ndarray, n: int) -> np.ndarray:
         """The most that the similarity of each window of ``n`` can be: that of windows without repeated shingles."""
@@ -294,51 +331,106 @@ def item_blocks(benchmark: DataFrame, item_block: int = ITEM_BLOCK, text_col: st
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, radius: int = RADIUS, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, item_id, similarity, first_word, n_shingles``: a row for each document and item that match."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, " + MATCH
-    out = docs.sparkSession.createDataFrame([], schema)
-    held = held_by(item_blocks(benchmark, item_block))
-    for items in item_blocks(benchmark, item_block):
+_KEYS = ("r1", "r2")
+
+
+def _opened(spark: SparkSession, items: list, held: Held, radius: int, threshold: float) -> Callable[[], Index]:
+    """A function that gives a worker the block's index, made once; a block goes to the executors once, at most ``ITEM_BLOCK`` items."""
+    told = spark.sparkContext.broadcast((items, held))
+    kept: list[Index] = []
+
+    def index() -> Index:
+        if not kept:
+            kept.append(Index(told.value[0], radius, threshold, told.value[1]))
+        return kept[0]
+
+    return index
+
+
+def _rows(docs: DataFrame, text_col: str, id_col: str | None) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = F.lit(None).cast("long") if id_col is None else F.col(id_col).cast("long")
+    return docs.select(own.alias("doc_id"), F.xxhash64(text, F.lit(5)).alias("r1"), F.xxhash64(F.lit(6), text).alias("r2"), text.alias("text"))
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, radius, threshold, held)
-            for batch in batches:
-                for part in steps(batch, "text", 2 << 20):
-                    found = [(doc, *m) for doc, own in zip(part.column("doc_id").to_pylist(), index.matches(texts(part)), strict=True) for m in own]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "similarity", "first_word", "n_shingles"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+def sieved(rows: DataFrame, benchmark_blocks: Iterable[list], n_shingles: int) -> DataFrame:
+    """The rows that may hold a shingle of some item."""
+    sieve = Sieve(n_shingles)
+    for items in benchmark_blocks:
+        for h in _shingles_of(items):
+            sieve.add(h)
+    told = rows.sparkSession.sparkContext.broadcast(sieve)  # 32 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", 2 << 20):
+                yield part.filter(pa.array(told.value.may_hold(texts(part))))
+
+    return saved(rows.mapInArrow(run, rows.schema), "sieved")[0]
+
+
+def found_in(rows: DataFrame, index: Callable[[], Index]) -> DataFrame:
+    """``doc_id, r1, r2`` and the match, a row for each match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, "text", 2 << 20):
+                keys = zip(*(part.column(c).to_pylist() for c in ("doc_id", *_KEYS)), strict=True)
+                found = [(*key, *m) for key, own in zip(keys, index().matches(texts(part)), strict=True) for m in own]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(),) * 4 + (pa.float64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", *_KEYS, "item_id", "similarity", "first_word", "n_shingles"])
+
+    return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, " + MATCH)
+
+
+def _by_blocks(rows: DataFrame, benchmark: DataFrame, held: Held, item_block: int, radius: int, threshold: float) -> DataFrame:
+    """``found_in`` for all blocks of a benchmark."""
+    spark = rows.sparkSession
+    if held.n_items > item_block:
+        rows = sieved(rows, item_blocks(benchmark, item_block), held.n_shingles)
+    out = spark.createDataFrame([], "doc_id long, r1 long, r2 long, " + MATCH)
+    for items in item_blocks(benchmark, item_block):
+        out = out.unionByName(found_in(rows, _opened(spark, items, held, radius, threshold)))
     return out
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, radius: int = RADIUS, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, item_id, similarity, first_word, n_shingles``: a row for each document and item that match."""
+    held = held_by(item_blocks(benchmark, item_block))
+    return _by_blocks(_rows(docs, text_col, id_col), benchmark, held, item_block, radius, threshold).drop(*_KEYS)
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, radius: int = RADIUS, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_matches``, an array of the matching items of each row (empty where there is none)."""
-    out = docs.withColumn("_matches", F.array().cast(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"))
+    """``doc``, the row as a struct, and ``matches``, an array of its matching items (empty where there is none)."""
+    kind = f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"
+    none = F.array().cast(kind)
     held = held_by(item_blocks(benchmark, item_block))
-    for items in item_blocks(benchmark, item_block):
-        opened: list[Index] = []
-
-        @F.pandas_udf(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>")
-        def find(batch, items=items, opened=opened):  # noqa: ANN001, ANN202
-            import pandas as pd
-
-            if not opened:
-                opened.append(Index(items, radius, threshold, held))
-            found, at = [], 0
-            while at < len(batch):
-                end, size = at, 0
-                while end < len(batch) and (end == at or size < 2 << 20):
-                    size += len(batch.iloc[end] or "")
-                    end += 1
-                found += opened[0].matches([t if t is not None else "" for t in batch.iloc[at:end]])
-                at = end
-            return pd.Series([[dict(zip(("item_id", "similarity", "first_word", "n_shingles"), m, strict=True)) for m in own] for own in found])
-
-        out = out.withColumn("_matches", F.concat("_matches", find(F.col(text_col).cast("string"))))
-    return out
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    if held.n_items > item_block:
+        found, _ = saved(_by_blocks(_rows(docs, text_col, None), benchmark, held, item_block, radius, threshold).distinct(), "matches")
+        found = found.groupBy(*_KEYS).agg(F.sort_array(F.collect_list(F.struct(*(x.split()[0] for x in MATCH.split(", "))))).alias("m"))
+        named = docs.select(F.struct("*").alias("doc"), F.xxhash64(text, F.lit(5)).alias("r1"), F.xxhash64(F.lit(6), text).alias("r2"))
+        return named.join(found, list(_KEYS), "left").select("doc", F.coalesce("m", none).alias("matches"))
+    blocks = list(item_blocks(benchmark, item_block))  # one block at most, but for items without a shingle
+    if not held.n_items:
+        return docs.select(F.struct("*").alias("doc"), none.alias("matches"))
+    index = _opened(docs.sparkSession, [x for block in blocks for x in block if x[1]], held, radius, threshold)
+
+    @F.pandas_udf(kind)
+    def find(batch):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        found, at, rows = [], 0, batch.tolist()
+        while at < len(rows):
+            end, size = at, 0
+            while end < len(rows) and (end == at or size < 2 << 20):
+                size += len(rows[end])
+                end += 1
+            found += index().matches(rows[at:end])
+            at = end
+        return pd.Series([[dict(zip(("item_id", "similarity", "first_word", "n_shingles"), m, strict=True)) for m in own] for own in found])
+
+    return docs.select(F.struct("*").alias("doc"), find(text).alias("matches"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,21 @@ smallest, as a share. Below ``min_margin`` the answer is rejected (``rejected``)
 next to no evidence; among equal sizes the language with more labelled documents comes first, then
 the alphabet decides.
 
+Letters are the characters of Unicode's letter categories; numerals are none, whatever they look like.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and
-rejected; repeated rows are each answered; rows without an id are answered, not learned from; an empty
+rejected; texts of any length are compressed whole; repeated rows are each answered; rows without an id are answered, not learned from; an empty
 table gives an empty result; without any labelled document all texts are ``und``; further columns are
-ignored, whatever their names.
+ignored by ``language_table`` and carried along by ``predict``, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,15 @@ from ._arrow import steps, texts
 from ._store import table
 
 UNDETERMINED = "und"
-#: Bounds of the sample: a dictionary's bytes, documents drawn for a language, and characters used of each.
-DICT_BYTES, DRAWS, DRAW_CHARS = 256 * 1024, 512, 16 * 1024
+#: Bounds of the sample: a dictionary's bytes, documents drawn for a language, and characters used of each, which come
+#: from ``DRAW_SPANS`` places spread over the whole of a longer text.
+DICT_BYTES, DRAWS, DRAW_CHARS, DRAW_SPANS = 256 * 1024, 512, 16 * 1024, 16
 LEVEL = 6
 SPAN_BYTES = 64 * 1024
 MIN_MARGIN = 0.002
 #: The margin at which the score has come about two thirds of its way from 0.5 to 1.
 SCALE = 0.03
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def normalise(text: str) -> bytes:
@@ -63,6 +66,13 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def spread(text: F.Column, chars: int, spans: int = DRAW_SPANS) -> F.Column:
+    """The text, or, if it is longer than ``chars``, as many of its characters in spans at equal distances."""
+    own = chars // spans
+    parts = [F.substr(text, (F.length(text) * k / spans).cast("int") + 1, F.lit(own)) for k in range(spans)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", dict_bytes: int = DICT_BYTES, draws: int = DRAWS, draw_chars: int = DRAW_CHARS, **kw: float) -> Model:
     """From a sample of the labelled rows that are not held out: of each language the document of least hash in each of
     ``draws`` hash classes, in hash order, until the dictionary is full."""
@@ -75,11 +85,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     for r in drawn:
         n_of[r["_lang"]] = n_of.get(r["_lang"], 0) + r["n"]
     languages = sorted(n_of, key=lambda x: (-n_of[x], x))
-    # one row for each language and hash class
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(r["h"],) for r in drawn], "_hash long"))
-    found = own.join(wanted, "_hash", "left_semi").select("_lang", "_hash", F.substring(F.coalesce("_text", F.lit("")), 1, draw_chars).alias("t"))
+    # one row for each language and hash class, also where an id is repeated
+    wanted = docs.sparkSession.createDataFrame([(r["_lang"], r["h"]) for r in drawn], "_lang string, _hash long")
+    found = own.join(wanted, ["_lang", "_hash"], "left_semi").groupBy("_lang", "_hash").agg(F.min(spread(F.coalesce("_text", F.lit("")), draw_chars)).alias("t"))
     contents = {x: bytearray() for x in languages}
-    for r in sorted(found.toLocalIterator(), key=lambda r: (r["_hash"], r["t"])):
+    for r in sorted(found.collect(), key=lambda r: r["_hash"]):
         if len(contents[r["_lang"]]) < dict_bytes:
             contents[r["_lang"]] += normalise(r["t"]) + b" "
     return Model(languages, [bytes(contents[x][:dict_bytes]) for x in languages], **kw)
@@ -122,7 +132,7 @@ OUT = "lang_pred string, score double, margin double, rejected boolean"
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_language``, a struct of the predicted language, score, margin and whether it is rejected."""
+    """``doc``, the row as a struct, and ``language``, a struct of the predicted language, score, margin and whether it is rejected."""
 
     own: list[Identifier] = []  # opened once in each worker
 
@@ -134,7 +144,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             own.append(Identifier(model))
         return pd.DataFrame([own[0](t if t is not None else "") for t in batch], columns=["lang_pred", "score", "margin", "rejected"])
 
-    return docs.withColumn("_language", answer(F.col(text_col).cast("string")))
+    return docs.select(F.struct("*").alias("doc"), answer(F.col(text_col).cast("string")).alias("language"))
 
 
 def language_table(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

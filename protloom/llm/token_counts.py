@@ -3,13 +3,16 @@
 The normalised content of every text (null becomes the empty string; nothing else
 is changed, so a stored count is exactly the library's count) is digested with
 SHA-256. The cache is a Parquet table ``(tokenizer, digest, n_tokens)``, laid out by
-the digest of the tokenizer file. Digests that the cache lacks are reduced to one
-row each, only those texts are encoded, their counts are appended, and all rows get
-their counts from the cache.
+the digest of the tokenizer file. Digests of the rows meet the cache; each digest that it lacks is encoded once, counts are
+appended, and all rows get their counts.
+
+Texts are not moved to find distinct misses: a digest that one row alone has is encoded where that row is read. Rows whose digest the cache
+has or several rows share are told by a broadcast set of hashes, ``APART`` at most; only their texts are dealt out. With more of
+them all misses are.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are
-kept, each with its count; an empty table gives an empty result; further columns
-of the input are ignored (``keep`` names those to carry along).
+kept, each with its count; texts of any length are encoded whole; an empty table gives an empty result; further columns
+of the input are ignored (``keep`` names those to carry along, whatever their names).
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import steps, texts
-from ._store import scratch, table
+from ._store import saved, scratch, table
 
 MODEL = "piece_bpe_32k.model"
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 TOKEN_LIMIT = 4096
+#: Hashes in the broadcast set, of 16 bytes each.
+APART = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,51 +74,62 @@ def counter(name: str):
     return _loaded[name]
 
 
-def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_content`` (null: empty) and ``_digest``."""
+def digested(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` (a struct), ``content`` (null: empty) and ``digest``."""
     content = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_content", content).withColumn("_digest", F.unhex(F.sha2(content.cast("binary"), 256)))
+    return docs.select(F.struct(*keep, F.lit(0)).alias("keep"), content.alias("content"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"))
 
 
-def encode_misses(misses: DataFrame, model: str) -> DataFrame:
-    """``(_digest, _content)`` to ``(digest, n_tokens)``."""
+def encode(rows: DataFrame, model: str) -> DataFrame:
+    """``digest, content`` to ``digest, n_tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model)
         for batch in batches:
-            for part in steps(batch, "_content", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("_digest").cast(pa.binary()), pa.array(count(texts(part, "_content")), pa.int64())], ["digest", "n_tokens"])
+            for part in steps(batch, "content", 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("digest").cast(pa.binary()), pa.array(count(texts(part, "content")), pa.int64())], ["digest", "n_tokens"])
 
-    return misses.select("_digest", "_content").mapInArrow(run, "digest binary, n_tokens long")
+    return rows.select("digest", "content").mapInArrow(run, "digest binary, n_tokens long")
 
 
-def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
-    """Stored counts of one tokenizer version, or None where there is no table yet."""
+def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
+    """Stored counts of one tokenizer version; none where there is no table yet."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(cache_path)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
+        return spark.createDataFrame([], "digest binary, n_tokens long")
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
 
-def update_cache(docs: DataFrame, cache_path: str, model: str = MODEL, text_col: str = "text") -> DataFrame:
-    """Encode what the cache lacks, append it, and return the cache for this tokenizer."""
-    spark, version = docs.sparkSession, tokenizer_version(model)
-    known = read_cache(spark, cache_path, version)
-    misses = with_digest(docs.select(text_col), text_col).select("_digest", "_content")
-    if known is not None:
-        misses = misses.join(known.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
-    misses = misses.dropDuplicates(["_digest"])
-    encode_misses(misses, model).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
-    # the digest is a new column: the join then deals both sides itself, and a hot digest's rows can be split
-    return read_cache(spark, cache_path, version).dropDuplicates(["digest"]).select(F.concat("digest", F.lit(b"")).alias("digest"), "n_tokens")
-
-
-def count_tokens(docs: DataFrame, cache_path: str, model: str = MODEL, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def update_cache(rows: DataFrame, seen: DataFrame, cache_path: str, model: str, apart: int = APART) -> DataFrame:
+    """Encode what the cache lacks, append it, and return ``digest, n_tokens`` of the digests in ``seen`` (``digest, n``)."""
+    spark, version = rows.sparkSession, tokenizer_version(model)
+    hits, _ = saved(seen.join(read_cache(spark, cache_path, version), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "cache-hits")
+    # what cannot be encoded where it is read
+    key = F.xxhash64("digest").alias("key")
+    told = hits.select(key).unionByName(seen.where("n > 1").select(key))
+    n_told = told.count()
+    if n_told <= apart:
+        told = F.broadcast(told.distinct())
+        keyed = rows.select("digest", "content", key)
+        misses = keyed.join(told, "key", "left_anti").select("digest", "content")
+        if n_told:
+            shared = keyed.join(told, "key", "left_semi").select("digest", "content").dropDuplicates(["digest"])
+            misses = misses.unionByName(shared.join(hits, "digest", "left_anti"))
+    else:
+        lacking = seen.join(hits, "digest", "left_anti").select("digest")
+        misses = rows.select("digest", "content").join(lacking, "digest", "left_semi").dropDuplicates(["digest"])
+    new, _ = saved(encode(misses, model), "new-counts")
+    new.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    return hits.unionByName(new)
+
+
+def count_tokens(docs: DataFrame, cache_path: str, model: str = MODEL, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), apart: int = APART) -> DataFrame:
     """``keep``, ``n_bytes``, ``n_tokens`` for every row of ``docs``."""
-    cache = update_cache(docs, cache_path, model, text_col)
-    rows = with_digest(docs, text_col).select(*keep, F.octet_length("_content").cast("long").alias("n_bytes"), F.col("_digest").alias("digest"))
-    return rows.join(cache, "digest", "left").select(*keep, "n_bytes", "n_tokens")
+    rows = digested(docs, text_col, keep)
+    own, _ = saved(rows.select("keep", F.octet_length("content").cast("long").alias("n_bytes"), "digest"), "digests")
+    counts = update_cache(rows, own.groupBy("digest").agg(F.count("*").alias("n")), cache_path, model, apart)
+    return own.join(counts, "digest", "left").select(*(F.col("keep")[c].alias(c) for c in keep), "n_bytes", "n_tokens")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,22 @@ def test_another_tokenizer_has_its_own_counts(spark, odd_docs):
     tc.count_tokens(odd_docs, path).collect()
     other = tc.count_tokens(odd_docs, path, model="byte_bpe_50k.json").collect()
     assert {r["n_tokens"] for r in other if r["doc_id"] == 4} == {2}
+
+
+def test_where_texts_are_encoded_does_not_show(spark, sf, odd_docs):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(odd_docs.select("doc_id", "text"))
+    want = sorted((str(d["doc_id"]), n) for d, n in zip(docs.collect(), plain([d["text"] for d in docs.collect()]), strict=True))
+    for apart in (0, 10**6):
+        path = scratch(spark, "t")
+        tc.count_tokens(docs.where("doc_id % 2 = 0"), path, apart=apart).collect()
+        got = tc.count_tokens(docs, path, apart=apart)
+        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got.collect()) == want
+        cache = spark.read.parquet(path)
+        assert cache.count() == cache.select("digest").distinct().count() == docs.selectExpr("coalesce(text, '') AS t").distinct().count()
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", "y", 5, "z", 7)], "doc_id long, text string, digest string, content string, n_tokens int, keep string, key int")
+    got = tc.count_tokens(rows, scratch(spark, "t"), keep=("doc_id", "digest", "content", "keep", "key")).drop("n_bytes", "n_tokens").first()
+    assert tuple(got) == (1, "x", "y", "z", 7)
