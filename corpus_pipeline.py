@@ -22,15 +22,15 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that language identification rejects go."""
     bounded_batches(spark)
     found = language_id.predict(docs, language_id.fit(docs))
-    return found.where(~F.col("_language.rejected")).select(*docs.columns)
+    return found.where(~F.col("language.rejected")).select("doc.*")
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur across documents."""
     bounded_batches(spark)
     out = line_dedup.dedup_lines(docs)
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold no passage of the benchmark."""
     bounded_batches(spark)
     found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    return found.where(F.size("matches") == 0).select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
