@@ -6,12 +6,15 @@
    all sets there), and sets go on to the child named by their MinHash value there. Sets that are alone leave. Paths
    with at most ``LEAF`` sets are compared by brute force on 64-byte sketches; larger ones are split again. Runs
    are repeated as often as the target recall needs for a pair at the threshold.
-   What is still large at ``DEPTH`` is compared in blocks, pair of blocks by pair of blocks.
-3. Candidate links form components. Inside a component all pairs are verified exactly, on the shingles, in
-   blocks of bounded size, so a group of near copies gets every link. Only counts of links and a spanning forest leave a task.
+   What is still large at ``DEPTH`` is compared with one of its sets, block by block; only sets unlike it go on to all blocks.
+3. Candidate links form components. Inside a component all pairs are settled exactly, on the shingles, in blocks of bounded size, so a
+   group of near copies gets every link. In a component of several blocks, sets are first compared with one of them, the pivot, and
+   put into blocks in the order of their distance from it. Jaccard distance is a metric: blocks near enough to the pivot link as wholes, blocks
+   whose distances differ by too much do not link at all, and only the other pairs of blocks are compared set by set. Only
+   counts of links and a spanning forest leave a task.
 4. Components of the verified links are the classes.
 
-Defined results: a document without words (null, empty, signs only) has no links and is a class of its own; a document of one
+Defined results: a document without words (null, empty, signs only) has no links and is a class of its own; texts of any length are taken whole; a document of one
 to four words is one shingle of all its words; repeated rows are copies of each other; a class is named
 after its least id (null if no document of it has one); an empty table gives an empty result; further columns are ignored by ``near_classes`` and
 carried along by ``drop_near_copies``, whatever their names.
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _words
@@ -43,7 +47,7 @@ DEPTH = 6
 ROOT_BRANCHES, BRANCHES = 2, 1.5
 #: Sketch bytes that may differ beyond what the threshold expects.
 SLACK = 0.2
-#: Sets and shingles in a block of the exact verification.
+#: Sets and shingles of a small component, and about those of a block of a large one.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 
 
@@ -189,9 +193,46 @@ def candidate_links(leaves: DataFrame, least: int) -> DataFrame:
     return buckets.select("rows").mapInArrow(run, "a long, b long").distinct()
 
 
+def pivot_links(large: DataFrame, mins: DataFrame, leaf: int, least: int) -> DataFrame:
+    """``a, b``: links that connect what a spanning forest of each large path would. ``large``: ``path, node, n``."""
+    blocks = F.ceil(F.col("n") / (leaf // 2)).cast("int")
+    own = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "path"), F.col("blocks")).cast("int")).join(mins, "node")
+    pivots = large.groupBy("path").agg(F.min("node").alias("pivot"), F.first("n").alias("n")).withColumnRenamed("pivot", "node").join(mins, "node")
+    pivots = pivots.select("path", F.col("node").alias("pivot"), F.col("mins").alias("pivot_mins"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                agree = (_mins(batch.column("mins")).astype(np.uint8) == _mins(batch.column("pivot_mins")).astype(np.uint8)).sum(1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "node", "blocks", "block", "mins", "pivot")), pa.array(agree >= least)], ["path", "node", "blocks", "block", "mins", "pivot", "near"])
+
+    marked, _ = saved(own.join(pivots, "path").mapInArrow(compare, "path long, node long, blocks int, block int, mins binary, pivot long, near boolean"), "pivots")
+    # those unlike the pivot meet all blocks; those like it are one component already
+    moved = marked.where(~F.col("near")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = F.struct("near", "node", "mins")
+    met = marked.where("near").select("path", "block", rows.alias("row")).unionByName(moved.select("path", "block", rows.alias("row")))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column("rows"):
+                near, node, mins = rows.values.flatten()
+                near, node, marks = near.to_numpy(zero_copy_only=False), node.to_numpy(), _mins(mins).astype(np.uint8)
+                known, out = np.flatnonzero(near), []
+                others = np.flatnonzero(~near)
+                for i in others.tolist():
+                    hit = np.flatnonzero((marks[known] == marks[i]).sum(1) >= least)[:1]
+                    out += [(node[i], node[known[k]]) for k in hit.tolist()]
+                out += [(node[others[i]], node[others[j]]) for i, j in forest(marks[others], least)]
+                pair = np.array(out, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    found = met.groupBy("path", "block").agg(F.collect_list("row").alias("rows")).select("rows").mapInArrow(links, "a long, b long")
+    return marked.where("near").select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(found).where("a <> b").distinct()
+
+
 def chosen_path_links(nodes: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Candidate links between stored ``node, mins``."""
-    mins = nodes.select("node", "mins")
+    mins, least = nodes.select("node", "mins"), int((threshold - SLACK) * COORDINATES)
     rows, leaves = first_paths(nodes, runs_for(target, threshold)), None
     for level in range(depth):
         rows, path = saved(rows, "paths")
@@ -205,11 +246,9 @@ def chosen_path_links(nodes: DataFrame, threshold: float = THRESHOLD, target: fl
         if level + 1 < depth:
             rows = next_paths(large.join(mins, "node"))
         else:
-            blocks = F.ceil(F.col("n") / (leaf // 2)).cast("int")
-            own = F.pmod(F.xxhash64("node", "path"), blocks).cast("int")
-            pairs = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            leaves = leaves.unionByName(pairs.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "node"))
-    return candidate_links(leaves.join(mins, "node"), int((threshold - SLACK) * COORDINATES))
+            found = pivot_links(large, mins, leaf, least)
+            return candidate_links(leaves.join(mins, "node"), least).unionByName(found)
+    return candidate_links(leaves.join(mins, "node"), least)
 
 
 def exact_links(sets: list[np.ndarray], threshold: float, split: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -229,7 +268,7 @@ def exact_links(sets: list[np.ndarray], threshold: float, split: int | None = No
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
-    """``members``: ``root, i, j, block, node, mult, text``, all blocks i and j of a component together.
+    """``members``: ``root, i, j, block, node, mult, text``, the blocks i and j of a component together.
 
     Returns rows ``node, links, other``: counts of links of a node (other null), and a spanning forest (links null).
     """
@@ -274,6 +313,74 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, links long, other long")
 
 
+def pivot_distances(members: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
+    """``root, node, mult, r1, r2, pivot, n, d``: sizes and Jaccard distances of ``members`` from their component's pivot, the set with most copies."""
+    pivots = members.groupBy("root").agg(F.min_by(F.struct("node", "r1", "r2"), F.struct(-F.col("mult"), "node")).alias("p"))
+    pivots = pivots.select("root", "p.*").join(texts_of, ["r1", "r2"]).select("root", F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    pivots = pivots.dropDuplicates(["root"])
+    rows = members.join(texts_of, ["r1", "r2"]).join(pivots, "root").select("root", "node", "mult", "r1", "r2", "pivot", "pivot_text", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part in steps(batch, "text", 2 << 20):
+                own = _words.shingles(_words.split(texts(part)))
+                order = np.searchsorted(own.doc, np.arange(part.num_rows + 1))
+                d, n = np.ones(part.num_rows), np.zeros(part.num_rows, np.int64)
+                for k, pivot in enumerate(part.column("pivot").to_pylist()):
+                    if pivot not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        known[pivot] = np.unique(_words.shingles(_words.split([part.column("pivot_text")[k].as_py()])).hash)
+                    mine = np.unique(own.hash[order[k] : order[k + 1]])
+                    both = len(np.intersect1d(mine, known[pivot], assume_unique=True))
+                    d[k], n[k] = 1 - both / (len(mine) + len(known[pivot]) - both), len(mine)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "node", "mult", "r1", "r2", "pivot")), pa.array(n), pa.array(d)], ["root", "node", "mult", "r1", "r2", "pivot", "n", "d"])
+
+    return rows.mapInArrow(run, "root long, node long, mult long, r1 long, r2 long, pivot long, n long, d double")
+
+
+#: Steps of distance by which sets are put into blocks.
+_BINS = 256
+
+
+def blocks_by_distance(distances: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with their ``block``; the pairs of blocks ``root, i, j`` to compare; and counts of links between blocks that link as wholes."""
+    binned = distances.withColumn("bin", F.floor(F.col("d") * _BINS).cast("int"))
+    size = F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)  # in blocks
+    sized = binned.groupBy("root", "bin").agg(size.alias("size"))  # at most _BINS + 1 rows for a component
+    before = W.partitionBy("root").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    sized = sized.select("root", "bin", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0.0))).alias("g"), F.ceil("size").alias("subs"))
+    own = binned.join(sized, ["root", "bin"]).withColumn("block", (F.col("g") * 2**20 + F.pmod(F.xxhash64("node"), F.col("subs"))).cast("long")).drop("bin", "g", "subs", "n")
+    own, _ = saved(own, "blocks")
+    stats = own.groupBy("root", "block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.sum("mult").alias("sets"))
+    a, b = (stats.select("root", *(F.col(c).alias(c + x) for c in ("block", "low", "high", "sets"))) for x in ("_a", "_b"))
+    pairs = a.join(b, "root")  # of blocks, a few for each thousand sets
+    whole = F.col("high_a") + F.col("high_b") <= 1 - threshold - 1e-9
+    apart = F.greatest(F.col("low_a") - F.col("high_b"), F.col("low_b") - F.col("high_a")) > 1 - threshold + 1e-9
+    linked = pairs.where(whole).groupBy("root", F.col("block_a").alias("block")).agg(F.sum("sets_b").alias("linked"), F.max((F.col("block_a") == F.col("block_b")).cast("int")).alias("itself"))
+    linked = own.join(linked, ["root", "block"]).select("node", (F.col("linked") - F.col("itself") * F.col("mult")).alias("links"), F.lit(None).cast("long").alias("other"))
+    todo = pairs.where(~whole & ~apart & (F.col("block_a") <= F.col("block_b"))).select("root", F.col("block_a").alias("i"), F.col("block_b").alias("j"))
+    return own, todo, linked
+
+
+def verified(own: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
+    """What ``verify`` gives, for all components. ``own``: ``root, node, mult, n, r1, r2``."""
+    size = own.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    own, _ = saved(own.join(size.select("root", ((F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "root"), "members")
+    small = own.where(~F.col("large")).select("root", *(F.lit(0).cast("long").alias(c) for c in ("i", "j", "block")), "node", "mult", "r1", "r2")
+    columns = ["root", "i", "j", "block", "node", "mult", "text"]
+    if not own.where("large").limit(1).count():
+        return saved(verify(small.join(texts_of, ["r1", "r2"]).select(*columns), threshold), "verified")[0]
+    distances, _ = saved(pivot_distances(own.where("large").drop("n", "large"), texts_of, threshold).dropDuplicates(["node"]), "distances")
+    placed, todo, linked = blocks_by_distance(distances, threshold)
+    ends = todo.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
+    members = placed.join(ends, ["root", "block"]).select("root", "i", "j", "block", "node", "mult", "r1", "r2")
+    compared = verify(small.unionByName(members).join(texts_of, ["r1", "r2"]).select(*columns), threshold)
+    to_pivot = distances.where((F.col("node") != F.col("pivot")) & (F.col("d") <= 1 - threshold + 1e-9)).select("node", F.lit(None).cast("long").alias("links"), F.col("pivot").alias("other"))
+    return saved(compared.unionByName(linked).unionByName(to_pivot), "verified")[0]
+
+
 def classified(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, r1, r2, class_id, n_links, copies, stays`` for every row; ``stays`` marks the class's first document."""
     sets, _ = saved(shingle_sets(docs, text_col, id_col), "sets")
@@ -282,14 +389,8 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     nodes, _ = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     candidates = components(chosen_path_links(nodes, threshold, target))
     candidates, _ = saved(candidates, "candidates")
-    own = candidates.join(nodes.select("node", "mult", "n", "name"), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    own = own.join(own.groupBy("root").agg(blocks.alias("blocks")), "root")
-    own = own.select("root", "node", "mult", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("name.r1").alias("r1"), F.col("name.r2").alias("r2"))
-    members = own.join(docs.select(*_keys(text_col, id_col)).drop("doc_id"), ["r1", "r2"])
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "mult", "text")
-    found, _ = saved(verify(members, threshold), "verified")
+    own = candidates.join(nodes.select("node", "mult", "n", F.col("name.r1").alias("r1"), F.col("name.r2").alias("r2")), "node")
+    found = verified(own, docs.select(*_keys(text_col, id_col)).drop("doc_id"), threshold)
     links = found.where(F.col("links").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.select("digest", "node", "mult", "name").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

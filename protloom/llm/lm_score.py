@@ -166,7 +166,7 @@ def gram_totals(grams: DataFrame, n_parts: int) -> DataFrame:
             for k in range(0, len(out), 512):
                 yield _batch(out[k : k + 512], TOTALS)
 
-    return grams.repartition(n_parts, "part").sortWithinPartitions("part", "level", "step").mapInArrow(run, TOTALS)
+    return grams.repartitionById(n_parts, "part").sortWithinPartitions("part", "level", "step").mapInArrow(run, TOTALS)
 
 
 def step_texts(rows: DataFrame) -> DataFrame:

@@ -153,3 +153,29 @@ def test_exact_links():
     sets = [np.unique(np.array(x, np.uint64)) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [9], [1, 2, 3, 5])]
     assert {i: f.tolist() for i, f in jj.exact_links(sets, 0.8)} == {0: [1], 1: [3], 2: []}
     assert {i: f.tolist() for i, f in jj.exact_links(sets, 0.8, split=1)} == {0: [1]}
+
+
+def test_a_tight_group_is_settled_by_its_pivot(spark, monkeypatch):
+    """Blocks near the pivot link as wholes; a few sets further out, and repeated rows, are compared."""
+    monkeypatch.setattr(jj, "BLOCK_SETS", 30)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    docs = []
+    for k in range(400):
+        own = list(base)
+        for _ in range(rng.choice((0, 1, 1, 1, 2) if k % 20 else (3, 5, 8))):
+            own[rng.randrange(150)] = word()
+        docs.append((k, " ".join(own)))
+    docs += docs[:7]
+    pairs = []
+    own = jj.verify
+    monkeypatch.setattr(jj, "verify", lambda members, threshold: pairs.append(members.select("root", "i", "j").distinct().count()) or own(members, threshold))
+    assert run(spark.createDataFrame(docs, "doc_id long, text string")) == plain(docs)
+    assert pairs[0] < 0.7 * (14 * 15 / 2)
+
+
+def test_hubs_of_components(spark):
+    links = [(0, k) for k in range(1, 200)] + [(k, 500 + k) for k in range(50)] + [(900, 901)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), hub=20).collect()}
+    assert set(got.values()) == {0, 900} and len(got) == 252
