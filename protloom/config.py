@@ -26,7 +26,7 @@ def scaled_value(value: int) -> int:
     if value < 1:
         raise ValueError("Scaled value must be greater than 0")
     if value > MAX_SCALED:
-        raise ValueError(f"Scaled value too large: {value}. Proteins are short: scaled should be ≤ {MAX_SCALED}, else the sampling is too sparse (sparse sampling leaves few k-mers of a protein).")
+        raise ValueError(f"Scaled value too large: {value} (max {MAX_SCALED}); so sparse a sample leaves a protein next to no k-mers")
     return value
 
 

@@ -16,6 +16,7 @@ DAYHOFF_GROUPS = {"a": "C", "b": "AGPST", "c": "DENQ", "d": "HKR", "e": "ILMV",
 #: What reduced alphabets write for letters outside their groups.
 UNKNOWN = "X"
 
+_UNKNOWN: dict[str, str] = {}
 _GROUPS = {"protein": None, "raw": None, "hp": HP_GROUPS, "dayhoff": DAYHOFF_GROUPS}
 
 
@@ -27,7 +28,18 @@ def table_of(moltype: str) -> dict[str, str] | None:
     if groups is None:
         return None
     table = {residue: symbol for symbol, members in groups.items() for residue in members}
-    return {**{c: UNKNOWN for c in SPECIAL}, **table}
+    return {**{c: _UNKNOWN.get(moltype, UNKNOWN) for c in SPECIAL}, **table}
+
+
+def register(moltype: str, groups: dict[str, str], unknown: str = UNKNOWN) -> None:
+    """A reduced alphabet of one's own: symbol to the letters that it stands for; other special letters become ``unknown``."""
+    letters = "".join(groups.values())
+    if moltype in ("protein", "raw", "hp", "dayhoff") or not groups:
+        raise ValueError(f"{moltype!r} is built in, or has no groups")
+    if len(set(letters)) != len(letters) or not (letters + "".join(groups)).isascii() or any(len(symbol) != 1 for symbol in groups) or len(unknown) != 1:
+        raise ValueError("symbols are single ASCII characters, and a letter stands in one group")
+    _GROUPS[moltype] = dict(groups)
+    _UNKNOWN[moltype] = unknown
 
 
 def encode(sequence: Column, moltype: str) -> Column:

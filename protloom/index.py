@@ -1,27 +1,37 @@
 """An index of protein sequences: a folder of Parquet tables.
 
-``kmers`` (positioned k-mers), ``sketch`` (hashes with abundance, by sequence), ``signatures`` (counts and digests of sequences), ``sequences`` (names, lengths, and the
-sequences if they are stored) and ``metadata`` (one row). Every record keeps its place, also when
-two have the same hashes; the pseudo-digest is a column, not a key. A sequence with an invalid residue fails
-the call, and nothing of the call is stored. Nothing is collected but counts and the metadata row.
+``kmers`` (positioned k-mers), ``sketch`` (hashes with abundance, by sequence), ``signatures`` (counts and digests of sequences) and ``sequences`` (ids, names, lengths, and the
+sequences if they are stored). Every record has an id of its own and keeps its place, also when two have the same name or the same hashes; the
+pseudo-digest is a column, not a key. A sequence with an invalid residue fails the call, and nothing of the call is stored.
+
+Each call writes into folders of its own, and is published last, by one row of ``metadata``: what an interrupted call
+left is never read, and writers do not meet. ``compact`` adds ``postings``, the hashes of all calls so far, clustered by hash; a search reads them, and the
+sketches of calls that came later. Nothing is collected but counts and the metadata rows.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import BuilderError, InvalidKsize, NoSavedState
+from .config import kmer_size, molecule_type
+from .errors import BuilderError, ConfigurationError, InvalidKsize, NoSavedState
 from .functions import alphabet, hashing
+from .metrics import MetricsCollector, timed
 from .operators import kmers as km
+from .operators import search as se
 from .operators.signature_ops import differing
-from .sources.fasta import read_path_or_stdin
+from .scratch import forget
+from .sources.fasta import read_path_or_stdin, state_of
 
 SUFFIX = "protloom"
+#: ``kind`` is ``call`` or ``postings``, ``covers`` the calls in a table of postings.
+METADATA = "kind string, name string, covers array<string>, moltype string, ksize int, scaled int, store_raw_sequences boolean, at timestamp"
 
 
 def index_filename(base: str, moltype: str, ksize: int, scaled: int) -> str:
@@ -53,7 +63,9 @@ class ProteinIndex:
         alphabet.table_of(moltype)
         if ksize < 1:
             raise InvalidKsize(ksize)
-        self.spark, self.path = spark, str(path)
+        if scaled < 1:
+            raise ConfigurationError("scaled", "Scaled value must be greater than 0")
+        self.spark, self.path, self.metrics = spark, str(path), MetricsCollector()
         self.ksize, self.scaled, self.moltype, self.store_raw_sequences, self.seed = ksize, scaled, moltype, store_raw_sequences, seed
 
     # ---- making ----
@@ -70,11 +82,17 @@ class ProteinIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ProteinIndex:
         """The stored index; its settings come from its metadata."""
-        if not exists(spark, f"{path}/metadata"):
-            raise NoSavedState()
-        row = spark.read.parquet(f"{path}/metadata").first()
+        row = cls._published(spark, path)[0]
         return cls(spark, path, row["ksize"], row["scaled"], row["moltype"], row["store_raw_sequences"])
 
+    @staticmethod
+    def _published(spark: SparkSession, path: str) -> list:
+        """The metadata rows, first calls first."""
+        rows = sorted(spark.read.schema(METADATA).parquet(f"{path}/metadata").collect(), key=lambda r: (r["at"], r["name"])) if exists(spark, f"{path}/metadata") else []
+        if not rows:
+            raise NoSavedState()
+        return rows
+
     def generate_filename(self, base: str) -> str:
         return index_filename(base, self.moltype, self.ksize, self.scaled)
 
@@ -82,44 +100,73 @@ class ProteinIndex:
 
     def prepared(self, sequences: DataFrame) -> DataFrame:
         """Checked, cut at the stop codon, resolved."""
-        return sequences.select("name", alphabet.validate_and_resolve(F.col("sequence"), self.seed).alias("sequence"))
+        own = ["id"] if "id" in sequences.columns else []
+        return sequences.select(*own, "name", alphabet.validate_and_resolve(F.col("sequence"), self.seed).alias("sequence"))
 
     def signatures_of(self, sequences: DataFrame) -> DataFrame:
         """``name, hashval, abund`` of sequences, not stored."""
         return km.sketches(self.prepared(sequences), self.ksize, self.moltype, self.scaled)
 
     def store(self, sequences: DataFrame) -> None:
-        """Append ``name, sequence`` rows. They are checked as a whole before any table grows."""
-        staged = f"{self.path}/_staged"
-        self.prepared(sequences).write.mode("overwrite").parquet(staged)
-        own = self.spark.read.schema("name string, sequence string").parquet(staged)
-        km.kmer_positions(own, self.ksize, self.moltype, self.scaled).write.mode("append").parquet(f"{self.path}/kmers")
-        km.sketches(own, self.ksize, self.moltype, self.scaled).write.mode("append").parquet(f"{self.path}/sketch")
-        km.signatures(own, self.ksize, self.moltype, self.scaled).write.mode("append").parquet(f"{self.path}/signatures")
-        raw = F.col("sequence") if self.store_raw_sequences else F.lit(None).cast("string")
-        own.select("name", F.length("sequence").alias("length"), raw.alias("sequence")).write.mode("append").parquet(f"{self.path}/sequences")
-        self._metadata()
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        """Append ``name, sequence`` rows. They are checked as a whole before anything of them can be read."""
+        call = uuid.uuid4().hex
+        at = lambda table: f"{self.path}/{table}/call={call}"
+        with timed("store") as took:
+            prepared = self.prepared(sequences).select(F.xxhash64(F.lit(call), F.monotonically_increasing_id()).alias("id"), "name", "sequence")
+            prepared.write.parquet(at("staged"))
+            own = self.spark.read.schema("id long, name string, sequence string").parquet(at("staged"))
+            km.kmer_positions(own, self.ksize, self.moltype, self.scaled).write.parquet(at("kmers"))
+            km.sketches(own, self.ksize, self.moltype, self.scaled).write.parquet(at("sketch"))
+            km.signatures(own, self.ksize, self.moltype, self.scaled).write.parquet(at("signatures"))
+            raw = F.col("sequence") if self.store_raw_sequences else F.lit(None).cast("string")
+            own.select("id", "name", F.length("sequence").alias("length"), raw.alias("sequence")).write.parquet(at("sequences"))
+            self._publish("call", call, [])
+            forget(self.spark, at("staged"))
+        own = self.spark.read.schema(km.SIGNATURES).parquet(at("signatures")).agg(F.count("*"), F.sum("occurrences")).first()
+        for name, n in (("signatures_processed", own[0]), ("kmers_processed", own[1] or 0), ("database_operations", 5)):
+            self.metrics.record(name, n)
+        log(f"stored {own[0]} sequences in {took[0]:.1f} s")
 
     def process_fasta(self, path: str) -> None:
         """Append the records of a FASTA file, in upper case."""
         self.store(read_path_or_stdin(self.spark, path).select("name", F.upper("sequence").alias("sequence")))
 
-    def _metadata(self) -> None:
-        row = [(self.moltype, self.ksize, self.scaled, self.store_raw_sequences)]
-        self.spark.createDataFrame(row, "moltype string, ksize int, scaled int, store_raw_sequences boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/metadata")
+    def _publish(self, kind: str, name: str, covers: list[str]) -> None:
+        """One row, in a file of its own, that appears as a whole."""
+        row = self.spark.createDataFrame([(kind, name, covers, self.moltype, self.ksize, self.scaled, self.store_raw_sequences)], METADATA.removesuffix(", at timestamp"))
+        row.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/metadata")
 
     def compact(self, partitions: int) -> None:
-        """Rewrite the sketch, clustered by hash, into ``postings``."""
-        self.sketch().repartition(partitions, "hashval").sortWithinPartitions("hashval").write.mode("overwrite").parquet(f"{self.path}/postings")
+        """Write the sketches of all calls so far, dealt out by hash range and sorted by hash."""
+        calls, name = self._calls(), uuid.uuid4().hex
+        own = self.sketch().select("id", "hashval", "abund")
+        own.repartitionByRange(partitions, "hashval").sortWithinPartitions("hashval").write.parquet(f"{self.path}/postings/call={name}")
+        self._publish("postings", name, calls)
 
     # ---- reading ----
 
+    def _calls(self) -> list[str]:
+        return [r["name"] for r in self._published(self.spark, self.path) if r["kind"] == "call"]
+
+    def _read(self, name: str, schema: str, calls: list[str]) -> DataFrame:
+        if not calls:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/call={c}" for c in calls))
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        if not exists(self.spark, f"{self.path}/{name}"):
-            raise NoSavedState()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self._read(name, schema, self._calls())
+
+    def postings(self) -> DataFrame:
+        """``id, hashval, abund`` of all calls: the last compaction, and the sketches of the calls it does not cover."""
+        schema, compacted = "id long, hashval long, abund long", [r for r in self._published(self.spark, self.path) if r["kind"] == "postings"]
+        covered = set(compacted[-1]["covers"]) if compacted else set()
+        rest = self._read("sketch", km.SKETCH, [c for c in self._calls() if c not in covered]).select("id", "hashval", "abund")
+        return self._read("postings", schema, [compacted[-1]["name"]]).unionByName(rest) if compacted else rest
+
+    def search(self, queries: DataFrame, ids: bool = False) -> DataFrame:
+        """The measures of ``manysearch`` for ``name, sequence`` queries against what is stored, whose sequences are not read again; an ``id`` tells queries of one name apart."""
+        own = se.read_collection(self.prepared(queries), self.ksize, self.moltype, self.scaled)
+        return se.manysearch(own, se.Collection(self.signatures(), self.postings()), self.ksize, self.scaled, self.moltype, ids)
 
     def kmers(self) -> DataFrame:
         return self._table("kmers", km.KMERS)
@@ -128,10 +175,10 @@ class ProteinIndex:
         return self._table("sketch", km.SKETCH)
 
     def sequences(self) -> DataFrame:
-        return self._table("sequences", "name string, length int, sequence string")
+        return self._table("sequences", "id long, name string, length int, sequence string")
 
     def signatures(self) -> DataFrame:
-        """``name, n_hashes, occurrences, pseudo_md5, md5``; sequences without hashes have 0, 0 and ``0``."""
+        """``id, name, n_hashes, occurrences, pseudo_md5, md5``; sequences without hashes have 0, 0 and ``0``."""
         return self._table("signatures", km.SIGNATURES)
 
     def combined(self) -> DataFrame:
@@ -155,7 +202,7 @@ class ProteinIndex:
         return not differing(self._content(), other._content()).limit(1).count()
 
     def _content(self) -> DataFrame:
-        return self.kmers().join(self.signatures().select("name", "pseudo_md5"), "name").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
+        return self.kmers().join(self.signatures().select("id", "pseudo_md5"), "id").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
 
 
 @dataclass
@@ -199,25 +246,43 @@ class IndexBuilder:
 
 
 class SequenceSet:
-    """A FASTA file with its derived tables, made when asked for and found again on disk unless ``force``."""
+    """A FASTA file with its derived tables, made when asked for and found again on disk unless ``force``.
+
+    A table is used again only if it was written to its end, from the file as it is now.
+    """
 
     def __init__(self, spark: SparkSession, fasta: str, ksize: int, scaled: int = 5, moltype: str = "hp", extract_kmers: bool = False, force: bool = False):
+        kmer_size(ksize)
+        molecule_type(moltype)
         self.spark, self.fasta, self.ksize, self.scaled, self.moltype, self.extract_kmers, self.force = spark, str(fasta), ksize, scaled, moltype, extract_kmers, force
 
     def sequences(self) -> DataFrame:
-        return read_path_or_stdin(self.spark, self.fasta).select("name", alphabet.validate_and_resolve(F.upper("sequence")).alias("sequence"))
+        """``id, name, sequence``; the id is of the record's name and sequence, and the same in each reading."""
+        rows = read_path_or_stdin(self.spark, self.fasta).select("name", alphabet.validate_and_resolve(F.upper("sequence")).alias("sequence"))
+        return rows.select(F.xxhash64("name", "sequence").alias("id"), "name", "sequence")
 
     def _kept(self, path: str, schema: str, make: object) -> DataFrame:
-        if self.force or not exists(self.spark, path):
+        state = state_of(self.spark, self.fasta)
+        if self.force or not exists(self.spark, f"{path}/_SUCCESS") or not exists(self.spark, f"{path}.source/_SUCCESS") or self.spark.read.parquet(f"{path}.source").first()["state"] != state:
+            forget(self.spark, f"{path}.source")
             make().write.mode("overwrite").parquet(path)
+            self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}.source")
         return self.spark.read.schema(schema).parquet(path)
 
     @property
     def sketch_path(self) -> str:
         return sketch_filename(self.fasta, self.moltype, self.ksize, self.scaled)
 
+    def profiles(self) -> DataFrame:
+        return self._kept(self.sketch_path, km.PROFILES, lambda: km.profiles(self.sequences(), self.ksize, self.moltype, self.scaled))
+
+    def collection(self) -> se.Collection:
+        rows = self.profiles()
+        return se.Collection(rows.drop("hits", "pseudo_md5"), rows.select("id", F.explode("hits").alias("hit")).select("id", "hit.hashval", "hit.abund"))
+
     def sketch(self) -> DataFrame:
-        return self._kept(self.sketch_path, km.SKETCH, lambda: km.sketches(self.sequences(), self.ksize, self.moltype, self.scaled))
+        """``id, name, hashval, abund``."""
+        return self.profiles().select("id", "name", F.explode("hits").alias("hit")).select("id", "name", "hit.hashval", "hit.abund")
 
     def kmers(self) -> DataFrame | None:
         """The k-mer table, or None where extraction is off."""
@@ -229,6 +294,10 @@ class SequenceSet:
         """The k-mers as ``sequence_file, sequence_name, kmer, hashval, encoded, start``, hashes as unsigned decimals."""
         return self.kmers().select(F.lit(self.fasta).alias("sequence_file"), F.col("name").alias("sequence_name"), "kmer", hashing.unsigned(F.col("hashval")).alias("hashval"), "encoded", "start")
 
+    def matched_sequences(self) -> DataFrame:
+        """``name, sequence`` of the records that have a sampled k-mer."""
+        return self.sequences().join(self.kmers().select("id").distinct(), "id", "left_semi").select("name", "sequence")
+
 
 def log(text: str) -> None:
     print(text, file=sys.stderr)

@@ -2,12 +2,15 @@
 
 Windows are cut, encoded, hashed and sampled inside one Arrow function, on arrays of bytes: a
 k-mer that the sampling leaves out never becomes a row, and a sequence's sketch needs no shuffle, as a
-sequence is one row. Sequences shorter than ``ksize`` have no k-mers.
+sequence is one row. Sequences shorter than ``ksize`` have no k-mers. Sequences longer than a step are worked off in overlapping parts.
+
+Records are told apart by ``id``, a BIGINT column of the sequences; where there is none it is made of the name, so that records of one name are one.
+``only``, a table with a ``hashval`` column, leaves out all other hashes where the sequence is read, if it has ``ONLY`` distinct ones at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +19,14 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet, hashing
 
-KMERS = "name string, start int, kmer string, encoded string, hashval long"
-SKETCH = "name string, hashval long, abund long"
+KMERS = "id long, name string, start int, kmer string, encoded string, hashval long"
+SKETCH = "id long, name string, hashval long, abund long"
+SIGNATURES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string"
+PROFILES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string, hits array<struct<hashval:long,abund:long>>"
 #: Residues in one step of a worker.
 _STEP = 1 << 18
+#: Hashes that a broadcast filter holds at most, 8 bytes each.
+ONLY = 4_000_000
 
 
 def _lookup(moltype: str) -> np.ndarray | None:
@@ -32,21 +39,28 @@ def _lookup(moltype: str) -> np.ndarray | None:
     return out
 
 
-def _steps(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    names, sequences, size = [], [], 0
-    for name, sequence in zip(batch.column("name").to_pylist(), batch.column("sequence").to_pylist(), strict=True):
-        names.append(name)
-        sequences.append((sequence or "").encode())
-        size += len(sequences[-1])
+def _steps(batch: pa.RecordBatch, ksize: int) -> Iterator[tuple[list[int], list[bytes], int, bool]]:
+    """Rows of the batch with their sequences, the first's offset, and whether the row ends there: many whole sequences, or a part of a long one."""
+    rows, sequences, size = [], [], 0
+    for row, sequence in enumerate(batch.column("sequence")):
+        own = (sequence.as_py() or "").encode()
+        if len(own) > _STEP:
+            last = len(own) - ksize
+            for at in range(0, last + 1, _STEP):
+                yield [row], [own[at : at + _STEP + ksize - 1]], at, at + _STEP > last
+            continue
+        rows.append(row)
+        sequences.append(own)
+        size += len(own)
         if size >= _STEP:
-            yield names, sequences
-            names, sequences, size = [], [], 0
-    if names:
-        yield names, sequences
+            yield rows, sequences, 0, True
+            rows, sequences, size = [], [], 0
+    if rows:
+        yield rows, sequences, 0, True
 
 
-def _windows(sequences: list[bytes], ksize: int, lookup: np.ndarray | None, limit: int) -> tuple[np.ndarray, ...]:
-    """Sequence number, start, raw and encoded bytes, and hash of the sampled windows."""
+def _windows(sequences: list[bytes], ksize: int, lookup: np.ndarray | None, keep: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sequence number, start, raw and encoded bytes, and hash of the windows that are kept."""
     size = np.array([len(s) for s in sequences])
     data = np.frombuffer(b"".join(sequences), np.uint8)
     if len(data) < ksize:
@@ -59,7 +73,7 @@ def _windows(sequences: list[bytes], ksize: int, lookup: np.ndarray | None, limi
     encoded = data if lookup is None else lookup[data]
     view = np.lib.stride_tricks.sliding_window_view(encoded, ksize)[whole]
     hashed = hashing.murmur(view)
-    kept = hashed <= np.uint64(limit)
+    kept = keep(hashed)
     at = whole[kept]
     raw = np.lib.stride_tricks.sliding_window_view(data, ksize)[at]
     return owner[at], start[at], raw, view[kept], hashed[kept]
@@ -70,80 +84,137 @@ def _strings(rows: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(np.arange(0, (n + 1) * k, k, dtype=np.int32)[: n + 1]), pa.py_buffer(np.ascontiguousarray(rows)))
 
 
-def _named(df: DataFrame, name: str, sequence: str) -> DataFrame:
-    return df.select(F.col(name).cast("string").alias("name"), F.col(sequence).cast("string").alias("sequence"))
+def named(df: DataFrame, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """``id, name, sequence``."""
+    label = F.col(name).cast("string")
+    own = F.col("id").cast("long") if "id" in df.columns else F.xxhash64(label)
+    return df.select(own.alias("id"), label.alias("name"), F.col(sequence).cast("string").alias("sequence"))
+
+
+def broadcast_hashes(only: DataFrame | None):  # noqa: ANN201
+    """The distinct hashes, ascending as unsigned numbers, as a broadcast variable; None if there are more than ``ONLY``."""
+    if only is None:
+        return None
+    found = only.select("hashval").distinct().limit(ONLY + 1).toArrow().column("hashval").to_numpy().view(np.uint64)
+    return only.sparkSession.sparkContext.broadcast(np.sort(found)) if len(found) <= ONLY else None
+
+
+def _kept(limit: int, told) -> Callable[[np.ndarray], np.ndarray]:  # noqa: ANN001
+    """Which hashes are sampled and, with a broadcast filter, in it."""
+
+    def keep(hashed: np.ndarray) -> np.ndarray:
+        out = hashed <= np.uint64(limit)
+        if told is not None:
+            out &= _in(told.value, hashed)
+        return out
+
+    return keep
+
 
+def _in(known: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashed), bool)
+    at = np.searchsorted(known, hashed)
+    at[at == len(known)] = 0
+    return known[at] == hashed
 
-def kmer_positions(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
-    """``name, start, kmer, encoded, hashval``: a row for each sampled k-mer of prepared sequences; starts count from 0."""
+
+def kmer_positions(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None) -> DataFrame:
+    """``id, name, start, kmer, encoded, hashval``: a row for each sampled k-mer of prepared sequences; starts count from 0."""
     if ksize < 1:
         return sequences.sparkSession.createDataFrame([], KMERS)
-    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+    lookup, keep = _lookup(moltype), _kept(hashing.max_hash(scaled), broadcast_hashes(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, own in _steps(batch):
-                owner, start, raw, encoded, hashed = _windows(own, ksize, lookup, limit)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(owner)), pa.array(start, pa.int32()), _strings(raw), _strings(encoded), pa.array(hashed.view(np.int64))], ["name", "start", "kmer", "encoded", "hashval"])
-
-    return _named(sequences, name, sequence).mapInArrow(run, KMERS)
+            for rows, own, offset, _ in _steps(batch, ksize):
+                owner, start, raw, encoded, hashed = _windows(own, ksize, lookup, keep)
+                of = pa.array(np.array(rows, np.int64)[owner])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(start + offset, pa.int32()), _strings(raw), _strings(encoded), pa.array(hashed.view(np.int64))], ["id", "name", "start", "kmer", "encoded", "hashval"])
+
+    return named(sequences, name, sequence).mapInArrow(run, KMERS)
+
+
+def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the batch, and the sampled hashes of these with their counts: row by row, ascending."""
+    keep, parts = _kept(limit, None), []
+    for rows, own, _, ends in _steps(batch, ksize):
+        owner, _, _, _, hashed = _windows(own, ksize, lookup, keep)
+        order = np.lexsort((hashed, owner))
+        owner, hashed = owner[order], hashed[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
+        at = np.flatnonzero(new)
+        owner, hashed, abund = owner[at], hashed[at], np.diff(np.append(at, len(order)))
+        if not ends or parts:  # a long sequence
+            parts.append((hashed, abund))
+            if not ends:
+                continue
+            hashed, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+            abund = np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(hashed)).astype(np.int64)
+            owner, parts = np.zeros(len(hashed), np.int64), []
+        yield rows, owner, hashed, abund
 
 
 def sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
-    """``name, hashval, abund``: each sequence's sampled hashes and how often they occur in it."""
+    """``id, name, hashval, abund``: each sequence's sampled hashes and how often they occur in it."""
     lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for names, own in _steps(batch):
-                owner, _, _, _, hashed = _windows(own, ksize, lookup, limit)
-                order = np.lexsort((hashed, owner))
-                owner, hashed = owner[order], hashed[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
-                at = np.flatnonzero(new)
-                abund = np.diff(np.append(at, len(order)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(owner[at])), pa.array(hashed[at].view(np.int64)), pa.array(abund, pa.int64())], ["name", "hashval", "abund"])
+            for rows, owner, hashed, abund in _counted(batch, ksize, lookup, limit):
+                of = pa.array(np.array(rows, np.int64)[owner])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(hashed.view(np.int64)), pa.array(abund, pa.int64())], ["id", "name", "hashval", "abund"])
 
-    return _named(sequences, name, sequence).mapInArrow(run, SKETCH)
+    return named(sequences, name, sequence).mapInArrow(run, SKETCH)
 
 
-SIGNATURES = "name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string"
+def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None, hits: bool = True) -> DataFrame:
+    """``id, name, n_hashes, occurrences, pseudo_md5, md5, hits`` of each sequence's sketch, from one reading and without a shuffle.
 
-
-def signatures(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
-    """``name, n_hashes, occurrences, pseudo_md5, md5`` of each sequence's sketch, where the sequence is read: no shuffle.
-
-    A sequence without sampled k-mers has 0, 0, ``0`` and the digest of the k-mer size alone.
+    The measures are of the whole sketch, also where ``only`` leaves few ``hits``. A sequence without sampled k-mers has 0, 0, ``0``
+    and the digest of the k-mer size alone.
     """
-    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+    lookup, limit, told = _lookup(moltype), hashing.max_hash(scaled), broadcast_hashes(only)
+    pair = pa.struct([("hashval", pa.int64()), ("abund", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            for names, own in _steps(batch):
-                owner, _, _, _, hashed = _windows(own, ksize, lookup, limit)
-                ends = np.searchsorted(owner, np.arange(len(names) + 1))
-                rows = []
-                for k, label in enumerate(names):
-                    mins = np.unique(hashed[ends[k] : ends[k + 1]])
-                    digest = hashlib.md5((str(3 * ksize) + "".join(map(str, mins.tolist()))).encode(), usedforsecurity=False).hexdigest()
-                    rows.append((label, len(mins), int(ends[k + 1] - ends[k]), f"{int(mins.sum(dtype=np.uint64)):x}", digest))
-                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SIGNATURES.split(", ")])
+            for rows, owner, hashed, abund in _counted(batch, ksize, lookup, limit):
+                ends = np.searchsorted(owner, np.arange(len(rows) + 1))
+                total = np.concatenate([[0], np.cumsum(abund)])
+                sums, digests = [], []
+                for k in range(len(rows)):
+                    mins = hashed[ends[k] : ends[k + 1]]
+                    sums.append(f"{int(mins.sum(dtype=np.uint64)):x}")
+                    digests.append(hashlib.md5((str(3 * ksize) + "".join(map(str, mins.tolist()))).encode(), usedforsecurity=False).hexdigest())
+                of = pa.array(rows)
+                columns = [batch.column("id").take(of), batch.column("name").take(of), pa.array(np.diff(ends), pa.int64()), pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), pa.array(sums), pa.array(digests)]
+                if hits:
+                    here = np.ones(len(hashed), bool) if told is None else _in(told.value, hashed)
+                    offsets = np.concatenate([[0], np.cumsum(here)])[ends]
+                    values = pa.StructArray.from_arrays([pa.array(hashed[here].view(np.int64)), pa.array(abund[here], pa.int64())], fields=list(pair))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n_hashes", "occurrences", "pseudo_md5", "md5", "hits"][: len(columns)])
+
+    return named(sequences, name, sequence).mapInArrow(run, PROFILES if hits else SIGNATURES)
 
-    return _named(sequences, name, sequence).mapInArrow(run, SIGNATURES)
+
+def signatures(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """``id, name, n_hashes, occurrences, pseudo_md5, md5`` of each sequence's sketch."""
+    return profiles(sequences, ksize, moltype, scaled, name, sequence, hits=False)
 
 
 def kmer_infos(kmers: DataFrame) -> DataFrame:
-    """``name, hashval, encoded, kmer, positions`` with ascending positions."""
-    return kmers.groupBy("name", "hashval", "encoded", "kmer").agg(F.array_sort(F.collect_list("start")).alias("positions"))
+    """``id, name, hashval, encoded, kmer, positions`` with ascending positions."""
+    return kmers.groupBy("id", "name", "hashval", "encoded", "kmer").agg(F.array_sort(F.collect_list("start")).alias("positions"))
 
 
 def nested_infos(kmers: DataFrame) -> DataFrame:
-    """``name, hashval, encoded, originals``: positions by original k-mer, as a map."""
-    return kmer_infos(kmers).groupBy("name", "hashval", "encoded").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "positions"))).alias("originals"))
+    """``id, name, hashval, encoded, originals``: positions by original k-mer, as a map."""
+    return kmer_infos(kmers).groupBy("id", "name", "hashval", "encoded").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "positions"))).alias("originals"))
 
 
 def combined_sketch(sketch: DataFrame) -> DataFrame:
@@ -163,10 +234,10 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def signature_names(sketch: DataFrame) -> DataFrame:
-    """``name, n_hashes, occurrences, pseudo_md5``, the last the hexadecimal sum of the hashes."""
-    return sketch.groupBy("name").agg(F.count("*").alias("n_hashes"), F.sum("abund").alias("occurrences"), hashing.wrapped_sum_hex(F.col("hashval")).alias("pseudo_md5"))
+    """``id, name, n_hashes, occurrences, pseudo_md5``, the last the hexadecimal sum of the hashes."""
+    return sketch.groupBy("id", "name").agg(F.count("*").alias("n_hashes"), F.sum("abund").alias("occurrences"), hashing.wrapped_sum_hex(F.col("hashval")).alias("pseudo_md5"))
 
 
 def sketch_digests(sketch: DataFrame, ksize: int) -> DataFrame:
-    """``name, md5``."""
-    return sketch.groupBy("name").agg(F.collect_list("hashval").alias("hashes")).select("name", hashing.sketch_md5(F.col("hashes"), ksize).alias("md5"))
+    """``id, name, md5``."""
+    return sketch.groupBy("id", "name").agg(F.collect_list("hashval").alias("hashes")).select("id", "name", hashing.sketch_md5(F.col("hashes"), ksize).alias("md5"))

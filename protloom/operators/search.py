@@ -1,40 +1,65 @@
 """Similarity search of sketches: pairs of query and target that share a hash, with their measures.
 
-Pairs come from one equi-join on the hash, after sampling. The query side is left to Spark's own size
-check for a broadcast. Occurrence and size columns are joined on after the pairs are counted, from
-the collections' signatures where these are given, else from the sketches.
+Both sides are collections: a row for each record with the measures of its sketch, and its hashes. Those of the targets come from one reading
+that keeps the queries' hashes only, or from a stored index. Records are told apart by their ids, whatever their names.
+
+Pairs come from one equi-join on the hash, after sampling. The query side is left to Spark's own size check for a broadcast; beyond
+it both sides are dealt out by the hash, where the rows of a very common one can be split. Names, sizes and digests are joined on after the pairs are counted.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import idf, sketch_digests
+from ..scratch import saved
+from . import kmers as km
+
+
+@dataclass
+class Collection:
+    """``records``: ``id, name, n_hashes, occurrences, md5``; ``hashes``: ``id, hashval, abund``."""
+
+    records: DataFrame
+    hashes: DataFrame
+
+    def known(self) -> DataFrame:
+        return self.hashes.select("hashval")
+
+
+def read_collection(sequences: DataFrame, ksize: int, moltype: str, scaled: int, only: DataFrame | None = None) -> Collection:
+    """The sketches of sequences, which are read once; with ``only``, a search's queries, other hashes are left out."""
+    rows, _ = saved(km.profiles(sequences, ksize, moltype, scaled, only=only), "profiles")
+    return Collection(rows.drop("hits", "pseudo_md5"), rows.select("id", F.explode("hits").alias("hit")).select("id", "hit.hashval", "hit.abund"))
+
+
+def collection_of(sketch: DataFrame, ksize: int) -> Collection:
+    """From a table of sketches alone, whose records all have hashes."""
+    sizes = sketch.groupBy("id", "name").agg(F.count("*").alias("n_hashes"), F.sum("abund").alias("occurrences"))
+    return Collection(sizes.join(km.sketch_digests(sketch, ksize).drop("name"), "id"), sketch.select("id", "hashval", "abund"))
 
 
-def _sizes(sketch: DataFrame, ksize: int, side: str, signatures: DataFrame | None) -> DataFrame:
-    if signatures is None:
-        sizes = sketch.groupBy("name").agg(F.count("*").alias("n_hashes"), F.sum("abund").alias("occurrences"))
-        signatures = sizes.join(sketch_digests(sketch, ksize), "name")
-    return signatures.select(F.col("name").alias(f"{side}_name"), F.col("md5").alias(f"{side}_md5"), F.col("n_hashes").alias(f"{side}_n"), F.col("occurrences").alias(f"{side}_total"))
+def _records(own: Collection, side: str) -> DataFrame:
+    return own.records.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("md5").alias(f"{side}_md5"), F.col("n_hashes").alias(f"{side}_n"), F.col("occurrences").alias(f"{side}_total"))
 
 
-def shared_hashes(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """``query_name, match_name, hashval, query_abund, match_abund``."""
-    q = queries.select(F.col("name").alias("query_name"), "hashval", F.col("abund").alias("query_abund"))
-    t = targets.select(F.col("name").alias("match_name"), "hashval", F.col("abund").alias("match_abund"))
+def shared_hashes(queries: Collection, targets: Collection) -> DataFrame:
+    """``query_id, match_id, hashval, query_abund, match_abund``."""
+    q = queries.hashes.select(F.col("id").alias("query_id"), "hashval", F.col("abund").alias("query_abund"))
+    t = targets.hashes.select(F.col("id").alias("match_id"), "hashval", F.col("abund").alias("match_abund"))
     return t.join(q, "hashval")
 
 
-def manysearch(queries: DataFrame, targets: DataFrame, ksize: int, scaled: int, moltype: str, query_signatures: DataFrame | None = None, target_signatures: DataFrame | None = None) -> DataFrame:
-    """22 measures of every pair of sketches that share a hash."""
+def manysearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str, ids: bool = False) -> DataFrame:
+    """22 measures of every pair of sketches that share a hash; with ``ids`` also ``query_id`` and ``match_id``."""
     k3 = 3 * ksize
     a = F.col("match_abund")
-    pairs = shared_hashes(queries, targets).groupBy("query_name", "match_name").agg(
+    pairs = shared_hashes(queries, targets).groupBy("query_id", "match_id").agg(
         F.count("*").alias("intersect_hashes"), F.avg(a).alias("average_abund"), F.median(a).alias("median_abund"), F.stddev_pop(a).alias("std_abund"), F.sum(a).alias("n_weighted_found")
     )
-    rows = pairs.join(_sizes(queries, ksize, "query", query_signatures), "query_name").join(_sizes(targets, ksize, "match", target_signatures), "match_name")
+    rows = pairs.join(_records(queries, "query"), "query_id").join(_records(targets, "match"), "match_id")
     both, nq, nt = F.col("intersect_hashes"), F.col("query_n"), F.col("match_n")
     rows = rows.withColumns({"containment": both / nq, "containment_target_in_query": both / nt})
     rows = rows.withColumns({"query_containment_ani": F.pow("containment", F.lit(1 / k3)), "match_containment_ani": F.pow("containment_target_in_query", F.lit(1 / k3))})
@@ -42,27 +67,26 @@ def manysearch(queries: DataFrame, targets: DataFrame, ksize: int, scaled: int,
         "query_name", "query_md5", "match_name", "containment", "intersect_hashes", F.lit(k3).alias("ksize"), F.lit(scaled).alias("scaled"), F.lit(moltype).alias("moltype"), "match_md5",
         (both / (nq + nt - both)).alias("jaccard"), (both / F.least(nq, nt)).alias("max_containment"), "average_abund", "median_abund", "std_abund", "query_containment_ani", "match_containment_ani",
         ((F.col("query_containment_ani") + F.col("match_containment_ani")) / 2).alias("average_containment_ani"), F.greatest("query_containment_ani", "match_containment_ani").alias("max_containment_ani"),
-        "n_weighted_found", F.col("match_total").alias("total_weighted_hashes"), "containment_target_in_query", (F.col("n_weighted_found") / F.col("match_total")).alias("f_weighted_target_in_query"),
+        "n_weighted_found", F.col("match_total").alias("total_weighted_hashes"), "containment_target_in_query", (F.col("n_weighted_found") / F.col("match_total")).alias("f_weighted_target_in_query"), *(["query_id", "match_id"] * ids),
     )
 
 
-def multisearch(queries: DataFrame, targets: DataFrame, n_targets: int, ksize: int, scaled: int, moltype: str, query_signatures: DataFrame | None = None, target_signatures: DataFrame | None = None) -> DataFrame:
+def multisearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str) -> DataFrame:
     """16 measures of every pair, among them the probability of the overlap by chance and tf-idf.
 
     A hash's frequency is its share of all occurrences in the query and in the target collection;
     the adjustment multiplies by the number of targets; tf is the hash's share of the query's occurrences.
     """
-    q_all = queries.groupBy("hashval").agg(F.sum("abund").alias("q_abund"))
-    # only hashes of the queries matter: the collection meets them before it is counted
-    t_all = targets.join(q_all, "hashval").groupBy("hashval").agg(F.sum("abund").alias("t_abund"), F.count("*").alias("df"), F.first("q_abund").alias("q_abund"))
-    total = lambda sketch, signatures, name: sketch.agg(F.sum("abund").alias(name)) if signatures is None else signatures.agg(F.sum("occurrences").alias(name))
-    totals = F.broadcast(total(queries, query_signatures, "q_total").crossJoin(total(targets, target_signatures, "t_total")))  # one row
-    weights = t_all.crossJoin(totals).select("hashval", (F.col("q_abund") / F.col("q_total") * F.col("t_abund") / F.col("t_total")).alias("p"), idf(F.lit(n_targets), F.col("df")).alias("idf"))
+    q_all = queries.hashes.groupBy("hashval").agg(F.sum("abund").alias("q_abund"))
+    t_all = targets.hashes.groupBy("hashval").agg(F.sum("abund").alias("t_abund"), F.count("*").alias("df")).join(q_all, "hashval")
+    total = lambda own, name: own.records.agg(F.sum("occurrences").alias(name), F.count("*").alias(f"{name}_n"))
+    totals = F.broadcast(total(queries, "q_total").crossJoin(total(targets, "t_total")))  # one row
+    weights = t_all.crossJoin(totals).select("hashval", (F.col("q_abund") / F.col("q_total") * F.col("t_abund") / F.col("t_total")).alias("p"), km.idf(F.col("t_total_n"), F.col("df")).alias("idf"), F.col("t_total_n").alias("n_targets"))
     shared = shared_hashes(queries, targets).join(weights, "hashval")
-    pairs = shared.groupBy("query_name", "match_name").agg(F.count("*").alias("n"), F.sum("p").alias("prob_overlap"), F.sum(F.col("query_abund") * F.col("idf")).alias("weighted"))
-    rows = pairs.join(_sizes(queries, ksize, "query", query_signatures), "query_name").join(_sizes(targets, ksize, "match", target_signatures), "match_name")
+    pairs = shared.groupBy("query_id", "match_id").agg(F.count("*").alias("n"), F.sum("p").alias("prob_overlap"), F.sum(F.col("query_abund") * F.col("idf")).alias("weighted"), F.first("n_targets").alias("n_targets"))
+    rows = pairs.join(_records(queries, "query"), "query_id").join(_records(targets, "match"), "match_id")
     both, nq, nt = F.col("n"), F.col("query_n"), F.col("match_n")
-    rows = rows.withColumns({"containment": both / nq, "prob_overlap_adjusted": F.col("prob_overlap") * n_targets})
+    rows = rows.withColumns({"containment": both / nq, "prob_overlap_adjusted": F.col("prob_overlap") * F.col("n_targets")})
     adjusted = F.col("containment") / F.col("prob_overlap_adjusted")
     return rows.select(
         "query_name", "query_md5", "match_name", "match_md5", "containment", (both / F.least(nq, nt)).alias("max_containment"), (both / (nq + nt - both)).alias("jaccard"), both.cast("double").alias("intersect_hashes"),
@@ -72,11 +96,11 @@ def multisearch(queries: DataFrame, targets: DataFrame, n_targets: int, ksize: i
 
 
 def kmer_hits(query_kmers: DataFrame, target_kmers: DataFrame) -> DataFrame:
-    """Equal encoded k-mers of queries and targets, with names, starts and originals of both."""
-    own = lambda df, side: df.select("hashval", "encoded", F.col("name").alias(f"{side}_name"), F.col("kmer").alias(f"kmer_{side}"), F.col("start").alias(f"start_{side}"))
+    """Equal encoded k-mers of queries and targets, with ids, names, starts and originals of both."""
+    own = lambda df, side: df.select("hashval", "encoded", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("kmer").alias(f"kmer_{side}"), F.col("start").alias(f"start_{side}"))
     return own(target_kmers, "match").join(own(query_kmers, "query"), ["hashval", "encoded"])
 
 
 def search_hits(results: DataFrame, hits: DataFrame) -> DataFrame:
-    """The hits of the pairs that a search found, with the search's columns."""
-    return hits.join(results, ["query_name", "match_name"])
+    """The hits of the pairs that a search found, with the search's columns; ``results`` has the pairs' ids."""
+    return hits.join(results, ["query_id", "match_id"])

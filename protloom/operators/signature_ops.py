@@ -1,41 +1,43 @@
-"""Analytics of positioned k-mers and sketches, all per sequence."""
+"""Analytics of positioned k-mers and sketches, all per sequence; sequences are told apart by id, and their names go along."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kmers import named
+
 
 def kmer_counts(kmers: DataFrame) -> DataFrame:
-    """``name, hashval, n``."""
-    return kmers.groupBy("name", "hashval").agg(F.count("*").alias("n"))
+    """``id, name, hashval, n``."""
+    return kmers.groupBy("id", "name", "hashval").agg(F.count("*").alias("n"))
 
 
 def unique_kmer_counts(kmers: DataFrame) -> DataFrame:
-    """``name, hashval, n_originals``: how many k-mers share a hash."""
-    return kmers.groupBy("name", "hashval").agg(F.countDistinct("kmer").alias("n_originals"))
+    """``id, name, hashval, n_originals``: how many k-mers share a hash."""
+    return kmers.groupBy("id", "name", "hashval").agg(F.countDistinct("kmer").alias("n_originals"))
 
 
 def total_occurrences(kmers: DataFrame) -> DataFrame:
-    """``name, n``."""
-    return kmers.groupBy("name").agg(F.count("*").alias("n"))
+    """``id, name, n``."""
+    return kmers.groupBy("id", "name").agg(F.count("*").alias("n"))
 
 
 def kmers_by_count(kmers: DataFrame) -> DataFrame:
-    """``name, n, n_hashes, hashes``: the hashes of each count, ascending as unsigned numbers' texts."""
+    """``id, name, n, n_hashes, hashes``: the hashes of each count, ascending as unsigned numbers' texts."""
     from ..functions.hashing import unsigned_text
 
-    return kmer_counts(kmers).groupBy("name", "n").agg(F.count("*").alias("n_hashes"), F.array_sort(F.collect_list(unsigned_text(F.col("hashval")))).alias("hashes"))
+    return kmer_counts(kmers).groupBy("id", "name", "n").agg(F.count("*").alias("n_hashes"), F.array_sort(F.collect_list(unsigned_text(F.col("hashval")))).alias("hashes"))
 
 
 def multi_position_kmers(kmers: DataFrame) -> DataFrame:
-    """``name, hashval, n`` where a hash stands at several positions."""
+    """``id, name, hashval, n`` where a hash stands at several positions."""
     return kmer_counts(kmers).where(F.col("n") > 1)
 
 
 def kmers_at(kmers: DataFrame, position: int) -> DataFrame:
-    """``name, hashval`` at a position."""
-    return kmers.where(F.col("start") == position).select("name", "hashval").distinct()
+    """``id, name, hashval`` at a position."""
+    return kmers.where(F.col("start") == position).select("id", "name", "hashval").distinct()
 
 
 def has_position(originals: Column, position: int) -> Column:
@@ -54,23 +56,23 @@ def density(n_occurrences: Column, length: Column) -> Column:
 
 
 def overlapping_kmers(kmers: DataFrame) -> DataFrame:
-    """``name, first, second, positions``: pairs of hashes of a sequence that share positions.
+    """``id, name, first, second, positions``: pairs of hashes of a sequence that share positions.
 
     An equi-join on the position; empty for k-mers of one size, where a position has one hash.
     """
-    a = kmers.select("name", "start", F.col("hashval").alias("first"))
-    b = kmers.select("name", "start", F.col("hashval").alias("second"))
-    return a.join(b, ["name", "start"]).where(F.col("first") < F.col("second")).groupBy("name", "first", "second").agg(F.count("*").alias("positions"))
+    a = kmers.select("id", "name", "start", F.col("hashval").alias("first"))
+    b = kmers.select("id", "start", F.col("hashval").alias("second"))
+    return a.join(b, ["id", "start"]).where(F.col("first") < F.col("second")).groupBy("id", "name", "first", "second").agg(F.count("*").alias("positions"))
 
 
 def estimated_size(kmers: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
-    """``name, bytes``: name, 16 for each hash, 12 and the encoded k-mer for each hash, 16 for each original, and the raw sequence if given."""
-    infos = kmers.groupBy("name", "hashval", "encoded").agg(F.countDistinct("kmer").alias("originals"))
-    size = infos.groupBy("name").agg(F.sum(F.lit(16 + 12) + F.length("encoded") + 16 * F.col("originals")).alias("n"))
+    """``id, name, bytes``: name, 16 for each hash, 12 and the encoded k-mer for each hash, 16 for each original, and the raw sequence if given."""
+    infos = kmers.groupBy("id", "name", "hashval", "encoded").agg(F.countDistinct("kmer").alias("originals"))
+    size = infos.groupBy("id", "name").agg(F.sum(F.lit(16 + 12) + F.length("encoded") + 16 * F.col("originals")).alias("n"))
     size = size.withColumn("n", F.col("n") + F.octet_length("name"))
     if sequences is not None:
-        size = size.join(sequences.select("name", F.octet_length("sequence").alias("raw")), "name").withColumn("n", F.col("n") + F.col("raw"))
-    return size.select("name", F.col("n").cast("long").alias("bytes"))
+        size = size.join(named(sequences).select("id", F.octet_length("sequence").alias("raw")), "id").withColumn("n", F.col("n") + F.col("raw"))
+    return size.select("id", "name", F.col("n").cast("long").alias("bytes"))
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def _finished(rows: DataFrame) -> DataFrame:
 
 def stitch(hits: DataFrame, mode: str = "compat", ksize: int | None = None) -> DataFrame:
     """``match_name, query_name, query_start, query_end, query, match_start, match_end, match, encoded, length``; ends are open."""
-    pair = ["match_name", "query_name"]
+    pair = ["match_id", "query_id", "match_name", "query_name"]
     if mode == "compat":
         return _finished(stitched_text(hits, pair))
     if mode != "diagonal" or not ksize:
@@ -52,5 +52,6 @@ def stitch(hits: DataFrame, mode: str = "compat", ksize: int | None = None) -> D
 
 def shown(stitched: DataFrame) -> DataFrame:
     """The stitched rows with ``to_print``."""
+    # Fixed value: the layout.
     text = F.format_string("\n---\nQuery Name: %s\nMatch Name: %s\nquery: %s (%d-%d)\nalpha: %s\nmatch: %s (%d-%d)", "query_name", "match_name", "query", "query_start", "query_end", "encoded", "match", "match_start", "match_end")
     return stitched.withColumn("to_print", text)

@@ -15,6 +15,9 @@ from ..operators import kmers as km
 from ..operators import search as se
 from ..operators import signature_ops as so
 from ..operators import stitch as st
+from ..index import ProteinIndex
+from ..scratch import scratch
+from ..sources import fasta as fa
 from . import sql
 
 K = 8
@@ -27,10 +30,14 @@ _ROW_GROUP = 128 << 20
 
 
 def _raw(spark: SparkSession, sf: str, t: str) -> DataFrame:
-    """Names and texts. A table with fewer row groups than cores is dealt out first; a larger one is read as it lies."""
+    """Ids, names and texts."""
     table, key = _TABLES[t]
-    path = f"{sf}/{table}.parquet"
-    rows = spark.read.parquet(path).select(F.col(key).cast("string").alias("name"), "text")
+    return spark.read.parquet(f"{sf}/{table}.parquet").select(F.col(key).cast("long").alias("id"), F.col(key).cast("string").alias("name"), "text")
+
+
+def _dealt(spark: SparkSession, sf: str, t: str) -> DataFrame:
+    """The same for work on the texts: a table with fewer row groups than cores is dealt out first; a larger one is read as it lies."""
+    rows, path = _raw(spark, sf, t), f"{sf}/{_TABLES[t][0]}.parquet"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
     cores = spark.sparkContext.defaultParallelism
@@ -38,11 +45,11 @@ def _raw(spark: SparkSession, sf: str, t: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf: str, t: str) -> DataFrame:
-    return _raw(spark, sf, t).select("name", alphabet.letters_only(F.col("text")).alias("sequence"))
+    return _dealt(spark, sf, t).select("id", "name", alphabet.letters_only(F.col("text")).alias("sequence"))
 
 
-def _kmers(spark: SparkSession, sf: str, t: str, moltype: str = "protein", scaled: int = 1) -> DataFrame:
-    return km.kmer_positions(_sequences(spark, sf, t), K, moltype, scaled)
+def _kmers(spark: SparkSession, sf: str, t: str, moltype: str = "protein", scaled: int = 1, ksize: int = K, only: DataFrame | None = None) -> DataFrame:
+    return km.kmer_positions(_sequences(spark, sf, t), ksize, moltype, scaled, only=only)
 
 
 def _sketch(spark: SparkSession, sf: str, t: str, moltype: str = "protein", scaled: int = 1) -> DataFrame:
@@ -70,17 +77,17 @@ def _digits(df: DataFrame) -> DataFrame:
 
 def validate_residues(spark: SparkSession, sf: str) -> DataFrame:
     bad = alphabet.first_invalid(F.col("text"))
-    return _raw(spark, sf, "d").select("name", bad.isNull().alias("valid"), bad["char"].alias("bad_char"), bad["position"].cast("long").alias("bad_position"))
+    return _dealt(spark, sf, "d").select("name", bad.isNull().alias("valid"), bad["char"].alias("bad_char"), bad["position"].cast("long").alias("bad_position"))
 
 
 def stop_truncate(spark: SparkSession, sf: str) -> DataFrame:
     cut = alphabet.truncate_at_stop(F.col("text"))
-    return _raw(spark, sf, "d").select("name", F.length(cut).cast("long").alias("kept"), F.md5(cut.cast("binary")).alias("digest"))
+    return _dealt(spark, sf, "d").select("name", F.length(cut).cast("long").alias("kept"), F.md5(cut.cast("binary")).alias("digest"))
 
 
 def resolve_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     text = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return _raw(spark, sf, "d").select("name", F.length(text).cast("long").alias("length"), F.md5(alphabet.resolve_ambiguity(text).cast("binary")).alias("digest"))
+    return _dealt(spark, sf, "d").select("name", F.length(text).cast("long").alias("length"), F.md5(alphabet.resolve_ambiguity(text).cast("binary")).alias("digest"))
 
 
 def _encoded(moltype: str):  # noqa: ANN202
@@ -133,23 +140,29 @@ def kmer_idf_frequency(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
 
 def hash_membership(spark: SparkSession, sf: str) -> DataFrame:
     known = _sketch(spark, sf, "b", "dayhoff").select("hashval").distinct()
-    return _kmers(spark, sf, "d", "dayhoff").join(known, "hashval", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
+    return _kmers(spark, sf, "d", "dayhoff", only=known).join(known, "hashval", "left_semi").groupBy("name").agg(F.count("*").alias("n"))
 
 
 # ---- search ----
 
 
+def _collections(spark: SparkSession, sf: str) -> tuple[se.Collection, se.Collection]:
+    """The benchmark as queries, and of the documents what the queries hold; each table is read once."""
+    queries = se.read_collection(_sequences(spark, sf, "b"), K, "protein", 1)
+    return queries, se.read_collection(_sequences(spark, sf, "d"), K, "protein", 1, only=queries.known())
+
+
 def manysearch(spark: SparkSession, sf: str) -> DataFrame:
-    return _digits(se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein", _signatures(spark, sf, "b"), _signatures(spark, sf, "d")))
+    return _digits(se.manysearch(*_collections(spark, sf), K, 1, "protein"))
 
 
 def multisearch(spark: SparkSession, sf: str) -> DataFrame:
-    n = _raw(spark, sf, "d").count()
-    return _digits(se.multisearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), n, K, 1, "protein", _signatures(spark, sf, "b"), _signatures(spark, sf, "d")))
+    return _digits(se.multisearch(*_collections(spark, sf), K, 1, "protein"))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return se.kmer_hits(_kmers(spark, sf, "b"), _kmers(spark, sf, "d"))
+    queries = _kmers(spark, sf, "b")
+    return se.kmer_hits(queries, _kmers(spark, sf, "d", only=queries))
 
 
 def kmer_hit_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +170,7 @@ def kmer_hit_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_kmer_join(spark: SparkSession, sf: str) -> DataFrame:
-    found = se.manysearch(_sketch(spark, sf, "b"), _sketch(spark, sf, "d"), K, 1, "protein", _signatures(spark, sf, "b"), _signatures(spark, sf, "d")).select("query_name", "match_name", "containment", "intersect_hashes")
+    found = se.manysearch(*_collections(spark, sf), K, 1, "protein", ids=True).select("query_id", "match_id", "containment", "intersect_hashes")
     return _digits(se.search_hits(found, _hits(spark, sf)).groupBy("query_name", "match_name", "containment", "intersect_hashes").agg(F.count("*").alias("n_hits"), F.min("start_query").alias("first_query"), F.max("start_match").alias("last_match")))
 
 
@@ -189,12 +202,15 @@ def kmers_at_position(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmer_density(spark: SparkSession, sf: str) -> DataFrame:
-    lengths = _sequences(spark, sf, "d").select("name", F.length("sequence").alias("length"))
-    return _digits(lengths.join(_signatures(spark, sf, "d", SCALED), "name").select("name", so.density(F.col("occurrences"), F.col("length")).alias("density")))
+    lengths = _sequences(spark, sf, "d").select("id", F.length("sequence").alias("length"))
+    return _digits(lengths.join(_signatures(spark, sf, "d", SCALED), "id").select("name", so.density(F.col("occurrences"), F.col("length")).alias("density")))
 
 
 def overlapping_kmers(spark: SparkSession, sf: str) -> DataFrame:
-    return so.overlapping_kmers(_kmers(spark, sf, "d", "hp")).groupBy("name").agg(F.count("*").alias("pairs"))
+    """Of two sizes, as k-mers of one never share a start."""
+    both = _kmers(spark, sf, "b", "hp").unionByName(_kmers(spark, sf, "b", "hp", ksize=K - 2))
+    pairs = so.overlapping_kmers(both).groupBy("name").agg(F.count("*").alias("pairs"), F.sum("positions").alias("positions"))
+    return pairs.select("name", "pairs", "positions")
 
 
 def unique_kmer_count(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
@@ -202,14 +218,67 @@ def unique_kmer_count(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
 
 
 def estimated_size(spark: SparkSession, sf: str) -> DataFrame:
-    return so.estimated_size(_kmers(spark, sf, "d", "dayhoff"), _sequences(spark, sf, "d"))
+    return so.estimated_size(_kmers(spark, sf, "d", "dayhoff"), _sequences(spark, sf, "d")).drop("id")
+
+
+def _index(spark: SparkSession, rows: DataFrame, moltype: str = "hp", store_raw_sequences: bool = False) -> ProteinIndex:
+    own = ProteinIndex(spark, scratch(spark, "index"), K, 1, moltype, store_raw_sequences)
+    own.store(rows.select("name", "sequence"))
+    return own
 
 
 def index_equivalence(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
-    own, other = _kmers(spark, sf, t, "hp"), _kmers(spark, sf, t, "dayhoff")
-    count = lambda a, b, side: so.differing(a, b).agg(F.count("*").alias("n")).select(F.lit(side).alias("other"), (F.col("n") == 0).alias("equal"))
-    again = _kmers(spark, sf, t, "hp").repartition(3, "hashval")
-    return count(own, again, "hp").unionByName(count(own, other, "dayhoff"))
+    """A stored index against one that got its rows in two calls and was loaded again, and against one of another alphabet."""
+    rows = _sequences(spark, sf, t)
+    own, twice, other = _index(spark, rows), _index(spark, rows.where("id % 2 = 0")), _index(spark, rows, "dayhoff")
+    twice.store(rows.where("id % 2 <> 0").select("name", "sequence"))
+    again = ProteinIndex.load(spark, twice.path)
+    return spark.createDataFrame([("hp", own.is_equivalent_to(again)), ("dayhoff", own.is_equivalent_to(other))], "other string, equal boolean")
+
+
+def index_reload(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures and raw sequences of an index that was stored and loaded again."""
+    own = ProteinIndex.load(spark, _index(spark, _sequences(spark, sf, "d"), "protein", True).path)
+    rows = own.signatures().join(own.sequences().drop("name"), "id")
+    return _digits(rows.select("name", "n_hashes", "occurrences", "pseudo_md5", "md5", "length", F.md5(F.col("sequence").cast("binary")).alias("digest")))
+
+
+def index_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """The combined sketch of a stored index, as sizes."""
+    own = _index(spark, _sequences(spark, sf, "b"), "dayhoff")
+    stats = own.stats()
+    return spark.createDataFrame([(stats["signatures"], stats["combined_hashes"], own.combined().agg(F.sum("abund")).first()[0])], "signatures long, combined_hashes long, occurrences long")
+
+
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of a stored index: of the postings of its first call, and the sketches of its second."""
+    rows = _sequences(spark, sf, "d")
+    own = _index(spark, rows.where("id % 3 <> 0"), "protein")
+    own.compact(max(1, spark.sparkContext.defaultParallelism))
+    own.store(rows.where("id % 3 = 0").select("name", "sequence"))
+    return _digits(ProteinIndex.load(spark, own.path).search(_sequences(spark, sf, "b")))
+
+
+def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences written as FASTA and read again; empty ones too."""
+    path = scratch(spark, "fasta")
+    fa.write_fasta(_sequences(spark, sf, "d"), path)
+    return fa.read_fasta(spark, path).select("name", F.length("sequence").cast("long").alias("length"), F.md5(F.col("sequence").cast("binary")).alias("digest"))
+
+
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A search's measures written as CSV and read again."""
+    path = scratch(spark, "measures")
+    fa.write_csv(se.manysearch(*_collections(spark, sf), K, 1, "protein"), path)
+    return _digits(fa.read_search_csv(spark, path))
+
+
+def kmer_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """k-mers written as CSV and read again."""
+    path = scratch(spark, "kmers")
+    rows = _kmers(spark, sf, "b", "hp", SCALED).select(F.lit("benchmark").alias("sequence_file"), F.col("name").alias("sequence_name"), "kmer", _hash())
+    fa.write_csv(rows, path)
+    return fa.read_kmer_csv(spark, path).select("sequence_file", "sequence_name", "kmer", F.col("hashval").cast("string").alias("hashval"))
 
 
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,7 +289,7 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 _QUERIES = {f.__name__: f for f in (
     validate_residues, stop_truncate, resolve_ambiguity, kmer_positions, kmer_info_map, murmur_hash, scaled_sample, sketch_abundance, pseudo_md5, true_md5, combined_sketch, kmer_idf_frequency,
     hash_membership, manysearch, multisearch, kmer_hit_join, search_kmer_join, stitch_compat, stitch_diagonal, kmer_counts, group_kmers_by_count, multi_position_kmers, kmers_at_position,
-    kmer_density, overlapping_kmers, unique_kmer_count, estimated_size, index_equivalence, index_stats,
+    kmer_density, overlapping_kmers, unique_kmer_count, estimated_size, index_equivalence, index_stats, index_reload, index_combined, index_search, fasta_round_trip, csv_round_trip, kmer_csv_round_trip,
 )} | {f"encode_{m}": _encoded(m) for m in ("protein", "hp", "dayhoff")}
 
 
@@ -244,8 +313,8 @@ def queries() -> dict:
 _ROUND = "round({}, 8)"
 
 
-def _k(t: str, moltype: str) -> list:
-    return sql.kmers(t, *_TABLES[t], K, moltype)
+def _k(t: str, moltype: str, ksize: int = K) -> list:
+    return sql.kmers(t, *_TABLES[t], ksize, moltype)
 
 
 def _t(t: str, moltype: str) -> list:
@@ -285,6 +354,14 @@ def _stitch_sql(keys: str, islands: list) -> str:
 def oracle_sql() -> dict:
     ani = lambda x: f"pow({x}, 1.0 / {3 * K})"
     both, nq, nt = "CAST(p.n AS DOUBLE)", "q.n", "t.n"
+    many = sql.statement([*_pairs(), ("p", """SELECT query_name, match_name, count(*) AS n, avg(match_abund) AS average_abund, median(match_abund) AS median_abund, stddev_pop(match_abund) AS std_abund,
+        CAST(sum(match_abund) AS BIGINT) AS found FROM shared GROUP BY ALL"""), ("m", f"""SELECT p.*, q.md5 AS query_md5, t.md5 AS match_md5, q.n AS nq, t.n AS nt, t.total, {both} / {nq} AS cq, {both} / {nt} AS ct,
+        {ani(f'{both} / {nq}')} AS aq, {ani(f'{both} / {nt}')} AS at_ FROM p JOIN b_z q ON q.name = p.query_name JOIN d_z t ON t.name = p.match_name""")],
+        f"""SELECT query_name, query_md5, match_name, {_ROUND.format('cq')} AS containment, n AS intersect_hashes, CAST({3 * K} AS BIGINT) AS ksize, CAST(1 AS BIGINT) AS scaled, 'protein' AS moltype, match_md5,
+        {_ROUND.format('n::DOUBLE / (nq + nt - n)')} AS jaccard, {_ROUND.format('n::DOUBLE / least(nq, nt)')} AS max_containment, {_ROUND.format('average_abund')} AS average_abund, {_ROUND.format('median_abund')} AS median_abund,
+        {_ROUND.format('std_abund')} AS std_abund, {_ROUND.format('aq')} AS query_containment_ani, {_ROUND.format('at_')} AS match_containment_ani, {_ROUND.format('(aq + at_) / 2')} AS average_containment_ani,
+        {_ROUND.format('greatest(aq, at_)')} AS max_containment_ani, found AS n_weighted_found, total AS total_weighted_hashes, {_ROUND.format('ct')} AS containment_target_in_query,
+        {_ROUND.format('found::DOUBLE / total')} AS f_weighted_target_in_query FROM m""")
     counted = "SELECT name, hash, count(*) AS n FROM d_k GROUP BY ALL"
     return {
         "validate_residues": r"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS name, text, length(regexp_extract(text, '^[A-Z]*')) AS good FROM documents),
@@ -305,14 +382,9 @@ def oracle_sql() -> dict:
         "kmer_idf_frequency": sql.statement(_t("b", "hp"), f"""SELECT CAST(hash AS VARCHAR) AS hashval, count(*) AS df, {_ROUND.format('sum(abund)::DOUBLE / (SELECT sum(abund) FROM b_t)')} AS frequency,
             {_ROUND.format('ln(((SELECT count(*) FROM benchmark) + 1)::DOUBLE / (count(*) + 1)) + 1')} AS idf FROM b_t GROUP BY hash"""),
         "hash_membership": sql.statement([*_k("b", "dayhoff"), *_k("d", "dayhoff")], "SELECT name, count(*) AS n FROM d_k WHERE hash IN (SELECT hash FROM b_k) GROUP BY name"),
-        "manysearch": sql.statement([*_pairs(), ("p", """SELECT query_name, match_name, count(*) AS n, avg(match_abund) AS average_abund, median(match_abund) AS median_abund, stddev_pop(match_abund) AS std_abund,
-            CAST(sum(match_abund) AS BIGINT) AS found FROM shared GROUP BY ALL"""), ("m", f"""SELECT p.*, q.md5 AS query_md5, t.md5 AS match_md5, q.n AS nq, t.n AS nt, t.total, {both} / {nq} AS cq, {both} / {nt} AS ct,
-            {ani(f'{both} / {nq}')} AS aq, {ani(f'{both} / {nt}')} AS at_ FROM p JOIN b_z q ON q.name = p.query_name JOIN d_z t ON t.name = p.match_name""")],
-            f"""SELECT query_name, query_md5, match_name, {_ROUND.format('cq')} AS containment, n AS intersect_hashes, CAST({3 * K} AS BIGINT) AS ksize, CAST(1 AS BIGINT) AS scaled, 'protein' AS moltype, match_md5,
-            {_ROUND.format('n::DOUBLE / (nq + nt - n)')} AS jaccard, {_ROUND.format('n::DOUBLE / least(nq, nt)')} AS max_containment, {_ROUND.format('average_abund')} AS average_abund, {_ROUND.format('median_abund')} AS median_abund,
-            {_ROUND.format('std_abund')} AS std_abund, {_ROUND.format('aq')} AS query_containment_ani, {_ROUND.format('at_')} AS match_containment_ani, {_ROUND.format('(aq + at_) / 2')} AS average_containment_ani,
-            {_ROUND.format('greatest(aq, at_)')} AS max_containment_ani, found AS n_weighted_found, total AS total_weighted_hashes, {_ROUND.format('ct')} AS containment_target_in_query,
-            {_ROUND.format('found::DOUBLE / total')} AS f_weighted_target_in_query FROM m"""),
+        "manysearch": many,
+        "index_search": many,
+        "csv_round_trip": many,
         "multisearch": sql.statement([*_pairs(), ("qa", "SELECT hash, sum(abund) AS a FROM b_t GROUP BY hash"), ("ta", "SELECT hash, sum(abund) AS a, count(*) AS df FROM d_t GROUP BY hash"),
             ("w", "SELECT hash, qa.a::DOUBLE / (SELECT sum(abund) FROM b_t) * ta.a / (SELECT sum(abund) FROM d_t) AS p, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)) + 1 AS idf FROM qa JOIN ta USING (hash)"),
             ("p", "SELECT query_name, match_name, count(*) AS n, sum(p) AS prob, sum(query_abund * idf) AS weighted FROM shared JOIN w USING (hash) GROUP BY ALL"),
@@ -333,12 +405,19 @@ def oracle_sql() -> dict:
         "kmers_at_position": sql.statement(_k("d", "protein"), "SELECT DISTINCT name, CAST(hash AS VARCHAR) AS hashval FROM d_k WHERE start = 10"),
         "kmer_density": sql.statement([*_k("d", "protein"), ("c", f"SELECT name, count(*) AS n FROM d_k WHERE hash <= {_LIMIT} GROUP BY name")],
             f"SELECT s.name, CASE WHEN length(s.sequence) = 0 THEN 0.0::DOUBLE ELSE {_ROUND.format('coalesce(c.n, 0)::DOUBLE / length(s.sequence)')} END AS density FROM d_s s LEFT JOIN c USING (name)"),
-        "overlapping_kmers": sql.statement(_k("d", "hp"), "SELECT a.name, count(DISTINCT (a.hash, b.hash)) AS pairs FROM d_k a JOIN d_k b ON a.name = b.name AND a.start = b.start AND a.hash < b.hash GROUP BY a.name"),
+        "overlapping_kmers": sql.statement([*_k("b", "hp"), *[(n.replace("b_", "x_"), q.replace("b_", "x_")) for n, q in _k("b", "hp", K - 2)]],
+            "SELECT a.name, count(DISTINCT (a.hash, b.hash)) AS pairs, count(*) AS positions FROM b_k a JOIN x_k b ON a.name = b.name AND a.start = b.start GROUP BY a.name"),
         "unique_kmer_count": sql.statement(_k("b", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, count(DISTINCT kmer) AS n_originals FROM b_k GROUP BY ALL"),
         "estimated_size": sql.statement([*_k("d", "dayhoff"), ("c", "SELECT name, hash, length(encoded) AS e, count(DISTINCT kmer) AS o FROM d_k GROUP BY ALL")],
             "SELECT c.name, CAST(sum(28 + e + 16 * o) + length(c.name) + any_value(length(s.sequence)) AS BIGINT) AS bytes FROM c JOIN d_s s USING (name) GROUP BY c.name"),
         "index_equivalence": sql.statement([*_k("b", "hp"), *[(n.replace("b_", "x_"), s.replace("b_", "x_")) for n, s in _k("b", "dayhoff")]],
             "SELECT 'hp' AS other, count(*) = 0 AS equal FROM (SELECT * FROM b_k EXCEPT ALL SELECT * FROM b_k) UNION ALL SELECT 'dayhoff', count(*) = 0 FROM (SELECT * FROM b_k EXCEPT ALL SELECT * FROM x_k)"),
+        "index_reload": sql.statement([*_t("d", "protein"), _sizes("d")], f"""SELECT s.name, CAST(coalesce(z.n, 0) AS BIGINT) AS n_hashes, CAST(coalesce(z.total, 0) AS BIGINT) AS occurrences, coalesce(x.pseudo_md5, '0') AS pseudo_md5, coalesce(z.md5, md5('{3 * K}')) AS md5,
+            CAST(length(s.sequence) AS BIGINT) AS length, md5(s.sequence) AS digest FROM d_s s LEFT JOIN d_z z USING (name)
+            LEFT JOIN (SELECT name, lower(to_hex(CAST(sum(CAST(hash AS HUGEINT)) % CAST({2**64} AS HUGEINT) AS UBIGINT))) AS pseudo_md5 FROM d_t GROUP BY name) x USING (name)"""),
+        "index_combined": sql.statement(_t("b", "dayhoff"), "SELECT (SELECT count(*) FROM benchmark) AS signatures, count(DISTINCT hash) AS combined_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM b_t"),
+        "fasta_round_trip": sql.statement(sql.sequences("d", *_TABLES["d"]), "SELECT name, CAST(length(sequence) AS BIGINT) AS length, md5(sequence) AS digest FROM d_s"),
+        "kmer_csv_round_trip": sql.statement(_k("b", "hp"), f"SELECT 'benchmark' AS sequence_file, name AS sequence_name, kmer, CAST(hash AS VARCHAR) AS hashval FROM b_k WHERE hash <= {_LIMIT}"),
         "index_stats": sql.statement(_t("d", "protein"), "SELECT (SELECT count(*) FROM documents) AS signatures, count(DISTINCT hash) AS combined_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM d_t"),
         "kmer_positions_documents": sql.statement(_k("d", "dayhoff"), "SELECT name, CAST(start AS BIGINT) AS start, kmer, encoded, CAST(hash AS VARCHAR) AS hashval FROM d_k"),
         "kmer_info_map_documents": sql.statement(_k("d", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, encoded, kmer, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) AS positions FROM d_k GROUP BY ALL"),

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch
+
 SCHEMA = "name string, sequence string"
 KMER_CSV = "sequence_file string, sequence_name string, kmer string, hashval decimal(20,0)"
 SEARCH_CSV = (
@@ -59,35 +61,85 @@ def _split(value: F.Column) -> list[F.Column]:
     return [F.substring_index(text, "\n", 1).alias("name"), F.regexp_replace(F.substr(text, F.length(F.substring_index(text, "\n", 1)) + 1), r"\s", "").alias("sequence")]
 
 
+#: Files that the text reader decodes by their names, if their bytes agree.
+_BY_NAME = {"gzip": ".gz", "bzip2": ".bz2"}
+
+
+def _statuses(spark: SparkSession, path: str) -> list:
+    """The files of a path, a folder or a pattern, without hidden ones."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(str(path))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for found in fs.globStatus(target) or []:
+        out += list(fs.listStatus(found.getPath())) if found.isDirectory() else [found]
+    return [s for s in out if s.isFile() and s.getPath().getName()[0] not in "._"]
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of a path's files, to tell whether they have changed."""
+    return ";".join(sorted(f"{s.getPath().toString()} {s.getLen()} {s.getModificationTime()}" for s in _statuses(spark, path)))
+
+
+def _head(spark: SparkSession, status: object) -> bytes:
+    path = status.getPath()
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return bytes(x & 0xFF for x in (stream.read() for _ in range(min(6, status.getLen()))))
+    finally:
+        stream.close()
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``name, sequence`` of the records of files that Spark's readers decode by their names (plain, gz, bz2), or of xz and zstd files.
+    """``name, sequence`` of the records of a file, a folder or a pattern; the codec is told by each file's first bytes, not by its name.
 
-    Plain files are read in splits. xz and zstd files are decoded in a stream, one task for a file.
+    Plain files are read in splits; gzip and bzip2 files with the usual endings by Spark's text reader. Any other
+    compressed file (xz, zstd, or gzip and bzip2 under other names) is one task's, which holds its compressed bytes, 2 GB at most, and decodes them in a stream.
     """
-    if str(path).endswith((".xz", ".zst", ".zstd")):
-
-        def run(batches):  # noqa: ANN001, ANN202
-            import pyarrow as pa
-
-            for batch in batches:
-                for content in batch.column("content").to_pylist():
-                    held = []
-                    for record in records(open_decoded(io.BufferedReader(io.BytesIO(content)))):
-                        held.append(record)
-                        if len(held) == 1000:
-                            yield pa.RecordBatch.from_pylist([{"name": a, "sequence": b} for a, b in held])
-                            held = []
-                    if held:
+    split, whole = [], []
+    for status in _statuses(spark, path):
+        codec, name = sniff(_head(spark, status)), status.getPath().toString()
+        by_name = next((c for c, ending in _BY_NAME.items() if name.endswith(ending)), "plain")
+        (split if codec == by_name and not name.endswith(".zst") else whole).append(name)
+    rows = None
+    if split or not whole:
+        lines = spark.read.option("lineSep", "\n>").text(split or str(path))
+        rows = lines.where(F.col("value") != "").select(*_split(F.col("value"))).where((F.col("name") != "") | (F.col("sequence") != ""))
+    if not whole:
+        return rows
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content"):
+                held, size = [], 0
+                for record in records(open_decoded(io.BufferedReader(io.BytesIO(content.as_py())))):
+                    held.append(record)
+                    size += len(record[1])
+                    if len(held) == 1000 or size > 1 << 20:
                         yield pa.RecordBatch.from_pylist([{"name": a, "sequence": b} for a, b in held])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist([{"name": a, "sequence": b} for a, b in held])
 
-        return spark.read.format("binaryFile").load(str(path)).select("content").mapInArrow(run, SCHEMA)
-    rows = spark.read.option("lineSep", "\n>").text(str(path))
-    return rows.where(F.col("value") != "").select(*_split(F.col("value"))).where((F.col("name") != "") | (F.col("sequence") != ""))
+    decoded = spark.read.format("binaryFile").load(whole).select("content").mapInArrow(run, SCHEMA)
+    return decoded if rows is None else rows.unionByName(decoded)
 
 
 def read_stdin(spark: SparkSession, stream: io.BufferedIOBase | None = None) -> DataFrame:
-    """The records on standard input, decoded on the driver."""
-    return spark.createDataFrame(list(records(open_decoded(stream or sys.stdin.buffer))), SCHEMA)
+    """The records on standard input, which is first written, as it comes, into the folder that all executors share."""
+    path = scratch(spark, "stdin") + ".fasta"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        decoded = open_decoded(stream or sys.stdin.buffer)
+        while chunk := decoded.read(1 << 20):
+            out.write(bytearray(chunk))
+    finally:
+        out.close()
+    return read_fasta(spark, path)
 
 
 def read_path_or_stdin(spark: SparkSession, path: str) -> DataFrame:

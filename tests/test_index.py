@@ -2,6 +2,7 @@ import bz2
 import gzip
 import io
 import lzma
+import os
 
 import pytest
 import zstandard
@@ -20,6 +21,10 @@ WANT = [("living", "LIVINGALIVE"), ("plant one, two", "PLANTANDANIMALGENQMES")]
 PACK = {"fasta": lambda b: b, "fasta.gz": gzip.compress, "fasta.bz2": bz2.compress, "fasta.xz": lzma.compress, "fasta.zst": zstandard.ZstdCompressor().compress}
 
 
+def time_of(folder):
+    return max(os.stat(f"{folder}/{x}").st_mtime_ns for x in os.listdir(folder) if x.startswith("part"))
+
+
 def upper(df):
     return sorted((r["name"], r["sequence"].upper()) for r in df.collect())
 
@@ -41,6 +46,19 @@ def test_codecs(spark, tmp_path, suffix):
     assert fa.sniff(data) == {"fasta": "plain", "fasta.gz": "gzip", "fasta.bz2": "bzip2", "fasta.xz": "xz", "fasta.zst": "zstd"}[suffix]
 
 
+@pytest.mark.parametrize("codec", ["gzip", "bz2", "xz", "zst"])
+def test_bytes_tell_the_codec(spark, tmp_path, codec):
+    """Compressed files without their ending, and plain ones with a wrong one, beside each other."""
+    data = {"gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress, "zst": zstandard.ZstdCompressor().compress}[codec](FASTA.encode())
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.fasta").write_bytes(data)
+    assert upper(fa.read_fasta(spark, str(tmp_path / "d" / "a.fasta"))) == WANT
+    (tmp_path / "d" / "b.fasta").write_text(">more\nACDEFG\n")
+    (tmp_path / "d" / "c.fasta.gz").write_text(">last\nACDEFG\n")
+    want = sorted([*WANT, ("more", "ACDEFG"), ("last", "ACDEFG")])
+    assert upper(fa.read_fasta(spark, str(tmp_path / "d"))) == upper(fa.read_fasta(spark, str(tmp_path / "d" / "*.fa*"))) == want
+
+
 def test_empty_file_and_write(spark, tmp_path, path):
     (tmp_path / "e.fasta").write_text("")
     assert fa.read_fasta(spark, str(tmp_path / "e.fasta")).collect() == []
@@ -57,7 +75,7 @@ def test_round_trip(spark, tmp_path, path):
     assert {r["name"]: r["pseudo_md5"] for r in again.signatures().collect()} == {"plant one, two": "668d7173d661287b", "living": "24ca8d939672666b"}
     assert upper(again.sequences()) == WANT
     again.compact(2)
-    assert spark.read.parquet(f"{own.path}/postings").count() == own.sketch().count()
+    assert spark.read.parquet(f"{own.path}/postings").count() == own.sketch().count() == own.postings().count()
     other = ProteinIndex.builder().path(str(tmp_path / "b")).ksize(5).scaled(1).moltype("hp").build(spark)
     other.process_fasta(path)
     assert own.is_equivalent_to(other)
@@ -78,6 +96,37 @@ def test_an_invalid_record_stores_nothing(spark, tmp_path):
         ProteinIndex.load(spark, str(tmp_path / "i"))
 
 
+def test_an_interrupted_call_is_never_read(spark, tmp_path, path, monkeypatch):
+    own = ProteinIndex(spark, str(tmp_path / "i"), 5, 1, "hp")
+    own.process_fasta(path)
+    publish = ProteinIndex._publish
+    monkeypatch.setattr(ProteinIndex, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("cut short")))
+    with pytest.raises(RuntimeError, match="cut short"):
+        own.process_fasta(path)
+    monkeypatch.setattr(ProteinIndex, "_publish", publish)
+    again = ProteinIndex.load(spark, own.path)
+    assert again.signature_count() == 2 and again.kmers().count() == 24 and again.sketch().count() == own.sketch().count()
+    again.process_fasta(path)
+    assert own.signature_count() == 4 and own.sequences().select("id").distinct().count() == 4
+    assert own.metrics.get_metrics().signatures_processed == 2 and again.metrics.get_metrics().kmers_processed == 24
+
+
+def test_search_of_a_stored_index(spark, tmp_path, path):
+    own = ProteinIndex(spark, str(tmp_path / "i"), 5, 1, "protein")
+    own.process_fasta(path)
+    want = sorted(map(tuple, own.search(fa.read_fasta(spark, path).selectExpr("name", "upper(sequence) AS sequence")).collect()))
+    assert len(want) == 2
+    own.compact(3)
+    queries = fa.read_fasta(spark, path).selectExpr("name", "upper(sequence) AS sequence")
+    assert sorted(map(tuple, own.search(queries).collect())) == want
+    own.store(spark.createDataFrame([("plant one, two", "PLANTANDANIMALGENQMES")], "name string, sequence string"))
+    assert own.search(queries).count() == 3  # a later call of a name that was there
+    own.compact(2)
+    assert own.search(queries).count() == 3 and own.postings().count() == 41
+    with pytest.raises(ConfigurationError, match="Scaled value must be greater than 0"):
+        ProteinIndex(spark, "x", 5, 0)
+
+
 def test_builder_and_names(spark, tmp_path):
     b = ProteinIndex.builder()
     with pytest.raises(BuilderError, match="Builder error: Database path is required"):
@@ -102,10 +151,16 @@ def test_sequence_set_reuses_its_tables(spark, path):
     assert own.kmer_export().columns == ["sequence_file", "sequence_name", "kmer", "hashval", "encoded", "start"]
     with open(path, "a") as f:
         f.write(">more\nACDEFG\n")
-    assert own.sketch().count() == 26  # the sketch is made now, the k-mers stay
-    assert own.kmers().count() == 24
+    assert own.sketch().count() == own.kmers().count() == 26  # the file has changed
+    made = time_of(f"{own.sketch_path}.kmers.pq")
+    assert own.kmers().count() == 26 and time_of(f"{own.sketch_path}.kmers.pq") == made
     assert SequenceSet(spark, path, 5, 1, "protein", extract_kmers=True, force=True).kmers().count() == 26
+    assert time_of(f"{own.sketch_path}.kmers.pq") > made
+    os.remove(f"{own.sketch_path}.kmers.pq/_SUCCESS")  # as if the writing had been cut short
+    made = time_of(f"{own.sketch_path}.kmers.pq")
+    assert own.kmers().count() == 26 and time_of(f"{own.sketch_path}.kmers.pq") > made
     assert SequenceSet(spark, path, 5).kmers() is None
+    assert upper(own.matched_sequences()) == sorted([*WANT, ("more", "ACDEFG")])
 
 
 def test_commands(spark, path, tmp_path, capsys, monkeypatch):
@@ -119,6 +174,21 @@ def test_commands(spark, path, tmp_path, capsys, monkeypatch):
     assert fa.read_search_csv(spark, str(tmp_path / "m")).where("containment = 1").count() == 2
     assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 2
     assert cli.main(["sketch", path, "--ksize", "5"]) == 0
+    # a stored index as target; its settings hold
+    index = str(tmp_path / "stored")
+    assert cli.main(["index", "-i", path, "-o", index, "-k", "5", "-e", "protein"]) == 0
+    capsys.readouterr()
+    assert cli.main(["search", path, index]) == 0
+    assert capsys.readouterr().out.splitlines() == out
+    assert cli.main(["search", path, index, "--extract-kmers", "--output", str(tmp_path / "s2"), "--search-csv", str(tmp_path / "m2")]) == 0
+    assert "query: LIVINGALIVE (0-11)" in capsys.readouterr().err
+    # k-mers as CSV, and the records that have any
+    assert cli.main(["kmers", path, "--ksize", "12", "--scaled", "1", "--moltype", "protein"]) == 0
+    base = f"{path}.protein.k12.scaled1.sketch"
+    assert fa.read_kmer_csv(spark, f"{base}.kmers.csv").count() == 10
+    assert upper(fa.read_fasta(spark, f"{base}.fasta")) == WANT[1:]
+    with pytest.raises(ValueError, match="max 100"):
+        cli.main(["index", "-i", path, "-k", "1000"])
 
 
 def test_config_and_errors(tmp_path):

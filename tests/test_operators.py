@@ -88,23 +88,23 @@ def test_signatures_equal_the_sketches(spark, two):
     assert {r["name"]: (r["n_hashes"], r["occurrences"], r["pseudo_md5"]) for r in rows if r["n_hashes"]} == want
     assert {r["name"]: r["md5"] for r in rows if r["n_hashes"]} == digests
     assert {r["pseudo_md5"] for r in rows if not r["n_hashes"]} == {"0"} and len(rows) == 5
-    with_ = se.manysearch(sketch, sketch, 5, 2, "hp", km.signatures(two, 5, "hp", 2), km.signatures(two, 5, "hp", 2))
-    assert sorted(map(str, with_.collect())) == sorted(map(str, se.manysearch(sketch, sketch, 5, 2, "hp").collect()))
+    own = se.read_collection(two, 5, "hp", 2)
+    assert sorted(map(str, se.manysearch(own, own, 5, 2, "hp").collect())) == sorted(map(str, se.manysearch(se.collection_of(sketch, 5), se.collection_of(sketch, 5), 5, 2, "hp").collect()))
 
 
 def test_search_measures(spark, two):
-    sketch = km.sketches(two, 5)
-    rows = {(r["query_name"], r["match_name"]): r for r in se.manysearch(sketch, sketch, 5, 1, "protein").collect()}
+    own = se.read_collection(two.where("length(sequence) > 2"), 5, "protein", 1)
+    rows = {(r["query_name"], r["match_name"]): r for r in se.manysearch(own, own, 5, 1, "protein").collect()}
     assert set(rows) == {("plant", "plant"), ("living", "living")}
     r = rows["plant", "plant"]
     assert (r["containment"], r["jaccard"], r["intersect_hashes"], r["ksize"], r["std_abund"]) == (1.0, 1.0, 17, 15, 0.0)
     assert r["query_md5"] == r["match_md5"]
-    many = se.multisearch(sketch, sketch, 2, 5, 1, "protein").where("query_name = 'plant'").first()
+    many = se.multisearch(own, own, 5, 1, "protein").where("query_name = 'plant'").first()
     assert many["prob_overlap"] == pytest.approx(17 / 24**2) and many["prob_overlap_adjusted"] == pytest.approx(2 * 17 / 24**2)
 
 
 def hits(spark, rows):
-    return spark.createDataFrame([("q", "m", a, b, x, y, e) for a, b, x, y, e in rows], "query_name string, match_name string, start_query int, start_match int, kmer_query string, kmer_match string, encoded string")
+    return spark.createDataFrame([(1, 2, "q", "m", a, b, x, y, e) for a, b, x, y, e in rows], "query_id long, match_id long, query_name string, match_name string, start_query int, start_match int, kmer_query string, kmer_match string, encoded string")
 
 
 def glue(kmers, places):
@@ -129,3 +129,74 @@ def test_stitch(spark):
     assert [(r["query_start"], r["match_start"], r["query"]) for r in apart] == [(0, 10, "ABCDE"), (9, 15, "MNOP"), (9, 19, "MNOP")]
     with pytest.raises(ValueError, match="mode"):
         stc.stitch(hits(spark, rows), "diagonal")
+
+
+def test_records_of_one_name_stay_apart(spark):
+    rows = spark.createDataFrame([(1, "same", PLANT), (2, "same", PLANT + LIVING), (3, "other", LIVING)], "id long, name string, sequence string")
+    own = se.read_collection(rows, 5, "protein", 1)
+    found = {(r["query_id"], r["match_id"]): (r["intersect_hashes"], r["containment"]) for r in se.manysearch(own, own, 5, 1, "protein", ids=True).collect()}
+    assert found == {(1, 1): (17, 1.0), (1, 2): (17, 1.0), (2, 1): (17, 17 / 28), (2, 2): (28, 1.0), (2, 3): (7, 7 / 28), (3, 2): (7, 1.0), (3, 3): (7, 1.0)}
+    kmers = km.kmer_positions(rows, 5)
+    stitched = stc.stitch(se.search_hits(spark.createDataFrame([(1, 2), (1, 1)], "query_id long, match_id long"), se.kmer_hits(kmers, kmers))).collect()
+    assert [r["query"] for r in stitched] == [PLANT, PLANT]
+
+
+def test_a_filter_keeps_the_measures(spark, two):
+    queries = se.read_collection(two.where("name = 'living'"), 5, "protein", 1)
+    kept, all_ = se.read_collection(two, 5, "protein", 1, only=queries.known()), se.read_collection(two, 5, "protein", 1)
+    assert kept.hashes.count() == 7 < all_.hashes.count() and sorted(kept.records.collect(), key=str) == sorted(all_.records.collect(), key=str)
+    for search in (se.manysearch, se.multisearch):
+        assert search(queries, kept, 5, 1, "protein").collect() == search(queries, all_, 5, 1, "protein").collect() != []
+    only = km.kmer_positions(two, 5, only=queries.known())
+    assert {r["name"] for r in only.collect()} == {"living"} and only.count() == 7
+
+
+def test_targets_are_read_once(spark, two, monkeypatch):
+    queries = se.read_collection(two, 5, "protein", 1)
+    targets = se.read_collection(two, 5, "protein", 1, only=queries.known())
+    plan = se.multisearch(queries, targets, 5, 1, "protein")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_long_sequences_are_worked_off_in_parts(spark, monkeypatch):
+    long_ = "".join("ACDEFGHIKLMNPQRSTVWY"[(k * k + k // 7) % 20] for k in range(3000))
+    rows = spark.createDataFrame([("a", long_), ("b", LIVING), ("c", long_[:100]), ("d", long_[1:])], "name string, sequence string")
+    want = [sorted(map(tuple, f(rows, 7, "hp").collect())) for f in (km.kmer_positions, km.sketches, km.signatures)]
+    real = km._steps
+
+    def small(batch, ksize):  # as if a step were 64 residues
+        old, km._STEP = km._STEP, 64
+        try:
+            yield from real(batch, ksize)
+        finally:
+            km._STEP = old
+
+    monkeypatch.setattr(km, "_steps", small)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "name": list("abcd"), "sequence": [long_, LIVING, long_[:100], long_[1:]]})
+    limit = 2**64 - 1
+    sizes = {}
+    for part, owner, hashed, abund in km._counted(batch, 7, km._lookup("hp"), limit):
+        for k, row in enumerate(part):
+            sizes[row] = (int((owner == k).sum()), int(abund[owner == k].sum()))
+    assert [sizes[k] for k in range(4)] == [(r[2], r[3]) for r in sorted(want[2], key=lambda r: r[1])]
+    starts = []
+    for part, own, offset, _ in km._steps(batch, 7):
+        owner, start, *_ = km._windows(own, 7, None, km._kept(limit, None))
+        starts += [(part[o], int(s) + offset) for o, s in zip(owner.tolist(), start.tolist(), strict=True)]
+    assert sorted(starts) == sorted((k, i) for k, n in enumerate((3000, 11, 100, 2999)) for i in range(n - 6))
+
+
+def test_an_alphabet_of_ones_own(spark):
+    from protloom.functions import alphabet
+
+    alphabet.register("charge", {"+": "KRH", "-": "DE", "0": "ACFGILMNPQSTVWY"})
+    one = spark.createDataFrame([("x", "ACDKRE")], "name string, sequence string")
+    assert [r["encoded"] for r in km.kmer_positions(one, 6, "charge").collect()] == ["00-++-"]
+    assert one.select(alphabet.encode(F.col("sequence"), "charge")).first()[0] == "00-++-"
+    for groups in ({"+": "KK"}, {"ab": "C"}, {}):
+        with pytest.raises(ValueError, match="symbols|built in"):
+            alphabet.register("bad", groups)
+    with pytest.raises(ValueError, match="built in"):
+        alphabet.register("hp", {"h": "A"})
