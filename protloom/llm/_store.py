@@ -1,80 +1,15 @@
-"""Folders for intermediate tables that every executor can read, and batches of bounded size.
-
-Lineage is cut by writing Parquet into the folder that the cluster names in ``spark.checkpoint.dir``. Only on a local master,
-where there are no other machines, an unset folder is replaced by a temporary one, which goes when Python ends.
-"""
+"""Intermediate tables, and the input tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a batch, as rows are whole documents: a scan's columns in the JVM, and what goes to a Python worker at once.
-BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
-_fallback: dict[str, str] = {}
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """``BATCH_ROWS`` for this session, where the application has no settings of its own."""
-    told = spark.sparkContext.getConf()
-    for key, rows in BATCH_ROWS.items():
-        if told.get(key, None) is None:
-            spark.conf.set(key, rows)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder, as a URI or path without a trailing slash."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="protloom-")
-        atexit.register(shutil.rmtree, _fallback[app], ignore_errors=True)
-    return _fallback[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the application's part of the shared folder."""
-    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _own(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/protloom/{spark.sparkContext.applicationId}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application; frames that read them can no longer be used."""
-    forget(spark, _own(spark))
-
-
-def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read back, with its path."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
+from ..scratch import _own, bounded_batches, clear, forget, saved, scratch, shared_root
 
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete intermediate tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+__all__ = ["_own", "bounded_batches", "clear", "forget", "saved", "scratch", "shared_root", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
+    """One of the input tables; their rows are whole documents."""
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,8 @@ doubled, ``<|`` becomes ``<\\|`` and, in roles, a newline becomes ``<\\.``: a co
 them, and the way back is exact.
 
 A conversation's turns are numbered and their token costs summed up in two levels (blocks of turn numbers, then inside a
-block), so that one very long conversation does not meet in one task. The running sums alone choose the windows:
+block), so that one very long conversation does not meet in one task. A block of more than ``HOT`` turns, which have no number or share one, is divided
+by role and by the beginning of the text. The running sums alone choose the windows:
 with ``n`` tokens for new turns (the budget less the system turn and the history, a quarter of the
 budget at least) turns are dealt by their end into cells of ``n / 2`` tokens; a turn longer than a cell is a window
 of its own, the other turns of a cell are one. No window holds more than ``n`` new tokens unless a single turn does.
@@ -16,8 +17,8 @@ new; repeated ones are masked.
 
 Defined results: null roles and texts are empty; rows follow ``turn`` (null first), then role, then text, and repeated rows are
 turns of their own; rows without a conversation id form one conversation; a conversation of a system turn alone is one window; an
-empty table gives an empty result; further columns are ignored, whatever their names. Tokens are estimated as runs of
-ASCII letters, digits and underscores, and single other characters, plus 4 for each turn's marks.
+empty table gives an empty result; texts of any length stay whole; further columns are ignored, whatever their names. Tokens are those of a column of counts
+(``tokens``), or, without one, estimated as runs of ASCII letters, digits and underscores, and single other characters; plus 4 for each turn's marks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MARKS = 4
 BUDGET, HISTORY = 1024, 192
 #: Turn numbers in a block of the two-level running sums.
 BLOCK = 64
+#: Turns of a block from which it is divided, and the characters of a text that divide it.
+HOT, HOT_CHARS = 10_000, 4
 SYSTEM, ASSISTANT = "system", "assistant"
 
 
@@ -48,29 +51,38 @@ def unescape(text: Column, role: bool = False) -> Column:
     return F.replace(out, F.lit("\\\\"), F.lit("\\"))
 
 
-def numbered(turns: DataFrame) -> DataFrame:
+def numbered(turns: DataFrame, tokens: str | None = None, hot: int = HOT) -> DataFrame:
     """Turns with their conversation's key ``c``, number ``i``, cost, and the cost of all turns before."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     block = F.coalesce(F.floor(F.col("turn").cast("long") / BLOCK).cast("long"), F.lit(-(2**62)))
-    rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), block.alias("block"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("cost", (F.regexp_count("text", F.lit(TOKEN)) + MARKS).cast("long"))
-    blocks = rows.groupBy("c", "block").agg(F.sum("cost").alias("block_cost"), F.count("*").alias("block_rows"))
-    earlier = W.partitionBy("c").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("c", "block", F.coalesce(F.sum("block_cost").over(earlier), F.lit(0)).alias("cost_0"), F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)).alias("row_0"))
-    order = W.partitionBy("c", "block").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    n_tokens = F.regexp_count(text, F.lit(TOKEN)) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))
+    rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), block.alias("block"), role.alias("role"), text.alias("text"), (n_tokens + MARKS).cast("long").alias("cost"))
+    by = ["c", "block"]
+    large = rows.groupBy("c", "block").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("c", "block", F.lit(True).alias("large"))
+    if large.limit(1).count():
+        # one row for each ``hot`` turns at most; the order inside stays that of turn, role and text
+        part = F.struct(F.col("turn").alias("t"), F.col("role").alias("r"), F.left("text", F.lit(HOT_CHARS)).alias("b"))
+        rows = rows.join(large, by, "left").withColumn("part", F.when(F.col("large"), part)).drop("large")
+        by.append("part")
+    blocks = rows.groupBy(*by).agg(F.sum("cost").alias("block_cost"), F.count("*").alias("block_rows"))
+    earlier = W.partitionBy("c").orderBy(*by[1:]).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(*by, F.coalesce(F.sum("block_cost").over(earlier), F.lit(0)).alias("cost_0"), F.coalesce(F.sum("block_rows").over(earlier), F.lit(0)).alias("row_0"))
+    order = W.partitionBy(*by).orderBy(F.asc_nulls_first("turn"), "role", "text")
     inside = rows.withColumn("k", F.row_number().over(order)).withColumn("to", F.sum("cost").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return inside.join(blocks, ["c", "block"]).select("c", "conv_id", "role", "text", "cost", (F.col("row_0") + F.col("k") - 1).alias("i"), (F.col("cost_0") + F.col("to") - F.col("cost")).alias("before"))
+    told = blocks.select(*(F.col(c).alias(f"_{c}") for c in by), "cost_0", "row_0")
+    met = inside.join(told, [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "part" else F.col(c) == F.col(f"_{c}") for c in by])
+    return met.select("c", "conv_id", "role", "text", "cost", (F.col("row_0") + F.col("k") - 1).alias("i"), (F.col("cost_0") + F.col("to") - F.col("cost")).alias("before"))
 
 
-def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Windows of ``conv_id, turn, role, text`` rows.
+def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: str | None = None, hot: int = HOT) -> DataFrame:
+    """Windows of ``conv_id, turn, role, text`` rows; ``tokens`` names a column of token counts.
 
     Returns ``c, conv_id, window, text, loss, n_turns, n_context``: the formatted text, the spans ``(start, length)`` under the
     loss mask in characters, the number of turns, and how many of them, at the start, are repeated.
     """
     head = F.concat(F.lit(TURN), escape(F.col("role"), role=True), F.lit("\n"))
     body = escape(F.col("text"))
-    rows = numbered(turns).select("c", "cost", "i", "before", (F.col("role") == ASSISTANT).alias("target"), ((F.col("role") == SYSTEM) & (F.col("i") == 0)).alias("system"), head.alias("head"), body.alias("body"))
+    rows = numbered(turns, tokens, hot).select("c", "cost", "i", "before", (F.col("role") == ASSISTANT).alias("target"), ((F.col("role") == SYSTEM) & (F.col("i") == 0)).alias("system"), head.alias("head"), body.alias("body"))
     rows, _ = saved(rows, "turns")
     # windows are chosen without the texts, which are joined on once
     plan = rows.select("c", "i", "cost", "before", "system")

@@ -163,8 +163,8 @@ def rank_intervals(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, i
 def across(state: DataFrame, intervals: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """The left pieces that take a gap of another range, with that gap; one row each."""
     spark = state.sparkSession
-    # at most two intervals for each range
-    told = F.broadcast(spark.createDataFrame([(k, *x) for k, x in enumerate(intervals)], "m int, piece_part int, piece_rank long, gap_part int, gap_rank long, n long"))
+    # at most two intervals for each range; whether they are broadcast is left to Spark's own check of their size
+    told = spark.createDataFrame([(k, *x) for k, x in enumerate(intervals)], "m int, piece_part int, piece_rank long, gap_part int, gap_rank long, n long")
     pieces = state.where(F.col("kind") == PIECE).join(told, (F.col("part") == F.col("piece_part")) & (F.col("rank") >= F.col("piece_rank")) & (F.col("rank") < F.col("piece_rank") + F.col("n")))
     gaps = state.where((F.col("kind") == GAP) & F.col("carry")).join(told, (F.col("part") == F.col("gap_part")) & (F.col("rank") >= F.col("gap_rank")) & (F.col("rank") < F.col("gap_rank") + F.col("n")))
     pieces = pieces.select("m", (F.col("rank") - F.col("piece_rank")).alias("k"), "id", "size")

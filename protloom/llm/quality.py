@@ -2,7 +2,7 @@
 
 Every text becomes a vector of transformed statistics. For each class the labelled
 rows' count, mean and covariance come from distributed sums; covariances are shrunk
-towards the pooled covariance and that towards its own diagonal; their Cholesky factors are
+towards the pooled covariance and that towards its own diagonal; the inverses of their Cholesky factors are
 cached once and give the Mahalanobis distances of whole batches. A score is the logistic
 function of the damped difference of the two log densities and priors.
 
@@ -59,12 +59,19 @@ def statistics(rows: list[str]) -> np.ndarray:
     starts = ends - size - 1
     kinds = _KIND[data]
 
+    full = np.flatnonzero(size)
+    between = np.append(starts[full][1:], len(data)) - ends[full] + 1  # line ends after a text, up to the next one that is not empty
+
     def per_text(hits: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
-        return (sums[ends - 1] - sums[starts]).astype(float)
+        out = np.zeros(n)
+        if len(full):
+            out[full] = np.add.reduceat(hits, starts[full], dtype=np.int64)
+        return out
 
     upper, digits, marks, symbols = (per_text(kinds == k) for k in (0, 1, 2, 5))
-    black = np.maximum(size - per_text(kinds == 3), 1)
+    space = per_text(kinds == 3)
+    space[full] -= between
+    black = np.maximum(size - space, 1)
     stops = per_text(data == 46)
     words = _words.split(rows)
     count = np.diff(words.first).astype(float)
@@ -108,10 +115,10 @@ def features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 @dataclass
 class Discriminant:
-    """Means and Cholesky factors of two classes."""
+    """Means and inverse Cholesky factors of two classes."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     logdets: np.ndarray
     priors: np.ndarray
     damping: float = DAMPING
@@ -128,12 +135,12 @@ class Discriminant:
         pooled = (1 - diagonal) * pooled + np.diag(diagonal * np.diag(pooled) + floor)
         covariances = (1 - pool) * scatter / counts[:, None, None] + pool * pooled
         factors = np.linalg.cholesky(covariances)
-        return cls(means, factors, 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1), np.log(counts / counts.sum()), damping)
+        return cls(means, np.linalg.inv(factors), 2 * np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1), np.log(counts / counts.sum()), damping)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         logs = []
-        for mean, factor, logdet, prior in zip(self.means, self.factors, self.logdets, self.priors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+        for mean, inverse, logdet, prior in zip(self.means, self.inverses, self.logdets, self.priors, strict=True):
+            z = inverse @ (x - mean).T
             logs.append(prior - (logdet + (z * z).sum(0)) / 2)
         return 1 / (1 + np.exp(np.clip(-(logs[1] - logs[0]) / self.damping, -700, 700)))
 

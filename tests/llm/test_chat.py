@@ -104,3 +104,19 @@ def test_escapes_of_any_text(texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for role in (False, True):
         assert all(r["u"] == r["t"] for r in df.select("t", chat.unescape(chat.escape(F.col("t"), role), role).alias("u")).collect())
+
+
+def test_turns_without_numbers_are_divided(spark):
+    rows = [(1, None, ("user", "assistant")[k % 2], f"{k * 7919 % 500:03d} said {'word ' * (k % 9)}") for k in range(600)] + [(1, 5, "user", "x")] * 40 + [(1, 6, "assistant", f"y{k}") for k in range(3)] + [(2, 0, "user", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frames = [chat.conversation_digests(chat.chat_windows(turns, hot=n)).orderBy("conv_id").collect() for n in (10_000, 20)]
+    assert frames[0] == frames[1]
+    plan = chat.numbered(turns, hot=20)
+    assert sorted((r["c"], r["i"]) for r in plan.collect()) == [("1", k) for k in range(643)] + [("2", 0)]
+
+
+def test_costs_from_a_column_of_counts(spark, turns):
+    counted = turns.withColumn("n", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(chat.TOKEN)))
+    key = lambda df: sorted((str(r["conv_id"]), r["window"], r["text"]) for r in df.collect())
+    assert key(chat.chat_windows(counted, 200, 60, tokens="n")) == key(chat.chat_windows(turns, 200, 60))
+    assert key(chat.chat_windows(turns.withColumn("n", F.lit(500)), 200, 60, tokens="n")) != key(chat.chat_windows(turns, 200, 60))

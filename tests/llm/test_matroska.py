@@ -78,3 +78,11 @@ def test_query(spark, odd_docs, no_docs):
         assert want[r["doc_id"]] == (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"])
         assert by_payload.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
     assert m.media_features(m.media_column(no_docs)).collect() == []
+
+
+def test_null_files(spark):
+    media = spark.createDataFrame([(1, 3, None, "x"), (2, 64, bytearray(m.mux(bytes(64))), "y")], "doc_id long, n_bytes long, media binary, payload_bytes string")
+    rows = {r["doc_id"]: r for r in m.media_features(media).collect()}
+    assert rows[1]["n_bytes"] == 3 and rows[1]["feature"] is None and rows[1]["payload_sha256"] is None
+    assert rows[2]["payload_bytes"] == 64
+    assert {r["doc_id"] for r in m.packet_table(media).collect()} == {2} == {r["doc_id"] for r in m.cue_table(media).collect()}

@@ -68,7 +68,7 @@ def test_packs_like_sequential_best_fit(spark, sf, rows_per_task):
     lengths = np.sort([r["length"] for r in rows])[::-1]
     placed, _, _ = pk.best_fit(lengths, np.arange(len(lengths)), [], pk.CAPACITY)
     best = len({s for _, s, _ in placed})
-    assert n == best if rows_per_task > 1000 else n <= best * 1.15
+    assert n == best if rows_per_task > 1000 else n <= best * 1.1
     assert best <= np.ceil(lengths.sum() / pk.CAPACITY) * 1.05
 
 
@@ -102,3 +102,23 @@ def test_sequences_hold_the_ids(spark, odd_docs):
     for doc, at in zip(row["doc_ids"], row["offsets"], strict=True):
         assert got[at : at + len(want[doc])] == want[doc]
     assert len(got) == row["n_tokens"]
+
+
+def test_many_ranges_need_hardly_more_sequences(spark):
+    lengths = [r["length"] for r in pk.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+    n = {k: pk.pack(rows, rows_per_task=k).select("sequence_id").distinct().count() for k in (200_000, 300)}
+    assert n[200_000] <= np.ceil(sum(lengths) / pk.CAPACITY) * 1.002 + 1 and n[300] <= n[200_000] * 1.01 + 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_vocabulary_file(spark, odd_docs, name):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(pk.tokenizer_path(name))
+    want = sorted((str(d["doc_id"]), len(own.encode(d["text"] or "", add_special_tokens=False).ids) + 1) for d in odd_docs.collect())
+    got = pk.token_pieces(odd_docs, vocabulary=name, capacity=10**6).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in got) == want
+    text = "Hello it's  2024 ﬁ <|endoftext|> naïve"
+    (row,) = pk.token_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), vocabulary=name, with_ids=True).collect()
+    assert np.frombuffer(row["ids"], "<u4").tolist() == [*own.encode(text, add_special_tokens=False).ids, 1]
