@@ -19,7 +19,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import kmer_size, molecule_type
+from .config import IndexConfig, kmer_size, molecule_type
 from .errors import BuilderError, ConfigurationError, InvalidKsize, NoSavedState
 from .functions import alphabet, hashing
 from .metrics import MetricsCollector, timed
@@ -51,6 +51,11 @@ def sketch_manifest(names: list[str], path: str) -> str:
     return "name,genome_filename,protein_filename\n" + "".join(f"{n},,{path}\n" for n in names)
 
 
+def sketch_list(path: str) -> str:
+    """The list of sketch files, one of them, as text without a line end."""
+    return path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -74,6 +79,12 @@ class ProteinIndex:
     def builder(cls) -> IndexBuilder:
         return IndexBuilder()
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: IndexConfig) -> ProteinIndex:
+        """From checked settings; the folder that the index goes to must be there."""
+        config.validate()
+        return cls(spark, config.path, config.ksize, config.scaled, config.moltype, config.store_raw_sequences)
+
     @classmethod
     def with_auto_filename(cls, spark: SparkSession, base: str, ksize: int, scaled: int = 1, moltype: str = "protein", store_raw_sequences: bool = False) -> ProteinIndex:
         p = PurePosixPath(base)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from protloom import cli
 from protloom.config import IndexConfig, MemoryConfig, PerformanceConfig
 from protloom.errors import BuilderError, ConfigurationError, InvalidMoltype, NoSavedState, ValidationError, with_context, with_field_context
-from protloom.index import ProteinIndex, SequenceSet, sketch_manifest
+from protloom.index import ProteinIndex, SequenceSet, sketch_list, sketch_manifest
 from protloom.metrics import IndexMetrics, MetricsCollector, timed
 from protloom.sources import fasta as fa
 from protloom.streaming.fasta_stream import start_sketching, streamed_combined
@@ -142,6 +142,11 @@ def test_builder_and_names(spark, tmp_path):
     assert b.moltype("raw").store_raw_sequences(True).build_with_auto_filename(spark).path == "x.raw.k5.scaled100.protloom"
     with pytest.raises(InvalidMoltype):
         ProteinIndex(spark, "x", 5, 1, "dna")
+    with pytest.raises(ConfigurationError, match="does not exist"):
+        ProteinIndex.from_config(spark, IndexConfig.checked(5, 2, "hp", tmp_path / "no" / "x"))
+    own = ProteinIndex.from_config(spark, IndexConfig.checked(5, 2, "hp", tmp_path / "x", store_raw_sequences=True))
+    assert (own.ksize, own.scaled, own.moltype, own.store_raw_sequences) == (5, 2, "hp", True)
+    assert sketch_list("a.sketch") == "a.sketch"
     assert sketch_manifest(["a"], "a.fa") == "name,genome_filename,protein_filename\na,,a.fa\n"
 
 
