@@ -313,12 +313,25 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, links long, other long")
 
 
-def pivot_distances(members: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
+#: Keys, of 8 bytes each, that pick the texts of the members where all texts are read.
+PICKED = 2_000_000
+
+
+def texts_of(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """``r1, r2, text`` of the members among ``rows``, one row for each; other texts are not dealt out, but for more than ``PICKED`` members."""
+    keys = members.select("r1").distinct()
+    if members.count() <= PICKED:
+        rows = rows.join(F.broadcast(keys), "r1", "left_semi")
+    else:
+        rows = rows.join(keys, "r1", "left_semi")
+    return saved(rows.dropDuplicates(["r1", "r2"]), "member-texts")[0]
+
+
+def pivot_distances(members: DataFrame, rows: DataFrame) -> DataFrame:
     """``root, node, mult, r1, r2, pivot, n, d``: sizes and Jaccard distances of ``members`` from their component's pivot, the set with most copies."""
     pivots = members.groupBy("root").agg(F.min_by(F.struct("node", "r1", "r2"), F.struct(-F.col("mult"), "node")).alias("p"))
-    pivots = pivots.select("root", "p.*").join(texts_of, ["r1", "r2"]).select("root", F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-    pivots = pivots.dropDuplicates(["root"])
-    rows = members.join(texts_of, ["r1", "r2"]).join(pivots, "root").select("root", "node", "mult", "r1", "r2", "pivot", "pivot_text", "text")
+    pivots = pivots.select("root", "p.*").join(rows, ["r1", "r2"]).select("root", F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    rows = members.join(rows, ["r1", "r2"]).join(pivots, "root").select("root", "node", "mult", "r1", "r2", "pivot", "pivot_text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -364,19 +377,19 @@ def blocks_by_distance(distances: DataFrame, threshold: float) -> tuple[DataFram
     return own, todo, linked
 
 
-def verified(own: DataFrame, texts_of: DataFrame, threshold: float) -> DataFrame:
-    """What ``verify`` gives, for all components. ``own``: ``root, node, mult, n, r1, r2``."""
+def verified(own: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """What ``verify`` gives, for all components. ``own``: ``root, node, mult, n, r1, r2``; ``rows``: the texts by ``r1, r2``."""
     size = own.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    own, _ = saved(own.join(size.select("root", ((F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "root"), "members")
+    own, _ = saved(own.join(size.select("root", ((F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "root"), "sized-members")
     small = own.where(~F.col("large")).select("root", *(F.lit(0).cast("long").alias(c) for c in ("i", "j", "block")), "node", "mult", "r1", "r2")
     columns = ["root", "i", "j", "block", "node", "mult", "text"]
     if not own.where("large").limit(1).count():
-        return saved(verify(small.join(texts_of, ["r1", "r2"]).select(*columns), threshold), "verified")[0]
-    distances, _ = saved(pivot_distances(own.where("large").drop("n", "large"), texts_of, threshold).dropDuplicates(["node"]), "distances")
+        return saved(verify(small.join(rows, ["r1", "r2"]).select(*columns), threshold), "verified")[0]
+    distances, _ = saved(pivot_distances(own.where("large").drop("n", "large"), rows), "distances")
     placed, todo, linked = blocks_by_distance(distances, threshold)
     ends = todo.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
     members = placed.join(ends, ["root", "block"]).select("root", "i", "j", "block", "node", "mult", "r1", "r2")
-    compared = verify(small.unionByName(members).join(texts_of, ["r1", "r2"]).select(*columns), threshold)
+    compared = verify(small.unionByName(members).join(rows, ["r1", "r2"]).select(*columns), threshold)
     to_pivot = distances.where((F.col("node") != F.col("pivot")) & (F.col("d") <= 1 - threshold + 1e-9)).select("node", F.lit(None).cast("long").alias("links"), F.col("pivot").alias("other"))
     return saved(compared.unionByName(linked).unionByName(to_pivot), "verified")[0]
 
@@ -389,8 +402,8 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     nodes, _ = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     candidates = components(chosen_path_links(nodes, threshold, target))
     candidates, _ = saved(candidates, "candidates")
-    own = candidates.join(nodes.select("node", "mult", "n", F.col("name.r1").alias("r1"), F.col("name.r2").alias("r2")), "node")
-    found = verified(own, docs.select(*_keys(text_col, id_col)).drop("doc_id"), threshold)
+    own, _ = saved(candidates.join(nodes.select("node", "mult", "n", F.col("name.r1").alias("r1"), F.col("name.r2").alias("r2")), "node"), "members")
+    found = verified(own, texts_of(own, docs.select(*_keys(text_col, id_col)).drop("doc_id")), threshold)
     links = found.where(F.col("links").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.select("digest", "node", "mult", "name").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
