@@ -33,6 +33,8 @@ UNDETERMINED = "und"
 #: Bounds of the sample: a dictionary's bytes, documents drawn for a language, and characters used of each, which come
 #: from ``DRAW_SPANS`` places spread over the whole of a longer text.
 DICT_BYTES, DRAWS, DRAW_CHARS, DRAW_SPANS = 256 * 1024, 512, 16 * 1024, 16
+#: Drawn documents of all languages up to which their hashes are broadcast; else all texts are dealt out to meet them.
+BROADCAST_DRAWS = 500_000
 LEVEL = 6
 SPAN_BYTES = 64 * 1024
 MIN_MARGIN = 0.002
@@ -87,6 +89,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     languages = sorted(n_of, key=lambda x: (-n_of[x], x))
     # one row for each language and hash class, also where an id is repeated
     wanted = docs.sparkSession.createDataFrame([(r["_lang"], r["h"]) for r in drawn], "_lang string, _hash long")
+    if len(drawn) <= BROADCAST_DRAWS:
+        wanted = F.broadcast(wanted)
     found = own.join(wanted, ["_lang", "_hash"], "left_semi").groupBy("_lang", "_hash").agg(F.min(spread(F.coalesce("_text", F.lit("")), draw_chars)).alias("t"))
     contents = {x: bytearray() for x in languages}
     for r in sorted(found.collect(), key=lambda r: r["_hash"]):
