@@ -45,6 +45,8 @@ LEAF = 2048
 DEPTH = 6
 #: Coordinates that a tree's root samples, and on average a node further down.
 ROOT_BRANCHES, BRANCHES = 2, 1.5
+#: Keys, of 8 bytes each, that are broadcast at most.
+PICKED = 2_000_000
 #: Sketch bytes that may differ beyond what the threshold expects.
 SLACK = 0.2
 #: Sets and shingles of a small component, and about those of a block of a large one.
@@ -141,10 +143,18 @@ def next_paths(large: DataFrame) -> DataFrame:
     return large.select("path", "node", "mins").mapInArrow(run, "path long, node long")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """``path, node, n`` of the paths that two or more nodes share."""
-    counts = rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return rows.join(counts, "path")
+def split_paths(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame | None]:
+    """``path, node`` of stored paths that two to ``leaf`` nodes share, and ``path, node, n`` of larger ones (None if there are none).
+
+    Only the former gather in a task. The latter are told by their paths, of which there are at most one for each ``leaf`` rows.
+    """
+    large, _ = saved(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > leaf), "large-paths")
+    n, small, more = large.count(), rows, None
+    if n:
+        told = F.broadcast(large) if n <= PICKED else large
+        small, more = rows.join(told, "path", "left_anti"), saved(rows.join(told, "path"), "large-rows")[0]
+    met = small.groupBy("path").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
+    return saved(met.select("path", F.explode("nodes").alias("node")), "shared-paths")[0], more
 
 
 def forest(marks: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -236,12 +246,10 @@ def chosen_path_links(nodes: DataFrame, threshold: float = THRESHOLD, target: fl
     rows, leaves = first_paths(nodes, runs_for(target, threshold)), None
     for level in range(depth):
         rows, path = saved(rows, "paths")
-        sized, _ = saved(shared(rows), "shared-paths")
+        ended, large = split_paths(rows, leaf)
         forget(nodes.sparkSession, path)
-        ended = sized.where(F.col("n") <= leaf).select("path", "node")
         leaves = ended if leaves is None else leaves.unionByName(ended)
-        large = sized.where(F.col("n") > leaf)
-        if not large.limit(1).count():
+        if large is None:
             break
         if level + 1 < depth:
             rows = next_paths(large.join(mins, "node"))
@@ -313,10 +321,6 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, links long, other long")
 
 
-#: Keys, of 8 bytes each, that pick the texts of the members where all texts are read.
-PICKED = 2_000_000
-
-
 def texts_of(members: DataFrame, rows: DataFrame) -> DataFrame:
     """``r1, r2, text`` of the members among ``rows``, one row for each; other texts are not dealt out, but for more than ``PICKED`` members."""
     keys = members.select("r1").distinct()
@@ -423,11 +427,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, target: float =
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without all but the first document (the one of least id) of each class."""
-    told = classified(docs, threshold, target, text_col, id_col).where("stays").select("r1", "r2", "alone").distinct()
+    told, _ = saved(classified(docs, threshold, target, text_col, id_col).select("r1", "r2", "stays", "alone"), "told")
     own = docs.select(F.struct("*").alias("_doc"), *_keys(text_col, id_col)).drop("doc_id", "text")
-    kept = own.join(told, ["r1", "r2"])
-    single = kept.where(~F.col("alone")).dropDuplicates(["r1", "r2"])
-    return kept.where("alone").unionByName(single).select("_doc.*")
+    # rows that go or are repeated; all others stay where they are read
+    apart = told.where(~F.col("alone")).groupBy("r1", "r2").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).where(~F.col("stays") | (F.col("n") > 1))
+    picked = apart.select("r1").distinct()
+    if apart.count() <= PICKED:
+        picked = F.broadcast(picked)
+    rest = own.join(picked, "r1", "left_semi").join(told.where("stays").distinct(), ["r1", "r2"])
+    single = rest.where(~F.col("alone")).dropDuplicates(["r1", "r2"])
+    return own.join(picked, "r1", "left_anti").select("_doc.*").unionByName(rest.where("alone").unionByName(single).select("_doc.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
