@@ -7,23 +7,27 @@ where there are no other machines, an unset folder is replaced by a temporary on
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a batch, as rows are whole documents: a scan's columns in the JVM, and what goes to a Python worker at once.
-BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000}
+#: Rows are whole documents. Rows of a batch, in a scan and to a Python worker, and bytes that Parquet's readers and writers hold at once: arrays
+#: of half a region or more are set apart by the JVM's collector, which rather grows the heap than collects them.
+BATCH_SIZES = {"spark.sql.parquet.columnarReaderBatchSize": 128, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "parquet.read.allocation.size": 256 << 10, "parquet.page.size": 256 << 10}
+#: Rows of a file of an intermediate table without texts.
+FILE_ROWS = 500_000
 _fallback: dict[str, str] = {}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """``BATCH_ROWS`` for this session, where the application has no settings of its own."""
+    """``BATCH_SIZES`` for this session, where the application has no settings of its own."""
     told = spark.sparkContext.getConf()
-    for key, rows in BATCH_ROWS.items():
-        if told.get(key, None) is None:
-            spark.conf.set(key, rows)
+    for key, size in BATCH_SIZES.items():
+        if told.get(key, None) is None and told.get(f"spark.hadoop.{key}", None) is None:
+            spark.conf.set(key, size)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -54,14 +58,11 @@ def clear(spark: SparkSession) -> None:
     forget(spark, _own(spark))
 
 
-def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read back, with its path."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, with its path; in few files, if it is known to have ``rows`` at most."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    (df if rows is None else df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
