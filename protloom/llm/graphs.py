@@ -12,7 +12,7 @@ from ._store import forget, saved
 #: Links of a node from which its links are spread over the tasks. Of E links at most 2 E / HUB nodes are that large.
 HUB = 50_000
 #: Links in a file of an intermediate table.
-LINKS_PER_FILE = 500_000
+LINKS_PER_FILE = 100_000
 
 
 def _least(links: DataFrame, key: str, value: str, hub: int | None) -> DataFrame:

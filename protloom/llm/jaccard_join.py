@@ -148,13 +148,14 @@ def split_paths(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame | None
 
     Only the former gather in a task. The latter are told by their paths, of which there are at most one for each ``leaf`` rows.
     """
-    large, _ = saved(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > leaf), "large-paths")
+    all_ = rows.count()
+    large, _ = saved(rows.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > leaf), "large-paths", all_ // leaf)
     n, small, more = large.count(), rows, None
     if n:
         told = F.broadcast(large) if n <= PICKED else large
-        small, more = rows.join(told, "path", "left_anti"), saved(rows.join(told, "path"), "large-rows")[0]
+        small, more = rows.join(told, "path", "left_anti"), saved(rows.join(told, "path"), "large-rows", all_)[0]
     met = small.groupBy("path").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)
-    return saved(met.select("path", F.explode("nodes").alias("node")), "shared-paths")[0], more
+    return saved(met.select("path", F.explode("nodes").alias("node")), "shared-paths", all_)[0], more
 
 
 def forest(marks: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -369,7 +370,7 @@ def blocks_by_distance(distances: DataFrame, threshold: float) -> tuple[DataFram
     before = W.partitionBy("root").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     sized = sized.select("root", "bin", F.floor(F.coalesce(F.sum("size").over(before), F.lit(0.0))).alias("g"), F.ceil("size").alias("subs"))
     own = binned.join(sized, ["root", "bin"]).withColumn("block", (F.col("g") * 2**20 + F.pmod(F.xxhash64("node"), F.col("subs"))).cast("long")).drop("bin", "g", "subs", "n")
-    own, _ = saved(own, "blocks")
+    own, _ = saved(own, "blocks", distances.count())
     stats = own.groupBy("root", "block").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.sum("mult").alias("sets"))
     a, b = (stats.select("root", *(F.col(c).alias(c + x) for c in ("block", "low", "high", "sets"))) for x in ("_a", "_b"))
     pairs = a.join(b, "root")  # of blocks, a few for each thousand sets
@@ -384,7 +385,7 @@ def blocks_by_distance(distances: DataFrame, threshold: float) -> tuple[DataFram
 def verified(own: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """What ``verify`` gives, for all components. ``own``: ``root, node, mult, n, r1, r2``; ``rows``: the texts by ``r1, r2``."""
     size = own.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    own, _ = saved(own.join(size.select("root", ((F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "root"), "sized-members")
+    own, _ = saved(own.join(size.select("root", ((F.col("sets") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).alias("large")), "root"), "sized-members", own.count())
     small = own.where(~F.col("large")).select("root", *(F.lit(0).cast("long").alias(c) for c in ("i", "j", "block")), "node", "mult", "r1", "r2")
     columns = ["root", "i", "j", "block", "node", "mult", "text"]
     if not own.where("large").limit(1).count():
@@ -403,15 +404,16 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, target: float = TA
     sets, _ = saved(shingle_sets(docs, text_col, id_col), "sets")
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r1", "r2")
     nodes = sets.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.count("*").alias("mult"), F.min(name).alias("name"), F.first("n").alias("n"), F.first("mins").alias("mins"))
-    nodes, _ = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = sets.count()
+    nodes, _ = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", 5 * n)  # wider rows
     candidates = components(chosen_path_links(nodes, threshold, target))
-    candidates, _ = saved(candidates, "candidates")
-    own, _ = saved(candidates.join(nodes.select("node", "mult", "n", F.col("name.r1").alias("r1"), F.col("name.r2").alias("r2")), "node"), "members")
+    candidates, _ = saved(candidates, "candidates", n)
+    own, _ = saved(candidates.join(nodes.select("node", "mult", "n", F.col("name.r1").alias("r1"), F.col("name.r2").alias("r2")), "node"), "members", n)
     found = verified(own, texts_of(own, docs.select(*_keys(text_col, id_col)).drop("doc_id")), threshold)
     links = found.where(F.col("links").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     classes = nodes.select("digest", "node", "mult", "name").join(roots, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes, _ = saved(classes, "classes")
+    classes, _ = saved(classes, "classes", n)
     firsts = classes.groupBy("root").agg(F.min("name").alias("first"))
     told = classes.join(firsts, "root").select("digest", F.col("first"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.col("mult").alias("copies"))
     rows = sets.select("doc_id", "r1", "r2", "digest").join(told, "digest", "left")
