@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: of half a region or more are set apart by the JVM's collector, which rather grows the heap than collects them.
 BATCH_SIZES = {"spark.sql.parquet.columnarReaderBatchSize": 128, "spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "parquet.read.allocation.size": 256 << 10, "parquet.page.size": 256 << 10}
 #: Rows of a file of an intermediate table without texts.
-FILE_ROWS = 500_000
+FILE_ROWS = 100_000
 _fallback: dict[str, str] = {}
 
 
