@@ -143,7 +143,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
     said = F.lit("\\### Assistant: </turn> ok")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), said.alias("text"))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    turns = table(spark, sf_dir, "conversations", dealt=False).select("conv_id", "turn", "role", "text").unionByName(more)
     return conversation_digests(chat_windows(turns))
 
 

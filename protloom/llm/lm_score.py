@@ -245,7 +245,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_cou
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, rounded so that the order of sums does not show."""
-    out = lm_scores(table(spark, sf_dir, "documents"), stored=True)
+    out = lm_scores(table(spark, sf_dir, "documents", dealt=False), stored=True)
     return out.select("doc_id", "n_tokens", F.round("log_sum", 6).alias("log_sum"), F.round("score", 8).alias("score"))
 
 

@@ -140,12 +140,10 @@ def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit
     keep, parts = _kept(limit, None), []
     for rows, own, _, ends in _steps(batch, ksize):
         owner, _, _, _, hashed = _windows(own, ksize, lookup, keep)
-        order = np.lexsort((hashed, owner))
-        owner, hashed = owner[order], hashed[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (hashed[1:] != hashed[:-1])
-        at = np.flatnonzero(new)
-        owner, hashed, abund = owner[at], hashed[at], np.diff(np.append(at, len(order)))
+        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+        each = [np.unique(hashed[a:b], return_counts=True) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        owner = np.repeat(np.arange(len(rows)), [len(h) for h, _ in each])
+        hashed, abund = np.concatenate([h for h, _ in each]), np.concatenate([n for _, n in each])
         if not ends or parts:  # a long sequence
             parts.append((hashed, abund))
             if not ends:
