@@ -3,21 +3,28 @@
 Both sides are collections: a row for each record with the measures of its sketch, and its hashes. Those of the targets come from one reading
 that keeps the queries' hashes only, or from a stored index. Records are told apart by their ids, whatever their names.
 
-Pairs come from one equi-join on the hash, after sampling. The query side is left to Spark's own size check for a broadcast; beyond
-it both sides are dealt out by the hash, where the rows of a very common one can be split. Names, sizes and digests are joined on after the pairs are counted.
+Pairs come from one equi-join on the hash, after sampling. A query side of ``BROADCAST_ROWS`` rows at most is broadcast; beyond it both sides are dealt out by
+the hash. There, hashes that have more than ``HEAVY`` rows on a side, which an aggregate finds, are dealt apart: each side's rows of such a hash go to as many
+groups as it fills, and meet every group of the other side. Names, sizes and digests are joined on after the pairs are counted.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import saved
 from . import kmers as km
 
 
+#: Rows of a query side that is broadcast, some 100 bytes each.
+BROADCAST_ROWS = 500_000
+#: Rows of one hash on a side that go to one group.
+HEAVY = 50_000
+
+
 @dataclass
 class Collection:
     """``records``: ``id, name, n_hashes, occurrences, md5``; ``hashes``: ``id, hashval, abund``."""
@@ -45,18 +52,35 @@ def _records(own: Collection, side: str) -> DataFrame:
     return own.records.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("md5").alias(f"{side}_md5"), F.col("n_hashes").alias(f"{side}_n"), F.col("occurrences").alias(f"{side}_total"))
 
 
-def shared_hashes(queries: Collection, targets: Collection) -> DataFrame:
-    """``query_id, match_id, hashval, query_abund, match_abund``."""
-    q = queries.hashes.select(F.col("id").alias("query_id"), "hashval", F.col("abund").alias("query_abund"))
+def met(targets: DataFrame, queries: DataFrame, keys: list[str], target_row: list[str], query_row: list[str], broadcast_rows: int = BROADCAST_ROWS, heavy: int = HEAVY) -> DataFrame:
+    """Rows of both sides with equal ``keys``; the ``row`` columns deal out rows of one key. Both sides are read several times, unless the queries are few."""
+    if queries.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return targets.join(F.broadcast(queries), keys)
+    many = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / heavy).alias(name)).where(F.col(name) > 1)
+    told = many(targets, "_t").join(many(queries, "_q"), keys, "full").select(*keys, F.coalesce("_t", F.lit(1)).alias("_t"), F.coalesce("_q", F.lit(1)).alias("_q"))
+    told, _ = saved(told, "heavy")  # one row for each ``heavy`` rows at most; left to Spark's own check for a broadcast
+    one = lambda name: F.coalesce(name, F.lit(1))
+    group = lambda row, n: F.pmod(F.xxhash64(*row), one(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (one(n) - 1).cast("long")))
+
+    def dealt(df: DataFrame, t: Column, q: Column) -> DataFrame:
+        return df.join(told, keys, "left").withColumn("_tg", t).withColumn("_qg", q).drop("_t", "_q")
+
+    return dealt(targets, group(target_row, "_t"), each("_q")).join(dealt(queries, each("_t"), group(query_row, "_q")), [*keys, "_tg", "_qg"]).drop("_tg", "_qg")
+
+
+def shared_hashes(queries: Collection, targets: Collection, **limits: int) -> DataFrame:
+    """``query_id, match_id, hashval, query_abund, match_abund``, and what else the queries' hashes carry."""
+    q = queries.hashes.withColumnsRenamed({"id": "query_id", "abund": "query_abund"})
     t = targets.hashes.select(F.col("id").alias("match_id"), "hashval", F.col("abund").alias("match_abund"))
-    return t.join(q, "hashval")
+    return met(t, q, ["hashval"], ["match_id"], ["query_id"], **limits)
 
 
-def manysearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str, ids: bool = False) -> DataFrame:
+def manysearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str, ids: bool = False, **limits: int) -> DataFrame:
     """22 measures of every pair of sketches that share a hash; with ``ids`` also ``query_id`` and ``match_id``."""
     k3 = 3 * ksize
     a = F.col("match_abund")
-    pairs = shared_hashes(queries, targets).groupBy("query_id", "match_id").agg(
+    pairs = shared_hashes(queries, targets, **limits).groupBy("query_id", "match_id").agg(
         F.count("*").alias("intersect_hashes"), F.avg(a).alias("average_abund"), F.median(a).alias("median_abund"), F.stddev_pop(a).alias("std_abund"), F.sum(a).alias("n_weighted_found")
     )
     rows = pairs.join(_records(queries, "query"), "query_id").join(_records(targets, "match"), "match_id")
@@ -71,7 +95,7 @@ def manysearch(queries: Collection, targets: Collection, ksize: int, scaled: int
     )
 
 
-def multisearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str) -> DataFrame:
+def multisearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str, **limits: int) -> DataFrame:
     """16 measures of every pair, among them the probability of the overlap by chance and tf-idf.
 
     A hash's frequency is its share of all occurrences in the query and in the target collection;
@@ -82,7 +106,9 @@ def multisearch(queries: Collection, targets: Collection, ksize: int, scaled: in
     total = lambda own, name: own.records.agg(F.sum("occurrences").alias(name), F.count("*").alias(f"{name}_n"))
     totals = F.broadcast(total(queries, "q_total").crossJoin(total(targets, "t_total")))  # one row
     weights = t_all.crossJoin(totals).select("hashval", (F.col("q_abund") / F.col("q_total") * F.col("t_abund") / F.col("t_total")).alias("p"), km.idf(F.col("t_total_n"), F.col("df")).alias("idf"), F.col("t_total_n").alias("n_targets"))
-    shared = shared_hashes(queries, targets).join(weights, "hashval")
+    # the weights go along with the queries' hashes, so that the targets' meet one table
+    weighted, _ = saved(queries.hashes.join(weights, "hashval"), "weighted")
+    shared = shared_hashes(Collection(queries.records, weighted), targets, **limits)
     pairs = shared.groupBy("query_id", "match_id").agg(F.count("*").alias("n"), F.sum("p").alias("prob_overlap"), F.sum(F.col("query_abund") * F.col("idf")).alias("weighted"), F.first("n_targets").alias("n_targets"))
     rows = pairs.join(_records(queries, "query"), "query_id").join(_records(targets, "match"), "match_id")
     both, nq, nt = F.col("n"), F.col("query_n"), F.col("match_n")
@@ -95,10 +121,10 @@ def multisearch(queries: Collection, targets: Collection, ksize: int, scaled: in
     )
 
 
-def kmer_hits(query_kmers: DataFrame, target_kmers: DataFrame) -> DataFrame:
+def kmer_hits(query_kmers: DataFrame, target_kmers: DataFrame, **limits: int) -> DataFrame:
     """Equal encoded k-mers of queries and targets, with ids, names, starts and originals of both."""
     own = lambda df, side: df.select("hashval", "encoded", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("kmer").alias(f"kmer_{side}"), F.col("start").alias(f"start_{side}"))
-    return own(target_kmers, "match").join(own(query_kmers, "query"), ["hashval", "encoded"])
+    return met(own(target_kmers, "match"), own(query_kmers, "query"), ["hashval", "encoded"], ["match_id", "start_match"], ["query_id", "start_query"], **limits)
 
 
 def search_hits(results: DataFrame, hits: DataFrame) -> DataFrame:
