@@ -5,30 +5,145 @@ row: each next k-mer adds the letters that its step from the one before leaves u
 ``k`` or more adds the whole k-mer, without a filler for the gap; the query's and match's letters follow the steps in the match,
 the encoded ones the steps in the query. ``diagonal`` starts a new row wherever the
 offset between match and query changes or a gap opens, so that its ends are true ends.
+
+Hits are sorted in ranges of pair and start, so that a pair of very many hits goes on in the next range. Each range folds its runs into fragments:
+the letters so far, the first k-mers whole, and the starts of the first and the last hit. A fragment with another on either side of it in its range is a finished
+row. Only those at a range's ends (two a range, and one for each ``FRAGMENT`` hits of a run) meet again, where the step from the fragment before tells what the first
+k-mers add.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+
+_PAIR = ["match_id", "query_id", "match_name", "query_name"]
+_FRAGMENTS = "match_id long, query_id long, match_name string, query_name string, offset int, part int, n int, border boolean, first_q int, first_m int, last_q int, last_m int, low_q int, low_m int, head_q string, head_m string, head_e string, q string, m string, e string"
+#: Hits that one fragment holds at most.
+FRAGMENT = 200_000
+
 
 def _added(kmer: Column, step: Column) -> Column:
     """What a k-mer adds after a step; a step of 0 adds it whole, a step back drops as many letters from its front."""
     return F.when(step.isNull() | (step == 0), kmer).when(step > 0, F.right(kmer, step)).otherwise(F.substr(kmer, 1 - step))
 
 
-def stitched_text(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Glue the hits of each group of ``keys``."""
-    order = W.partitionBy(*keys).orderBy("start_query", "start_match")
-    step_q = F.col("start_query") - F.lag("start_query").over(order)
-    step_m = F.col("start_match") - F.lag("start_match").over(order)
-    parts = rows.withColumns({"step_q": step_q, "step_m": step_m})
-    parts = parts.select(*keys, "start_query", "start_match", _added(F.col("kmer_query"), F.col("step_m")).alias("q"), _added(F.col("kmer_match"), F.col("step_m")).alias("m"), _added(F.col("encoded"), F.col("step_q")).alias("e"))
-    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_query", "start_match", "q", "m", "e"))).alias("p"), F.min("start_query").alias("query_start"), F.min("start_match").alias("match_start"))
+def _glued(kmers: list[str], steps: list[int]) -> str:
+    return "".join([k[-d:] if d else k for k, d in zip(kmers, steps, strict=True)])
+
+
+class _Run:
+    """Hits of one run that follow one another."""
+
+    def __init__(self, key: tuple, head: tuple, part: int, n: int, border: bool):
+        self.key, self.head, self.part, self.n, self.border = key, head, part, n, border
+        self.texts: tuple[list[str], ...] = ([], [], [])
+        self.count, self.last, self.low_q, self.low_m = 1, head[:2], *head[:2]
+
+    def add(self, sq: np.ndarray, sm: np.ndarray, kmers: list[list[str]]) -> None:
+        """Further hits, with the steps from the last one."""
+        dq, dm = (np.diff(x, prepend=before).tolist() for x, before in ((sq, self.last[0]), (sm, self.last[1])))
+        for text, own, steps in zip(self.texts, kmers, (dm, dm, dq), strict=True):
+            text.append(_glued(own, steps))
+        self.count, self.last = self.count + len(sq), (int(sq[-1]), int(sm[-1]))
+        self.low_q, self.low_m = min(self.low_q, int(sq.min())), min(self.low_m, int(sm.min()))
+
+    def row(self) -> tuple:
+        return (*self.key, self.part, self.n, self.border, *self.head[:2], *self.last, self.low_q, self.low_m, *self.head[2:], *("".join(x) for x in self.texts))
+
+
+def fragments(hits: DataFrame, ksize: int | None, limit: int = FRAGMENT) -> DataFrame:
+    """Fragments of the runs of each pair, or, with a ``ksize``, of each offset of a pair without gaps."""
+    offset = F.lit(None).cast("int") if ksize is None else (F.col("start_match") - F.col("start_query")).cast("int")
+    keys = ["match_id", "query_id", "offset"]
+    rows = hits.select(*_PAIR, offset.alias("offset"), *(F.col(c).cast("int").alias(c) for c in ("start_query", "start_match")), "kmer_query", "kmer_match", "encoded")
+    order = [*keys, "start_query", "start_match"]
+    names = [x.split()[0] for x in _FRAGMENTS.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in _FRAGMENTS.split(", ")]
+
+    def table(done: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*done, strict=True) if done else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            match, query, sq, sm = (batch.column(c).to_numpy() for c in ("match_id", "query_id", "start_query", "start_match"))
+            off = batch.column("offset").fill_null(0).to_numpy()
+            kmers = [batch.column(c).to_pylist() for c in ("kmer_query", "kmer_match", "encoded")]
+            labels = [batch.column(c).to_pylist() for c in (*_PAIR, "offset")]
+            new = np.ones(len(sq), bool)
+            new[1:] = (np.diff(match) != 0) | (np.diff(query) != 0) | (np.diff(off) != 0)
+            if ksize is not None:
+                new[1:] |= np.diff(sq) > ksize
+            key = tuple(x[0] for x in labels)
+            new[0] = own is None or own.key != key or (ksize is not None and int(sq[0]) - own.last[0] > ksize)
+            done: list[tuple] = []
+            cuts = [*np.flatnonzero(new).tolist(), len(sq)]
+            if not new[0]:
+                own.add(sq[: cuts[0]], sm[: cuts[0]], [k[: cuts[0]] for k in kmers])
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if own is not None:
+                    done.append(own.row())
+                own = _Run(tuple(x[a] for x in labels), (int(sq[a]), int(sm[a]), *(k[a] for k in kmers)), part, n, n == 0)
+                n += 1
+                if z > a + 1:
+                    own.add(sq[a + 1 : z], sm[a + 1 : z], [k[a + 1 : z] for k in kmers])
+            if own.count >= limit:  # goes on as another fragment, which begins with its next hit
+                own.border = True
+                done.append(own.row())
+                own = _Continued(own, n)
+                n += 1
+            yield table(done)
+        if own is not None and own.count:
+            own.border = True
+            yield table([own.row()])
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _FRAGMENTS)
+
+
+class _Continued(_Run):
+    """A run after a fragment of it was handed out: it has no hit yet."""
+
+    def __init__(self, before: _Run, n: int):
+        self.key, self.part, self.n, self.border, self.count, self.last = before.key, before.part, n, True, 0, before.last
+
+    def add(self, sq: np.ndarray, sm: np.ndarray, kmers: list[list[str]]) -> None:
+        if not self.count:
+            _Run.__init__(self, self.key, (int(sq[0]), int(sm[0]), *(k[0] for k in kmers)), self.part, self.n, True)
+            sq, sm, kmers = sq[1:], sm[1:], [k[1:] for k in kmers]
+        if len(sq):
+            super().add(sq, sm, kmers)
+
+
+def joined(border: DataFrame, ksize: int | None) -> DataFrame:
+    """Fragments that follow one another across ranges, joined in their order."""
+    keys = ["match_id", "query_id", "offset"]
+    order = W.partitionBy(*keys).orderBy("part", "n")
+    step_q, step_m = F.col("first_q") - F.lag("last_q").over(order), F.col("first_m") - F.lag("last_m").over(order)
+    rows = border.withColumns({"step_q": step_q, "step_m": step_m})
+    if ksize is not None:
+        opens = F.coalesce((F.col("step_q") > ksize).cast("int"), F.lit(1))
+        rows = rows.withColumn("island", F.sum(opens).over(order))
+        first = F.row_number().over(W.partitionBy(*keys, "island").orderBy("part", "n")) == 1
+        rows = rows.withColumns({"step_q": F.when(~first, F.col("step_q")), "step_m": F.when(~first, F.col("step_m"))})
+    else:
+        rows = rows.withColumn("island", F.lit(0))
+    text = lambda x, step: F.concat(_added(F.col(f"head_{x}"), F.col(step)), F.col(x)).alias(x)
+    piece = F.struct("part", "n", text("q", "step_m"), text("m", "step_m"), text("e", "step_q"))
+    whole = rows.groupBy(*_PAIR, "offset", "island").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min("low_q").alias("query_start"), F.min("low_m").alias("match_start"))  # a piece for each range or FRAGMENT hits
     glue = lambda x: F.array_join(F.col(f"p.{x}"), "")
-    return whole.select(*keys, "query_start", glue("q").alias("query"), "match_start", glue("m").alias("match"), glue("e").alias("encoded"))
+    return whole.select(*_PAIR, "query_start", glue("q").alias("query"), "match_start", glue("m").alias("match"), glue("e").alias("encoded"))
 
 
 def _finished(rows: DataFrame) -> DataFrame:
@@ -36,18 +151,19 @@ def _finished(rows: DataFrame) -> DataFrame:
     return rows.select("match_name", "query_name", "query_start", (F.col("query_start") + length).alias("query_end"), "query", "match_start", (F.col("match_start") + length).alias("match_end"), "match", "encoded", length.alias("length"))
 
 
-def stitch(hits: DataFrame, mode: str = "compat", ksize: int | None = None) -> DataFrame:
-    """``match_name, query_name, query_start, query_end, query, match_start, match_end, match, encoded, length``; ends are open."""
-    pair = ["match_id", "query_id", "match_name", "query_name"]
-    if mode == "compat":
-        return _finished(stitched_text(hits, pair))
-    if mode != "diagonal" or not ksize:
+def stitch(hits: DataFrame, mode: str = "compat", ksize: int | None = None, limit: int = FRAGMENT) -> DataFrame:
+    """``match_name, query_name, query_start, query_end, query, match_start, match_end, match, encoded, length``; ends are open.
+
+    The hits are written to the shared folder first, as the ranges are chosen from a sample of them.
+    """
+    if mode not in ("compat", "diagonal") or (mode == "diagonal" and not ksize):
         raise ValueError("mode is compat, or diagonal with a ksize")
-    rows = hits.withColumn("offset", F.col("start_match") - F.col("start_query"))
-    order = W.partitionBy(*pair, "offset").orderBy("start_query")
-    opens = F.coalesce((F.col("start_query") - F.lag("start_query").over(order) > ksize).cast("int"), F.lit(1))
-    rows = rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order))
-    return _finished(stitched_text(rows, [*pair, "offset", "island"]))
+    gap = ksize if mode == "diagonal" else None
+    stored, _ = saved(hits.select(*_PAIR, "start_query", "start_match", "kmer_query", "kmer_match", "encoded"), "hits")
+    found, _ = saved(fragments(stored, gap, limit), "fragments")
+    text = lambda x: F.concat(f"head_{x}", x)
+    inner = found.where(~F.col("border")).select(*_PAIR, F.col("low_q").alias("query_start"), text("q").alias("query"), F.col("low_m").alias("match_start"), text("m").alias("match"), text("e").alias("encoded"))
+    return _finished(inner.unionByName(joined(found.where("border"), gap)))
 
 
 def shown(stitched: DataFrame) -> DataFrame:
