@@ -3,6 +3,8 @@
 Windows are cut, encoded, hashed and sampled inside one Arrow function, on arrays of bytes: a
 k-mer that the sampling leaves out never becomes a row, and a sequence's sketch needs no shuffle, as a
 sequence is one row. Sequences shorter than ``ksize`` have no k-mers. Sequences longer than a step are worked off in overlapping parts.
+What is grouped inside a sequence (originals, positions, counts of a hash) is grouped in the same function, without a shuffle: windows are sorted by
+hash, original and start, a long sequence's by slices of the hash range, so that all windows of a hash are in one slice.
 
 Records are told apart by ``id``, a BIGINT column of the sequences; where there is none it is made of the name, so that records of one name are one.
 ``only``, a table with a ``hashval`` column, leaves out all other hashes where the sequence is read, if it has ``ONLY`` distinct ones at most.
@@ -23,6 +25,9 @@ KMERS = "id long, name string, start int, kmer string, encoded string, hashval l
 SKETCH = "id long, name string, hashval long, abund long"
 SIGNATURES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string"
 PROFILES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string, hits array<struct<hashval:long,abund:long>>"
+INFOS = "id long, name string, hashval long, encoded string, kmer string, positions array<int>"
+NESTED = "id long, name string, hashval long, encoded string, originals map<string,array<int>>"
+ORIGINALS = "id long, name string, hashval long, encoded string, n_originals long, occurrences long"
 #: Residues in one step of a worker.
 _STEP = 1 << 18
 #: Hashes that a broadcast filter holds at most, 8 bytes each.
@@ -205,14 +210,117 @@ def signatures(sequences: DataFrame, ksize: int, moltype: str = "protein", scale
     return profiles(sequences, ksize, moltype, scaled, name, sequence, hits=False)
 
 
-def kmer_infos(kmers: DataFrame) -> DataFrame:
-    """``id, name, hashval, encoded, kmer, positions`` with ascending positions."""
-    return kmers.groupBy("id", "name", "hashval", "encoded", "kmer").agg(F.array_sort(F.collect_list("start")).alias("positions"))
+def _sortable(raw: np.ndarray) -> np.ndarray:
+    """Keys that order and tell apart the rows of an array of residues."""
+    n, k = raw.shape
+    if k > 8:
+        return np.ascontiguousarray(raw).view(f"S{k}").ravel()
+    words = np.zeros((n, 8), np.uint8)
+    words[:, :k] = raw
+    return words.view(">u8").ravel().astype(np.uint64)
 
 
-def nested_infos(kmers: DataFrame) -> DataFrame:
-    """``id, name, hashval, encoded, originals``: positions by original k-mer, as a map."""
-    return kmer_infos(kmers).groupBy("id", "name", "hashval", "encoded").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "positions"))).alias("originals"))
+def _slices(sequence: bytes, ksize: int, lookup: np.ndarray | None, limit: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Start, raw and encoded bytes, and hash of a long sequence's sampled windows, by slices of the hash range in ascending order."""
+    data = np.frombuffer(sequence, np.uint8)
+    encoded = data if lookup is None else lookup[data]
+    raw, view = (np.lib.stride_tricks.sliding_window_view(x, ksize) for x in (data, encoded))
+    hashed = np.concatenate([hashing.murmur(view[at : at + step]) for at in range(0, len(view), step)])
+    kept = np.flatnonzero(hashed <= np.uint64(limit))
+    parts = max(1, -(-len(kept) // step))
+    of = hashed[kept] // np.uint64(limit // parts + 1) if parts > 1 else np.zeros(len(kept), np.uint64)
+    for p in range(parts):
+        at = kept[of == np.uint64(p)]
+        yield at, raw[at], view[at], hashed[at]
+
+
+def grouped(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int, step: int = _STEP) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start, raw and encoded bytes, and hash of the sampled windows, sorted by row, hash, raw bytes and start: of many rows, or of a slice of a long one."""
+
+    def ordered(rows: np.ndarray, start: np.ndarray, raw: np.ndarray, encoded: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((_sortable(raw), hashed, rows))  # stable: starts ascend already
+        return rows[order], start[order], raw[order], encoded[order], hashed[order]
+
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def together() -> Iterator[tuple[np.ndarray, ...]]:
+        if held:
+            owner, start, raw, encoded, hashed = _windows([x for _, x in held], ksize, lookup, _kept(limit, None))
+            yield ordered(np.array([r for r, _ in held], np.int64)[owner], start, raw, encoded, hashed)
+
+    for row, sequence in enumerate(batch.column("sequence")):
+        own = (sequence.as_py() or "").encode()
+        if len(own) > step and len(own) >= ksize:
+            for found in _slices(own, ksize, lookup, limit, step):
+                yield ordered(np.full(len(found[0]), row, np.int64), *found)
+            continue
+        held.append((row, own))
+        size += len(own)
+        if size >= step:
+            yield from together()
+            held, size = [], 0
+    yield from together()
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _in_records(sequences: DataFrame, ksize: int, moltype: str, scaled: int, name: str, sequence: str, schema: str, columns: Callable[..., list[pa.Array]], step: int) -> DataFrame:
+    """Rows made of a record's own windows: ``columns`` gets the first window of each hash, of each original, and the windows."""
+    if ksize < 1:
+        return sequences.sparkSession.createDataFrame([], schema)
+    lookup, limit, names = _lookup(moltype), hashing.max_hash(scaled), [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, start, raw, encoded, hashed in grouped(batch, ksize, lookup, limit, step):
+                by_hash = _changes(row, hashed)
+                by_original = by_hash | _changes(_sortable(raw))
+                at, own = columns(np.flatnonzero(by_hash), np.flatnonzero(by_original), start, raw)
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(hashed[at].view(np.int64)), _strings(encoded[at]), *own], names)
+
+    return named(sequences, name, sequence).mapInArrow(run, schema)
+
+
+def _lists(first: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def kmer_infos(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
+    """``id, name, hashval, encoded, kmer, positions``: the ascending positions of each original k-mer of a sequence."""
+
+    def columns(by_hash: np.ndarray, by_original: np.ndarray, start: np.ndarray, raw: np.ndarray) -> tuple:
+        return by_original, [_strings(raw[by_original]), _lists(by_original, start)]
+
+    return _in_records(sequences, ksize, moltype, scaled, name, sequence, INFOS, columns, step)
+
+
+def nested_infos(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
+    """``id, name, hashval, encoded, originals``: positions by original k-mer, as a map, for each hash of a sequence."""
+
+    def columns(by_hash: np.ndarray, by_original: np.ndarray, start: np.ndarray, raw: np.ndarray) -> tuple:
+        offsets = pa.array(np.append(np.searchsorted(by_original, by_hash), len(by_original)), pa.int32())
+        return by_hash, [pa.MapArray.from_arrays(offsets, _strings(raw[by_original]), _lists(by_original, start))]
+
+    return _in_records(sequences, ksize, moltype, scaled, name, sequence, NESTED, columns, step)
+
+
+def original_counts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
+    """``id, name, hashval, encoded, n_originals, occurrences``: how many k-mers of a sequence share a hash, and how often it stands there."""
+
+    def columns(by_hash: np.ndarray, by_original: np.ndarray, start: np.ndarray, raw: np.ndarray) -> tuple:
+        ends = np.append(by_hash[1:], len(start)) if len(by_hash) else by_hash
+        originals = np.searchsorted(by_original, ends) - np.searchsorted(by_original, by_hash)
+        return by_hash, [pa.array(originals, pa.int64()), pa.array(ends - by_hash, pa.int64())]
+
+    return _in_records(sequences, ksize, moltype, scaled, name, sequence, ORIGINALS, columns, step)
 
 
 def combined_sketch(sketch: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import named
+from .kmers import named, original_counts
 
 
 def kmer_counts(kmers: DataFrame) -> DataFrame:
@@ -13,11 +13,6 @@ def kmer_counts(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("id", "name", "hashval").agg(F.count("*").alias("n"))
 
 
-def unique_kmer_counts(kmers: DataFrame) -> DataFrame:
-    """``id, name, hashval, n_originals``: how many k-mers share a hash."""
-    return kmers.groupBy("id", "name", "hashval").agg(F.countDistinct("kmer").alias("n_originals"))
-
-
 def total_occurrences(kmers: DataFrame) -> DataFrame:
     """``id, name, n``."""
     return kmers.groupBy("id", "name").agg(F.count("*").alias("n"))
@@ -65,12 +60,15 @@ def overlapping_kmers(kmers: DataFrame) -> DataFrame:
     return a.join(b, ["id", "start"]).where(F.col("first") < F.col("second")).groupBy("id", "name", "first", "second").agg(F.count("*").alias("positions"))
 
 
-def estimated_size(kmers: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
-    """``id, name, bytes``: name, 16 for each hash, 12 and the encoded k-mer for each hash, 16 for each original, and the raw sequence if given."""
-    infos = kmers.groupBy("id", "name", "hashval", "encoded").agg(F.countDistinct("kmer").alias("originals"))
-    size = infos.groupBy("id", "name").agg(F.sum(F.lit(16 + 12) + F.length("encoded") + 16 * F.col("originals")).alias("n"))
+def estimated_size(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, raw: bool = False) -> DataFrame:
+    """``id, name, bytes`` of records that have a hash: name, 16 for each hash, 12 and the encoded k-mer for each hash, 16 for each original, and with ``raw`` the sequence.
+
+    A record's hashes are added up where it is read; only its sums (one row, or one for each slice of a long record) are dealt out.
+    """
+    infos = original_counts(sequences, ksize, moltype, scaled)
+    size = infos.groupBy("id", "name").agg(F.sum(F.lit(16 + 12) + F.length("encoded") + 16 * F.col("n_originals")).alias("n"))
     size = size.withColumn("n", F.col("n") + F.octet_length("name"))
-    if sequences is not None:
+    if raw:
         size = size.join(named(sequences).select("id", F.octet_length("sequence").alias("raw")), "id").withColumn("n", F.col("n") + F.col("raw"))
     return size.select("id", "name", F.col("n").cast("long").alias("bytes"))
 

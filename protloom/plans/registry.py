@@ -16,7 +16,7 @@ from ..operators import search as se
 from ..operators import signature_ops as so
 from ..operators import stitch as st
 from ..index import ProteinIndex
-from ..scratch import scratch
+from ..scratch import saved, scratch
 from ..sources import fasta as fa
 from . import sql
 
@@ -105,7 +105,7 @@ def kmer_positions(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
 
 
 def kmer_info_map(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
-    infos = km.kmer_infos(_kmers(spark, sf, t, "hp"))
+    infos = km.kmer_infos(_sequences(spark, sf, t), K, "hp")
     return infos.select("name", _hash(), "encoded", "kmer", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
@@ -161,7 +161,7 @@ def multisearch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    queries = _kmers(spark, sf, "b")
+    queries, _ = saved(_kmers(spark, sf, "b"), "query-kmers")
     return se.kmer_hits(queries, _kmers(spark, sf, "d", only=queries))
 
 
@@ -214,11 +214,11 @@ def overlapping_kmers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unique_kmer_count(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
-    return so.unique_kmer_counts(_kmers(spark, sf, t, "hp")).select("name", _hash(), "n_originals")
+    return km.original_counts(_sequences(spark, sf, t), K, "hp").select("name", _hash(), "n_originals")
 
 
 def estimated_size(spark: SparkSession, sf: str) -> DataFrame:
-    return so.estimated_size(_kmers(spark, sf, "d", "dayhoff"), _sequences(spark, sf, "d")).drop("id")
+    return so.estimated_size(_sequences(spark, sf, "d"), K, "dayhoff", raw=True).drop("id")
 
 
 def _index(spark: SparkSession, rows: DataFrame, moltype: str = "hp", store_raw_sequences: bool = False) -> ProteinIndex:

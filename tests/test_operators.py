@@ -33,7 +33,7 @@ def test_positions(spark, two):
     assert sorted((r["start"], r["kmer"]) for r in rows if r["name"] == "plant") == [(i, PLANT[i : i + 5]) for i in range(17)]
     assert {r["name"] for r in rows} == {"plant", "living"}
     assert km.kmer_positions(two, 0, "hp").count() == 0
-    nested = km.nested_infos(km.kmer_positions(two, 5, "hp")).where("name = 'plant'").collect()
+    nested = km.nested_infos(two, 5, "hp").where("name = 'plant'").collect()
     assert len(nested) == 14 and sum(len(r["originals"]) == 2 for r in nested) == 3
 
 
@@ -61,16 +61,16 @@ def test_analytics(spark):
     kmers = km.kmer_positions(df, 5, "hp")
     counts = {r["n"] for r in so.multi_position_kmers(kmers).collect()}
     assert counts == {3}
-    assert so.unique_kmer_counts(kmers).agg(F.max("n_originals")).first()[0] == 1
+    assert km.original_counts(df, 5, "hp").agg(F.max("n_originals"), F.sum("occurrences")).first() == (1, 8)
     assert [r["n"] for r in so.total_occurrences(kmers).collect()] == [8]
     assert so.kmers_at(kmers, 0).count() == 1 and so.kmers_at(kmers, 99).count() == 0
     assert so.overlapping_kmers(kmers).count() == 0
     assert {(r["n"], r["n_hashes"]) for r in so.kmers_by_count(kmers).collect()} == {(3, 1), (1, 5)}
-    nested = km.nested_infos(kmers)
+    nested = km.nested_infos(df, 5, "hp")
     assert nested.where(so.has_position(F.col("originals"), 7)).count() == 1
     assert nested.agg(F.sum(so.occurrences(F.col("originals")))).first()[0] == 8
     assert [r[0] for r in spark.createDataFrame([(0, 0), (8, 16)], "n int, l int").select(so.density(F.col("n"), F.col("l"))).collect()] == [0.0, 0.5]
-    assert so.estimated_size(kmers).first()["bytes"] == 1 + 6 * (16 + 12 + 5 + 16)
+    assert so.estimated_size(df, 5, "hp").first()["bytes"] == 1 + 6 * (16 + 12 + 5 + 16)
     two_sizes = kmers.unionByName(km.kmer_positions(df, 4, "hp"))
     assert so.overlapping_kmers(two_sizes).agg(F.sum("positions")).first()[0] == 8
 
@@ -188,6 +188,83 @@ def test_long_sequences_are_worked_off_in_parts(spark, monkeypatch):
     assert sorted(starts) == sorted((k, i) for k, n in enumerate((3000, 11, 100, 2999)) for i in range(n - 6))
 
 
+@pytest.mark.parametrize("ksize", [5, 8, 12])
+@pytest.mark.parametrize("step", [1 << 18, 40])
+def test_grouping_inside_records(spark, ksize, step):
+    """Originals, positions and counts equal those of single k-mers, also in slices of long records; nothing is dealt out."""
+    long_ = "".join("ACDEFGHIKLMNPQRSTVWY"[(k * k + k // 7) % 20] for k in range(700)) + "AVAVAVAVAVAVAVAV" * 5
+    rows = spark.createDataFrame([(1, "a", long_), (2, "a", LIVING * 2), (3, "c", long_[3:60]), (4, "d", ""), (5, "e", None), (6, "f", "ACD")], "id long, name string, sequence string")
+    for scaled in (1, 3):
+        kmers = km.kmer_positions(rows, ksize, "hp", scaled)
+        infos = kmers.groupBy("id", "name", "hashval", "encoded", "kmer").agg(F.array_sort(F.collect_list("start")).alias("positions"))
+        counts = kmers.groupBy("id", "name", "hashval", "encoded").agg(F.countDistinct("kmer").alias("n"), F.count("*").alias("k"))
+        got = {f: f(rows, ksize, "hp", scaled, step=step) for f in (km.kmer_infos, km.original_counts, km.nested_infos)}
+        assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in got.values())
+        want = sorted(map(str, infos.collect()))
+        assert sorted(map(str, got[km.kmer_infos].collect())) == want and len(want) > 50
+        assert sorted(map(tuple, got[km.original_counts].collect())) == sorted(map(tuple, counts.collect()))
+        nested = got[km.nested_infos].select("id", "name", "hashval", "encoded", F.explode("originals").alias("kmer", "positions"))
+        assert sorted(map(str, nested.collect())) == want
+
+
+def test_heavy_hashes_are_dealt_apart(spark):
+    """A k-mer in all targets, on both sides: equal rows, and no task has over three times the median."""
+    rows = spark.range(6000).select("id", F.concat(F.lit("n"), "id").alias("name"), F.lit("ACDEF").alias("kmer"), F.lit("ACDEF").alias("encoded"), (F.col("id") % 7).cast("int").alias("start"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("hashval"))
+    rows = se.saved(rows, "test-heavy")[0]
+    queries = rows.where("id % 50 = 1 or id % 9 = 0")
+    want = se.kmer_hits(queries, rows)
+    got = se.kmer_hits(queries, rows, broadcast_rows=0, heavy=20)
+    total = F.sum(F.xxhash64("query_id", "match_id", "start_query", "start_match", "hashval").cast("decimal(38,0)"))
+    assert got.agg(F.count("*"), total).first() == want.agg(F.count("*"), total).first() != (0, None)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "8", "-1"), strict=True):
+            spark.conf.set(k, v)
+        sizes = sorted(r["count"] for r in se.kmer_hits(queries, rows, broadcast_rows=0, heavy=20).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and sizes[-1] <= 3 * sizes[4]
+
+
+def test_few_and_many_queries_find_the_same(spark, two):
+    own = se.read_collection(two, 5, "hp", 1)
+    for search in (se.manysearch, se.multisearch):
+        a, b = (sorted(map(str, search(own, own, 5, 1, "hp", **limits).collect())) for limits in ({}, {"broadcast_rows": 0, "heavy": 2}))
+        assert a == b != []
+
+
+@pytest.mark.parametrize("limit", [200_000, 40])
+def test_stitching_across_ranges(spark, limit):
+    """One pair with most hits, over several ranges and fragments, beside small ones."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(1, 1, "q1", "m1", a := rng.randrange(3000), a + rng.choice([0, 0, 7, -3])) for _ in range(4000)] + [(q, m, f"q{q}", f"m{m}", a, a + 2) for q in (2, 3) for m in (5, 6) for a in range(0, 60, 3)]
+    rows = [(q, m, qn, mn, a, b, f"Q{a:04}Q", f"M{b:04}M", f"E{a:04}E") for q, m, qn, mn, a, b in rows if b >= 0]
+    df = spark.createDataFrame(rows, "query_id long, match_id long, query_name string, match_name string, start_query int, start_match int, kmer_query string, kmer_match string, encoded string").repartition(6)
+    want, islands = [], []
+    for q, m in {r[:2] for r in rows}:
+        own = sorted((r[4:] for r in rows if r[:2] == (q, m)), key=lambda r: r[:2])
+        a, b = [r[0] for r in own], [r[1] for r in own]
+        want.append((f"m{m}", f"q{q}", min(a), min(b), glue([r[2] for r in own], b), glue([r[3] for r in own], b), glue([r[4] for r in own], a)))
+        for off in {r[1] - r[0] for r in own}:
+            line = [r for r in own if r[1] - r[0] == off]
+            cuts = [0, *(i for i in range(1, len(line)) if line[i][0] - line[i - 1][0] > 6), len(line)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                part = line[s:e]
+                x, y = [r[0] for r in part], [r[1] for r in part]
+                islands.append((f"m{m}", f"q{q}", x[0], y[0], glue([r[2] for r in part], y), glue([r[3] for r in part], y), glue([r[4] for r in part], x)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for mode, known in (("compat", want), ("diagonal", islands)):
+            got = stc.stitch(df, mode, 6, limit=limit).collect()
+            assert sorted((r["match_name"], r["query_name"], r["query_start"], r["match_start"], r["query"], r["match"], r["encoded"]) for r in got) == sorted(known), mode
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_an_alphabet_of_ones_own(spark):
     from protloom.functions import alphabet
 
