@@ -104,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
         out = args.output or os.path.join(os.path.dirname(args.input), index_filename(os.path.basename(args.input), args.encoding, args.ksize, args.scaled))
         own = ProteinIndex(spark, out, args.ksize, args.scaled, args.encoding, args.store_raw_sequences)
         own.process_fasta(args.input)
-        own.compact(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        own.compact()
         logger.info("%s", own.stats())
     elif args.command == "sketch":
         own = SequenceSet(spark, args.fasta, args.ksize, args.scaled, args.moltype, args.extract_kmers, args.force)

@@ -12,6 +12,9 @@ MAX_KSIZE, MAX_SCALED = 100, 10
 MOLTYPES = ("protein", "dayhoff", "hp")
 
 
+# The messages of ``kmer_size``, ``molecule_type`` and ``validate`` are fixed texts of the interface.
+
+
 def kmer_size(value: int) -> int:
     """1 to 100."""
     if value < 1:
@@ -26,7 +29,7 @@ def scaled_value(value: int) -> int:
     if value < 1:
         raise ValueError("Scaled value must be greater than 0")
     if value > MAX_SCALED:
-        raise ValueError(f"Scaled value too large: {value} (max {MAX_SCALED}); so sparse a sample leaves a protein next to no k-mers")
+        raise ValueError(f"scaled is {value}, and at most {MAX_SCALED}")
     return value
 
 

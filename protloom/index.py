@@ -1,37 +1,58 @@
 """An index of protein sequences: a folder of Parquet tables.
 
-``kmers`` (positioned k-mers), ``sketch`` (hashes with abundance, by sequence), ``signatures`` (counts and digests of sequences) and ``sequences`` (ids, names, lengths, and the
-sequences if they are stored). Every record has an id of its own and keeps its place, also when two have the same name or the same hashes; the
+``kmers`` (positioned k-mers), ``sketches`` (a record's measures and its hashes with abundance), ``combined`` (hashes with occurrences and number of records) and ``sequences`` (ids,
+names, lengths, and the sequences if they are stored). Every record has an id of its own and keeps its place, also when two have the same name or the same hashes; the
 pseudo-digest is a column, not a key. A sequence with an invalid residue fails the call, and nothing of the call is stored.
 
-Each call writes into folders of its own, and is published last, by one row of ``metadata``: what an interrupted call
-left is never read, and writers do not meet. ``compact`` adds ``postings``, the hashes of all calls so far, clustered by hash; a search reads them, and the
-sketches of calls that came later. Nothing is collected but counts and the metadata rows.
+Each call claims a number, writes into folders of its own, and is published last, by one row of ``metadata``: what an interrupted call
+left is never read, and writers do not meet. A call adds up its own hashes only, so its cost follows what it adds.
+
+``compact`` merges what it merged before with the calls since: the combined sketch, and ``postings``, the records of each hash, in folders by range of the hash (``bucket``), sorted by
+hash and record. Ids of records count up inside a call, so a hash's records are stored as small steps. A search reads the folders that its hashes fall in, and the
+sketches of calls that came later. Nothing is collected but counts, folder numbers and the metadata rows.
+
+``pinned`` gives a view of the index as it is now, whose tables ``vacuum`` leaves alone; ``vacuum`` deletes what no state needs any more.
 """
 
 from __future__ import annotations
 
+import copy
+import json
+import math
 import sys
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .config import IndexConfig, kmer_size, molecule_type
-from .errors import BuilderError, ConfigurationError, InvalidKsize, NoSavedState
+from .config import MAX_KSIZE, IndexConfig, kmer_size, molecule_type
+from .errors import BuilderError, ConfigurationError, InvalidKsize, NoSavedState, SketchError
 from .functions import alphabet, hashing
 from .metrics import MetricsCollector, timed
 from .operators import kmers as km
 from .operators import search as se
 from .operators.signature_ops import differing
-from .scratch import forget
+from .scratch import forget, saved, scratch
 from .sources.fasta import read_path_or_stdin, state_of
 
 SUFFIX = "protloom"
-#: ``kind`` is ``call`` or ``postings``, ``covers`` the calls in a table of postings.
-METADATA = "kind string, name string, covers array<string>, moltype string, ksize int, scaled int, store_raw_sequences boolean, at timestamp"
+#: ``kind`` is ``call`` or ``postings``, ``covers`` the calls in a table of postings, ``bits`` those of a hash that name its folder there.
+METADATA = "kind string, name string, covers array<string>, bits int, moltype string, ksize int, scaled int, store_raw_sequences boolean, at timestamp"
+POSTINGS = "id long, hashval long, abund long"
+COMBINED = "hashval long, abund long, df long"
+#: Tables with a folder for each call, and those that a compaction writes too.
+TABLES, MERGED = ("staged", "kmers", "sketches", "sequences", "combined", "postings"), ("combined", "postings")
+#: Postings in a folder, about; folders at most (two to the power).
+BUCKET_ROWS, MAX_BITS = 4_000_000, 16
+#: Bits of an id: the call, the partition it was read in, and the row there.
+_CALL, _ROW = 46, 28
+#: How postings are stored: as steps from row to row.
+_STEPS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#hashval": "false", "parquet.enable.dictionary#id": "false"}
 
 
 def index_filename(base: str, moltype: str, ksize: int, scaled: int) -> str:
@@ -57,8 +78,27 @@ def sketch_list(path: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = hadoop_path(spark, path)
+    return fs.exists(target)
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path, and the file system that it is in."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, prefix: str) -> dict[str, float]:
+    """What follows the prefix in the names inside a folder, with the times of last change in seconds."""
+    target, fs = hadoop_path(spark, path)
+    if not fs.exists(target):
+        return {}
+    return {n.removeprefix(prefix): s.getModificationTime() / 1000 for s in fs.listStatus(target) if (n := s.getPath().getName()).startswith(prefix)}
+
+
+def bucket_of(hashval: Column, bits: int) -> Column:
+    """The highest bits of a hash."""
+    return F.shiftrightunsigned(hashval, 64 - bits).cast("int") if bits else F.lit(0)
 
 
 class ProteinIndex:
@@ -66,11 +106,11 @@ class ProteinIndex:
 
     def __init__(self, spark: SparkSession, path: str, ksize: int, scaled: int = 1, moltype: str = "protein", store_raw_sequences: bool = False, seed: int | None = None):
         alphabet.table_of(moltype)
-        if ksize < 1:
+        if not 1 <= ksize <= MAX_KSIZE:
             raise InvalidKsize(ksize)
         if scaled < 1:
             raise ConfigurationError("scaled", "Scaled value must be greater than 0")
-        self.spark, self.path, self.metrics = spark, str(path), MetricsCollector()
+        self.spark, self.path, self.metrics, self._pin = spark, str(path), MetricsCollector(), None
         self.ksize, self.scaled, self.moltype, self.store_raw_sequences, self.seed = ksize, scaled, moltype, store_raw_sequences, seed
 
     # ---- making ----
@@ -118,46 +158,135 @@ class ProteinIndex:
         """``name, hashval, abund`` of sequences, not stored."""
         return km.sketches(self.prepared(sequences), self.ksize, self.moltype, self.scaled)
 
+    def _claimed(self) -> int:
+        """A number that no other call has: that of a file which only one writer can make."""
+        n = len(folders(self.spark, f"{self.path}/claims", ""))
+        while True:
+            target, fs = hadoop_path(self.spark, f"{self.path}/claims/{n}")
+            if fs.createNewFile(target):
+                break
+            n += 1
+        if n >= 1 << 63 - _CALL:
+            raise SketchError(f"more than {1 << 63 - _CALL} calls")
+        return n
+
+    @staticmethod
+    def _id(call: int) -> Column:
+        """Ids that count up inside a partition."""
+        own, most = F.monotonically_increasing_id(), F.lit((1 << 33) - 1)
+        part, row = F.shiftright(own, 33), own.bitwiseAND(most)
+        small = (part < 1 << _CALL - _ROW) & (row < 1 << _ROW)
+        return F.when(small, F.lit(call << _CALL) + F.shiftleft(part, _ROW) + row).otherwise(F.raise_error(F.lit(f"more than {1 << _ROW} records in a partition, or {1 << _CALL - _ROW} partitions: deal them out first")).cast("long"))
+
     def store(self, sequences: DataFrame) -> None:
-        """Append ``name, sequence`` rows. They are checked as a whole before anything of them can be read."""
-        call = uuid.uuid4().hex
+        """Append ``name, sequence`` rows. They are checked as a whole before anything of them can be read.
+
+        Records and occurrences are counted by the tasks that write the sketches.
+        """
+        call, number, seen = uuid.uuid4().hex, self._claimed(), Observation("stored")
         at = lambda table: f"{self.path}/{table}/call={call}"
         with timed("store") as took:
-            prepared = self.prepared(sequences).select(F.xxhash64(F.lit(call), F.monotonically_increasing_id()).alias("id"), "name", "sequence")
-            prepared.write.parquet(at("staged"))
+            self.prepared(sequences).select(self._id(number).alias("id"), "name", "sequence").write.parquet(at("staged"))
             own = self.spark.read.schema("id long, name string, sequence string").parquet(at("staged"))
+            rows = km.stored_sketches(own, self.ksize, self.moltype, self.scaled).observe(seen, F.count_if(F.col("part") == 0).alias("records"), F.sum("occurrences").alias("kmers"))
+            rows.write.parquet(at("sketches"))
+            self._write_combined(km.combined_sketch(self._hits(self.spark.read.schema(km.STORED).parquet(at("sketches")))), at("combined"))
             km.kmer_positions(own, self.ksize, self.moltype, self.scaled).write.parquet(at("kmers"))
-            km.sketches(own, self.ksize, self.moltype, self.scaled).write.parquet(at("sketch"))
-            km.signatures(own, self.ksize, self.moltype, self.scaled).write.parquet(at("signatures"))
             raw = F.col("sequence") if self.store_raw_sequences else F.lit(None).cast("string")
             own.select("id", "name", F.length("sequence").alias("length"), raw.alias("sequence")).write.parquet(at("sequences"))
-            self._publish("call", call, [])
+            self._publish("call", call, [], 0)
             forget(self.spark, at("staged"))
-        own = self.spark.read.schema(km.SIGNATURES).parquet(at("signatures")).agg(F.count("*"), F.sum("occurrences")).first()
-        for name, n in (("signatures_processed", own[0]), ("kmers_processed", own[1] or 0), ("database_operations", 5)):
+        told = seen.get
+        for name, n in (("signatures_processed", told["records"]), ("kmers_processed", told["kmers"] or 0), ("database_operations", 6)):
             self.metrics.record(name, n)
-        log(f"stored {own[0]} sequences in {took[0]:.1f} s")
+        log(f"stored {told['records']} sequences in {took[0]:.1f} s")
+
+    @staticmethod
+    def _hits(sketches: DataFrame) -> DataFrame:
+        return sketches.select("id", "name", F.explode("hits").alias("hit")).select("id", "name", "hit.hashval", "hit.abund")
+
+    @staticmethod
+    def _write_combined(rows: DataFrame, path: str) -> None:
+        rows.repartitionByRange(hashing.sortable(F.col("hashval"))).sortWithinPartitions(hashing.sortable(F.col("hashval"))).write.parquet(path)
 
     def process_fasta(self, path: str) -> None:
         """Append the records of a FASTA file, in upper case."""
         self.store(read_path_or_stdin(self.spark, path).select("name", F.upper("sequence").alias("sequence")))
 
-    def _publish(self, kind: str, name: str, covers: list[str]) -> None:
+    def _publish(self, kind: str, name: str, covers: list[str], bits: int) -> None:
         """One row, in a file of its own, that appears as a whole."""
-        row = self.spark.createDataFrame([(kind, name, covers, self.moltype, self.ksize, self.scaled, self.store_raw_sequences)], METADATA.removesuffix(", at timestamp"))
+        row = self.spark.createDataFrame([(kind, name, covers, bits, self.moltype, self.ksize, self.scaled, self.store_raw_sequences)], METADATA.removesuffix(", at timestamp"))
         row.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/metadata")
 
-    def compact(self, partitions: int) -> None:
-        """Write the sketches of all calls so far, dealt out by hash range and sorted by hash."""
+    def compact(self, bucket_rows: int = BUCKET_ROWS) -> None:
+        """Merge the last compaction and the calls since: postings in folders of about ``bucket_rows``, and the combined sketch."""
         calls, name = self._calls(), uuid.uuid4().hex
-        own = self.sketch().select("id", "hashval", "abund")
-        own.repartitionByRange(partitions, "hashval").sortWithinPartitions("hashval").write.parquet(f"{self.path}/postings/call={name}")
-        self._publish("postings", name, calls)
+        n = self.signatures().agg(F.sum("n_hashes")).first()[0] or 0
+        # sampled hashes lie in the lowest part of the range
+        bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, n * self.scaled / bucket_rows)))))
+        bucket, key = bucket_of(F.col("hashval"), bits).alias("bucket"), hashing.sortable(F.col("hashval"))
+        own = self.postings().select("id", "hashval", "abund", bucket)
+        own.repartitionByRange(key, "id").sortWithinPartitions("bucket", key, "id").write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
+        self._write_combined(self.combined(), f"{self.path}/combined/call={name}")
+        self._publish("postings", name, calls, bits)
+
+    # ---- states ----
+
+    def _rows(self) -> list:
+        """The metadata rows: of the view, or as they are now."""
+        return self._pin if self._pin is not None else self._published(self.spark, self.path)
+
+    @contextmanager
+    def pinned(self) -> Iterator[ProteinIndex]:
+        """A view of the index as it is now. Until the block ends, ``vacuum`` keeps its tables, whatever is added or compacted."""
+        view, rows = copy.copy(self), self._published(self.spark, self.path)
+        view._pin = rows
+        pin = f"{self.path}/pins/{uuid.uuid4().hex}"
+        target, fs = hadoop_path(self.spark, pin)
+        out = fs.create(target)
+        try:
+            out.write(bytearray(json.dumps([r["name"] for r in rows]).encode()))
+        finally:
+            out.close()
+        try:
+            yield view
+        finally:
+            forget(self.spark, pin)
+
+    def vacuum(self, older_than: float = 24 * 3600, pins_for: float = 7 * 24 * 3600) -> list[str]:
+        """Delete folders of calls that were never published, and tables that a compaction has replaced, if they are ``older_than`` seconds old.
+
+        What pins of the last ``pins_for`` seconds name stays; older pins are taken to be left by readers that died, and go. Returns the folders' names.
+        """
+        now = time.time()
+        rows = self._published(self.spark, self.path)
+        names, last = {r["name"] for r in rows}, next((r for r in reversed(rows) if r["kind"] == "postings"), None)
+        replaced = {r["name"] for r in rows if r["kind"] == "postings"} - {last["name"]} | set(last["covers"]) if last and now - last["at"].timestamp() > older_than else set()
+        held: set[str] = set()
+        for pin, changed in folders(self.spark, f"{self.path}/pins", "").items():
+            if now - changed > pins_for:
+                forget(self.spark, f"{self.path}/pins/{pin}")
+            else:
+                held |= set(json.loads(self.spark.read.text(f"{self.path}/pins/{pin}").first()[0]))
+        gone = []
+        for table in TABLES:
+            for name, changed in folders(self.spark, f"{self.path}/{table}", "call=").items():
+                old = name in replaced and table in MERGED if name in names else now - changed > older_than
+                if name not in held and (old or (table == "staged" and name in names)):
+                    gone.append(f"{table}/call={name}")
+        forget(self.spark, *(f"{self.path}/{x}" for x in gone))
+        return gone
 
     # ---- reading ----
 
     def _calls(self) -> list[str]:
-        return [r["name"] for r in self._published(self.spark, self.path) if r["kind"] == "call"]
+        return [r["name"] for r in self._rows() if r["kind"] == "call"]
+
+    def _merged(self) -> tuple[object | None, list[str]]:
+        """The last compaction, and the calls since."""
+        last = next((r for r in reversed(self._rows()) if r["kind"] == "postings"), None)
+        covered = set(last["covers"]) if last else set()
+        return last, [c for c in self._calls() if c not in covered]
 
     def _read(self, name: str, schema: str, calls: list[str]) -> DataFrame:
         if not calls:
@@ -167,36 +296,55 @@ class ProteinIndex:
     def _table(self, name: str, schema: str) -> DataFrame:
         return self._read(name, schema, self._calls())
 
-    def postings(self) -> DataFrame:
-        """``id, hashval, abund`` of all calls: the last compaction, and the sketches of the calls it does not cover."""
-        schema, compacted = "id long, hashval long, abund long", [r for r in self._published(self.spark, self.path) if r["kind"] == "postings"]
-        covered = set(compacted[-1]["covers"]) if compacted else set()
-        rest = self._read("sketch", km.SKETCH, [c for c in self._calls() if c not in covered]).select("id", "hashval", "abund")
-        return self._read("postings", schema, [compacted[-1]["name"]]).unionByName(rest) if compacted else rest
+    def postings(self, only: DataFrame | None = None) -> DataFrame:
+        """``id, hashval, abund`` of all calls: the last compaction, and the sketches of calls since.
+
+        With ``only``, a table of hashes, only the folders are read that these fall in.
+        """
+        last, since = self._merged()
+        rest = self._hits(self._read("sketches", km.STORED, since)).select("id", "hashval", "abund")
+        if last is None:
+            return rest
+        path = f"{self.path}/postings/call={last['name']}"
+        buckets = sorted(folders(self.spark, path, "bucket="))
+        if only is not None:
+            asked = {str(r[0]) for r in only.select(bucket_of(F.col("hashval"), last["bits"])).distinct().collect()}  # 2 ** MAX_BITS at most
+            buckets = [b for b in buckets if b in asked]
+        if not buckets:
+            return rest
+        return self.spark.read.schema(POSTINGS).parquet(*(f"{path}/bucket={b}" for b in buckets)).unionByName(rest)
 
     def search(self, queries: DataFrame, ids: bool = False) -> DataFrame:
         """The measures of ``manysearch`` for ``name, sequence`` queries against what is stored, whose sequences are not read again; an ``id`` tells queries of one name apart."""
         own = se.read_collection(self.prepared(queries), self.ksize, self.moltype, self.scaled)
-        return se.manysearch(own, se.Collection(self.signatures(), self.postings()), self.ksize, self.scaled, self.moltype, ids)
+        return se.manysearch(own, se.Collection(self.signatures(), self.postings(own.known())), self.ksize, self.scaled, self.moltype, ids)
 
     def kmers(self) -> DataFrame:
         return self._table("kmers", km.KMERS)
 
     def sketch(self) -> DataFrame:
-        return self._table("sketch", km.SKETCH)
+        """``id, name, hashval, abund``."""
+        return self._hits(self._table("sketches", km.STORED))
 
     def sequences(self) -> DataFrame:
         return self._table("sequences", "id long, name string, length int, sequence string")
 
     def signatures(self) -> DataFrame:
         """``id, name, n_hashes, occurrences, pseudo_md5, md5``; sequences without hashes have 0, 0 and ``0``."""
-        return self._table("signatures", km.SIGNATURES)
+        return self._measures().drop("content")
+
+    def _measures(self) -> DataFrame:
+        return self._table("sketches", km.STORED).where("part = 0").drop("part", "hits")
 
     def combined(self) -> DataFrame:
-        return km.combined_sketch(self.sketch())
+        """``hashval, abund, df``: of the last compaction and the calls since, each of which is added up already."""
+        last, since = self._merged()
+        names = ([last["name"]] if last else []) + since
+        rows = self._read("combined", COMBINED, names)
+        return rows if len(names) < 2 else rows.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.sum("df").alias("df"))
 
     def combined_size(self) -> int:
-        return self.sketch().select("hashval").distinct().count()
+        return self.combined().count()
 
     def signature_count(self) -> int:
         return self.sequences().count()
@@ -205,15 +353,30 @@ class ProteinIndex:
         return {"signatures": self.signature_count(), "combined_hashes": self.combined_size(), "moltype": self.moltype, "ksize": self.ksize, "scaled": self.scaled, "store_raw_sequences": self.store_raw_sequences}
 
     def is_equivalent_to(self, other: ProteinIndex) -> bool:
-        """Equal settings, and equal k-mers, hashes and positions sequence by sequence, whatever the names and raw sequences."""
-        if (self.ksize, self.scaled, self.moltype) != (other.ksize, other.scaled, other.moltype):
-            return False
-        if self.signature_count() != other.signature_count():
-            return False
-        return not differing(self._content(), other._content()).limit(1).count()
+        """Equal settings, and equal k-mers, hashes and positions record by record, whatever the names and raw sequences.
+
+        Told by the records' digests of 128 bits; no k-mer is read.
+        """
+        return self._settings() == other._settings() and not self.unequal(other).limit(1).count()
+
+    def _settings(self) -> tuple:
+        return self.ksize, self.scaled, self.moltype
 
-    def _content(self) -> DataFrame:
-        return self.kmers().join(self.signatures().select("id", "pseudo_md5"), "id").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
+    def unequal(self, other: ProteinIndex) -> DataFrame:
+        """``content, pseudo_md5, n_left, n_right``: contents that one index has more often than the other, in numbers of records."""
+        count = lambda own, name: own._measures().groupBy("content", "pseudo_md5").agg(F.count("*").alias(name))
+        both = count(self, "n_left").join(count(other, "n_right"), ["content", "pseudo_md5"], "full")
+        return both.na.fill(0, ["n_left", "n_right"]).where("n_left <> n_right")
+
+    def differences(self, other: ProteinIndex) -> DataFrame:
+        """k-mers that one index has more often than the other, of the records whose contents are unequal: ``side`` and ``pseudo_md5, start, kmer, encoded, hashval``."""
+        apart, _ = saved(self.unequal(other).select("content", "pseudo_md5"), "unequal")
+
+        def kmers(own: ProteinIndex) -> DataFrame:
+            ids = own._measures().join(apart, ["content", "pseudo_md5"]).select("id", "pseudo_md5")
+            return own.kmers().join(ids, "id").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
+
+        return differing(kmers(self), kmers(other))
 
 
 @dataclass
@@ -259,33 +422,50 @@ class IndexBuilder:
 class SequenceSet:
     """A FASTA file with its derived tables, made when asked for and found again on disk unless ``force``.
 
-    A table is used again only if it was written to its end, from the file as it is now.
+    Records are read from the file once, into a table in which each has an id of its own, also one that the file holds twice; sketches and
+    k-mers are made from that table. A table is used again only if it was written to its end, from the file as it is now. ``metrics`` counts
+    tables that were found (cache hits) and made (misses). Standard input is read once, and its tables are not kept.
     """
 
     def __init__(self, spark: SparkSession, fasta: str, ksize: int, scaled: int = 5, moltype: str = "hp", extract_kmers: bool = False, force: bool = False):
         kmer_size(ksize)
         molecule_type(moltype)
         self.spark, self.fasta, self.ksize, self.scaled, self.moltype, self.extract_kmers, self.force = spark, str(fasta), ksize, scaled, moltype, extract_kmers, force
+        self.base, self.metrics, self._made = scratch(spark, "stdin") if self.fasta == "-" else self.fasta, MetricsCollector(), set()
 
     def sequences(self) -> DataFrame:
-        """``id, name, sequence``; the id is of the record's name and sequence, and the same in each reading."""
-        rows = read_path_or_stdin(self.spark, self.fasta).select("name", alphabet.validate_and_resolve(F.upper("sequence")).alias("sequence"))
-        return rows.select(F.xxhash64("name", "sequence").alias("id"), "name", "sequence")
+        """``id, name, sequence``, checked and resolved."""
+        return self._kept(self._records, "id long, name string, sequence string", self._read)[0]
 
-    def _kept(self, path: str, schema: str, make: object) -> DataFrame:
-        state = state_of(self.spark, self.fasta)
-        if self.force or not exists(self.spark, f"{path}/_SUCCESS") or not exists(self.spark, f"{path}.source/_SUCCESS") or self.spark.read.parquet(f"{path}.source").first()["state"] != state:
+    @property
+    def _records(self) -> str:
+        return f"{self.base}.records"
+
+    def _read(self) -> DataFrame:
+        rows = read_path_or_stdin(self.spark, self.fasta).select("name", alphabet.validate_and_resolve(F.upper("sequence")).alias("sequence"))
+        return rows.select(F.monotonically_increasing_id().alias("id"), "name", "sequence")
+
+    def _kept(self, path: str, schema: str, make: object) -> tuple[DataFrame, str]:
+        """The table, and what it was made of: the file's state and, after a slash, the table of records."""
+        derived = path != self._records
+        source = self._kept(self._records, "id long, name string, sequence string", self._read)[1] if derived else state_of(self.spark, self.fasta)
+        told = self.spark.read.parquet(f"{path}.source").first()["state"] if exists(self.spark, f"{path}.source/_SUCCESS") and exists(self.spark, f"{path}/_SUCCESS") else None
+        fresh = told is not None and (told if derived else told.rpartition("/")[0]) == source and (path in self._made or not self.force)
+        self.metrics.record("cache_hits" if fresh else "cache_misses")
+        if not fresh:
+            told = source if derived else f"{source}/{uuid.uuid4().hex}"
             forget(self.spark, f"{path}.source")
             make().write.mode("overwrite").parquet(path)
-            self.spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}.source")
-        return self.spark.read.schema(schema).parquet(path)
+            self.spark.createDataFrame([(told,)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}.source")
+            self._made.add(path)
+        return self.spark.read.schema(schema).parquet(path), told
 
     @property
     def sketch_path(self) -> str:
-        return sketch_filename(self.fasta, self.moltype, self.ksize, self.scaled)
+        return sketch_filename(self.base, self.moltype, self.ksize, self.scaled)
 
     def profiles(self) -> DataFrame:
-        return self._kept(self.sketch_path, km.PROFILES, lambda: km.profiles(self.sequences(), self.ksize, self.moltype, self.scaled))
+        return self._kept(self.sketch_path, km.PROFILES, lambda: km.profiles(self.sequences(), self.ksize, self.moltype, self.scaled))[0]
 
     def collection(self) -> se.Collection:
         rows = self.profiles()
@@ -299,7 +479,7 @@ class SequenceSet:
         """The k-mer table, or None where extraction is off."""
         if not self.extract_kmers:
             return None
-        return self._kept(kmers_filename(self.sketch_path), km.KMERS, lambda: km.kmer_positions(self.sequences(), self.ksize, self.moltype, self.scaled))
+        return self._kept(kmers_filename(self.sketch_path), km.KMERS, lambda: km.kmer_positions(self.sequences(), self.ksize, self.moltype, self.scaled))[0]
 
     def kmer_export(self) -> DataFrame:
         """The k-mers as ``sequence_file, sequence_name, kmer, hashval, encoded, start``, hashes as unsigned decimals."""

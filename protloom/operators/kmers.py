@@ -12,6 +12,7 @@ Records are told apart by ``id``, a BIGINT column of the sequences; where there
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ KMERS = "id long, name string, start int, kmer string, encoded string, hashval l
 SKETCH = "id long, name string, hashval long, abund long"
 SIGNATURES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string"
 PROFILES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string, hits array<struct<hashval:long,abund:long>>"
+STORED = "id long, part int, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string, content string, hits array<struct<hashval:long,abund:long>>"
 INFOS = "id long, name string, hashval long, encoded string, kmer string, positions array<int>"
 NESTED = "id long, name string, hashval long, encoded string, originals map<string,array<int>>"
 ORIGINALS = "id long, name string, hashval long, encoded string, n_originals long, occurrences long"
@@ -32,6 +34,8 @@ ORIGINALS = "id long, name string, hashval long, encoded string, n_originals lon
 _STEP = 1 << 18
 #: Hashes that a broadcast filter holds at most, 8 bytes each.
 ONLY = 4_000_000
+#: Hashes in a row of a stored sketch.
+ROW_HITS = 512
 
 
 def _lookup(moltype: str) -> np.ndarray | None:
@@ -140,11 +144,13 @@ def kmer_positions(sequences: DataFrame, ksize: int, moltype: str = "protein", s
     return named(sequences, name, sequence).mapInArrow(run, KMERS)
 
 
-def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of the batch, and the sampled hashes of these with their counts: row by row, ascending."""
-    keep, parts = _kept(limit, None), []
-    for rows, own, _, ends in _steps(batch, ksize):
-        owner, _, _, _, hashed = _windows(own, ksize, lookup, keep)
+def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int, content: bool = False) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the batch, the sampled hashes of these with their counts (row by row, ascending), and with ``content`` each row's sums of digests."""
+    keep, parts, sums = _kept(limit, None), [], None
+    for rows, own, offset, ends in _steps(batch, ksize):
+        owner, start, raw, _, hashed = _windows(own, ksize, lookup, keep)
+        told = _digest_sums(owner, start + offset, raw, len(rows)) if content else np.zeros((len(rows), 2), np.uint64)
+        sums = told if sums is None else sums + told
         cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
         each = [np.unique(hashed[a:b], return_counts=True) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         owner = np.repeat(np.arange(len(rows)), [len(h) for h, _ in each])
@@ -156,7 +162,18 @@ def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit
             hashed, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
             abund = np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(hashed)).astype(np.int64)
             owner, parts = np.zeros(len(hashed), np.int64), []
-        yield rows, owner, hashed, abund
+        yield rows, owner, hashed, abund, sums
+        sums = None
+
+
+def _digest_sums(owner: np.ndarray, start: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows, the sums modulo 2^64 of two digests of its windows' residues and starts: whatever their order, equal windows give equal sums."""
+    told = np.concatenate([raw, start.astype("<i8").view(np.uint8).reshape(-1, 8)], 1)
+    out = np.zeros((n, 2), np.uint64)
+    if len(owner):
+        names, first = np.unique(owner, return_index=True)
+        out[names] = np.stack([np.add.reduceat(hashing.murmur(told, seed), first) for seed in (1, 2)], 1)
+    return out
 
 
 def sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
@@ -165,13 +182,49 @@ def sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, owner, hashed, abund in _counted(batch, ksize, lookup, limit):
+            for rows, owner, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
                 of = pa.array(np.array(rows, np.int64)[owner])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(hashed.view(np.int64)), pa.array(abund, pa.int64())], ["id", "name", "hashval", "abund"])
 
     return named(sequences, name, sequence).mapInArrow(run, SKETCH)
 
 
+_PAIR = pa.struct([("hashval", pa.int64()), ("abund", pa.int64())])
+
+
+def _measures(n: int, owner: np.ndarray, hashed: np.ndarray, abund: np.ndarray, ksize: int) -> tuple[np.ndarray, tuple]:
+    """Where each row's hashes end, and each row's number of hashes, occurrences, pseudo-digest and digest."""
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    total = np.concatenate([[0], np.cumsum(abund)]).astype(np.int64)
+    own = [hashed[ends[k] : ends[k + 1]] for k in range(n)]
+    digests = [hashlib.md5((str(3 * ksize) + "".join(map(str, x.tolist()))).encode(), usedforsecurity=False).hexdigest() for x in own]
+    return ends, (np.diff(ends), total[ends[1:]] - total[ends[:-1]], [f"{int(x.sum(dtype=np.uint64)):x}" for x in own], digests)
+
+
+def stored_sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, row_hits: int = ROW_HITS) -> DataFrame:
+    """Sketches as an index keeps them: a row for each ``row_hits`` hashes of a sequence, the first (``part`` 0) with its measures.
+
+    ``content`` is an order-free digest of 128 bits of the sequence's sampled k-mers with their starts: sums modulo 2^64 of two digests of each.
+    """
+    lookup, limit, names = _lookup(moltype), hashing.max_hash(scaled), [x.split()[0] for x in STORED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, owner, hashed, abund, sums in _counted(batch, ksize, lookup, limit, True):
+                ends, measures = _measures(len(rows), owner, hashed, abund, ksize)
+                pieces = np.maximum(1, -(-np.diff(ends) // row_hits))
+                row = np.repeat(np.arange(len(rows)), pieces)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                offsets = np.append(ends[row] + part * row_hits, len(hashed))
+                own = [*measures, [f"{a:016x}{b:016x}" for a, b in sums.tolist()]]
+                told = [pa.array([x[r] if not p else None for r, p in zip(row.tolist(), part.tolist(), strict=True)], t) for x, t in zip((x if isinstance(x, list) else x.tolist() for x in own), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
+                values = pa.StructArray.from_arrays([pa.array(hashed.view(np.int64)), pa.array(abund, pa.int64())], fields=list(_PAIR))
+                of = pa.array(np.array(rows, np.int64)[row])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(part, pa.int32()), batch.column("name").take(of), *told, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names)
+
+    return named(sequences).mapInArrow(run, STORED)
+
+
 def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None, hits: bool = True) -> DataFrame:
     """``id, name, n_hashes, occurrences, pseudo_md5, md5, hits`` of each sequence's sketch, from one reading and without a shuffle.
 
@@ -179,26 +232,17 @@ def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled:
     and the digest of the k-mer size alone.
     """
     lookup, limit, told = _lookup(moltype), hashing.max_hash(scaled), broadcast_hashes(only)
-    pair = pa.struct([("hashval", pa.int64()), ("abund", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
-            for rows, owner, hashed, abund in _counted(batch, ksize, lookup, limit):
-                ends = np.searchsorted(owner, np.arange(len(rows) + 1))
-                total = np.concatenate([[0], np.cumsum(abund)])
-                sums, digests = [], []
-                for k in range(len(rows)):
-                    mins = hashed[ends[k] : ends[k + 1]]
-                    sums.append(f"{int(mins.sum(dtype=np.uint64)):x}")
-                    digests.append(hashlib.md5((str(3 * ksize) + "".join(map(str, mins.tolist()))).encode(), usedforsecurity=False).hexdigest())
+            for rows, owner, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
+                ends, measures = _measures(len(rows), owner, hashed, abund, ksize)
                 of = pa.array(rows)
-                columns = [batch.column("id").take(of), batch.column("name").take(of), pa.array(np.diff(ends), pa.int64()), pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64()), pa.array(sums), pa.array(digests)]
+                columns = [batch.column("id").take(of), batch.column("name").take(of), *(pa.array(x) for x in measures)]
                 if hits:
                     here = np.ones(len(hashed), bool) if told is None else _in(told.value, hashed)
                     offsets = np.concatenate([[0], np.cumsum(here)])[ends]
-                    values = pa.StructArray.from_arrays([pa.array(hashed[here].view(np.int64)), pa.array(abund[here], pa.int64())], fields=list(pair))
+                    values = pa.StructArray.from_arrays([pa.array(hashed[here].view(np.int64)), pa.array(abund[here], pa.int64())], fields=list(_PAIR))
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n_hashes", "occurrences", "pseudo_md5", "md5", "hits"][: len(columns)])
 

@@ -3,6 +3,7 @@ import gzip
 import io
 import lzma
 import os
+import random
 
 import pytest
 import zstandard
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from protloom import cli
 from protloom.config import IndexConfig, MemoryConfig, PerformanceConfig
-from protloom.errors import BuilderError, ConfigurationError, InvalidMoltype, NoSavedState, ValidationError, with_context, with_field_context
+from protloom.errors import BuilderError, ConfigurationError, InvalidKsize, InvalidMoltype, NoSavedState, ValidationError, with_context, with_field_context
 from protloom.index import ProteinIndex, SequenceSet, sketch_list, sketch_manifest
+from protloom.operators import kmers as km
+from protloom.operators import search as se
 from protloom.metrics import IndexMetrics, MetricsCollector, timed
 from protloom.sources import fasta as fa
 from protloom.streaming.fasta_stream import start_sketching, streamed_combined
@@ -74,7 +77,7 @@ def test_round_trip(spark, tmp_path, path):
     assert again.stats() == {"signatures": 2, "combined_hashes": 16, "moltype": "hp", "ksize": 5, "scaled": 1, "store_raw_sequences": True}
     assert {r["name"]: r["pseudo_md5"] for r in again.signatures().collect()} == {"plant one, two": "668d7173d661287b", "living": "24ca8d939672666b"}
     assert upper(again.sequences()) == WANT
-    again.compact(2)
+    again.compact(8)
     assert spark.read.parquet(f"{own.path}/postings").count() == own.sketch().count() == own.postings().count()
     other = ProteinIndex.builder().path(str(tmp_path / "b")).ksize(5).scaled(1).moltype("hp").build(spark)
     other.process_fasta(path)
@@ -116,17 +119,113 @@ def test_search_of_a_stored_index(spark, tmp_path, path):
     own.process_fasta(path)
     want = sorted(map(tuple, own.search(fa.read_fasta(spark, path).selectExpr("name", "upper(sequence) AS sequence")).collect()))
     assert len(want) == 2
-    own.compact(3)
+    own.compact(5)
     queries = fa.read_fasta(spark, path).selectExpr("name", "upper(sequence) AS sequence")
     assert sorted(map(tuple, own.search(queries).collect())) == want
     own.store(spark.createDataFrame([("plant one, two", "PLANTANDANIMALGENQMES")], "name string, sequence string"))
     assert own.search(queries).count() == 3  # a later call of a name that was there
-    own.compact(2)
+    own.compact()
     assert own.search(queries).count() == 3 and own.postings().count() == 41
     with pytest.raises(ConfigurationError, match="Scaled value must be greater than 0"):
         ProteinIndex(spark, "x", 5, 0)
 
 
+def many(spark, n, first=0):
+    return spark.createDataFrame([(f"r{i}", "".join(random.Random(i).choices("ACDEFGHIKLMNPQRSTVWY", k=40))) for i in range(first, first + n)], "name string, sequence string")
+
+
+@pytest.mark.parametrize("scaled", [1, 5])
+def test_a_search_reads_the_folders_of_its_hashes(spark, tmp_path, scaled):
+    own = ProteinIndex(spark, str(tmp_path / "i"), 6, scaled, "protein")
+    own.store(many(spark, 150))
+    own.compact(bucket_rows=40)
+    all_ = own.postings().inputFiles()
+    assert len(all_) > 60 // scaled
+    query = many(spark, 150).where("name = 'r17'")
+    hashes = km.sketches(own.prepared(query), 6, "protein", scaled).select("hashval").limit(3)
+    few = own.postings(hashes)
+    assert 0 < len(few.inputFiles()) <= 3 + len(all_) // 20
+    bytes_of = lambda files: sum(os.path.getsize(f.removeprefix("file://")) for f in files)
+    assert bytes_of(few.inputFiles()) < bytes_of(all_) / 4
+    rows = lambda df: sorted(map(tuple, df.join(hashes, "hashval", "left_semi").collect()))
+    assert rows(few) == rows(own.postings()) != []
+    assert own.postings(hashes.where("false")).count() == 0
+    # what is stored later comes along, and a further compaction merges both
+    own.store(many(spark, 20, 150))
+    everything = sorted(map(tuple, own.sketch().select("hashval", "id", "abund").collect()))
+    for _ in range(2):
+        assert sorted(map(tuple, own.postings().select("hashval", "id", "abund").collect())) == everything
+        assert sorted(map(tuple, own.combined().collect())) == sorted(map(tuple, km.combined_sketch(own.sketch()).collect()))
+        assert own.combined_size() == own.sketch().select("hashval").distinct().count()
+        assert len(own._merged()[1]) == (0 if _ else 1)
+        own.compact(bucket_rows=40)
+    assert own.search(many(spark, 170)).count() >= 170
+
+
+def test_vacuum_and_pins(spark, tmp_path, monkeypatch):
+    own = ProteinIndex(spark, str(tmp_path / "i"), 6)
+    own.store(many(spark, 10))
+    own.compact()
+    monkeypatch.setattr(ProteinIndex, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("cut short")))
+    with pytest.raises(RuntimeError, match="cut short"):
+        own.store(many(spark, 5, 10))
+    monkeypatch.undo()
+    assert own.vacuum() == []  # the interrupted call might still be under way
+    with own.pinned() as view:
+        before = sorted(map(tuple, view.postings().collect()))
+        own.store(many(spark, 5, 20))
+        own.compact()
+        gone = own.vacuum(older_than=-1)
+        assert {x.split("/")[0] for x in gone} == {"staged", "kmers", "sketches", "sequences", "combined"} and len({x.split("=")[1] for x in gone if x.startswith("kmers")}) == 1
+        assert sorted(map(tuple, view.postings().collect())) == before and view.signature_count() == 10 and own.signature_count() == 15
+        assert view.combined_size() < own.combined_size()
+    gone = own.vacuum(older_than=-1)
+    assert sorted(x.split("/")[0] for x in gone) == ["combined", "combined", "postings"]  # of the first compaction and its call; those of the second went before
+    assert own.vacuum(older_than=-1) == [] and os.listdir(tmp_path / "i" / "pins") == [] and own.postings().count() == own.sketch().count()
+    assert own.combined_size() == own.sketch().select("hashval").distinct().count()
+    with own.pinned():
+        own.compact()
+        assert own.vacuum(older_than=-1) == [] and len(own.vacuum(older_than=-1, pins_for=-1)) == 2  # a pin that was left behind
+
+
+def test_ids_are_of_their_own(spark, tmp_path):
+    own = ProteinIndex(spark, str(tmp_path / "i"), 6)
+    for _ in range(2):
+        own.store(many(spark, 30).unionByName(many(spark, 30)).repartition(3))
+    ids = [r["id"] for r in own.sequences().collect()]
+    assert len(set(ids)) == 120 and {i >> 46 for i in ids} == {0, 1}
+    assert (own.metrics.get_metrics().signatures_processed, own.metrics.get_metrics().kmers_processed) == (120, 120 * 35)
+
+
+def test_equivalence_by_digests(spark, tmp_path):
+    one, two, three = (ProteinIndex(spark, str(tmp_path / x), 6, 1, "hp") for x in "abc")
+    one.store(many(spark, 30))
+    two.store(many(spark, 15, 15).selectExpr("'x' AS name", "sequence"))
+    two.store(many(spark, 15).repartition(4))
+    assert one.is_equivalent_to(two) and one.differences(two).count() == 0
+    plan = one.unequal(two)._jdf.queryExecution().toString()
+    assert "kmers" not in plan
+    swapped = many(spark, 30).selectExpr("name", "CASE WHEN name = 'r3' THEN concat('V', substr(sequence, 2)) ELSE sequence END AS sequence")
+    three.store(swapped)
+    apart = one.unequal(three).collect()
+    assert not one.is_equivalent_to(three) and sorted((r["n_left"], r["n_right"]) for r in apart) == [(0, 1), (1, 0)]
+    assert {r["start"] for r in one.differences(three).collect()} == {0} and one.differences(three).count() == 2
+
+
+def test_a_record_given_twice(spark, tmp_path):
+    (tmp_path / "q.fasta").write_text(">q\nPLANTANDANIMALGENQMES\n")
+    (tmp_path / "t.fasta").write_text(">t\nPLANTANDANIMAL\n>t\nPLANTANDANIMAL\n>u\nLIVINGALIVE\n")
+    query, target = (SequenceSet(spark, str(tmp_path / f"{x}.fasta"), 5, 1, "protein", extract_kmers=True) for x in "qt")
+    rows = se.manysearch(query.collection(), target.collection(), 5, 1, "protein", ids=True).collect()
+    assert [(r["match_name"], r["intersect_hashes"], r["containment_target_in_query"]) for r in rows] == [("t", 10, 1.0)] * 2 and len({r["match_id"] for r in rows}) == 2
+    assert {r["id"] for r in target.kmers().where("name = 't'").collect()} == {r["match_id"] for r in rows}
+    hits = se.search_hits(se.manysearch(query.collection(), target.collection(), 5, 1, "protein", ids=True).select("query_id", "match_id"), se.kmer_hits(query.kmers(), target.kmers()))
+    assert hits.count() == 20
+    assert target.metrics.get_metrics().cache_misses == 3 and target.metrics.get_metrics().cache_hits > 5
+    again = SequenceSet(spark, str(tmp_path / "t.fasta"), 5, 1, "protein")
+    assert again.sketch().count() == 27 and again.metrics.get_metrics().cache_hit_ratio() == 1.0
+
+
 def test_builder_and_names(spark, tmp_path):
     b = ProteinIndex.builder()
     with pytest.raises(BuilderError, match="Builder error: Database path is required"):
@@ -140,6 +239,9 @@ def test_builder_and_names(spark, tmp_path):
     with pytest.raises(BuilderError, match="Molecular type is required"):
         b.scaled(100).build(spark)
     assert b.moltype("raw").store_raw_sequences(True).build_with_auto_filename(spark).path == "x.raw.k5.scaled100.protloom"
+    for k in (0, 101, 1000):
+        with pytest.raises(InvalidKsize):
+            ProteinIndex.builder().path("x").ksize(k).scaled(1).moltype("hp").build(spark)
     with pytest.raises(InvalidMoltype):
         ProteinIndex(spark, "x", 5, 1, "dna")
     with pytest.raises(ConfigurationError, match="does not exist"):
@@ -198,7 +300,7 @@ def test_commands(spark, path, tmp_path, capsys, monkeypatch):
 
 def test_config_and_errors(tmp_path):
     IndexConfig.checked(5, 5, "protein", tmp_path / "x").validate()
-    for args, text in (((0, 1, "hp"), "greater than 0"), ((101, 1, "hp"), "max 100"), ((5, 11, "hp"), "too large"), ((5, 0, "hp"), "greater than 0"), ((5, 1, "dna"), "Must be one of")):
+    for args, text in (((0, 1, "hp"), "greater than 0"), ((101, 1, "hp"), "max 100"), ((5, 11, "hp"), "at most 10"), ((5, 0, "hp"), "greater than 0"), ((5, 1, "dna"), "Must be one of")):
         with pytest.raises(ConfigurationError, match=text):
             IndexConfig.checked(*args, tmp_path / "x")
     with pytest.raises(ConfigurationError, match="Batch size must be greater than 0"):

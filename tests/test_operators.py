@@ -177,7 +177,7 @@ def test_long_sequences_are_worked_off_in_parts(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "name": list("abcd"), "sequence": [long_, LIVING, long_[:100], long_[1:]]})
     limit = 2**64 - 1
     sizes = {}
-    for part, owner, hashed, abund in km._counted(batch, 7, km._lookup("hp"), limit):
+    for part, owner, hashed, abund, _ in km._counted(batch, 7, km._lookup("hp"), limit):
         for k, row in enumerate(part):
             sizes[row] = (int((owner == k).sum()), int(abund[owner == k].sum()))
     assert [sizes[k] for k in range(4)] == [(r[2], r[3]) for r in sorted(want[2], key=lambda r: r[1])]
