@@ -254,11 +254,34 @@ def index_search(spark: SparkSession, sf: str) -> DataFrame:
     """A search of a stored index: of the postings of its first call, and the sketches of its second."""
     rows = _sequences(spark, sf, "d")
     own = _index(spark, rows.where("id % 3 <> 0"), "protein")
-    own.compact(max(1, spark.sparkContext.defaultParallelism))
+    own.compact()
     own.store(rows.where("id % 3 = 0").select("name", "sequence"))
     return _digits(ProteinIndex.load(spark, own.path).search(_sequences(spark, sf, "b")))
 
 
+def index_combined_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The combined sketch of a compaction and a later call, as sizes."""
+    rows = _sequences(spark, sf, "d")
+    own = _index(spark, rows.where("id % 3 <> 0"), "protein")
+    own.compact()
+    own.store(rows.where("id % 3 = 0").select("name", "sequence"))
+    return ProteinIndex.load(spark, own.path).combined().groupBy("df", "abund").agg(F.count("*").alias("n_hashes"))
+
+
+def index_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Compacted postings: for each document, the hashes and occurrences that the folders of the benchmark's hashes hold of it."""
+    queries = _sketch(spark, sf, "b").select("hashval").distinct()
+    own = _index(spark, _sequences(spark, sf, "d"), "protein")
+    own.compact()
+    found = own.postings(queries).join(queries, "hashval", "left_semi").groupBy("id").agg(F.count("*").alias("n_hashes"), F.sum("abund").alias("occurrences"))
+    return found.join(own.signatures().select("id", "name"), "id").select("name", "n_hashes", "occurrences")
+
+
+def index_unequal(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents that an index of the documents and one of the benchmark do not hold equally often."""
+    return _index(spark, _sequences(spark, sf, "d"), "protein").unequal(_index(spark, _sequences(spark, sf, "b"), "protein")).drop("content")
+
+
 def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Sequences written as FASTA and read again; empty ones too."""
     path = scratch(spark, "fasta")
@@ -289,7 +312,7 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 _QUERIES = {f.__name__: f for f in (
     validate_residues, stop_truncate, resolve_ambiguity, kmer_positions, kmer_info_map, murmur_hash, scaled_sample, sketch_abundance, pseudo_md5, true_md5, combined_sketch, kmer_idf_frequency,
     hash_membership, manysearch, multisearch, kmer_hit_join, search_kmer_join, stitch_compat, stitch_diagonal, kmer_counts, group_kmers_by_count, multi_position_kmers, kmers_at_position,
-    kmer_density, overlapping_kmers, unique_kmer_count, estimated_size, index_equivalence, index_stats, index_reload, index_combined, index_search, fasta_round_trip, csv_round_trip, kmer_csv_round_trip,
+    kmer_density, overlapping_kmers, unique_kmer_count, estimated_size, index_equivalence, index_stats, index_reload, index_combined, index_combined_documents, index_postings, index_unequal, index_search, fasta_round_trip, csv_round_trip, kmer_csv_round_trip,
 )} | {f"encode_{m}": _encoded(m) for m in ("protein", "hp", "dayhoff")}
 
 
@@ -331,6 +354,14 @@ def _sizes(t: str) -> tuple[str, str]:
     return (f"{t}_z", f"SELECT name, count(*) AS n, CAST(sum(abund) AS BIGINT) AS total, md5('{3 * K}' || string_agg(CAST(hash AS VARCHAR), '' ORDER BY hash)) AS md5 FROM {t}_t GROUP BY name")
 
 
+def _contents(t: str) -> list:
+    """Sequences, those without a k-mer as one, with their numbers of records."""
+    return [
+        (f"{t}_p", f"SELECT name, lower(to_hex(CAST(sum(CAST(hash AS HUGEINT)) % CAST({2**64} AS HUGEINT) AS UBIGINT))) AS pseudo_md5 FROM {t}_t GROUP BY name"),
+        (f"{t}_c", f"SELECT CASE WHEN length(sequence) < {K} THEN '' ELSE sequence END AS content, coalesce(any_value(pseudo_md5), '0') AS pseudo_md5, count(*) AS n FROM {t}_s LEFT JOIN {t}_p USING (name) GROUP BY 1"),
+    ]
+
+
 def _pairs() -> list:
     shared = "SELECT q.name AS query_name, t.name AS match_name, q.hash, q.abund AS query_abund, t.abund AS match_abund FROM b_t q JOIN d_t t USING (hash)"
     return [*_t("b", "protein"), *_t("d", "protein"), _sizes("b"), _sizes("d"), ("shared", shared)]
@@ -363,6 +394,7 @@ def oracle_sql() -> dict:
         {_ROUND.format('greatest(aq, at_)')} AS max_containment_ani, found AS n_weighted_found, total AS total_weighted_hashes, {_ROUND.format('ct')} AS containment_target_in_query,
         {_ROUND.format('found::DOUBLE / total')} AS f_weighted_target_in_query FROM m""")
     counted = "SELECT name, hash, count(*) AS n FROM d_k GROUP BY ALL"
+    combined = sql.statement([*_t("d", "protein"), ("c", "SELECT hash, CAST(sum(abund) AS BIGINT) AS abund, count(*) AS df FROM d_t GROUP BY hash")], "SELECT df, abund, count(*) AS n_hashes FROM c GROUP BY ALL")
     return {
         "validate_residues": r"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS name, text, length(regexp_extract(text, '^[A-Z]*')) AS good FROM documents),
             c AS (SELECT name, good, substr(text, good + 1, 1) AS c FROM p)
@@ -378,7 +410,7 @@ def oracle_sql() -> dict:
         "sketch_abundance": sql.statement(_t("b", "hp"), "SELECT name, CAST(hash AS VARCHAR) AS hashval, abund FROM b_t"),
         "pseudo_md5": sql.statement(_t("d", "protein"), f"SELECT name, lower(to_hex(CAST(sum(CAST(hash AS HUGEINT)) % CAST({2**64} AS HUGEINT) AS UBIGINT))) AS pseudo_md5 FROM d_t GROUP BY name"),
         "true_md5": sql.statement([*_t("d", "protein"), _sizes("d")], "SELECT name, md5 FROM d_z"),
-        "combined_sketch": sql.statement([*_t("d", "protein"), ("c", "SELECT hash, CAST(sum(abund) AS BIGINT) AS abund, count(*) AS df FROM d_t GROUP BY hash")], "SELECT df, abund, count(*) AS n_hashes FROM c GROUP BY ALL"),
+        "combined_sketch": combined,
         "kmer_idf_frequency": sql.statement(_t("b", "hp"), f"""SELECT CAST(hash AS VARCHAR) AS hashval, count(*) AS df, {_ROUND.format('sum(abund)::DOUBLE / (SELECT sum(abund) FROM b_t)')} AS frequency,
             {_ROUND.format('ln(((SELECT count(*) FROM benchmark) + 1)::DOUBLE / (count(*) + 1)) + 1')} AS idf FROM b_t GROUP BY hash"""),
         "hash_membership": sql.statement([*_k("b", "dayhoff"), *_k("d", "dayhoff")], "SELECT name, count(*) AS n FROM d_k WHERE hash IN (SELECT hash FROM b_k) GROUP BY name"),
@@ -416,6 +448,10 @@ def oracle_sql() -> dict:
             CAST(length(s.sequence) AS BIGINT) AS length, md5(s.sequence) AS digest FROM d_s s LEFT JOIN d_z z USING (name)
             LEFT JOIN (SELECT name, lower(to_hex(CAST(sum(CAST(hash AS HUGEINT)) % CAST({2**64} AS HUGEINT) AS UBIGINT))) AS pseudo_md5 FROM d_t GROUP BY name) x USING (name)"""),
         "index_combined": sql.statement(_t("b", "dayhoff"), "SELECT (SELECT count(*) FROM benchmark) AS signatures, count(DISTINCT hash) AS combined_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM b_t"),
+        "index_combined_documents": combined,
+        "index_postings": sql.statement([*_t("b", "protein"), *_t("d", "protein")], "SELECT name, count(*) AS n_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM d_t WHERE hash IN (SELECT hash FROM b_t) GROUP BY name"),
+        "index_unequal": sql.statement([*_t("d", "protein"), *_t("b", "protein"), *(x for t in "db" for x in _contents(t))], """SELECT coalesce(d_c.pseudo_md5, b_c.pseudo_md5) AS pseudo_md5, coalesce(d_c.n, 0) AS n_left, coalesce(b_c.n, 0) AS n_right
+            FROM d_c FULL JOIN b_c USING (content) WHERE coalesce(d_c.n, 0) <> coalesce(b_c.n, 0)"""),
         "fasta_round_trip": sql.statement(sql.sequences("d", *_TABLES["d"]), "SELECT name, CAST(length(sequence) AS BIGINT) AS length, md5(sequence) AS digest FROM d_s"),
         "kmer_csv_round_trip": sql.statement(_k("b", "hp"), f"SELECT 'benchmark' AS sequence_file, name AS sequence_name, kmer, CAST(hash AS VARCHAR) AS hashval FROM b_k WHERE hash <= {_LIMIT}"),
         "index_stats": sql.statement(_t("d", "protein"), "SELECT (SELECT count(*) FROM documents) AS signatures, count(DISTINCT hash) AS combined_hashes, CAST(sum(abund) AS BIGINT) AS occurrences FROM d_t"),
