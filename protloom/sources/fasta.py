@@ -5,31 +5,24 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import json
 import lzma
 import sys
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import FastaParsing, IoError
 from ..scratch import scratch
+from . import frames
+from .frames import SCHEMA, sniff
 
-SCHEMA = "name string, sequence string"
 KMER_CSV = "sequence_file string, sequence_name string, kmer string, hashval decimal(20,0)"
 SEARCH_CSV = (
     "query_name string, query_md5 string, match_name string, containment double, intersect_hashes long, ksize int, scaled int, moltype string, match_md5 string, "
     "jaccard double, max_containment double, average_abund double, median_abund double, std_abund double, query_containment_ani double, match_containment_ani double, "
     "average_containment_ani double, max_containment_ani double, n_weighted_found long, total_weighted_hashes long, containment_target_in_query double, f_weighted_target_in_query double"
 )
-#: First bytes of compressed files.
-_MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
-
-
-def sniff(data: bytes) -> str:
-    """The codec that the first bytes tell, or ``plain``."""
-    return next((codec for magic, codec in _MAGIC.items() if data.startswith(magic)), "plain")
-
-
 def open_decoded(stream: io.BufferedIOBase) -> io.BufferedIOBase:
     """A stream of decoded bytes."""
     head = stream.peek(6)[:6] if hasattr(stream, "peek") else b""
@@ -41,21 +34,6 @@ def open_decoded(stream: io.BufferedIOBase) -> io.BufferedIOBase:
     return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open, "plain": lambda s: s}[codec](stream)
 
 
-def records(lines: Iterator[bytes]) -> Iterator[tuple[str, str]]:
-    """``(name, sequence)``; the name is the whole header line."""
-    name, parts = None, []
-    for raw in lines:
-        line = raw.decode("utf-8", "replace").rstrip("\r\n")
-        if line.startswith(">"):
-            if name is not None:
-                yield name, "".join(parts)
-            name, parts = line[1:], []
-        elif name is not None:
-            parts.append(line.strip())
-    if name is not None:
-        yield name, "".join(parts)
-
-
 def _split(value: F.Column) -> list[F.Column]:
     text = F.regexp_replace(F.regexp_replace(value, "^>", ""), "\r", "")
     return [F.substring_index(text, "\n", 1).alias("name"), F.regexp_replace(F.substr(text, F.length(F.substring_index(text, "\n", 1)) + 1), r"\s", "").alias("sequence")]
@@ -85,46 +63,61 @@ def _head(spark: SparkSession, status: object) -> bytes:
     path = status.getPath()
     stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
     try:
-        return bytes(x & 0xFF for x in (stream.read() for _ in range(min(6, status.getLen()))))
+        return bytes(x & 0xFF for x in (stream.read() for _ in range(min(18, status.getLen()))))
     finally:
         stream.close()
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, split: int = frames.SPLIT) -> DataFrame:
     """``name, sequence`` of the records of a file, a folder or a pattern; the codec is told by each file's first bytes, not by its name.
 
-    Plain files are read in splits; gzip and bzip2 files with the usual endings by Spark's text reader. Any other
-    compressed file (xz, zstd, or gzip and bzip2 under other names) is one task's, which holds its compressed bytes, 2 GB at most, and decodes them in a stream.
+    Plain files are read in splits, and gzip and bzip2 files with the usual endings, by Spark's text reader. Other compressed files, and blocked gzip, are read by
+    ``protloom_fasta`` in ranges of about ``split`` bytes, where tasks can open them; in a store that only Spark's readers open, such a file
+    is one task's, which holds its compressed bytes, 2 GB at most.
     """
-    split, whole = [], []
-    for status in _statuses(spark, path):
-        codec, name = sniff(_head(spark, status)), status.getPath().toString()
-        by_name = next((c for c, ending in _BY_NAME.items() if name.endswith(ending)), "plain")
-        (split if codec == by_name and not name.endswith(".zst") else whole).append(name)
-    rows = None
-    if split or not whole:
-        lines = spark.read.option("lineSep", "\n>").text(split or str(path))
-        rows = lines.where(F.col("value") != "").select(*_split(F.col("value"))).where((F.col("name") != "") | (F.col("sequence") != ""))
-    if not whole:
-        return rows
-
-    def run(batches):  # noqa: ANN001, ANN202
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column("content"):
-                held, size = [], 0
-                for record in records(open_decoded(io.BufferedReader(io.BytesIO(content.as_py())))):
-                    held.append(record)
-                    size += len(record[1])
-                    if len(held) == 1000 or size > 1 << 20:
-                        yield pa.RecordBatch.from_pylist([{"name": a, "sequence": b} for a, b in held])
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist([{"name": a, "sequence": b} for a, b in held])
-
-    decoded = spark.read.format("binaryFile").load(whole).select("content").mapInArrow(run, SCHEMA)
-    return decoded if rows is None else rows.unionByName(decoded)
+    text, ranges, whole, statuses = [], [], [], _statuses(spark, path)
+    if not statuses and not _found(spark, path):
+        raise IoError(f"there is no {path}")
+    for status in statuses:
+        head, name = _head(spark, status), status.getPath().toString()
+        codec, by_name = sniff(head), next((c for c, ending in _BY_NAME.items() if name.endswith(ending)), "plain")
+        if codec == "plain" and head.strip() and not head.lstrip().startswith(b">"):
+            raise FastaParsing(f"{name} does not begin with '>'")
+        usual = codec == by_name and not name.endswith(".zst")
+        if (frames.is_blocked(head) or not usual) and frames.can_open(name):
+            ranges.append((name, codec))
+        else:
+            (text if usual else whole).append(name)
+    parts = []
+    if text or not (ranges or whole):
+        lines = spark.read.option("lineSep", "\n>").text(text or str(path))
+        parts.append(lines.where(F.col("value") != "").select(*_split(F.col("value"))).where((F.col("name") != "") | (F.col("sequence") != "")))
+    if ranges:
+        spark.dataSource.register(frames.CompressedFasta)
+        parts.append(spark.read.format(frames.CompressedFasta.name()).options(files=json.dumps(ranges), split=split).load())
+    if whole:
+        parts.append(spark.read.format("binaryFile").load(whole).select("content").mapInArrow(_decoded_whole, SCHEMA))
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
+def _found(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(str(path))
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target))
+
+
+def _decoded_whole(batches):  # noqa: ANN001, ANN202
+    import pyarrow as pa
+
+    for batch in batches:
+        for content in batch.column("content"):
+            stream = open_decoded(io.BufferedReader(io.BytesIO(content.as_py())))
+            for record in frames.records(iter(lambda: stream.read(1 << 20), b""), iter(()), True):  # noqa: B023
+                name, sequence = frames.parsed(record)
+                yield pa.RecordBatch.from_pydict({"name": [name], "sequence": [sequence]})
 
 
 def read_stdin(spark: SparkSession, stream: io.BufferedIOBase | None = None) -> DataFrame:

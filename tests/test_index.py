@@ -4,6 +4,8 @@ import io
 import lzma
 import os
 import random
+import struct
+import zlib
 
 import pytest
 import zstandard
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 
 from protloom import cli
 from protloom.config import IndexConfig, MemoryConfig, PerformanceConfig
-from protloom.errors import BuilderError, ConfigurationError, InvalidKsize, InvalidMoltype, NoSavedState, ValidationError, with_context, with_field_context
+from protloom.errors import BuilderError, ConfigurationError, FastaParsing, InvalidKsize, IoError, InvalidMoltype, NoSavedState, ValidationError, with_context, with_field_context
 from protloom.index import ProteinIndex, SequenceSet, sketch_list, sketch_manifest
 from protloom.operators import kmers as km
 from protloom.operators import search as se
 from protloom.metrics import IndexMetrics, MetricsCollector, timed
 from protloom.sources import fasta as fa
+from protloom.sources import frames
 from protloom.streaming.fasta_stream import start_sketching, streamed_combined
 
 FASTA = ">plant one, two\nPLANTANDAN\nIMALGENQMES\n>living\r\nlivingalive\n"
@@ -62,6 +65,64 @@ def test_bytes_tell_the_codec(spark, tmp_path, codec):
     assert upper(fa.read_fasta(spark, str(tmp_path / "d"))) == upper(fa.read_fasta(spark, str(tmp_path / "d" / "*.fa*"))) == want
 
 
+def blocked(data, n):
+    """Blocked gzip, of ``n`` bytes a block."""
+    out = b""
+    for at in range(0, len(data), n):
+        c, own = zlib.compressobj(6, zlib.DEFLATED, -15), data[at : at + n]
+        body = c.compress(own) + c.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(own), len(own))
+    return out
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_ranges_of_compressed_files(tmp_path, end):
+    """Whatever the frames and ranges, each record is read once."""
+    rng, path = random.Random(2), str(tmp_path / "x")
+    for trial in range(12):
+        want = [(f"r{i} x", "".join(rng.choices("ACDEFGH", k=rng.randrange(60)))) for i in range(rng.randrange(30))]
+        data = "".join(f">{n}{end}" + "".join(s[i : i + 13] + end for i in range(0, len(s), 13)) for n, s in want).encode()
+        data, step = data.rstrip() if trial % 3 else data, (1, 3, 50, 400)[trial % 4]
+        zstd = b"".join(zstandard.ZstdCompressor(write_checksum=i % 2 == 0, write_content_size=i % 3 == 0).compress(data[i : i + step]) for i in range(0, len(data), step))
+        skipped = (0x184D2A53).to_bytes(4, "little") + (5).to_bytes(4, "little") + b"hello"
+        for codec, packed in (("zstd", zstd + skipped), ("gzip", blocked(data, step)), ("gzip", gzip.compress(data)), ("bzip2", bz2.compress(data)), ("xz", lzma.compress(data))):
+            with open(path, "wb") as f:
+                f.write(packed)
+            for split in (1, 40, 1 << 30):
+                ranges = frames.splits(path, codec, split)
+                assert [r for a, z in ranges for r in frames.range_records(path, codec, a, z)] == want
+                assert len(ranges) == 1 or split < len(packed)
+
+
+def test_a_file_of_many_frames_is_read_by_several_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    want = [(f"r{i}", "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.randrange(10, 3000)))) for i in range(400)]
+    data = "".join(f">{n}\n{s}\n" for n, s in want).encode()
+    (tmp_path / "a.fasta.zst").write_bytes(b"".join(zstandard.ZstdCompressor().compress(data[i : i + 10_000]) for i in range(0, len(data), 10_000)))
+    (tmp_path / "b.fasta.gz").write_bytes(blocked(data, 10_000))
+    for name in ("a.fasta.zst", "b.fasta.gz"):
+        rows = fa.read_fasta(spark, str(tmp_path / name), split=50_000)
+        parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(parts) > 5 and max(parts) < 200
+        assert sorted(map(tuple, rows.collect())) == sorted(want)
+    assert fa.read_fasta(spark, str(tmp_path)).count() == 800
+
+
+def test_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(frames, "can_open", lambda path: False)
+    for name, data in (("a.fasta.zst", zstandard.ZstdCompressor().compress(FASTA.encode())), ("b.fasta.gz", blocked(FASTA.encode(), 9)), ("c.fasta.xz", lzma.compress(FASTA.encode()))):
+        (tmp_path / name).write_bytes(data)
+        assert upper(fa.read_fasta(spark, str(tmp_path / name))) == WANT
+
+
+def test_what_is_no_fasta(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text("no header\nACDE\n")
+    with pytest.raises(FastaParsing, match="does not begin with '>'"):
+        fa.read_fasta(spark, str(tmp_path / "x.fasta"))
+    with pytest.raises(IoError, match="IO error: there is no"):
+        fa.read_fasta(spark, str(tmp_path / "missing.fasta"))
+
+
 def test_empty_file_and_write(spark, tmp_path, path):
     (tmp_path / "e.fasta").write_text("")
     assert fa.read_fasta(spark, str(tmp_path / "e.fasta")).collect() == []
