@@ -1,15 +1,16 @@
 """An index of protein sequences: a folder of Parquet tables.
 
-``kmers`` (positioned k-mers), ``sketches`` (a record's measures and its hashes with abundance), ``combined`` (hashes with occurrences and number of records) and ``sequences`` (ids,
-names, lengths, and the sequences if they are stored). Every record has an id of its own and keeps its place, also when two have the same name or the same hashes; the
-pseudo-digest is a column, not a key. A sequence with an invalid residue fails the call, and nothing of the call is stored.
+``sequences`` (ids, names, lengths and residues), ``signatures`` (measures and digests of each record) and ``combined`` (hashes with occurrences and number of
+records). Sketches and positioned k-mers are views, made from the residues where they are read: stored, they would take ten to forty times the residues. (So residues are
+kept in any case; ``store_raw_sequences`` says whether ``sequences`` shows them.) Every record has an id of its own and keeps its place, also when two have the same name or the
+same hashes; the pseudo-digest is a column, not a key. A sequence with an invalid residue fails the call, and nothing of the call is stored.
 
 Each call claims a number, writes into folders of its own, and is published last, by one row of ``metadata``: what an interrupted call
 left is never read, and writers do not meet. A call adds up its own hashes only, so its cost follows what it adds.
 
 ``compact`` merges what it merged before with the calls since: the combined sketch, and ``postings``, the records of each hash, in folders by range of the hash (``bucket``), sorted by
-hash and record. Ids of records count up inside a call, so a hash's records are stored as small steps. A search reads the folders that its hashes fall in, and the
-sketches of calls that came later. Nothing is collected but counts, folder numbers and the metadata rows.
+hash and record. Ids of records count up inside a call, so a hash's records are stored as small steps. A search reads the folders that its hashes fall in, and sketches
+the calls that came later. Nothing is collected but counts, folder numbers and the metadata rows.
 
 ``pinned`` gives a view of the index as it is now, whose tables ``vacuum`` leaves alone; ``vacuum`` deletes what no state needs any more.
 """
@@ -45,8 +46,9 @@ SUFFIX = "protloom"
 METADATA = "kind string, name string, covers array<string>, bits int, moltype string, ksize int, scaled int, store_raw_sequences boolean, at timestamp"
 POSTINGS = "id long, hashval long, abund long"
 COMBINED = "hashval long, abund long, df long"
+SEQUENCES = "id long, name string, length int, residues string"
 #: Tables with a folder for each call, and those that a compaction writes too.
-TABLES, MERGED = ("staged", "kmers", "sketches", "sequences", "combined", "postings"), ("combined", "postings")
+TABLES, MERGED = ("sequences", "signatures", "combined", "postings"), ("combined", "postings")
 #: Postings in a folder, about; folders at most (two to the power).
 BUCKET_ROWS, MAX_BITS = 4_000_000, 16
 #: Bits of an id: the call, the partition it was read in, and the row there.
@@ -186,24 +188,23 @@ class ProteinIndex:
         call, number, seen = uuid.uuid4().hex, self._claimed(), Observation("stored")
         at = lambda table: f"{self.path}/{table}/call={call}"
         with timed("store") as took:
-            self.prepared(sequences).select(self._id(number).alias("id"), "name", "sequence").write.parquet(at("staged"))
-            own = self.spark.read.schema("id long, name string, sequence string").parquet(at("staged"))
-            rows = km.stored_sketches(own, self.ksize, self.moltype, self.scaled).observe(seen, F.count_if(F.col("part") == 0).alias("records"), F.sum("occurrences").alias("kmers"))
-            rows.write.parquet(at("sketches"))
-            self._write_combined(km.combined_sketch(self._hits(self.spark.read.schema(km.STORED).parquet(at("sketches")))), at("combined"))
-            km.kmer_positions(own, self.ksize, self.moltype, self.scaled).write.parquet(at("kmers"))
-            raw = F.col("sequence") if self.store_raw_sequences else F.lit(None).cast("string")
-            own.select("id", "name", F.length("sequence").alias("length"), raw.alias("sequence")).write.parquet(at("sequences"))
+            rows = self.prepared(sequences).select(self._id(number).alias("id"), "name", F.length("sequence").alias("length"), F.col("sequence").alias("residues"))
+            rows.write.parquet(at("sequences"))
+            own = self._residues([call])
+            told = km.profiles(own, self.ksize, self.moltype, self.scaled, schema=km.CONTENTS).observe(seen, F.count("*").alias("records"), F.sum("occurrences").alias("kmers"))
+            told.write.parquet(at("signatures"))
+            self._write_combined(km.combined_sketch(km.sketches(own, self.ksize, self.moltype, self.scaled)), at("combined"))
             self._publish("call", call, [], 0)
-            forget(self.spark, at("staged"))
         told = seen.get
-        for name, n in (("signatures_processed", told["records"]), ("kmers_processed", told["kmers"] or 0), ("database_operations", 6)):
+        for name, n in (("signatures_processed", told["records"]), ("kmers_processed", told["kmers"] or 0), ("database_operations", 4)):
             self.metrics.record(name, n)
         log(f"stored {told['records']} sequences in {took[0]:.1f} s")
 
-    @staticmethod
-    def _hits(sketches: DataFrame) -> DataFrame:
-        return sketches.select("id", "name", F.explode("hits").alias("hit")).select("id", "name", "hit.hashval", "hit.abund")
+    def _residues(self, calls: list[str]) -> DataFrame:
+        return self._read("sequences", SEQUENCES, calls).select("id", "name", F.col("residues").alias("sequence"))
+
+    def _sketch(self, calls: list[str], only: DataFrame | None = None) -> DataFrame:
+        return km.sketches(self._residues(calls), self.ksize, self.moltype, self.scaled, only=only)
 
     @staticmethod
     def _write_combined(rows: DataFrame, path: str) -> None:
@@ -272,7 +273,7 @@ class ProteinIndex:
         for table in TABLES:
             for name, changed in folders(self.spark, f"{self.path}/{table}", "call=").items():
                 old = name in replaced and table in MERGED if name in names else now - changed > older_than
-                if name not in held and (old or (table == "staged" and name in names)):
+                if name not in held and old:
                     gone.append(f"{table}/call={name}")
         forget(self.spark, *(f"{self.path}/{x}" for x in gone))
         return gone
@@ -293,16 +294,13 @@ class ProteinIndex:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/call={c}" for c in calls))
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self._read(name, schema, self._calls())
-
     def postings(self, only: DataFrame | None = None) -> DataFrame:
         """``id, hashval, abund`` of all calls: the last compaction, and the sketches of calls since.
 
-        With ``only``, a table of hashes, only the folders are read that these fall in.
+        With ``only``, a table of hashes, only the folders are read that these fall in, and of later calls only these hashes are kept.
         """
         last, since = self._merged()
-        rest = self._hits(self._read("sketches", km.STORED, since)).select("id", "hashval", "abund")
+        rest = self._sketch(since, only).select("id", "hashval", "abund")
         if last is None:
             return rest
         path = f"{self.path}/postings/call={last['name']}"
@@ -320,21 +318,24 @@ class ProteinIndex:
         return se.manysearch(own, se.Collection(self.signatures(), self.postings(own.known())), self.ksize, self.scaled, self.moltype, ids)
 
     def kmers(self) -> DataFrame:
-        return self._table("kmers", km.KMERS)
+        """``id, name, start, kmer, encoded, hashval``."""
+        return km.kmer_positions(self._residues(self._calls()), self.ksize, self.moltype, self.scaled)
 
     def sketch(self) -> DataFrame:
         """``id, name, hashval, abund``."""
-        return self._hits(self._table("sketches", km.STORED))
+        return self._sketch(self._calls())
 
     def sequences(self) -> DataFrame:
-        return self._table("sequences", "id long, name string, length int, sequence string")
+        """``id, name, length, sequence``, the last only if raw sequences are stored."""
+        raw = F.col("residues") if self.store_raw_sequences else F.lit(None).cast("string")
+        return self._read("sequences", SEQUENCES, self._calls()).select("id", "name", "length", raw.alias("sequence"))
 
     def signatures(self) -> DataFrame:
         """``id, name, n_hashes, occurrences, pseudo_md5, md5``; sequences without hashes have 0, 0 and ``0``."""
         return self._measures().drop("content")
 
     def _measures(self) -> DataFrame:
-        return self._table("sketches", km.STORED).where("part = 0").drop("part", "hits")
+        return self._read("signatures", km.CONTENTS, self._calls())
 
     def combined(self) -> DataFrame:
         """``hashval, abund, df``: of the last compaction and the calls since, each of which is added up already."""
@@ -374,7 +375,8 @@ class ProteinIndex:
 
         def kmers(own: ProteinIndex) -> DataFrame:
             ids = own._measures().join(apart, ["content", "pseudo_md5"]).select("id", "pseudo_md5")
-            return own.kmers().join(ids, "id").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
+            rows = own._residues(own._calls()).join(ids.select("id"), "id", "left_semi")
+            return km.kmer_positions(rows, own.ksize, own.moltype, own.scaled).join(ids, "id").select("pseudo_md5", "start", "kmer", "encoded", hashing.unsigned_text(F.col("hashval")).alias("hashval"))
 
         return differing(kmers(self), kmers(other))
 

@@ -25,8 +25,8 @@ from ..functions import alphabet, hashing
 KMERS = "id long, name string, start int, kmer string, encoded string, hashval long"
 SKETCH = "id long, name string, hashval long, abund long"
 SIGNATURES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string"
-PROFILES = "id long, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string, hits array<struct<hashval:long,abund:long>>"
-STORED = "id long, part int, name string, n_hashes long, occurrences long, pseudo_md5 string, md5 string, content string, hits array<struct<hashval:long,abund:long>>"
+CONTENTS = f"{SIGNATURES}, content string"
+PROFILES = f"{SIGNATURES}, hits array<struct<hashval:long,abund:long>>"
 INFOS = "id long, name string, hashval long, encoded string, kmer string, positions array<int>"
 NESTED = "id long, name string, hashval long, encoded string, originals map<string,array<int>>"
 ORIGINALS = "id long, name string, hashval long, encoded string, n_originals long, occurrences long"
@@ -34,8 +34,6 @@ ORIGINALS = "id long, name string, hashval long, encoded string, n_originals lon
 _STEP = 1 << 18
 #: Hashes that a broadcast filter holds at most, 8 bytes each.
 ONLY = 4_000_000
-#: Hashes in a row of a stored sketch.
-ROW_HITS = 512
 
 
 def _lookup(moltype: str) -> np.ndarray | None:
@@ -176,13 +174,16 @@ def _digest_sums(owner: np.ndarray, start: np.ndarray, raw: np.ndarray, n: int)
     return out
 
 
-def sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
+def sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None) -> DataFrame:
     """``id, name, hashval, abund``: each sequence's sampled hashes and how often they occur in it."""
-    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+    lookup, limit, told = _lookup(moltype), hashing.max_hash(scaled), broadcast_hashes(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, owner, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
+                if told is not None:
+                    here = _in(told.value, hashed)
+                    owner, hashed, abund = owner[here], hashed[here], abund[here]
                 of = pa.array(np.array(rows, np.int64)[owner])
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(hashed.view(np.int64)), pa.array(abund, pa.int64())], ["id", "name", "hashval", "abund"])
 
@@ -201,57 +202,36 @@ def _measures(n: int, owner: np.ndarray, hashed: np.ndarray, abund: np.ndarray,
     return ends, (np.diff(ends), total[ends[1:]] - total[ends[:-1]], [f"{int(x.sum(dtype=np.uint64)):x}" for x in own], digests)
 
 
-def stored_sketches(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, row_hits: int = ROW_HITS) -> DataFrame:
-    """Sketches as an index keeps them: a row for each ``row_hits`` hashes of a sequence, the first (``part`` 0) with its measures.
-
-    ``content`` is an order-free digest of 128 bits of the sequence's sampled k-mers with their starts: sums modulo 2^64 of two digests of each.
-    """
-    lookup, limit, names = _lookup(moltype), hashing.max_hash(scaled), [x.split()[0] for x in STORED.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, owner, hashed, abund, sums in _counted(batch, ksize, lookup, limit, True):
-                ends, measures = _measures(len(rows), owner, hashed, abund, ksize)
-                pieces = np.maximum(1, -(-np.diff(ends) // row_hits))
-                row = np.repeat(np.arange(len(rows)), pieces)
-                part = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                offsets = np.append(ends[row] + part * row_hits, len(hashed))
-                own = [*measures, [f"{a:016x}{b:016x}" for a, b in sums.tolist()]]
-                told = [pa.array([x[r] if not p else None for r, p in zip(row.tolist(), part.tolist(), strict=True)], t) for x, t in zip((x if isinstance(x, list) else x.tolist() for x in own), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
-                values = pa.StructArray.from_arrays([pa.array(hashed.view(np.int64)), pa.array(abund, pa.int64())], fields=list(_PAIR))
-                of = pa.array(np.array(rows, np.int64)[row])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), pa.array(part, pa.int32()), batch.column("name").take(of), *told, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names)
-
-    return named(sequences).mapInArrow(run, STORED)
-
-
-def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None, hits: bool = True) -> DataFrame:
-    """``id, name, n_hashes, occurrences, pseudo_md5, md5, hits`` of each sequence's sketch, from one reading and without a shuffle.
+def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None, schema: str = PROFILES) -> DataFrame:
+    """``id, name, n_hashes, occurrences, pseudo_md5, md5`` of each sequence's sketch, and ``hits`` or ``content`` if the schema has it, from one reading and without a shuffle.
 
     The measures are of the whole sketch, also where ``only`` leaves few ``hits``. A sequence without sampled k-mers has 0, 0, ``0``
-    and the digest of the k-mer size alone.
+    and the digest of the k-mer size alone. ``content`` is an order-free digest of 128 bits of the sampled k-mers with their starts: sums modulo 2^64 of two digests of each.
     """
     lookup, limit, told = _lookup(moltype), hashing.max_hash(scaled), broadcast_hashes(only)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, owner, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
+            for rows, owner, hashed, abund, sums in _counted(batch, ksize, lookup, limit, "content" in names):
                 ends, measures = _measures(len(rows), owner, hashed, abund, ksize)
                 of = pa.array(rows)
                 columns = [batch.column("id").take(of), batch.column("name").take(of), *(pa.array(x) for x in measures)]
-                if hits:
+                if "content" in names:
+                    columns.append(pa.array([f"{a:016x}{b:016x}" for a, b in sums.tolist()]))
+                if "hits" in names:
                     here = np.ones(len(hashed), bool) if told is None else _in(told.value, hashed)
                     offsets = np.concatenate([[0], np.cumsum(here)])[ends]
                     values = pa.StructArray.from_arrays([pa.array(hashed[here].view(np.int64)), pa.array(abund[here], pa.int64())], fields=list(_PAIR))
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "name", "n_hashes", "occurrences", "pseudo_md5", "md5", "hits"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return named(sequences, name, sequence).mapInArrow(run, PROFILES if hits else SIGNATURES)
+    return named(sequences, name, sequence).mapInArrow(run, schema)
 
 
 def signatures(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
     """``id, name, n_hashes, occurrences, pseudo_md5, md5`` of each sequence's sketch."""
-    return profiles(sequences, ksize, moltype, scaled, name, sequence, hits=False)
+    return profiles(sequences, ksize, moltype, scaled, name, sequence, schema=SIGNATURES)
 
 
 def _sortable(raw: np.ndarray) -> np.ndarray:
