@@ -44,6 +44,51 @@ def murmur(keys: np.ndarray, seed: int = SEED) -> np.ndarray:
         return _finish(a) + _finish(b)
 
 
+def murmur_words(words: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of keys of ``k`` bytes, 8 at most, each given as a little-endian number."""
+    with np.errstate(over="ignore"):
+        b = np.uint64(seed) ^ np.uint64(k)
+        a = (_rotl(words * _C1, 31) * _C2 ^ b) + b
+        return _finish(a) + _finish(a + b)
+
+
+#: Keys of a table of all possible keys, at most.
+_TABLE = 1 << 18
+
+
+def murmur_windows(data: np.ndarray, k: int, step: int = 1 << 18) -> np.ndarray:
+    """Hashes of all windows of ``k`` bytes. Where few symbols leave few possible windows, each is hashed once."""
+    n = len(data) - k + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    symbols = np.flatnonzero(np.bincount(data, minlength=256)).astype(np.uint8)
+    base = len(symbols)
+    if base**k <= min(n, _TABLE):
+        dense, codes = np.zeros(256, np.int32), np.zeros(n, np.int32)
+        dense[symbols] = np.arange(base)
+        own = dense[data]
+        for j in range(k):
+            codes *= base
+            codes += own[j : n + j]
+        there = np.flatnonzero(np.bincount(codes, minlength=base**k))
+        table = np.zeros(base**k, np.uint64)
+        table[there] = murmur(symbols[there[:, None] // base ** np.arange(k - 1, -1, -1) % base])
+        return table[codes]
+    if k <= 8:
+        wide, words = data.astype(np.uint64), np.zeros(n, np.uint64)
+        for j in range(k):
+            words |= wide[j : n + j] << np.uint64(8 * j)
+        return murmur_words(words, k)
+    view = np.lib.stride_tricks.sliding_window_view(data, k)
+    return np.concatenate([murmur(view[at : at + step]) for at in range(0, n, step)])
+
+
+def mixed(hashed: np.ndarray, place: np.ndarray, factor: int) -> np.ndarray:
+    """Another 64 bits of a hash and a number."""
+    with np.errstate(over="ignore"):
+        return _finish(hashed + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(factor))
+
+
 def max_hash(scaled: int) -> int:
     """The largest hash that is kept."""
     return 2**64 - 1 if scaled <= 1 else int(float(2**64 - 1) / scaled)

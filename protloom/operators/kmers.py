@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,24 +67,39 @@ def _steps(batch: pa.RecordBatch, ksize: int) -> Iterator[tuple[list[int], list[
         yield rows, sequences, 0, True
 
 
-def _windows(sequences: list[bytes], ksize: int, lookup: np.ndarray | None, keep: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Sequence number, start, raw and encoded bytes, and hash of the windows that are kept."""
-    size = np.array([len(s) for s in sequences])
+@dataclass
+class Windows:
+    """The windows that are kept: sequence number, start and hash of each, and where they stand in the bytes of all sequences."""
+
+    owner: np.ndarray
+    start: np.ndarray
+    hashed: np.ndarray
+    at: np.ndarray
+    data: np.ndarray
+    encoded: np.ndarray
+    ksize: int
+
+    def cut(self, data: np.ndarray) -> np.ndarray:
+        """Their bytes."""
+        if len(data) < self.ksize:
+            return np.zeros((0, self.ksize), np.uint8)
+        return np.lib.stride_tricks.sliding_window_view(data, self.ksize)[self.at]
+
+
+def _windows(sequences: list[bytes], ksize: int, lookup: np.ndarray | None, keep: Callable[[np.ndarray], np.ndarray]) -> Windows:
+    size = np.array([len(s) for s in sequences], np.int64)
     data = np.frombuffer(b"".join(sequences), np.uint8)
-    if len(data) < ksize:
-        empty = np.zeros((0, ksize), np.uint8)
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), empty, empty, np.zeros(0, np.uint64)
-    begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(sequences)), size)
-    start = np.arange(len(data)) - begin[owner]
-    whole = np.flatnonzero(start + ksize <= size[owner])
     encoded = data if lookup is None else lookup[data]
-    view = np.lib.stride_tricks.sliding_window_view(encoded, ksize)[whole]
-    hashed = hashing.murmur(view)
-    kept = keep(hashed)
-    at = whole[kept]
-    raw = np.lib.stride_tricks.sliding_window_view(data, ksize)[at]
-    return owner[at], start[at], raw, view[kept], hashed[kept]
+    hashed, ends = hashing.murmur_windows(encoded, ksize), np.cumsum(size)
+    whole = np.ones(len(hashed), bool)
+    # windows that run over the end of their sequence
+    over = (ends[:, None] - np.minimum(np.arange(1, ksize), size[:, None])).ravel()
+    whole[over[over < len(hashed)]] = False
+    at = np.flatnonzero(whole)
+    kept = keep(hashed[at])
+    at = at if kept.all() else at[kept]
+    owner = np.repeat(np.arange(len(sequences)), size)[at]
+    return Windows(owner, at - (ends - size)[owner], hashed[at], at, data, encoded, ksize)
 
 
 def _strings(rows: np.ndarray) -> pa.Array:
@@ -135,9 +151,9 @@ def kmer_positions(sequences: DataFrame, ksize: int, moltype: str = "protein", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, own, offset, _ in _steps(batch, ksize):
-                owner, start, raw, encoded, hashed = _windows(own, ksize, lookup, keep)
-                of = pa.array(np.array(rows, np.int64)[owner])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(start + offset, pa.int32()), _strings(raw), _strings(encoded), pa.array(hashed.view(np.int64))], ["id", "name", "start", "kmer", "encoded", "hashval"])
+                w = _windows(own, ksize, lookup, keep)
+                of, raw = pa.array(np.array(rows, np.int64)[w.owner]), _strings(w.cut(w.data))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(w.start + offset, pa.int32()), raw, raw if lookup is None else _strings(w.cut(w.encoded)), pa.array(w.hashed.view(np.int64))], ["id", "name", "start", "kmer", "encoded", "hashval"])
 
     return named(sequences, name, sequence).mapInArrow(run, KMERS)
 
@@ -146,8 +162,9 @@ def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit
     """Rows of the batch, the sampled hashes of these with their counts (row by row, ascending), and with ``content`` each row's sums of digests."""
     keep, parts, sums = _kept(limit, None), [], None
     for rows, own, offset, ends in _steps(batch, ksize):
-        owner, start, raw, _, hashed = _windows(own, ksize, lookup, keep)
-        told = _digest_sums(owner, start + offset, raw, len(rows)) if content else np.zeros((len(rows), 2), np.uint64)
+        w = _windows(own, ksize, lookup, keep)
+        owner, hashed = w.owner, w.hashed
+        told = _digest_sums(w, offset, len(rows), lookup) if content else np.zeros((len(rows), 2), np.uint64)
         sums = told if sums is None else sums + told
         cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
         each = [np.unique(hashed[a:b], return_counts=True) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -164,13 +181,17 @@ def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit
         sums = None
 
 
-def _digest_sums(owner: np.ndarray, start: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
+#: Odd factors, so that each start gives each hash another number.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _digest_sums(w: Windows, offset: int, n: int, lookup: np.ndarray | None) -> np.ndarray:
     """For each of ``n`` rows, the sums modulo 2^64 of two digests of its windows' residues and starts: whatever their order, equal windows give equal sums."""
-    told = np.concatenate([raw, start.astype("<i8").view(np.uint8).reshape(-1, 8)], 1)
     out = np.zeros((n, 2), np.uint64)
-    if len(owner):
-        names, first = np.unique(owner, return_index=True)
-        out[names] = np.stack([np.add.reduceat(hashing.murmur(told, seed), first) for seed in (1, 2)], 1)
+    if len(w.owner):
+        raw = w.hashed if lookup is None else hashing.murmur_windows(w.data, w.ksize)[w.at]
+        names, first = np.unique(w.owner, return_index=True)
+        out[names] = np.stack([np.add.reduceat(hashing.mixed(raw, w.start + offset, f), first) for f in _FACTORS], 1)
     return out
 
 
@@ -206,7 +227,7 @@ def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled:
     """``id, name, n_hashes, occurrences, pseudo_md5, md5`` of each sequence's sketch, and ``hits`` or ``content`` if the schema has it, from one reading and without a shuffle.
 
     The measures are of the whole sketch, also where ``only`` leaves few ``hits``. A sequence without sampled k-mers has 0, 0, ``0``
-    and the digest of the k-mer size alone. ``content`` is an order-free digest of 128 bits of the sampled k-mers with their starts: sums modulo 2^64 of two digests of each.
+    and the digest of the k-mer size alone. ``content`` is an order-free digest of 128 bits of the sampled k-mers with their starts: sums modulo 2^64 of two digests of each one's hash and start.
     """
     lookup, limit, told = _lookup(moltype), hashing.max_hash(scaled), broadcast_hashes(only)
     names = [x.split()[0] for x in schema.split(", ")]
@@ -249,7 +270,7 @@ def _slices(sequence: bytes, ksize: int, lookup: np.ndarray | None, limit: int,
     data = np.frombuffer(sequence, np.uint8)
     encoded = data if lookup is None else lookup[data]
     raw, view = (np.lib.stride_tricks.sliding_window_view(x, ksize) for x in (data, encoded))
-    hashed = np.concatenate([hashing.murmur(view[at : at + step]) for at in range(0, len(view), step)])
+    hashed = hashing.murmur_windows(encoded, ksize)
     kept = np.flatnonzero(hashed <= np.uint64(limit))
     parts = max(1, -(-len(kept) // step))
     of = hashed[kept] // np.uint64(limit // parts + 1) if parts > 1 else np.zeros(len(kept), np.uint64)
@@ -270,8 +291,8 @@ def grouped(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit:
 
     def together() -> Iterator[tuple[np.ndarray, ...]]:
         if held:
-            owner, start, raw, encoded, hashed = _windows([x for _, x in held], ksize, lookup, _kept(limit, None))
-            yield ordered(np.array([r for r, _ in held], np.int64)[owner], start, raw, encoded, hashed)
+            w = _windows([x for _, x in held], ksize, lookup, _kept(limit, None))
+            yield ordered(np.array([r for r, _ in held], np.int64)[w.owner], w.start, w.cut(w.data), w.cut(w.encoded), w.hashed)
 
     for row, sequence in enumerate(batch.column("sequence")):
         own = (sequence.as_py() or "").encode()

@@ -91,3 +91,13 @@ def test_seeded_resolution_is_stable(spark):
 
 def test_letters_only(spark):
     assert column(spark, ["Ab, z É1!"], alphabet.letters_only(F.col("s"))) == ["ADE"]
+
+
+def test_hashes_of_windows_equal_those_of_keys():
+    rng = np.random.default_rng(1)
+    for symbols in (b"hp", b"abcdef", bytes(range(65, 90)), b"h"):
+        data = rng.choice(np.frombuffer(symbols, np.uint8), 3000)
+        for k in (1, 3, 7, 8, 9, 16, 17, 40):
+            want = hashing.murmur(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, k)))
+            assert (hashing.murmur_windows(data, k) == want).all()
+            assert len(hashing.murmur_windows(data[: k - 1], k)) == 0

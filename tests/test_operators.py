@@ -183,8 +183,8 @@ def test_long_sequences_are_worked_off_in_parts(spark, monkeypatch):
     assert [sizes[k] for k in range(4)] == [(r[2], r[3]) for r in sorted(want[2], key=lambda r: r[1])]
     starts = []
     for part, own, offset, _ in km._steps(batch, 7):
-        owner, start, *_ = km._windows(own, 7, None, km._kept(limit, None))
-        starts += [(part[o], int(s) + offset) for o, s in zip(owner.tolist(), start.tolist(), strict=True)]
+        w = km._windows(own, 7, None, km._kept(limit, None))
+        starts += [(part[o], int(s) + offset) for o, s in zip(w.owner.tolist(), w.start.tolist(), strict=True)]
     assert sorted(starts) == sorted((k, i) for k, n in enumerate((3000, 11, 100, 2999)) for i in range(n - 6))
 
 
