@@ -330,6 +330,20 @@ class ProteinIndex:
         raw = F.col("residues") if self.store_raw_sequences else F.lit(None).cast("string")
         return self._read("sequences", SEQUENCES, self._calls()).select("id", "name", "length", raw.alias("sequence"))
 
+    def records(self, ids: DataFrame) -> DataFrame:
+        """``id, name, mins, abunds, kmer_infos, raw_sequence`` of the records of some ids, each with its sketch as a whole; ``StoredSignature.from_row`` takes the rows."""
+        chosen = self._read("sequences", SEQUENCES, self._calls()).join(ids.select("id"), "id", "left_semi").select("id", "name", F.col("residues").alias("sequence"))
+        info = F.struct(F.lit(self.ksize).alias("ksize"), "hashval", F.col("encoded").alias("encoded_kmer"), F.col("originals").alias("original_kmer_to_position"))
+        count = F.aggregate(F.map_values("originals"), F.lit(0).cast("long"), lambda n, x: n + F.size(x))
+        rows = km.nested_infos(chosen, self.ksize, self.moltype, self.scaled).select("id", F.struct("hashval", count.alias("abund"), info.alias("info")).alias("x"))
+        grouped = rows.groupBy("id").agg(F.sort_array(F.collect_list("x.hashval")).alias("mins"), F.map_from_entries(F.collect_list(F.struct("x.hashval", "x.abund"))).alias("abund"), F.map_from_entries(F.collect_list(F.struct("x.hashval", "x.info"))).alias("kmer_infos"))
+        out = chosen.join(grouped, "id", "left")
+        none = {"mins": "array<bigint>", "abunds": "array<bigint>"}
+        told = {"mins": F.col("mins"), "abunds": F.transform("mins", lambda h: F.element_at("abund", h))}
+        empty = F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<struct<ksize:int,hashval:bigint,encoded_kmer:string,original_kmer_to_position:map<string,array<int>>>>"))
+        raw = F.col("sequence") if self.store_raw_sequences else F.lit(None).cast("string")
+        return out.select("id", "name", *(F.coalesce(told[c], F.array().cast(t)).alias(c) for c, t in none.items()), F.coalesce("kmer_infos", empty).alias("kmer_infos"), raw.alias("raw_sequence"))
+
     def signatures(self) -> DataFrame:
         """``id, name, n_hashes, occurrences, pseudo_md5, md5``; sequences without hashes have 0, 0 and ``0``."""
         return self._measures().drop("content")

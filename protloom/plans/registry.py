@@ -25,10 +25,6 @@ SCALED = 5
 _TABLES = {"d": ("documents", "doc_id"), "b": ("benchmark", "item_id")}
 
 
-#: Bytes of a usual row group, below which a scan cannot be split.
-_ROW_GROUP = 128 << 20
-
-
 def _raw(spark: SparkSession, sf: str, t: str) -> DataFrame:
     """Ids, names and texts."""
     table, key = _TABLES[t]
@@ -36,12 +32,10 @@ def _raw(spark: SparkSession, sf: str, t: str) -> DataFrame:
 
 
 def _dealt(spark: SparkSession, sf: str, t: str) -> DataFrame:
-    """The same for work on the texts: a table with fewer row groups than cores is dealt out first; a larger one is read as it lies."""
-    rows, path = _raw(spark, sf, t), f"{sf}/{_TABLES[t][0]}.parquet"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    """The same for work on the texts: a table of fewer files than cores, as the small test tables of one row group are, is dealt out first; any other is read as it lies."""
+    rows = _raw(spark, sf, t)
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if size < cores * _ROW_GROUP else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def _sequences(spark: SparkSession, sf: str, t: str) -> DataFrame:

@@ -18,6 +18,7 @@ from protloom.index import ProteinIndex, SequenceSet, sketch_list, sketch_manife
 from protloom.operators import kmers as km
 from protloom.operators import search as se
 from protloom.metrics import IndexMetrics, MetricsCollector, timed
+from protloom.record import StoredSignature
 from protloom.sources import fasta as fa
 from protloom.sources import frames
 from protloom.streaming.fasta_stream import start_sketching, streamed_combined
@@ -286,6 +287,27 @@ def test_a_record_given_twice(spark, tmp_path):
     assert again.sketch().count() == 27 and again.metrics.get_metrics().cache_hit_ratio() == 1.0
 
 
+@pytest.mark.parametrize("raw", [True, False])
+def test_records_as_objects(spark, tmp_path, raw):
+    own = ProteinIndex(spark, str(tmp_path / "i"), 5, 1, "hp", raw)
+    own.store(spark.createDataFrame([("plant", "PLANTANDANIMALGENQMES"), ("short", "AC"), ("twice", "AVAVAVAVAV")], "name string, sequence string"))
+    rows = {r["name"]: StoredSignature.from_row(r, 5, "hp") for r in own.records(own.sequences().where("name <> 'none'")).collect()}
+    assert {n: r.kmer_count() for n, r in rows.items()} == {r["name"]: r["n_hashes"] for r in own.signatures().collect()}
+    one = rows["twice"]
+    sketch = sorted((r["hashval"] % 2**64, r["abund"]) for r in own.sketch().where("name = 'twice'").collect())
+    assert list(zip(one.mins, one.abunds, strict=True)) == sketch and one.mins == sorted(one.mins)
+    (info,) = one.kmer_infos.values()
+    assert info == {"encoded_kmer": "hhhhh", "original_kmer_to_position": {"AVAVA": [0, 2, 4], "VAVAV": [1, 3, 5]}}
+    assert one.estimated_size() == 5 + 8 + 8 + 12 + 5 + 32 + 10 * raw
+    assert (one.protein_ksize, one.minhash_ksize, one.has_raw_sequence_storage(), one.get_raw_sequence()) == (5, 15, raw, "AVAVAVAVAV" if raw else None)
+    assert rows["short"].mins == [] and not rows["short"].has_efficient_data() and one.has_efficient_data()
+    one.set_raw_sequence("OTHER")
+    assert one.get_raw_sequence() == ("OTHER" if raw else None)
+    made = StoredSignature.from_existing_data("x", 5, "protein", [1, 2])
+    made.set_raw_sequence("ACD")
+    assert made.get_raw_sequence() is None and made.estimated_size() == 1 + 16
+
+
 def test_builder_and_names(spark, tmp_path):
     b = ProteinIndex.builder()
     with pytest.raises(BuilderError, match="Builder error: Database path is required"):
