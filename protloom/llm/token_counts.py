@@ -4,7 +4,8 @@ The normalised content of every text (null becomes the empty string; nothing els
 is changed, so a stored count is exactly the library's count) is digested with
 SHA-256. The cache is a Parquet table ``(tokenizer, digest, n_tokens)``, laid out by
 the digest of the tokenizer file. Digests of the rows meet the cache; each digest that it lacks is encoded once, counts are
-appended, and all rows get their counts.
+appended, and all rows get their counts. The stored cache is not moved for a batch of ``APART`` digests at most: their hashes are broadcast, and only what
+has one of them goes on from the scan.
 
 Texts are not moved to find distinct misses: a digest that one row alone has is encoded where that row is read. Rows whose digest the cache
 has or several rows share are told by a broadcast set of hashes, ``APART`` at most; only their texts are dealt out. With more of
@@ -101,12 +102,20 @@ def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
 
+def cached(stored: DataFrame, seen: DataFrame, apart: int = APART) -> DataFrame:
+    """``digest, n_tokens`` of the stored digests that are in ``seen``."""
+    key = F.xxhash64("digest").alias("key")
+    if seen.limit(apart + 1).count() <= apart:
+        stored = stored.join(F.broadcast(seen.select(key)), F.xxhash64(stored["digest"]) == F.col("key"), "left_semi")
+    return stored.join(seen.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def update_cache(rows: DataFrame, seen: DataFrame, cache_path: str, model: str, apart: int = APART) -> DataFrame:
     """Encode what the cache lacks, append it, and return ``digest, n_tokens`` of the digests in ``seen`` (``digest, n``)."""
     spark, version = rows.sparkSession, tokenizer_version(model)
-    hits, _ = saved(seen.join(read_cache(spark, cache_path, version), "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "cache-hits")
-    # what cannot be encoded where it is read
     key = F.xxhash64("digest").alias("key")
+    hits, _ = saved(cached(read_cache(spark, cache_path, version), seen, apart), "cache-hits")
+    # what cannot be encoded where it is read
     told = hits.select(key).unionByName(seen.where("n > 1").select(key))
     n_told = told.count()
     if n_told <= apart:

@@ -67,3 +67,20 @@ def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a b", "x", "y", 5, "z", 7)], "doc_id long, text string, digest string, content string, n_tokens int, keep string, key int")
     got = tc.count_tokens(rows, scratch(spark, "t"), keep=("doc_id", "digest", "content", "keep", "key")).drop("n_bytes", "n_tokens").first()
     assert tuple(got) == (1, "x", "y", "z", 7)
+
+
+def test_the_stored_cache_is_not_moved(spark):
+    """A batch's digests meet the cache where it is scanned; only what they have in common is dealt out."""
+    stored = spark.range(2000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("n_tokens"))
+    seen = stored.where("n_tokens % 100 = 0").unionByName(spark.createDataFrame([(b"x" * 32, 1)], "digest binary, n_tokens long")).select("digest", F.lit(1).alias("n"))
+    want = {100 * k for k in range(20)}
+    for apart in (1000, 3):
+        assert {r["n_tokens"] for r in tc.cached(stored, seen, apart).collect()} == want
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = tc.cached(stored, seen, 1000)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    above = plan[: plan.index("BroadcastHashJoin [xxhash64") if "BroadcastHashJoin [xxhash64" in plan else 0]
+    assert above and "BroadcastExchange" in plan
