@@ -193,7 +193,7 @@ class ProteinIndex:
             own = self._residues([call])
             told = km.profiles(own, self.ksize, self.moltype, self.scaled, schema=km.CONTENTS).observe(seen, F.count("*").alias("records"), F.sum("occurrences").alias("kmers"))
             told.write.parquet(at("signatures"))
-            self._write_combined(km.combined_sketch(km.sketches(own, self.ksize, self.moltype, self.scaled)), at("combined"))
+            km.combined_of(own, self.ksize, self.moltype, self.scaled).write.parquet(at("combined"))
             self._publish("call", call, [], 0)
         told = seen.get
         for name, n in (("signatures_processed", told["records"]), ("kmers_processed", told["kmers"] or 0), ("database_operations", 4)):
@@ -206,10 +206,6 @@ class ProteinIndex:
     def _sketch(self, calls: list[str], only: DataFrame | None = None) -> DataFrame:
         return km.sketches(self._residues(calls), self.ksize, self.moltype, self.scaled, only=only)
 
-    @staticmethod
-    def _write_combined(rows: DataFrame, path: str) -> None:
-        rows.repartitionByRange(hashing.sortable(F.col("hashval"))).sortWithinPartitions(hashing.sortable(F.col("hashval"))).write.parquet(path)
-
     def process_fasta(self, path: str) -> None:
         """Append the records of a FASTA file, in upper case."""
         self.store(read_path_or_stdin(self.spark, path).select("name", F.upper("sequence").alias("sequence")))
@@ -227,8 +223,9 @@ class ProteinIndex:
         bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, n * self.scaled / bucket_rows)))))
         bucket, key = bucket_of(F.col("hashval"), bits).alias("bucket"), hashing.sortable(F.col("hashval"))
         own = self.postings().select("id", "hashval", "abund", bucket)
-        own.repartitionByRange(key, "id").sortWithinPartitions("bucket", key, "id").write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
-        self._write_combined(self.combined(), f"{self.path}/combined/call={name}")
+        # hashes are even over the folders; a folder that one very common hash makes large is split by size
+        own.hint("rebalance", "bucket").sortWithinPartitions("bucket", key, "id").write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
+        self.combined().write.parquet(f"{self.path}/combined/call={name}")
         self._publish("postings", name, calls, bits)
 
     # ---- states ----

@@ -373,6 +373,45 @@ def combined_sketch(sketch: DataFrame) -> DataFrame:
     return sketch.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.count("*").alias("df"))
 
 
+#: Distinct hashes that a task adds up before it hands them on.
+_HELD = 1 << 21
+
+
+def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _HELD) -> DataFrame:
+    """``combined_sketch`` of sequences, whose hashes are added up in the tasks first."""
+    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+        hashed, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return [(hashed, *(np.bincount(place, np.concatenate([p[i] for p in parts]), len(hashed)).astype(np.int64) for i in (1, 2)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = kept = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            (own,) = merged(parts)
+            for at in range(0, len(own[0]), _STEP):
+                h, n, df = (x[at : at + _STEP] for x in own)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(df)], ["hashval", "abund", "df"])
+
+        for batch in batches:
+            for _, _, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
+                parts.append((hashed, abund, np.ones(len(hashed), np.int64)))
+                size += len(hashed)
+                if size > max(held // 4, 2 * kept):  # merged again only when it has doubled
+                    parts = merged(parts)
+                    size = kept = len(parts[0][0])
+                    if kept > held:
+                        yield from out()
+                        parts, size, kept = [], 0, 0
+        if parts:
+            yield from out()
+
+    rows = named(sequences).mapInArrow(run, "hashval long, abund long, df long")
+    return rows.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.sum("df").alias("df"))
+
+
 def frequencies(sketch: DataFrame, n_sequences: int) -> DataFrame:
     """``hashval, df, frequency, idf`` over a collection of ``n_sequences``; a hash's frequency is its share of all occurrences."""
     combined = combined_sketch(sketch)

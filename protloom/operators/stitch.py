@@ -81,24 +81,42 @@ def fragments(hits: DataFrame, ksize: int | None, limit: int = FRAGMENT) -> Data
             match, query, sq, sm = (batch.column(c).to_numpy() for c in ("match_id", "query_id", "start_query", "start_match"))
             off = batch.column("offset").fill_null(0).to_numpy()
             kmers = [batch.column(c).to_pylist() for c in ("kmer_query", "kmer_match", "encoded")]
-            labels = [batch.column(c).to_pylist() for c in (*_PAIR, "offset")]
             new = np.ones(len(sq), bool)
             new[1:] = (np.diff(match) != 0) | (np.diff(query) != 0) | (np.diff(off) != 0)
             if ksize is not None:
                 new[1:] |= np.diff(sq) > ksize
-            key = tuple(x[0] for x in labels)
+            key = tuple(batch.column(c)[0].as_py() for c in (*_PAIR, "offset"))
             new[0] = own is None or own.key != key or (ksize is not None and int(sq[0]) - own.last[0] > ksize)
             done: list[tuple] = []
-            cuts = [*np.flatnonzero(new).tolist(), len(sq)]
+            starts = np.flatnonzero(new).tolist()
+            labels = zip(*(batch.column(c).take(pa.array(starts, pa.int64())).to_pylist() for c in (*_PAIR, "offset")), strict=True)
+            runs = list(zip(labels, starts, [*starts[1:], len(sq)], strict=False))
             if not new[0]:
-                own.add(sq[: cuts[0]], sm[: cuts[0]], [k[: cuts[0]] for k in kmers])
-            for a, z in zip(cuts, cuts[1:], strict=False):
-                if own is not None:
-                    done.append(own.row())
-                own = _Run(tuple(x[a] for x in labels), (int(sq[a]), int(sm[a]), *(k[a] for k in kmers)), part, n, n == 0)
-                n += 1
+                end = starts[0] if starts else len(sq)
+                own.add(sq[:end], sm[:end], [k[:end] for k in kmers])
+
+            def opened(label: tuple, a: int, z: int) -> _Run:
+                nonlocal n
+                out = _Run(label, (int(sq[a]), int(sm[a]), *(k[a] for k in kmers)), part, n, n == 0)  # noqa: B023
                 if z > a + 1:
-                    own.add(sq[a + 1 : z], sm[a + 1 : z], [k[a + 1 : z] for k in kmers])
+                    out.add(sq[a + 1 : z], sm[a + 1 : z], [k[a + 1 : z] for k in kmers])  # noqa: B023
+                n += 1
+                return out
+
+            if runs and own is None:
+                own = opened(*runs.pop(0))
+            if runs:
+                if own.count:
+                    done.append(own.row())
+                if len(runs) > 1:  # those that begin and end here; a first k-mer is added whole, as after a step of 0
+                    steps = [np.where(new, 0, np.diff(x, prepend=x[0])).tolist() for x in (sm, sm, sq)]
+                    pieces = [[k[-d:] if d else k for k, d in zip(x, s, strict=True)] for x, s in zip(kmers, steps, strict=True)]
+                    low_m = np.minimum.reduceat(sm, [a for _, a, _ in runs]).tolist()
+                    for (label, a, z), m in zip(runs[:-1], low_m, strict=False):
+                        q = int(sq[a])
+                        done.append((*label, part, n, False, q, m, q, m, q, m, "", "", "", *("".join(x[a:z]) for x in pieces)))
+                        n += 1
+                own = opened(*runs[-1])
             if own.count >= limit:  # goes on as another fragment, which begins with its next hit
                 own.border = True
                 done.append(own.row())

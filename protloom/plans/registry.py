@@ -124,7 +124,7 @@ def true_md5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def combined_sketch(spark: SparkSession, sf: str) -> DataFrame:
-    return km.combined_sketch(_sketch(spark, sf, "d")).groupBy("df", "abund").agg(F.count("*").alias("n_hashes"))
+    return km.combined_of(_sequences(spark, sf, "d"), K).groupBy("df", "abund").agg(F.count("*").alias("n_hashes"))
 
 
 def kmer_idf_frequency(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
@@ -299,7 +299,7 @@ def kmer_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_stats(spark: SparkSession, sf: str) -> DataFrame:
-    combined = km.combined_sketch(_sketch(spark, sf, "d")).agg(F.count("*").alias("combined_hashes"), F.sum("abund").alias("occurrences"))
+    combined = km.combined_of(_sequences(spark, sf, "d"), K).agg(F.count("*").alias("combined_hashes"), F.sum("abund").alias("occurrences"))
     return _raw(spark, sf, "d").agg(F.count("*").alias("signatures")).crossJoin(combined)  # one row each
 
 

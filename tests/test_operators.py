@@ -207,6 +207,13 @@ def test_grouping_inside_records(spark, ksize, step):
         assert sorted(map(str, nested.collect())) == want
 
 
+def test_hashes_added_up_in_tasks(spark, two):
+    rows = two.unionByName(two).unionByName(two.where("name = 'living'")).selectExpr("monotonically_increasing_id() AS id", "name", "sequence")
+    want = sorted(map(tuple, km.combined_sketch(km.sketches(rows, 5, "hp", 2)).collect()))
+    for held in (1 << 21, 4):
+        assert sorted(map(tuple, km.combined_of(rows, 5, "hp", 2, held=held).collect())) == want != []
+
+
 def test_heavy_hashes_are_dealt_apart(spark):
     """A k-mer in all targets, on both sides: equal rows, and no task has over three times the median."""
     rows = spark.range(6000).select("id", F.concat(F.lit("n"), "id").alias("name"), F.lit("ACDEF").alias("kmer"), F.lit("ACDEF").alias("encoded"), (F.col("id") % 7).cast("int").alias("start"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("hashval"))
