@@ -355,6 +355,10 @@ class ProteinIndex:
         rows = self._read("combined", COMBINED, names)
         return rows if len(names) < 2 else rows.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.sum("df").alias("df"))
 
+    def frequencies(self) -> DataFrame:
+        """``hashval, df, frequency, idf`` over all records."""
+        return km.frequencies(self.combined(), self.signature_count())
+
     def combined_size(self) -> int:
         return self.combined().count()
 

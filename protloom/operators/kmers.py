@@ -412,9 +412,8 @@ def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scal
     return rows.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.sum("df").alias("df"))
 
 
-def frequencies(sketch: DataFrame, n_sequences: int) -> DataFrame:
-    """``hashval, df, frequency, idf`` over a collection of ``n_sequences``; a hash's frequency is its share of all occurrences."""
-    combined = combined_sketch(sketch)
+def frequencies(combined: DataFrame, n_sequences: int) -> DataFrame:
+    """``hashval, df, frequency, idf`` from the combined sketch of ``n_sequences``, which is read twice; a hash's frequency is its share of all occurrences."""
     total = combined.agg(F.sum("abund").alias("total"))  # one row
     return combined.crossJoin(F.broadcast(total)).select("hashval", "df", (F.col("abund") / F.col("total")).alias("frequency"), idf(F.lit(n_sequences), F.col("df")).alias("idf"))
 

@@ -129,7 +129,8 @@ def combined_sketch(spark: SparkSession, sf: str) -> DataFrame:
 
 def kmer_idf_frequency(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
     n = _raw(spark, sf, t).count()
-    return _digits(km.frequencies(_sketch(spark, sf, t, "hp"), n).select(_hash(), "df", "frequency", "idf"))
+    combined, _ = saved(km.combined_of(_sequences(spark, sf, t), K, "hp"), "combined")
+    return _digits(km.frequencies(combined, n).select(_hash(), "df", "frequency", "idf"))
 
 
 def hash_membership(spark: SparkSession, sf: str) -> DataFrame:

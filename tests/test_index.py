@@ -222,6 +222,8 @@ def test_a_search_reads_the_folders_of_its_hashes(spark, tmp_path, scaled):
         assert len(own._merged()[1]) == (0 if _ else 1)
         own.compact(bucket_rows=40)
     assert own.search(many(spark, 170)).count() >= 170
+    told = own.frequencies().agg(F.sum("frequency"), F.max("df"), F.count("*")).first()
+    assert told[0] == pytest.approx(1) and told[1] >= 1 and told[2] == own.combined_size()
 
 
 def test_vacuum_and_pins(spark, tmp_path, monkeypatch):
