@@ -93,17 +93,19 @@ def encode(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("digest", "content").mapInArrow(run, "digest binary, n_tokens long")
 
 
-def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
-    """Stored counts of one tokenizer version; none where there is no table yet."""
+def read_cache(spark: SparkSession, cache_path: str, version: str) -> DataFrame | None:
+    """Stored counts of one tokenizer version; None where there is no table yet."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(cache_path)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "digest binary, n_tokens long")
+        return None
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
 
-def cached(stored: DataFrame, seen: DataFrame, apart: int = APART) -> DataFrame:
+def cached(stored: DataFrame | None, seen: DataFrame, apart: int = APART) -> DataFrame:
     """``digest, n_tokens`` of the stored digests that are in ``seen``."""
+    if stored is None:
+        return seen.sparkSession.createDataFrame([], "digest binary, n_tokens long")
     key = F.xxhash64("digest").alias("key")
     if seen.limit(apart + 1).count() <= apart:
         stored = stored.join(F.broadcast(seen.select(key)), F.xxhash64(stored["digest"]) == F.col("key"), "left_semi")
