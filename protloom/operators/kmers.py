@@ -4,7 +4,7 @@ Windows are cut, encoded, hashed and sampled inside one Arrow function, on array
 k-mer that the sampling leaves out never becomes a row, and a sequence's sketch needs no shuffle, as a
 sequence is one row. Sequences shorter than ``ksize`` have no k-mers. Sequences longer than a step are worked off in overlapping parts.
 What is grouped inside a sequence (originals, positions, counts of a hash) is grouped in the same function, without a shuffle: windows are sorted by
-hash, original and start, a long sequence's by slices of the hash range, so that all windows of a hash are in one slice.
+hash and original, a long sequence's by slices of the hash range, so that all windows of a hash are in one slice.
 
 Records are told apart by ``id``, a BIGINT column of the sequences; where there is none it is made of the name, so that records of one name are one.
 ``only``, a table with a ``hashval`` column, leaves out all other hashes where the sequence is read, if it has ``ONLY`` distinct ones at most.
@@ -279,11 +279,29 @@ def _slices(sequence: bytes, ksize: int, lookup: np.ndarray | None, limit: int,
         yield at, raw[at], view[at], hashed[at]
 
 
+def _together(rows: np.ndarray, hashed: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """An order that keeps rows, and in it puts windows of one hash, and of one original, together; else it stays as it is.
+
+    Each row is sorted by one number, of half the bits of its hash and half of a mix of its residues; where two hashes or originals are taken for one, all are sorted by all columns.
+    """
+    originals = _sortable(raw)
+    if originals.dtype != np.uint64 or len(rows) < 2:
+        return np.lexsort((originals, hashed, rows))
+    half = np.uint64(32)
+    top = hashed >> half
+    key = top << half | originals * np.uint64(_FACTORS[0]) >> half
+    bounds = [*np.flatnonzero(_changes(rows)).tolist(), len(rows)]
+    order = np.concatenate([a + np.argsort(key[a:z], kind="stable") for a, z in zip(bounds, bounds[1:], strict=False)])
+    differs = lambda x: x[order[1:]] != x[order[:-1]]
+    wrong = ~differs(top) & differs(hashed) | ~differs(key) & differs(originals)
+    return np.lexsort((originals, hashed, rows)) if (wrong & ~differs(rows)).any() else order
+
+
 def grouped(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int, step: int = _STEP) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, start, raw and encoded bytes, and hash of the sampled windows, sorted by row, hash, raw bytes and start: of many rows, or of a slice of a long one."""
+    """Row, start, raw and encoded bytes, and hash of the sampled windows, those of a row, a hash and an original together, by start: of many rows, or of a slice of a long one."""
 
     def ordered(rows: np.ndarray, start: np.ndarray, raw: np.ndarray, encoded: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((_sortable(raw), hashed, rows))  # stable: starts ascend already
+        order = _together(rows, hashed, raw)  # stable: starts ascend already
         return rows[order], start[order], raw[order], encoded[order], hashed[order]
 
     held: list[tuple[int, bytes]] = []

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,19 @@ def test_grouping_inside_records(spark, ksize, step):
         assert sorted(map(str, nested.collect())) == want
 
 
+def test_windows_of_one_hash_stand_together():
+    rng = np.random.default_rng(2)
+    rows, raw = np.sort(rng.integers(0, 5, 400)), rng.integers(65, 67, (400, 8), dtype=np.uint8)
+    plain = rng.integers(0, 9, 400).astype(np.uint64)
+    for hashed in (plain, plain << np.uint64(40)):  # equal upper halves, and others
+        hashed = hashed[raw[:, 0].astype(int) * 2 + raw[:, 1] - 195]
+        order = km._together(rows, hashed, raw)
+        told = [(r, h, bytes(x), i) for r, h, x, i in zip(rows[order].tolist(), hashed[order].tolist(), raw[order], order.tolist(), strict=True)]
+        for n in (1, 2, 3):
+            assert sum(a[:n] != b[:n] for a, b in zip(told, told[1:], strict=False)) + 1 == len({x[:n] for x in told})
+        assert all(a[3] < b[3] for a, b in zip(told, told[1:], strict=False) if a[:3] == b[:3])
+
+
 def test_hashes_added_up_in_tasks(spark, two):
     rows = two.unionByName(two).unionByName(two.where("name = 'living'")).selectExpr("monotonically_increasing_id() AS id", "name", "sequence")
     want = sorted(map(tuple, km.combined_sketch(km.sketches(rows, 5, "hp", 2)).collect()))
