@@ -54,6 +54,8 @@ def murmur_words(words: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
 
 #: Keys of a table of all possible keys, at most.
 _TABLE = 1 << 18
+#: Windows of up to 8 bytes that are hashed at once: their numbers stay in a core's cache.
+_CACHED = 1 << 14
 
 
 def murmur_windows(data: np.ndarray, k: int, step: int = 1 << 18) -> np.ndarray:
@@ -75,10 +77,14 @@ def murmur_windows(data: np.ndarray, k: int, step: int = 1 << 18) -> np.ndarray:
         table[there] = murmur(symbols[there[:, None] // base ** np.arange(k - 1, -1, -1) % base])
         return table[codes]
     if k <= 8:
-        wide, words = data.astype(np.uint64), np.zeros(n, np.uint64)
-        for j in range(k):
-            words |= wide[j : n + j] << np.uint64(8 * j)
-        return murmur_words(words, k)
+        out = np.empty(n, np.uint64)
+        for at in range(0, n, _CACHED):
+            wide = data[at : at + _CACHED + k - 1].astype(np.uint64)
+            words = wide[: len(wide) - k + 1].copy()
+            for j in range(1, k):
+                words |= wide[j : len(words) + j] << np.uint64(8 * j)
+            out[at : at + len(words)] = murmur_words(words, k)
+        return out
     view = np.lib.stride_tricks.sliding_window_view(data, k)
     return np.concatenate([murmur(view[at : at + step]) for at in range(0, n, step)])
 
@@ -101,7 +107,10 @@ def unsigned(hashed: Column) -> Column:
 
 
 def unsigned_text(hashed: Column) -> Column:
-    return unsigned(hashed).cast("string")
+    """The bits of a BIGINT as unsigned decimal text: of a number above 2^63, the text of its tens and its last digit, so that all stay BIGINT."""
+    half = F.shiftrightunsigned(hashed, 1)
+    last = half % 5 * 2 + hashed.bitwiseAND(F.lit(1).cast("long"))
+    return F.when(hashed < 0, F.concat(F.call_function("div", half, F.lit(5).cast("long")).cast("string"), last.cast("string"))).otherwise(hashed.cast("string"))
 
 
 def sortable(hashed: Column) -> Column:

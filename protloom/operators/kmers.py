@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +48,20 @@ def _lookup(moltype: str) -> np.ndarray | None:
     return out
 
 
-def _steps(batch: pa.RecordBatch, ksize: int) -> Iterator[tuple[list[int], list[bytes], int, bool]]:
+def _steps(batch: pa.RecordBatch, ksize: int, step: int = _STEP) -> Iterator[tuple[list[int], list[bytes], int, bool]]:
     """Rows of the batch with their sequences, the first's offset, and whether the row ends there: many whole sequences, or a part of a long one."""
     rows, sequences, size = [], [], 0
     for row, sequence in enumerate(batch.column("sequence")):
         own = (sequence.as_py() or "").encode()
-        if len(own) > _STEP:
+        if len(own) > step:
             last = len(own) - ksize
-            for at in range(0, last + 1, _STEP):
-                yield [row], [own[at : at + _STEP + ksize - 1]], at, at + _STEP > last
+            for at in range(0, last + 1, step):
+                yield [row], [own[at : at + step + ksize - 1]], at, at + step > last
             continue
         rows.append(row)
         sequences.append(own)
         size += len(own)
-        if size >= _STEP:
+        if size >= step:
             yield rows, sequences, 0, True
             rows, sequences, size = [], [], 0
     if rows:
@@ -79,23 +80,27 @@ class Windows:
     encoded: np.ndarray
     ksize: int
 
-    def cut(self, data: np.ndarray) -> np.ndarray:
-        """Their bytes."""
+    def cut(self, data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Their bytes, or those of the windows at some places."""
         if len(data) < self.ksize:
             return np.zeros((0, self.ksize), np.uint8)
-        return np.lib.stride_tricks.sliding_window_view(data, self.ksize)[self.at]
+        return np.lib.stride_tricks.sliding_window_view(data, self.ksize)[self.at if at is None else at]
+
+
+def _whole(size: np.ndarray, ksize: int) -> np.ndarray:
+    """Where the windows begin that do not run over the end of their sequence, in the bytes of sequences of some sizes."""
+    ends = np.cumsum(size)
+    whole = np.ones(max(0, int(size.sum()) - ksize + 1), bool)
+    over = (ends[:, None] - np.minimum(np.arange(1, ksize), size[:, None])).ravel()
+    whole[over[over < len(whole)]] = False
+    return np.flatnonzero(whole)
 
 
 def _windows(sequences: list[bytes], ksize: int, lookup: np.ndarray | None, keep: Callable[[np.ndarray], np.ndarray]) -> Windows:
     size = np.array([len(s) for s in sequences], np.int64)
     data = np.frombuffer(b"".join(sequences), np.uint8)
     encoded = data if lookup is None else lookup[data]
-    hashed, ends = hashing.murmur_windows(encoded, ksize), np.cumsum(size)
-    whole = np.ones(len(hashed), bool)
-    # windows that run over the end of their sequence
-    over = (ends[:, None] - np.minimum(np.arange(1, ksize), size[:, None])).ravel()
-    whole[over[over < len(hashed)]] = False
-    at = np.flatnonzero(whole)
+    hashed, ends, at = hashing.murmur_windows(encoded, ksize), np.cumsum(size), _whole(size, ksize)
     kept = keep(hashed[at])
     at = at if kept.all() else at[kept]
     owner = np.repeat(np.arange(len(sequences)), size)[at]
@@ -142,22 +147,82 @@ def _in(known: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return known[at] == hashed
 
 
-def kmer_positions(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None) -> DataFrame:
-    """``id, name, start, kmer, encoded, hashval``: a row for each sampled k-mer of prepared sequences; starts count from 0."""
+def kmer_positions(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None, together: int | None = None) -> DataFrame:
+    """``id, name, start, kmer, encoded, hashval``: a row for each sampled k-mer of prepared sequences; starts count from 0.
+
+    Rows come by sequence and start. With ``together``, equal k-mers of up to so many residues of a task come one after the other, by encoded and original
+    k-mer: for a table that is stored as a whole, whose files take less than half as much then.
+    """
     if ksize < 1:
         return sequences.sparkSession.createDataFrame([], KMERS)
     lookup, keep = _lookup(moltype), _kept(hashing.max_hash(scaled), broadcast_hashes(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, own, offset, _ in _steps(batch, ksize):
+            for rows, own, offset, _ in _steps(batch, ksize, together or _STEP):
                 w = _windows(own, ksize, lookup, keep)
-                of, raw = pa.array(np.array(rows, np.int64)[w.owner]), _strings(w.cut(w.data))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(w.start + offset, pa.int32()), raw, raw if lookup is None else _strings(w.cut(w.encoded)), pa.array(w.hashed.view(np.int64))], ["id", "name", "start", "kmer", "encoded", "hashval"])
+                order = np.arange(len(w.at)) if together is None else _by_kmer(w)
+                for a in range(0, len(order), _STEP):
+                    part = order[a : a + _STEP]
+                    of, at = pa.array(np.array(rows, np.int64)[w.owner[part]]), w.at[part]
+                    raw = _strings(w.cut(w.data, at))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(w.start[part] + offset, pa.int32()), raw, raw if lookup is None else _strings(w.cut(w.encoded, at)), pa.array(w.hashed[part].view(np.int64))], ["id", "name", "start", "kmer", "encoded", "hashval"])
 
     return named(sequences, name, sequence).mapInArrow(run, KMERS)
 
 
+def _by_kmer(w: Windows) -> np.ndarray:
+    """The windows' order by encoded and original k-mer, and of equal ones as they are."""
+    own = _sortable(w.cut(w.data))
+    return np.argsort(own, kind="stable") if w.encoded is w.data else np.lexsort((own, _sortable(w.cut(w.encoded))))
+
+
+#: Distinct hashes or k-mers that a task adds up before it hands them on.
+_HELD = 1 << 21
+
+
+def distinct_kmers(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _HELD) -> DataFrame:
+    """``encoded, hashval``: each sampled encoded k-mer of a collection once."""
+    return kmers_of_tasks(sequences, ksize, moltype, scaled, held).distinct()
+
+
+def kmers_of_tasks(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _HELD) -> DataFrame:
+    """``encoded, hashval``: each sampled encoded k-mer of a task once, or again after every ``held`` ones."""
+    if ksize < 1:
+        return sequences.sparkSession.createDataFrame([], "encoded string, hashval long")
+    lookup, limit = _lookup(moltype), np.uint64(hashing.max_hash(scaled))
+
+    def out(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(keys), _STEP):
+            rows = _residues(keys[at : at + _STEP], ksize)
+            hashed = hashing.murmur(rows)
+            here = hashed <= limit
+            yield pa.RecordBatch.from_arrays([_strings(rows[here]), pa.array(hashed[here].view(np.int64))], ["encoded", "hashval"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        size = kept = 0
+        for batch in batches:
+            for _, own, _, _ in _steps(batch, ksize):
+                data = np.frombuffer(b"".join(own), np.uint8)
+                encoded = data if lookup is None else lookup[data]
+                at = _whole(np.array([len(x) for x in own], np.int64), ksize)
+                if not len(at):
+                    continue
+                parts.append(np.unique(_sortable(np.lib.stride_tricks.sliding_window_view(encoded, ksize)[at])))
+                size += len(parts[-1])
+                if size > max(held // 4, 2 * kept):  # merged again only when it has doubled
+                    parts = [np.unique(np.concatenate(parts))]
+                    size = kept = len(parts[0])
+                    if kept > held:
+                        yield from out(parts[0])
+                        parts, size, kept = [], 0, 0
+        if parts:
+            yield from out(np.unique(np.concatenate(parts)))
+
+    return named(sequences).mapInArrow(run, "encoded string, hashval long")
+
+
 def _counted(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int, content: bool = False) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of the batch, the sampled hashes of these with their counts (row by row, ascending), and with ``content`` each row's sums of digests."""
     keep, parts, sums = _kept(limit, None), [], None
@@ -219,8 +284,16 @@ def _measures(n: int, owner: np.ndarray, hashed: np.ndarray, abund: np.ndarray,
     ends = np.searchsorted(owner, np.arange(n + 1))
     total = np.concatenate([[0], np.cumsum(abund)]).astype(np.int64)
     own = [hashed[ends[k] : ends[k + 1]] for k in range(n)]
-    digests = [hashlib.md5((str(3 * ksize) + "".join(map(str, x.tolist()))).encode(), usedforsecurity=False).hexdigest() for x in own]
-    return ends, (np.diff(ends), total[ends[1:]] - total[ends[:-1]], [f"{int(x.sum(dtype=np.uint64)):x}" for x in own], digests)
+    return ends, (np.diff(ends), total[ends[1:]] - total[ends[:-1]], [f"{int(x.sum(dtype=np.uint64)):x}" for x in own], [_sketch_digest(x, ksize) for x in own])
+
+
+def _sketch_digest(hashed: np.ndarray, ksize: int) -> str:
+    """``hashing.sketch_md5`` of ascending hashes, whose decimal texts Arrow writes one behind the other."""
+    out = hashlib.md5(str(3 * ksize).encode(), usedforsecurity=False)
+    for at in range(0, len(hashed), _STEP):
+        text = pa.array(hashed[at : at + _STEP]).cast(pa.string())
+        out.update(text.buffers()[2][: np.frombuffer(text.buffers()[1], np.int32)[len(text)]])
+    return out.hexdigest()
 
 
 def profiles(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", only: DataFrame | None = None, schema: str = PROFILES) -> DataFrame:
@@ -265,6 +338,11 @@ def _sortable(raw: np.ndarray) -> np.ndarray:
     return words.view(">u8").ravel().astype(np.uint64)
 
 
+def _residues(keys: np.ndarray, ksize: int) -> np.ndarray:
+    """The rows that ``_sortable`` made these keys of."""
+    return keys.view(np.uint8).reshape(len(keys), ksize) if keys.dtype != np.uint64 else np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(len(keys), 8)[:, :ksize])
+
+
 def _slices(sequence: bytes, ksize: int, lookup: np.ndarray | None, limit: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Start, raw and encoded bytes, and hash of a long sequence's sampled windows, by slices of the hash range in ascending order."""
     data = np.frombuffer(sequence, np.uint8)
@@ -298,25 +376,27 @@ def _together(rows: np.ndarray, hashed: np.ndarray, raw: np.ndarray) -> np.ndarr
 
 
 def grouped(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int, step: int = _STEP) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, start, raw and encoded bytes, and hash of the sampled windows, those of a row, a hash and an original together, by start: of many rows, or of a slice of a long one."""
-
-    def ordered(rows: np.ndarray, start: np.ndarray, raw: np.ndarray, encoded: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``_sliced``, with windows of a row, a hash and an original together, by start."""
+    for rows, start, raw, encoded, hashed in _sliced(batch, ksize, lookup, limit, step):
         order = _together(rows, hashed, raw)  # stable: starts ascend already
-        return rows[order], start[order], raw[order], encoded[order], hashed[order]
+        yield rows[order], start[order], raw[order], encoded[order], hashed[order]
+
 
+def _sliced(batch: pa.RecordBatch, ksize: int, lookup: np.ndarray | None, limit: int, step: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start, raw and encoded bytes, and hash of the sampled windows, by row and start: of many rows, or of a slice of a long one, which has all windows of its hashes."""
     held: list[tuple[int, bytes]] = []
     size = 0
 
     def together() -> Iterator[tuple[np.ndarray, ...]]:
         if held:
             w = _windows([x for _, x in held], ksize, lookup, _kept(limit, None))
-            yield ordered(np.array([r for r, _ in held], np.int64)[w.owner], w.start, w.cut(w.data), w.cut(w.encoded), w.hashed)
+            yield np.array([r for r, _ in held], np.int64)[w.owner], w.start, w.cut(w.data), w.cut(w.encoded), w.hashed
 
     for row, sequence in enumerate(batch.column("sequence")):
         own = (sequence.as_py() or "").encode()
         if len(own) > step and len(own) >= ksize:
             for found in _slices(own, ksize, lookup, limit, step):
-                yield ordered(np.full(len(found[0]), row, np.int64), *found)
+                yield np.full(len(found[0]), row, np.int64), *found
             continue
         held.append((row, own))
         size += len(own)
@@ -386,15 +466,58 @@ def original_counts(sequences: DataFrame, ksize: int, moltype: str = "protein",
     return _in_records(sequences, ksize, moltype, scaled, name, sequence, ORIGINALS, columns, step)
 
 
+def distinct_counts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
+    """``id, name, n_hashes, n_originals, length``: numbers of distinct hashes and k-mers of a sequence that has any, and its bytes.
+
+    A k-mer has one hash, so that the k-mers of all hashes are the distinct k-mers. A long sequence has a row for each slice that has a hash, and its bytes in the first of these.
+    """
+    schema = "id long, name string, n_hashes long, n_originals long, length long"
+    if ksize < 1:
+        return sequences.sparkSession.createDataFrame([], schema)
+    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+
+    def n_distinct(values: np.ndarray, bounds: list[int]) -> list[int]:
+        return [1 + int(np.count_nonzero(np.diff(np.sort(values[a:z])))) if values.dtype == np.uint64 else len(np.unique(values[a:z])) for a, z in zip(bounds, bounds[1:], strict=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = -1
+            for row, _, raw, _, hashed in _sliced(batch, ksize, lookup, limit, step):
+                if not len(row):
+                    continue
+                first = np.flatnonzero(_changes(row))
+                bounds, of = [*first.tolist(), len(row)], pa.array(row[first])
+                size = pc.fill_null(pc.binary_length(batch.column("sequence").take(of)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if row[0] == last:
+                    size[0] = 0
+                last = row[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), *(pa.array(x, pa.int64()) for x in (n_distinct(hashed, bounds), n_distinct(_sortable(raw), bounds), size))], ["id", "name", "n_hashes", "n_originals", "length"])
+
+    return named(sequences, name, sequence).mapInArrow(run, schema)
+
+
+def hashes_by_count(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence") -> DataFrame:
+    """``id, name, n, hashvals``: for each number of occurrences in a sequence the hashes that have it, ascending as unsigned numbers; without a shuffle."""
+    lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, owner, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
+                order = np.lexsort((abund, owner))
+                owner, hashed, abund = owner[order], hashed[order], abund[order]
+                first = np.flatnonzero(_changes(owner, abund))
+                of = pa.array(np.array(rows, np.int64)[owner[first]])
+                hashes = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)), pa.int32()), pa.array(hashed.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("name").take(of), pa.array(abund[first], pa.int64()), hashes], ["id", "name", "n", "hashvals"])
+
+    return named(sequences, name, sequence).mapInArrow(run, "id long, name string, n long, hashvals array<long>")
+
+
 def combined_sketch(sketch: DataFrame) -> DataFrame:
     """``hashval, abund, df``: occurrences and number of sequences over the collection."""
     return sketch.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.count("*").alias("df"))
 
 
-#: Distinct hashes that a task adds up before it hands them on.
-_HELD = 1 << 21
-
-
 def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _HELD) -> DataFrame:
     """``combined_sketch`` of sequences, whose hashes are added up in the tasks first."""
     lookup, limit = _lookup(moltype), hashing.max_hash(scaled)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kmers import named, original_counts
+from ..functions.hashing import unsigned_text
+from .kmers import distinct_counts, hashes_by_count
 
 
 def kmer_counts(kmers: DataFrame) -> DataFrame:
@@ -20,11 +21,15 @@ def total_occurrences(kmers: DataFrame) -> DataFrame:
 
 def kmers_by_count(kmers: DataFrame) -> DataFrame:
     """``id, name, n, n_hashes, hashes``: the hashes of each count, ascending as unsigned numbers' texts."""
-    from ..functions.hashing import unsigned_text
-
     return kmer_counts(kmers).groupBy("id", "name", "n").agg(F.count("*").alias("n_hashes"), F.array_sort(F.collect_list(unsigned_text(F.col("hashval")))).alias("hashes"))
 
 
+def hashes_of_counts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1) -> DataFrame:
+    """``kmers_by_count`` of sequences, each grouped where it is read."""
+    texts = F.sort_array(F.transform("hashvals", unsigned_text))
+    return hashes_by_count(sequences, ksize, moltype, scaled).select("id", "name", "n", F.size("hashvals").cast("long").alias("n_hashes"), texts.alias("hashes"))
+
+
 def multi_position_kmers(kmers: DataFrame) -> DataFrame:
     """``id, name, hashval, n`` where a hash stands at several positions."""
     return kmer_counts(kmers).where(F.col("n") > 1)
@@ -65,11 +70,10 @@ def estimated_size(sequences: DataFrame, ksize: int, moltype: str = "protein", s
 
     A record's hashes are added up where it is read; only its sums (one row, or one for each slice of a long record) are dealt out.
     """
-    infos = original_counts(sequences, ksize, moltype, scaled)
-    size = infos.groupBy("id", "name").agg(F.sum(F.lit(16 + 12) + F.length("encoded") + 16 * F.col("n_originals")).alias("n"))
-    size = size.withColumn("n", F.col("n") + F.octet_length("name"))
+    size = F.lit(16 + 12 + ksize) * F.col("n_hashes") + F.lit(16) * F.col("n_originals")
     if raw:
-        size = size.join(named(sequences).select("id", F.octet_length("sequence").alias("raw")), "id").withColumn("n", F.col("n") + F.col("raw"))
+        size = size + F.col("length")
+    size = distinct_counts(sequences, ksize, moltype, scaled).groupBy("id", "name").agg(F.sum(size).alias("n")).withColumn("n", F.col("n") + F.octet_length("name"))
     return size.select("id", "name", F.col("n").cast("long").alias("bytes"))
 
 

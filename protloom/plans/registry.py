@@ -185,7 +185,7 @@ def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def group_kmers_by_count(spark: SparkSession, sf: str) -> DataFrame:
-    return so.kmers_by_count(_kmers(spark, sf, "d", "hp")).select("name", "n", F.col("n_hashes"), F.md5(F.array_join("hashes", ",").cast("binary")).alias("hashes"))
+    return so.hashes_of_counts(_sequences(spark, sf, "d"), K, "hp").select("name", "n", F.col("n_hashes"), F.md5(F.array_join("hashes", ",").cast("binary")).alias("hashes"))
 
 
 def multi_position_kmers(spark: SparkSession, sf: str) -> DataFrame:
