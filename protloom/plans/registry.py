@@ -104,7 +104,7 @@ def kmer_info_map(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
 
 
 def murmur_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return _kmers(spark, sf, "d", "dayhoff").select("encoded", _hash()).distinct()
+    return km.distinct_kmers(_sequences(spark, sf, "d"), K, "dayhoff").select("encoded", _hash())
 
 
 def scaled_sample(spark: SparkSession, sf: str) -> DataFrame:
