@@ -22,6 +22,8 @@ from . import sql
 
 K = 8
 SCALED = 5
+#: Residues of a task whose equal k-mers come together where all k-mers are the result.
+TOGETHER = 1 << 21
 _TABLES = {"d": ("documents", "doc_id"), "b": ("benchmark", "item_id")}
 
 
@@ -95,7 +97,8 @@ def _encoded(moltype: str):  # noqa: ANN202
 
 
 def kmer_positions(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
-    return _digits(_kmers(spark, sf, t, "dayhoff").select("name", "start", "kmer", "encoded", _hash()))
+    """Equal k-mers come together, as this result is far larger than its input."""
+    return _digits(km.kmer_positions(_sequences(spark, sf, t), K, "dayhoff", together=TOGETHER).select("name", "start", "kmer", "encoded", _hash()))
 
 
 def kmer_info_map(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
