@@ -89,4 +89,4 @@ def validate_and_resolve(sequence: Column, seed: int | None = None) -> Column:
 
 def letters_only(text: Column) -> Column:
     """Any text as a sequence: its ASCII letters in upper case, ambiguity resolved."""
-    return resolve_ambiguity(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")))
+    return resolve_ambiguity(F.upper(F.regexp_replace(text, "[^A-Za-z]+", "")))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import saved
@@ -76,13 +77,26 @@ def shared_hashes(queries: Collection, targets: Collection, **limits: int) -> Da
     return met(t, q, ["hashval"], ["match_id"], ["query_id"], **limits)
 
 
+def abundances(shared: DataFrame) -> DataFrame:
+    """``query_id, match_id, intersect_hashes, n_weighted_found, average_abund, median_abund, std_abund`` of each pair.
+
+    Hashes of a pair are counted by their number of occurrences first, so that only these few counts are sorted, whatever the order that the hashes come in.
+    """
+    a, n, pair = F.col("match_abund"), F.col("n"), W.partitionBy("query_id", "match_id")
+    counts = shared.groupBy("query_id", "match_id", "match_abund").agg(F.count("*").alias("n"))
+    upto = F.sum(n).over(pair.orderBy("match_abund").rowsBetween(W.unboundedPreceding, W.currentRow))
+    counts = counts.withColumns({"upto": upto, "all": F.sum(n).over(pair), "found": F.sum(n * a).over(pair)})
+    mean, half = F.col("found") / F.col("all"), 2 * F.col("upto")
+    median = (F.min(F.when(half >= F.col("all"), a)) + F.min(F.when(half > F.col("all"), a))) / 2
+    return counts.groupBy("query_id", "match_id", F.col("all").alias("intersect_hashes"), F.col("found").alias("n_weighted_found")).agg(
+        (F.sum(n * a) / F.sum(n)).alias("average_abund"), median.alias("median_abund"), F.sqrt(F.sum(n * (a - mean) * (a - mean)) / F.sum(n)).alias("std_abund")
+    )
+
+
 def manysearch(queries: Collection, targets: Collection, ksize: int, scaled: int, moltype: str, ids: bool = False, **limits: int) -> DataFrame:
     """22 measures of every pair of sketches that share a hash; with ``ids`` also ``query_id`` and ``match_id``."""
     k3 = 3 * ksize
-    a = F.col("match_abund")
-    pairs = shared_hashes(queries, targets, **limits).groupBy("query_id", "match_id").agg(
-        F.count("*").alias("intersect_hashes"), F.avg(a).alias("average_abund"), F.median(a).alias("median_abund"), F.stddev_pop(a).alias("std_abund"), F.sum(a).alias("n_weighted_found")
-    )
+    pairs = abundances(shared_hashes(queries, targets, **limits))
     rows = pairs.join(_records(queries, "query"), "query_id").join(_records(targets, "match"), "match_id")
     both, nq, nt = F.col("intersect_hashes"), F.col("query_n"), F.col("match_n")
     rows = rows.withColumns({"containment": both / nq, "containment_target_in_query": both / nt})
