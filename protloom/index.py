@@ -98,6 +98,21 @@ def folders(spark: SparkSession, path: str, prefix: str) -> dict[str, float]:
     return {n.removeprefix(prefix): s.getModificationTime() / 1000 for s in fs.listStatus(target) if (n := s.getPath().getName()).startswith(prefix)}
 
 
+@contextmanager
+def open_writers(spark: SparkSession, n: int = 4) -> Iterator[None]:
+    """A task writes up to ``n`` folders as its rows come, without a sort by folder: rows in the order of their hashes are in that of their folders already.
+
+    Rows are told apart by the hash alone then, which the sorter compares without reading the rows; with the folder first, it reads two rows for each comparison.
+    """
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def bucket_of(hashval: Column, bits: int) -> Column:
     """The highest bits of a hash."""
     return F.shiftrightunsigned(hashval, 64 - bits).cast("int") if bits else F.lit(0)
@@ -224,7 +239,8 @@ class ProteinIndex:
         bucket, key = bucket_of(F.col("hashval"), bits).alias("bucket"), hashing.sortable(F.col("hashval"))
         own = self.postings().select("id", "hashval", "abund", bucket)
         # hashes are even over the folders; a folder that one very common hash makes large is split by size
-        own.hint("rebalance", "bucket").sortWithinPartitions("bucket", key, "id").write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
+        with open_writers(self.spark):
+            own.hint("rebalance", "bucket").sortWithinPartitions(key, "id").write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
         self.combined().write.parquet(f"{self.path}/combined/call={name}")
         self._publish("postings", name, calls, bits)
 

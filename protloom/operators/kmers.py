@@ -177,8 +177,8 @@ def _by_kmer(w: Windows) -> np.ndarray:
     return np.argsort(own, kind="stable") if w.encoded is w.data else np.lexsort((own, _sortable(w.cut(w.encoded))))
 
 
-#: Distinct hashes or k-mers that a task adds up before it hands them on.
-_HELD = 1 << 21
+#: Distinct hashes or k-mers that a task adds up before it hands them on; up to three times as many are in memory while they are merged, some 80 bytes each.
+_HELD = 1 << 20
 
 
 def distinct_kmers(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _HELD) -> DataFrame:
@@ -523,8 +523,11 @@ def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scal
     lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
 
     def merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-        hashed, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return [(hashed, *(np.bincount(place, np.concatenate([p[i] for p in parts]), len(hashed)).astype(np.int64) for i in (1, 2)))]
+        hashed = np.concatenate([p[0] for p in parts])
+        order = np.argsort(hashed, kind="stable")
+        hashed = hashed[order]
+        first = np.flatnonzero(_changes(hashed))
+        return [(hashed[first], *(np.add.reduceat(np.concatenate([p[i] for p in parts])[order], first) if len(first) else np.zeros(0, np.int64) for i in (1, 2)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from protloom.index import ProteinIndex
 from protloom.operators import kmers as km
+from protloom.operators import search as se
 from protloom.operators import signature_ops as so
 from protloom.plans import registry
 
@@ -71,3 +73,35 @@ def test_files_of_positions_are_smaller(spark, tmp_path):
         made.write.parquet(str(tmp_path / name), compression="snappy")
         size[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
     assert size["together"] < 0.75 * size["apart"]
+
+
+def test_measures_of_pairs_come_from_counts(spark):
+    own = random.Random(3)
+    shared = spark.createDataFrame([(q, m, own.choice([1, 1, 1, 2, 3, 50, 10**6])) for q in range(3) for m in range(40) for _ in range(m % 7 + 1)], "query_id long, match_id long, match_abund long")
+    a = F.col("match_abund")
+    plain = shared.groupBy("query_id", "match_id").agg(F.count("*"), F.sum(a), F.avg(a), F.median(a), F.stddev_pop(a))
+    got = se.abundances(shared).select("query_id", "match_id", "intersect_hashes", "n_weighted_found", "average_abund", "median_abund", "std_abund")
+    for x, y in zip(rows(got), rows(plain), strict=True):
+        assert x == pytest.approx(y, rel=1e-9, abs=1e-9)
+    assert "ObjectHashAggregate" not in plan(got)
+
+
+def test_a_compaction_is_sorted_without_the_folders(spark, texts, tmp_path):
+    own = ProteinIndex(spark, str(tmp_path / "index"), 5)
+    own.store(texts.where("sequence is not null"))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    own.compact(bucket_rows=500)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    last, _ = own._merged()
+    files = sorted((tmp_path / "index/postings" / f"call={last['name']}").glob("bucket=*/*.parquet"))
+    assert len(files) > 8
+    for f in files:
+        stored = [(r["hashval"] % 2**64, r["id"]) for r in spark.read.parquet(str(f)).collect()]
+        assert stored == sorted(stored)
+        assert {h >> 64 - last["bits"] for h, _ in stored} == {int(f.parent.name.removeprefix("bucket="))}
+    assert rows(own.postings()) == rows(own.sketch().select("id", "hashval", "abund"))
+
+
+@pytest.mark.parametrize("held", [10, 1 << 20])
+def test_combined_sketches(texts, held):
+    assert rows(km.combined_of(texts, 5, "dayhoff", held=held).select("hashval", "abund", "df")) == rows(km.combined_sketch(km.sketches(texts, 5, "dayhoff")))
