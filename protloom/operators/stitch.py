@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..scratch import saved
 
 _PAIR = ["match_id", "query_id", "match_name", "query_name"]
+_TEXTS = ["kmer_query", "kmer_match", "encoded"]
 _FRAGMENTS = "match_id long, query_id long, match_name string, query_name string, offset int, part int, n int, border boolean, first_q int, first_m int, last_q int, last_m int, low_q int, low_m int, head_q string, head_m string, head_e string, q string, m string, e string"
 #: Hits that one fragment holds at most.
 FRAGMENT = 200_000
@@ -60,6 +61,35 @@ class _Run:
         return (*self.key, self.part, self.n, self.border, *self.head[:2], *self.last, self.low_q, self.low_m, *self.head[2:], *("".join(x) for x in self.texts))
 
 
+def _pieces(column: pa.Array, steps: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The texts of runs that begin at ``first``: each k-mer adds the end of it that its step leaves uncovered, and after a step of 0 the whole."""
+    k = len(column[0].as_py())
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if pa.types.is_string(column.type) else np.zeros(1, np.int32)
+    if k == 0 or len(bounds) == 1 or (np.diff(bounds) != k).any():  # of several lengths, or letters of several bytes
+        glued = [x[-d:] if d else x for x, d in zip(column.to_pylist(), steps.tolist(), strict=True)]
+        return pa.array(["".join(glued[a:z]) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(glued)], strict=True)], pa.string())
+    data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    if (data > 127).any():
+        return _pieces(column.cast(pa.large_string()), steps, first)
+    kept = np.where(steps == 0, k, np.where(steps > 0, np.minimum(steps, k), np.maximum(k + steps, 0)))
+    text = data.reshape(len(column), k)[np.arange(k) >= (k - kept)[:, None]]
+    ends = np.concatenate([[0], np.cumsum(kept)])[np.append(first, len(column))]
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(text))
+
+
+def _inner(batch: pa.RecordBatch, starts: np.ndarray, sq: np.ndarray, sm: np.ndarray, part: int, n: int, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """Runs that begin and end in a batch, all but that of the last start; a first k-mer is added whole, as after a step of 0."""
+    a, z, rows = int(starts[0]), int(starts[-1]), len(starts) - 1
+    first, of = starts[:-1] - a, pa.array(starts[:-1])
+    sq, sm = sq[a:z], sm[a:z]
+    steps_q, steps_m = (np.diff(x, prepend=x[0]).astype(np.int64) for x in (sq, sm))
+    steps_q[first] = steps_m[first] = 0
+    q, m, empty = sq[first], np.minimum.reduceat(sm, first), pa.array([""] * rows)
+    columns = [*(batch.column(c).take(of) for c in (*_PAIR, "offset")), np.full(rows, part), np.arange(n, n + rows), np.zeros(rows, bool), q, m, q, m, q, m, empty, empty, empty]
+    columns += [_pieces(batch.column(c).slice(a, z - a), s, first) for c, s in zip(_TEXTS, (steps_m, steps_m, steps_q), strict=True)]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
 def fragments(hits: DataFrame, ksize: int | None, limit: int = FRAGMENT) -> DataFrame:
     """Fragments of the runs of each pair, or, with a ``ksize``, of each offset of a pair without gaps."""
     offset = F.lit(None).cast("int") if ksize is None else (F.col("start_match") - F.col("start_query")).cast("int")
@@ -80,43 +110,37 @@ def fragments(hits: DataFrame, ksize: int | None, limit: int = FRAGMENT) -> Data
                 continue
             match, query, sq, sm = (batch.column(c).to_numpy() for c in ("match_id", "query_id", "start_query", "start_match"))
             off = batch.column("offset").fill_null(0).to_numpy()
-            kmers = [batch.column(c).to_pylist() for c in ("kmer_query", "kmer_match", "encoded")]
+            texts = lambda a, z: [batch.column(c).slice(a, z - a).to_pylist() for c in _TEXTS]  # noqa: B023, E731
             new = np.ones(len(sq), bool)
             new[1:] = (np.diff(match) != 0) | (np.diff(query) != 0) | (np.diff(off) != 0)
             if ksize is not None:
                 new[1:] |= np.diff(sq) > ksize
-            key = tuple(batch.column(c)[0].as_py() for c in (*_PAIR, "offset"))
-            new[0] = own is None or own.key != key or (ksize is not None and int(sq[0]) - own.last[0] > ksize)
+            label = lambda a: tuple(batch.column(c)[a].as_py() for c in (*_PAIR, "offset"))  # noqa: B023, E731
+            new[0] = own is None or own.key != label(0) or (ksize is not None and int(sq[0]) - own.last[0] > ksize)
             done: list[tuple] = []
-            starts = np.flatnonzero(new).tolist()
-            labels = zip(*(batch.column(c).take(pa.array(starts, pa.int64())).to_pylist() for c in (*_PAIR, "offset")), strict=True)
-            runs = list(zip(labels, starts, [*starts[1:], len(sq)], strict=False))
+            starts = np.flatnonzero(new)
             if not new[0]:
-                end = starts[0] if starts else len(sq)
-                own.add(sq[:end], sm[:end], [k[:end] for k in kmers])
+                end = int(starts[0]) if len(starts) else len(sq)
+                own.add(sq[:end], sm[:end], texts(0, end))
 
-            def opened(label: tuple, a: int, z: int) -> _Run:
+            def opened(a: int, z: int) -> _Run:
                 nonlocal n
-                out = _Run(label, (int(sq[a]), int(sm[a]), *(k[a] for k in kmers)), part, n, n == 0)  # noqa: B023
+                kmers = texts(a, z)  # noqa: B023
+                out = _Run(label(a), (int(sq[a]), int(sm[a]), *(k[0] for k in kmers)), part, n, n == 0)  # noqa: B023
                 if z > a + 1:
-                    out.add(sq[a + 1 : z], sm[a + 1 : z], [k[a + 1 : z] for k in kmers])  # noqa: B023
+                    out.add(sq[a + 1 : z], sm[a + 1 : z], [k[1:] for k in kmers])  # noqa: B023
                 n += 1
                 return out
 
-            if runs and own is None:
-                own = opened(*runs.pop(0))
-            if runs:
+            if len(starts) and own is None:
+                own, starts = opened(int(starts[0]), int(starts[1]) if len(starts) > 1 else len(sq)), starts[1:]
+            if len(starts):
                 if own.count:
                     done.append(own.row())
-                if len(runs) > 1:  # those that begin and end here; a first k-mer is added whole, as after a step of 0
-                    steps = [np.where(new, 0, np.diff(x, prepend=x[0])).tolist() for x in (sm, sm, sq)]
-                    pieces = [[k[-d:] if d else k for k, d in zip(x, s, strict=True)] for x, s in zip(kmers, steps, strict=True)]
-                    low_m = np.minimum.reduceat(sm, [a for _, a, _ in runs]).tolist()
-                    for (label, a, z), m in zip(runs[:-1], low_m, strict=False):
-                        q = int(sq[a])
-                        done.append((*label, part, n, False, q, m, q, m, q, m, "", "", "", *("".join(x[a:z]) for x in pieces)))
-                        n += 1
-                own = opened(*runs[-1])
+                if len(starts) > 1:
+                    yield _inner(batch, starts, sq, sm, part, n, names, types)
+                    n += len(starts) - 1
+                own = opened(int(starts[-1]), len(sq))
             if own.count >= limit:  # goes on as another fragment, which begins with its next hit
                 own.border = True
                 done.append(own.row())

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from protloom.index import ProteinIndex
 from protloom.operators import kmers as km
 from protloom.operators import search as se
 from protloom.operators import signature_ops as so
+from protloom.operators import stitch as st
 from protloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +108,25 @@ def test_a_compaction_is_sorted_without_the_folders(spark, texts, tmp_path):
 @pytest.mark.parametrize("held", [10, 1 << 20])
 def test_combined_sketches(texts, held):
     assert rows(km.combined_of(texts, 5, "dayhoff", held=held).select("hashval", "abund", "df")) == rows(km.combined_sketch(km.sketches(texts, 5, "dayhoff")))
+
+
+@pytest.mark.parametrize("kmers", [["ABCD", "BCDE", "XYZW"] * 4, ["ABCD", "ABC", "XYZWV"] * 4, ["ABCD", "ÄBCD", "XYZW"] * 4])
+def test_pieces_of_runs(kmers):
+    steps = [0, 1, 2, 0, 4, 9, 0, -1, -4, 0, -7, 3]
+    first, want = [0, 3, 6, 9], []
+    for a, z in zip(first, [*first[1:], 12], strict=True):
+        want.append("".join(k[-d:] if d else k for k, d in zip(kmers[a:z], steps[a:z], strict=True)))
+    column = pa.array(["pad", *kmers]).slice(1)
+    got = st._pieces(column, np.array(steps), np.array(first))
+    assert got.to_pylist() == want and got.type == pa.string()
+
+
+def test_runs_of_a_batch_are_made_without_lists_of_their_kmers(spark, monkeypatch):
+    """Only the runs at a batch's ends are glued k-mer by k-mer."""
+    column = pa.array(["ABCDEFGH"] * 10)
+    monkeypatch.setattr(st, "_glued", None)
+    batch = pa.RecordBatch.from_pydict({"match_id": list(range(10)), "query_id": [1] * 10, "match_name": ["m"] * 10, "query_name": ["q"] * 10, "offset": pa.array([0] * 10, pa.int32()), **{c: column for c in st._TEXTS}})
+    names = [x.split()[0] for x in st._FRAGMENTS.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in st._FRAGMENTS.split(", ")]
+    made = st._inner(batch, np.array([2, 3, 5, 9]), np.arange(10), np.arange(10), 7, 3, names, types)
+    assert made.column("q").to_pylist() == ["ABCDEFGH", "ABCDEFGHH", "ABCDEFGHHHH"] and made.column("n").to_pylist() == [3, 4, 5]
