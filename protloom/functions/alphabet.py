@@ -67,7 +67,9 @@ def truncate_at_stop(sequence: Column) -> Column:
 def resolve_ambiguity(sequence: Column, seed: int | None = None) -> Column:
     """B, Z and J as the first residue they can stand for; with a seed, as either, by a hash of the place and the sequence."""
     if seed is None:
-        return F.translate(sequence, "".join(AMBIGUOUS), "".join(v[0] for v in AMBIGUOUS.values()))
+        for name, residues in AMBIGUOUS.items():  # no residue is a name; ``translate`` looks up each letter of a sequence
+            sequence = F.replace(sequence, F.lit(name), F.lit(residues[0]))
+        return sequence
     letters = F.filter(F.split(sequence, ""), lambda c: c != "")
 
     def resolve(letter: Column, place: Column) -> Column:

@@ -30,6 +30,7 @@ SIGNATURES = "id long, name string, n_hashes long, occurrences long, pseudo_md5
 CONTENTS = f"{SIGNATURES}, content string"
 PROFILES = f"{SIGNATURES}, hits array<struct<hashval:long,abund:long>>"
 INFOS = "id long, name string, hashval long, encoded string, kmer string, positions array<int>"
+INFO_TEXTS = "name string, hashval string, encoded string, kmer string, positions string"
 NESTED = "id long, name string, hashval long, encoded string, originals map<string,array<int>>"
 ORIGINALS = "id long, name string, hashval long, encoded string, n_originals long, occurrences long"
 #: Residues in one step of a worker.
@@ -445,6 +446,65 @@ def kmer_infos(sequences: DataFrame, ksize: int, moltype: str = "protein", scale
     return _in_records(sequences, ksize, moltype, scaled, name, sequence, INFOS, columns, step)
 
 
+#: Texts of the numbers that most positions are; made once in a worker.
+_DECIMALS: list[pa.Array] = []
+
+
+def _decimals(values: np.ndarray) -> pa.Array:
+    """Texts of numbers that are not negative."""
+    if not len(values) or values.max() >= _STEP:
+        return pa.array(values, pa.int32()).cast(pa.string())
+    if not _DECIMALS:
+        _DECIMALS.append(pa.array(np.arange(_STEP, dtype=np.int32)).cast(pa.string()))
+    return _DECIMALS[0].take(pa.array(values, pa.int32()))
+
+
+def _joined(first: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The texts of lists of numbers, with commas, from where each list begins."""
+    texts = _decimals(values)
+    return texts if len(first) == len(values) else pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), texts), ",")
+
+
+def _ascending(keys: np.ndarray, ksize: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of ``_sortable`` keys, and the keys in it, or other numbers that tell them apart.
+
+    Keys of capital letters have 5 bits a letter; with its place behind it each is one number, and plain numbers are sorted several times faster than an order is found.
+    """
+    n, bits = len(keys), max(1, len(keys).bit_length())
+    if n and keys.dtype == np.uint64 and 5 * ksize + bits <= 64:
+        word = keys >> np.uint64(64 - 8 * ksize)
+        word ^= np.uint64(int.from_bytes(b"\x40" * ksize))
+        if not (word & np.uint64(int.from_bytes(b"\xe0" * ksize))).any():
+            for shift, low, high in ((3, 0x001F001F001F001F, 0x03E003E003E003E0), (6, 0x000003FF000003FF, 0x000FFC00000FFC00), (12, 0x00000000000FFFFF, 0x000000FFFFF00000)):
+                word = word & np.uint64(low) | word >> np.uint64(shift) & np.uint64(high)  # two, four, then eight letters side by side
+            word = np.sort(word << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+            return (word & np.uint64((1 << bits) - 1)).astype(np.int64), word >> np.uint64(bits)
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
+
+
+def kmer_info_texts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
+    """The rows of ``kmer_infos`` as texts, for a table that is stored as a whole: ``name, hashval, encoded, kmer, positions``, hashes in unsigned decimals, positions with commas.
+
+    Texts are made in the tasks, a column at a time, those of a hash once for each k-mer of a step. Equal k-mers of a step's records come one after the other.
+    """
+    if ksize < 1:
+        return sequences.sparkSession.createDataFrame([], INFO_TEXTS)
+    lookup, limit, names = _lookup(moltype), hashing.max_hash(scaled), [x.split()[0] for x in INFO_TEXTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, start, raw, encoded, hashed in _sliced(batch, ksize, lookup, limit, step):
+                order, keys = _ascending(_sortable(raw), ksize)  # rows, and starts in them, ascend already
+                row, start, by_kmer = row[order], start[order], _changes(keys)
+                first = np.flatnonzero(by_kmer | _changes(row))
+                kinds, of = order[by_kmer], pa.array((np.cumsum(by_kmer) - 1)[first])
+                texts = (pa.array(hashed[kinds]).cast(pa.string()), _strings(encoded[kinds]), _strings(raw[kinds]))
+                yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(row[first])), *(x.take(of) for x in texts), _joined(first, start)], names)
+
+    return named(sequences, name, sequence).mapInArrow(run, INFO_TEXTS)
+
+
 def nested_infos(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
     """``id, name, hashval, encoded, originals``: positions by original k-mer, as a map, for each hash of a sequence."""
 

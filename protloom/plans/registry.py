@@ -102,8 +102,7 @@ def kmer_positions(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
 
 
 def kmer_info_map(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
-    infos = km.kmer_infos(_sequences(spark, sf, t), K, "hp")
-    return infos.select("name", _hash(), "encoded", "kmer", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+    return km.kmer_info_texts(_sequences(spark, sf, t), K, "hp")
 
 
 def murmur_hash(spark: SparkSession, sf: str) -> DataFrame:

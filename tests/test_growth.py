@@ -130,3 +130,27 @@ def test_runs_of_a_batch_are_made_without_lists_of_their_kmers(spark, monkeypatc
     types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in st._FRAGMENTS.split(", ")]
     made = st._inner(batch, np.array([2, 3, 5, 9]), np.arange(10), np.arange(10), 7, 3, names, types)
     assert made.column("q").to_pylist() == ["ABCDEFGH", "ABCDEFGHH", "ABCDEFGHHHH"] and made.column("n").to_pylist() == [3, 4, 5]
+
+
+@pytest.mark.parametrize(("ksize", "moltype", "scaled", "step"), [(8, "hp", 1, 1 << 18), (5, "dayhoff", 2, 300), (11, "hp", 1, 300), (8, "protein", 1, 50)])
+def test_infos_as_texts(texts, ksize, moltype, scaled, step):
+    joined = F.array_join(F.transform("positions", lambda x: x.cast("string")), ",")
+    want = km.kmer_infos(texts, ksize, moltype, scaled).select("name", so.unsigned_text(F.col("hashval")), "encoded", "kmer", joined)
+    assert rows(km.kmer_info_texts(texts, ksize, moltype, scaled, step=step)) == rows(want)
+
+
+def test_texts_of_infos_are_made_in_the_tasks(spark):
+    """No expression touches the rows, of which there is one for each k-mer of a record."""
+    made = plan(registry.queries()["kmer_info_map_documents"](spark, SF))
+    assert "Project" not in made.partition("MapInArrow")[0]
+
+
+@pytest.mark.parametrize("ksize", [1, 4, 8, 11])
+@pytest.mark.parametrize("letters", [b"AZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"aA*\xff"])
+def test_keys_are_ordered(ksize, letters):
+    own = np.random.default_rng(ksize)
+    for n in (0, 1, 3000):
+        keys = km._sortable(np.frombuffer(letters, np.uint8)[own.integers(0, len(letters), (n, ksize))])
+        order, told = km._ascending(keys, ksize)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist()
+        assert km._changes(told).tolist() == km._changes(keys[order]).tolist()
