@@ -64,8 +64,17 @@ def _hash(name: str = "hashval") -> Column:
 _DIGITS = {"containment_adjusted": 3, "prob_overlap": 14, "prob_overlap_adjusted": 12}
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero, as DuckDB does it: in doubles. ``F.round`` goes through the text and a BigDecimal of each value."""
+    wide = x * F.lit(10.0**digits)
+    whole = F.rint(wide)  # halves to the even number
+    rest = wide - whole
+    away = (F.abs(rest) == 0.5) & (F.signum(rest) == F.signum(wide))
+    return (whole + F.when(away, 2 * rest).otherwise(F.lit(0.0))) / F.lit(10.0**digits)  # a sum, so that there is no -0.0
+
+
 def _digits(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, _DIGITS.get(c, 8)).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint") else F.col(c) for c, kind in df.dtypes))
+    return df.select(*(_rounded(F.col(c), _DIGITS.get(c, 8)).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "bigint") else F.col(c) for c, kind in df.dtypes))
 
 
 # ---- residues ----

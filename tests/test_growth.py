@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -154,3 +155,15 @@ def test_keys_are_ordered(ksize, letters):
         order, told = km._ascending(keys, ksize)
         assert order.tolist() == np.argsort(keys, kind="stable").tolist()
         assert km._changes(told).tolist() == km._changes(keys[order]).tolist()
+
+
+def test_doubles_are_rounded_as_the_sql_rounds_them(spark):
+    """Also where the text of a double is a tie and the double is not."""
+    own = random.Random(4)
+    values = [0.0, -0.0, 8.0125, 0.9973404255319149, -6.315184585345834, 1 / 512, -1 / 512, 2.5, 1e18, float("inf"), None, *(own.uniform(-10, 10) for _ in range(3000)), *(own.random() * 10**-9 for _ in range(300)), *(a / 701 for a in range(3000))]
+    values_ = pa.table({"i": range(len(values)), "x": pa.array(values, pa.float64())})
+    for digits in (3, 8, 12, 14):
+        want = duckdb.sql(f"SELECT round(x, {digits}) FROM values_ ORDER BY i").fetchall()
+        got = spark.createDataFrame(list(enumerate(values)), "i long, x double").orderBy("i").select(registry._rounded(F.col("x"), digits))
+        assert [tuple(r) for r in got.collect()] == want
+    assert "round(" not in registry._digits(spark.range(1).select(F.rand().alias("x")))._jdf.queryExecution().optimizedPlan().toString()
