@@ -36,6 +36,7 @@ from .errors import BuilderError, ConfigurationError, InvalidKsize, NoSavedState
 from .functions import alphabet, hashing
 from .metrics import MetricsCollector, timed
 from .operators import kmers as km
+from .operators import postings as po
 from .operators import search as se
 from .operators.signature_ops import differing
 from .scratch import forget, saved, scratch
@@ -53,8 +54,13 @@ TABLES, MERGED = ("sequences", "signatures", "combined", "postings"), ("combined
 BUCKET_ROWS, MAX_BITS = 4_000_000, 16
 #: Bits of an id: the call, the partition it was read in, and the row there.
 _CALL, _ROW = 46, 28
-#: How postings are stored: as steps from row to row.
-_STEPS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#hashval": "false", "parquet.enable.dictionary#id": "false"}
+#: How tables are stored, and postings: as steps from row to row.
+_SMALL = {"compression": "zstd"}
+_STEPS = {**_SMALL, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#hashval": "false", "parquet.enable.dictionary#id": "false"}
+#: While tables are written, what a write shuffled goes when it ends; else it stays until the JVM of the driver collects.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: A task writes a few folders as its rows come, without a sort by folder, as rows by hash are in that of their folders; and reads few blocks of postings at once.
+_MERGING = {**_WRITING, "spark.sql.maxConcurrentOutputFileWriters": 4, "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20}
 
 
 def index_filename(base: str, moltype: str, ksize: int, scaled: int) -> str:
@@ -99,18 +105,16 @@ def folders(spark: SparkSession, path: str, prefix: str) -> dict[str, float]:
 
 
 @contextmanager
-def open_writers(spark: SparkSession, n: int = 4) -> Iterator[None]:
-    """A task writes up to ``n`` folders as its rows come, without a sort by folder: rows in the order of their hashes are in that of their folders already.
-
-    Rows are told apart by the hash alone then, which the sorter compares without reading the rows; with the folder first, it reads two rows for each comparison.
-    """
-    key = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, n)
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Settings of the session, until the block ends."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def bucket_of(hashval: Column, bits: int) -> Column:
@@ -202,13 +206,13 @@ class ProteinIndex:
         """
         call, number, seen = uuid.uuid4().hex, self._claimed(), Observation("stored")
         at = lambda table: f"{self.path}/{table}/call={call}"
-        with timed("store") as took:
+        with timed("store") as took, settings(self.spark, _WRITING):
             rows = self.prepared(sequences).select(self._id(number).alias("id"), "name", F.length("sequence").alias("length"), F.col("sequence").alias("residues"))
-            rows.write.parquet(at("sequences"))
+            rows.write.options(**_SMALL).parquet(at("sequences"))
             own = self._residues([call])
             told = km.profiles(own, self.ksize, self.moltype, self.scaled, schema=km.CONTENTS).observe(seen, F.count("*").alias("records"), F.sum("occurrences").alias("kmers"))
-            told.write.parquet(at("signatures"))
-            km.combined_of(own, self.ksize, self.moltype, self.scaled).write.parquet(at("combined"))
+            told.write.options(**_SMALL).parquet(at("signatures"))
+            km.combined_of(own, self.ksize, self.moltype, self.scaled).write.options(**_SMALL).parquet(at("combined"))
             self._publish("call", call, [], 0)
         told = seen.get
         for name, n in (("signatures_processed", told["records"]), ("kmers_processed", told["kmers"] or 0), ("database_operations", 4)):
@@ -233,15 +237,18 @@ class ProteinIndex:
     def compact(self, bucket_rows: int = BUCKET_ROWS) -> None:
         """Merge the last compaction and the calls since: postings in folders of about ``bucket_rows``, and the combined sketch."""
         calls, name = self._calls(), uuid.uuid4().hex
-        n = self.signatures().agg(F.sum("n_hashes")).first()[0] or 0
+        last, since = self._merged()
+        told = self.signatures().agg(F.sum("n_hashes").alias("n"), F.count("*").alias("records")).first()
         # sampled hashes lie in the lowest part of the range
-        bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, n * self.scaled / bucket_rows)))))
-        bucket, key = bucket_of(F.col("hashval"), bits).alias("bucket"), hashing.sortable(F.col("hashval"))
-        own = self.postings().select("id", "hashval", "abund", bucket)
-        # hashes are even over the folders; a folder that one very common hash makes large is split by size
-        with open_writers(self.spark):
-            own.hint("rebalance", "bucket").sortWithinPartitions(key, "id").write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
-        self.combined().write.parquet(f"{self.path}/combined/call={name}")
+        bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, (told["n"] or 0) * self.scaled / bucket_rows)))))
+        # hashes are even over the ranges, of two folders each; that of a very common hash has a block of it for each few millions of postings
+        ranges, split = max(0, bits - 1), max(1, -(-told["records"] // po.RECORDS))
+        with settings(self.spark, _MERGING):
+            blocks = po.blocks_of(self._residues(since), self.ksize, self.moltype, self.scaled, ranges, split, part=_ROW)
+            if last is not None:
+                blocks = blocks.unionByName(po.blocks_again(self._stored(last), ranges, split))
+            po.merged(blocks, self.scaled, ranges, bits, split).write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
+            self.combined().write.options(**_SMALL).parquet(f"{self.path}/combined/call={name}")
         self._publish("postings", name, calls, bits)
 
     # ---- states ----
@@ -314,16 +321,18 @@ class ProteinIndex:
         """
         last, since = self._merged()
         rest = self._sketch(since, only).select("id", "hashval", "abund")
-        if last is None:
-            return rest
+        return rest if last is None else self._stored(last, only).unionByName(rest)
+
+    def _stored(self, last: object, only: DataFrame | None = None) -> DataFrame:
+        """``id, hashval, abund`` of a compaction."""
         path = f"{self.path}/postings/call={last['name']}"
         buckets = sorted(folders(self.spark, path, "bucket="))
         if only is not None:
             asked = {str(r[0]) for r in only.select(bucket_of(F.col("hashval"), last["bits"])).distinct().collect()}  # 2 ** MAX_BITS at most
             buckets = [b for b in buckets if b in asked]
         if not buckets:
-            return rest
-        return self.spark.read.schema(POSTINGS).parquet(*(f"{path}/bucket={b}" for b in buckets)).unionByName(rest)
+            return self.spark.createDataFrame([], POSTINGS)
+        return self.spark.read.schema(POSTINGS).parquet(*(f"{path}/bucket={b}" for b in buckets))
 
     def search(self, queries: DataFrame, ids: bool = False) -> DataFrame:
         """The measures of ``manysearch`` for ``name, sequence`` queries against what is stored, whose sequences are not read again; an ``id`` tells queries of one name apart."""

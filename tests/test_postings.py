@@ -1,0 +1,86 @@
+"""Blocks of postings: the rows that they were made of, in order, in fewer bytes than a row for each posting takes."""
+
+import random
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from protloom.index import ProteinIndex
+from protloom.operators import kmers as km
+from protloom.operators import postings as po
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    """Records of a few syllables, ids that do not ascend, and one hash that all have."""
+    own = random.Random(3)
+    names = ["AN", "ER", "THE", "ION", "RE", "ST", "BLE", "OU"]
+    return spark.createDataFrame([(own.randrange(1 << 60), str(i), "".join(own.choice(names) for _ in range(n)) + "A" * 9) for i, n in enumerate([0, 0, 3, 40, 400, 4000, *[60] * 80])], "id long, name string, sequence string").repartition(5).cache()
+
+
+@pytest.mark.parametrize("x", [[], [0], [255, 0, 3], [256], [1 << 63, 5, (1 << 64) - 1]])
+def test_numbers_in_few_bytes(x):
+    width, packed = po._packed(np.array(x, np.uint64))
+    data = np.frombuffer(packed, np.uint8)
+    assert len(packed) == width * len(x) and po._unpacked(data, width, len(x)).tolist() == x and po._unpacked(data, width, len(x), 1 if len(x) > 1 else 0).tolist() == (x[1:] if len(x) > 1 else x)
+
+
+@pytest.mark.parametrize(("scaled", "bits", "split", "held", "taken", "part"), [(1, 0, 1, 1 << 20, 1 << 20, 0), (1, 3, 1, 100, 7, 0), (3, 5, 2, 1000, 50, 28), (1, 4, 3, 1, 1, 1)])
+def test_blocks_are_the_postings(spark, texts, scaled, bits, split, held, taken, part):
+    own = texts.limit(12) if held == 1 else texts
+    want = rows(km.sketches(own, 5, "dayhoff", scaled).select("id", "hashval", "abund"))
+    blocks = po.blocks_of(own, 5, "dayhoff", scaled, bits, split, held, part)
+    got = po.merged(blocks, scaled, bits, bits + 1, split, taken)
+    stored = got.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["id"], r["hashval"], r["abund"]) for r in stored) == want
+    assert all(r["bucket"] == r["hashval"] % 2**64 >> 63 - bits for r in stored)
+    for task in {r["task"] for r in stored}:
+        mine = [(r["hashval"] % 2**64, r["id"]) for r in stored if r["task"] == task]
+        assert mine == sorted(mine)
+    again = po.blocks_again(got, bits, split, held)
+    assert rows(po.merged(again, scaled, bits, bits, split, taken).select("id", "hashval", "abund")) == want
+
+
+def test_no_rows(spark, texts):
+    assert po.merged(po.blocks_of(texts.where("false"), 5, "hp", 1, 2), 1, 2, 3).count() == 0
+    assert po.merged(po.blocks_of(texts.limit(2).select("id", "name", F.lit("A").alias("sequence")), 5, "hp", 1, 2), 1, 2, 3).count() == 0
+
+
+def shuffled(spark, run):
+    """Bytes of the shuffles of some work, from Spark's own counters."""
+    store, seen = spark.sparkContext._jsc.sc().statusStore(), set()
+    stages = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    seen = {s.stageId() for s in stages()}
+    run()
+    return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() not in seen)
+
+
+def test_a_compaction_moves_blocks(spark, texts, tmp_path):
+    own = ProteinIndex(spark, str(tmp_path / "index"), 6, 1, "protein")
+    own.store(spark.range(1500).select(F.col("id").cast("string").alias("name"), F.upper(F.regexp_replace(F.concat(*(F.md5((F.col("id") % 400 * 9 + i).cast("string")) for i in range(8))), "[0-9]", "R")).alias("sequence")).repartition(2))
+    n = own.sketch().count()
+    moved = shuffled(spark, lambda: own.compact(bucket_rows=n // 4))
+    assert moved < 9 * n + 1_000_000  # with the combined sketches; a row for each posting took 13 bytes and more
+    assert rows(own.postings()) == rows(own.sketch().select("id", "hashval", "abund"))
+
+
+def test_shuffles_go_with_their_writes(spark, texts, tmp_path):
+    """Files of shuffles are deleted after each table, and no setting stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    size = lambda: sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_"))
+    rows_ = texts.select("name", "sequence").localCheckpoint()
+    own, before, told = ProteinIndex(spark, str(tmp_path / "index"), 5), spark.conf.get(key, None), size()
+    own.store(rows_)
+    own.compact(bucket_rows=300)
+    assert spark.conf.get(key, None) == before
+    end = time.monotonic() + 10
+    while size() > told + 5000 and time.monotonic() < end:  # they are deleted by another thread
+        time.sleep(0.2)
+    assert size() < told + 5000  # a count of the records is left; the blocks alone have more
