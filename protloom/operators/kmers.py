@@ -578,13 +578,21 @@ def combined_sketch(sketch: DataFrame) -> DataFrame:
     return sketch.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.count("*").alias("df"))
 
 
-def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _HELD) -> DataFrame:
-    """``combined_sketch`` of sequences, whose hashes are added up in the tasks first."""
+#: Distinct hashes that a task adds up before it hands them on, and half as many more before it merges them; some 50 bytes each.
+_ADDED = 1 << 22
+
+
+def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, held: int = _ADDED) -> DataFrame:
+    """``combined_sketch`` of sequences, whose hashes are added up in the tasks first and move as blocks of bytes; in each task of the result by hash."""
+    from . import postings as po
+
     lookup, limit = _lookup(moltype), hashing.max_hash(scaled)
+    spark = sequences.sparkSession
+    bits = (int(spark.conf.get("spark.sql.shuffle.partitions")) * scaled - 1).bit_length()
 
     def merged(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
         hashed = np.concatenate([p[0] for p in parts])
-        order = np.argsort(hashed, kind="stable")
+        order = np.argsort(hashed, kind="stable")  # merges what is in order already
         hashed = hashed[order]
         first = np.flatnonzero(_changes(hashed))
         return [(hashed[first], *(np.add.reduceat(np.concatenate([p[i] for p in parts])[order], first) if len(first) else np.zeros(0, np.int64) for i in (1, 2)))]
@@ -594,16 +602,15 @@ def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scal
         size = kept = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            (own,) = merged(parts)
-            for at in range(0, len(own[0]), _STEP):
-                h, n, df = (x[at : at + _STEP] for x in own)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(df)], ["hashval", "abund", "df"])
+            hashed, abund, df = merged(parts)[0]
+            if len(hashed):
+                yield po.cut(hashed, df, abund, bits)
 
         for batch in batches:
             for _, _, hashed, abund, _ in _counted(batch, ksize, lookup, limit):
                 parts.append((hashed, abund, np.ones(len(hashed), np.int64)))
                 size += len(hashed)
-                if size > max(held // 4, 2 * kept):  # merged again only when it has doubled
+                if size > kept + held // 2:
                     parts = merged(parts)
                     size = kept = len(parts[0][0])
                     if kept > held:
@@ -612,8 +619,7 @@ def combined_of(sequences: DataFrame, ksize: int, moltype: str = "protein", scal
         if parts:
             yield from out()
 
-    rows = named(sequences).mapInArrow(run, "hashval long, abund long, df long")
-    return rows.groupBy("hashval").agg(F.sum("abund").alias("abund"), F.sum("df").alias("df"))
+    return po.added_up(named(sequences).mapInArrow(run, po.BLOCKS), scaled, bits)
 
 
 def frequencies(combined: DataFrame, n_sequences: int) -> DataFrame:

@@ -84,3 +84,10 @@ def test_shuffles_go_with_their_writes(spark, texts, tmp_path):
     while size() > told + 5000 and time.monotonic() < end:  # they are deleted by another thread
         time.sleep(0.2)
     assert size() < told + 5000  # a count of the records is left; the blocks alone have more
+
+
+@pytest.mark.parametrize(("scaled", "held"), [(1, 1 << 20), (3, 50)])
+def test_combined_sketches_move_as_blocks(texts, scaled, held):
+    got = km.combined_of(texts, 5, "dayhoff", scaled, held)
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.select("hashval", "abund", "df")) == rows(km.combined_sketch(km.sketches(texts, 5, "dayhoff", scaled)).select("hashval", "abund", "df"))
