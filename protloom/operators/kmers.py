@@ -90,6 +90,7 @@ class Windows:
 
 def _whole(size: np.ndarray, ksize: int) -> np.ndarray:
     """Where the windows begin that do not run over the end of their sequence, in the bytes of sequences of some sizes."""
+    size = size[size > 0]  # an empty one has no bytes that end it; those at its place are of the next
     ends = np.cumsum(size)
     whole = np.ones(max(0, int(size.sum()) - ksize + 1), bool)
     over = (ends[:, None] - np.minimum(np.arange(1, ksize), size[:, None])).ravel()

@@ -298,3 +298,11 @@ def test_an_alphabet_of_ones_own(spark):
             alphabet.register("bad", groups)
     with pytest.raises(ValueError, match="built in"):
         alphabet.register("hp", {"h": "A"})
+
+
+def test_windows_after_an_empty_record(spark):
+    """An empty record, first or between others, takes no window of the record behind it."""
+    made = spark.createDataFrame([("a", ""), ("b", "ACDEFG"), ("c", None), ("d", ""), ("e", "ACD"), ("f", "AC"), ("g", "")], "name string, sequence string").coalesce(1)
+    found = sorted((r["name"], r["start"], r["kmer"]) for r in km.kmer_positions(made, 3).collect())
+    assert found == [("b", i, "ACDEFG"[i : i + 3]) for i in range(4)] + [("e", 0, "ACD")]
+    assert {r["name"]: r["n_hashes"] for r in km.signatures(made, 3).collect()} == {"a": 0, "b": 4, "c": 0, "d": 0, "e": 1, "f": 0, "g": 0}
