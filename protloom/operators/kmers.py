@@ -30,11 +30,14 @@ SIGNATURES = "id long, name string, n_hashes long, occurrences long, pseudo_md5
 CONTENTS = f"{SIGNATURES}, content string"
 PROFILES = f"{SIGNATURES}, hits array<struct<hashval:long,abund:long>>"
 INFOS = "id long, name string, hashval long, encoded string, kmer string, positions array<int>"
+KMER_TEXTS = "name string, start long, kmer string, encoded string, hashval string"
 INFO_TEXTS = "name string, hashval string, encoded string, kmer string, positions string"
 NESTED = "id long, name string, hashval long, encoded string, originals map<string,array<int>>"
 ORIGINALS = "id long, name string, hashval long, encoded string, n_originals long, occurrences long"
 #: Residues in one step of a worker.
 _STEP = 1 << 18
+#: Residues of a task whose equal k-mers come together where all k-mers are the result, some 50 bytes each.
+TOGETHER = 1 << 23
 #: Hashes that a broadcast filter holds at most, 8 bytes each.
 ONLY = 4_000_000
 
@@ -476,36 +479,159 @@ def _ascending(keys: np.ndarray, ksize: int) -> tuple[np.ndarray, np.ndarray]:
         word = keys >> np.uint64(64 - 8 * ksize)
         word ^= np.uint64(int.from_bytes(b"\x40" * ksize))
         if not (word & np.uint64(int.from_bytes(b"\xe0" * ksize))).any():
+            del keys  # in place from here on, as a column of all windows of a task is large
             for shift, low, high in ((3, 0x001F001F001F001F, 0x03E003E003E003E0), (6, 0x000003FF000003FF, 0x000FFC00000FFC00), (12, 0x00000000000FFFFF, 0x000000FFFFF00000)):
-                word = word & np.uint64(low) | word >> np.uint64(shift) & np.uint64(high)  # two, four, then eight letters side by side
-            word = np.sort(word << np.uint64(bits) | np.arange(n, dtype=np.uint64))
-            return (word & np.uint64((1 << bits) - 1)).astype(np.int64), word >> np.uint64(bits)
+                right = word >> np.uint64(shift)  # two, four, then eight letters side by side
+                right &= np.uint64(high)
+                word &= np.uint64(low)
+                word |= right
+            del right
+            word <<= np.uint64(bits)
+            word |= np.arange(n, dtype=np.uint64)
+            word.sort()
+            order = (word & np.uint64((1 << bits) - 1)).view(np.int64)
+            word >>= np.uint64(bits)
+            return order, word
     order = np.argsort(keys, kind="stable")
     return order, keys[order]
 
 
-def kmer_info_texts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
+@dataclass
+class Runs:
+    """The sampled windows of some records, equal ones as a run: runs by encoded and original k-mer, the windows of a run by place.
+
+    ``place`` has where windows stand in the bytes of all records, ``first`` and ``size`` where the runs lie in it, ``begin`` where the records begin.
+    """
+
+    names: pa.Array
+    begin: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+    raw: np.ndarray
+    encoded: np.ndarray
+    hashed: np.ndarray
+
+    def pieces(self, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, slice]]:
+        """Run (in the slice that is last), record and start of some windows at once; with ``whole``, a run's windows of one record are not set apart."""
+        ends = np.cumsum(self.size)
+        n, a, step = int(ends[-1]) if len(ends) else 0, 0, _STEP
+        while a < n:
+            z = min(n, a + step)
+            u, v = (int(x) for x in np.searchsorted(ends, [a, z - 1], "right"))
+            edges = np.clip(np.append(ends[u : v + 1] - self.size[u : v + 1], ends[v]), a, z)
+            run = np.repeat(np.arange(v + 1 - u), np.diff(edges))
+            at = self.place[(self.first[u : v + 1] + self.size[u : v + 1] - ends[u : v + 1])[run] + np.arange(a, z)]
+            record = np.searchsorted(self.begin, at, "right") - 1
+            if whole and z < n:
+                last = np.flatnonzero(_changes(run, record))[-1]
+                if not last:
+                    step *= 2
+                    continue
+                run, record, at, z = run[:last], record[:last], at[:last], a + int(last)
+            yield run, record, at - self.begin[record], slice(u, v + 1)
+            a, step = z, _STEP
+
+
+def _keys(data: np.ndarray, at: np.ndarray, ksize: int) -> np.ndarray:
+    """``_sortable`` of the windows at some places."""
+    if ksize > 8:
+        return _sortable(np.lib.stride_tricks.sliding_window_view(data, ksize)[at])
+    out = np.zeros(max(0, len(data) - ksize + 1), np.uint64)
+    for j in range(ksize):
+        out <<= np.uint64(8)
+        out |= data[j : len(out) + j]
+    out <<= np.uint64(64 - 8 * ksize)
+    return out[at]
+
+
+def _runs_of(names: pa.Array, begin: np.ndarray, data: np.ndarray, at: np.ndarray, ksize: int, lookup: np.ndarray | None, limit: int) -> Runs:
+    order, keys = _ascending(_keys(data, at, ksize), ksize)
+    first = np.flatnonzero(_changes(keys))
+    del keys
+    place, size = at[order], np.diff(np.append(first, len(order)))
+    raw = np.lib.stride_tricks.sliding_window_view(data, ksize)[place[first]] if len(first) else np.zeros((0, ksize), np.uint8)
+    encoded = raw if lookup is None else lookup[raw]
+    hashed = hashing.murmur(encoded)
+    here = np.flatnonzero(hashed <= np.uint64(limit))
+    if lookup is not None:
+        here = here[np.argsort(_sortable(encoded[here]), kind="stable")]
+    return Runs(names, begin, place, first[here], size[here], raw[here], encoded[here], hashed[here])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], ksize: int, lookup: np.ndarray | None, limit: int, step: int) -> Iterator[Runs]:
+    """Of the records of a task, about ``step`` residues at once, also over batches; of a longer record, by slices of the hash range."""
+    names: list[pa.Scalar] = []
+    held: list[bytes] = []
+    size = 0
+
+    def together() -> Runs:
+        sizes = np.array([len(x) for x in held], np.int64)
+        out = _runs_of(pa.array(names, pa.string()), np.cumsum(sizes) - sizes, np.frombuffer(b"".join(held), np.uint8), _whole(sizes, ksize), ksize, lookup, limit)
+        names.clear()
+        held.clear()
+        return out
+
+    for batch in batches:
+        for name, sequence in zip(batch.column("name"), batch.column("sequence"), strict=True):
+            own = (sequence.as_py() or "").encode()
+            if len(own) < ksize:
+                continue
+            if len(own) > step:
+                for at, *_ in _slices(own, ksize, lookup, limit, step):
+                    yield _runs_of(pa.array([name.as_py()], pa.string()), np.zeros(1, np.int64), np.frombuffer(own, np.uint8), at, ksize, lookup, limit)
+                continue
+            if size + len(own) > step:
+                yield together()
+                size = 0
+            names.append(name.as_py())
+            held.append(own)
+            size += len(own)
+    if held:
+        yield together()
+
+
+def kmer_info_texts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = TOGETHER) -> DataFrame:
     """The rows of ``kmer_infos`` as texts, for a table that is stored as a whole: ``name, hashval, encoded, kmer, positions``, hashes in unsigned decimals, positions with commas.
 
-    Texts are made in the tasks, a column at a time, those of a hash once for each k-mer of a step. Equal k-mers of a step's records come one after the other.
+    Texts are made in the tasks, a column at a time, those of a hash once for each k-mer of a step. Equal k-mers of a step's records come one after the other, by encoded and original k-mer.
     """
     if ksize < 1:
         return sequences.sparkSession.createDataFrame([], INFO_TEXTS)
     lookup, limit, names = _lookup(moltype), hashing.max_hash(scaled), [x.split()[0] for x in INFO_TEXTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, start, raw, encoded, hashed in _sliced(batch, ksize, lookup, limit, step):
-                order, keys = _ascending(_sortable(raw), ksize)  # rows, and starts in them, ascend already
-                row, start, by_kmer = row[order], start[order], _changes(keys)
-                first = np.flatnonzero(by_kmer | _changes(row))
-                kinds, of = order[by_kmer], pa.array((np.cumsum(by_kmer) - 1)[first])
-                texts = (pa.array(hashed[kinds]).cast(pa.string()), _strings(encoded[kinds]), _strings(raw[kinds]))
-                yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(row[first])), *(x.take(of) for x in texts), _joined(first, start)], names)
+        for own in _runs(batches, ksize, lookup, limit, step):
+            for kind, record, start, part in own.pieces(whole=True):
+                first = np.flatnonzero(_changes(kind, record))
+                of = pa.array(kind[first])
+                yield pa.RecordBatch.from_arrays([own.names.take(pa.array(record[first])), *(x.take(of) for x in _kind_texts(own, part)[::-1]), _joined(first, start)], names)
+            del own  # before the next ones are made
 
     return named(sequences, name, sequence).mapInArrow(run, INFO_TEXTS)
 
 
+def _kind_texts(own: Runs, part: slice) -> tuple[pa.Array, ...]:
+    """Original and encoded k-mers and hashes of some runs."""
+    return _strings(own.raw[part]), _strings(own.encoded[part]), pa.array(own.hashed[part]).cast(pa.string())
+
+
+def kmer_position_texts(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = TOGETHER) -> DataFrame:
+    """The rows of ``kmer_positions`` for a table that is stored as a whole: ``name, start, kmer, encoded, hashval``, hashes as texts in unsigned decimals, and in the order of ``kmer_info_texts``."""
+    if ksize < 1:
+        return sequences.sparkSession.createDataFrame([], KMER_TEXTS)
+    lookup, limit, names = _lookup(moltype), hashing.max_hash(scaled), [x.split()[0] for x in KMER_TEXTS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _runs(batches, ksize, lookup, limit, step):
+            for kind, record, start, part in own.pieces(whole=False):
+                of = pa.array(kind)
+                yield pa.RecordBatch.from_arrays([own.names.take(pa.array(record)), pa.array(start), *(x.take(of) for x in _kind_texts(own, part))], names)
+            del own  # before the next ones are made
+
+    return named(sequences, name, sequence).mapInArrow(run, KMER_TEXTS)
+
+
 def nested_infos(sequences: DataFrame, ksize: int, moltype: str = "protein", scaled: int = 1, name: str = "name", sequence: str = "sequence", step: int = _STEP) -> DataFrame:
     """``id, name, hashval, encoded, originals``: positions by original k-mer, as a map, for each hash of a sequence."""
 

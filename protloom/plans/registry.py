@@ -16,7 +16,7 @@ from ..operators import search as se
 from ..operators import signature_ops as so
 from ..operators import stitch as st
 from ..index import ProteinIndex
-from ..scratch import saved, scratch
+from ..scratch import saved, scratch, small_results
 from ..sources import fasta as fa
 from . import sql
 
@@ -107,10 +107,12 @@ def _encoded(moltype: str):  # noqa: ANN202
 
 def kmer_positions(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
     """Equal k-mers come together, as this result is far larger than its input."""
-    return _digits(km.kmer_positions(_sequences(spark, sf, t), K, "dayhoff", together=TOGETHER).select("name", "start", "kmer", "encoded", _hash()))
+    small_results(spark)
+    return km.kmer_position_texts(_sequences(spark, sf, t), K, "dayhoff")
 
 
 def kmer_info_map(spark: SparkSession, sf: str, t: str = "b") -> DataFrame:
+    small_results(spark)
     return km.kmer_info_texts(_sequences(spark, sf, t), K, "hp")
 
 

@@ -30,6 +30,16 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, size)
 
 
+def small_results(spark: SparkSession) -> None:
+    """For results of many times their input: Parquet files of this session are compressed by zstd, where the application has no codec of its own.
+
+    Snappy takes a few bytes of each run of 64 equal ones, so that rows of equal texts one after the other still cost as much as those that differ.
+    """
+    key = "spark.sql.parquet.compression.codec"
+    if spark.sparkContext.getConf().get(key, None) is None and spark.conf.get(key) == "snappy":
+        spark.conf.set(key, "zstd")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder, as a URI or path without a trailing slash."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
