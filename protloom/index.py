@@ -52,6 +52,8 @@ SEQUENCES = "id long, name string, length int, residues string"
 TABLES, MERGED = ("sequences", "signatures", "combined", "postings"), ("combined", "postings")
 #: Postings in a folder, about; folders at most (two to the power).
 BUCKET_ROWS, MAX_BITS = 4_000_000, 16
+#: Postings that a compaction moves at once, about: some 5 bytes each.
+STEP_ROWS = 1 << 31
 #: Bits of an id: the call, the partition it was read in, and the row there.
 _CALL, _ROW = 46, 28
 #: How tables are stored, and postings: as steps from row to row.
@@ -239,15 +241,18 @@ class ProteinIndex:
         calls, name = self._calls(), uuid.uuid4().hex
         last, since = self._merged()
         told = self.signatures().agg(F.sum("n_hashes").alias("n"), F.count("*").alias("records")).first()
+        n = told["n"] or 0
         # sampled hashes lie in the lowest part of the range
-        bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, (told["n"] or 0) * self.scaled / bucket_rows)))))
+        bits = min(MAX_BITS, max(0, math.ceil(math.log2(max(1, n * self.scaled / bucket_rows)))))
         # hashes are even over the ranges, of two folders each; that of a very common hash has a block of it for each few millions of postings
         ranges, split = max(0, bits - 1), max(1, -(-told["records"] // po.RECORDS))
         with settings(self.spark, _MERGING):
-            blocks = po.blocks_of(self._residues(since), self.ksize, self.moltype, self.scaled, ranges, split, part=_ROW)
-            if last is not None:
-                blocks = blocks.unionByName(po.blocks_again(self._stored(last), ranges, split))
-            po.merged(blocks, self.scaled, ranges, bits, split).write.options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
+            # each step reads the residues again, which take less time and disk than the blocks of all hashes at once would take of disk
+            for own in po.steps(n, self.scaled, ranges, STEP_ROWS):
+                blocks = po.blocks_of(self._residues(since), self.ksize, self.moltype, self.scaled, ranges, split, part=_ROW, within=own)
+                if last is not None:
+                    blocks = blocks.unionByName(po.blocks_again(self._stored(last), ranges, split, within=own))
+                po.merged(blocks, self.scaled, ranges, bits, split).write.mode("append").options(**_STEPS).partitionBy("bucket").parquet(f"{self.path}/postings/call={name}")
             self.combined().write.options(**_SMALL).parquet(f"{self.path}/combined/call={name}")
         self._publish("postings", name, calls, bits)
 

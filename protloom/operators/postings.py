@@ -144,8 +144,13 @@ def _handed_on(found: Iterator[tuple[np.ndarray, ...]], bits: int, split: int, h
         yield cut(*_in_order(columns), bits, split)
 
 
-def blocks_of(sequences: DataFrame, ksize: int, moltype: str, scaled: int, bits: int, split: int = 1, held: int = HELD, part: int = 0) -> DataFrame:
-    """Blocks of the sketches of ``id, name, sequence`` rows; ``bits`` of a hash name its range, and its blocks go to ``split`` parts."""
+def _inside(hashed: np.ndarray, bits: int, within: range) -> np.ndarray:
+    """Which hashes lie in some ranges."""
+    return (hashed >> np.uint64(64 - bits)) - np.uint64(within.start) < np.uint64(len(within)) if bits else np.ones(len(hashed), bool)  # below the first, the number wraps
+
+
+def blocks_of(sequences: DataFrame, ksize: int, moltype: str, scaled: int, bits: int, split: int = 1, held: int = HELD, part: int = 0, within: range | None = None) -> DataFrame:
+    """Blocks of the sketches of ``id, name, sequence`` rows; ``bits`` of a hash name its range, and its blocks go to ``split`` parts. With ``within``, other ranges are left out."""
     lookup, limit = km._lookup(moltype), hashing.max_hash(scaled)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -153,23 +158,38 @@ def blocks_of(sequences: DataFrame, ksize: int, moltype: str, scaled: int, bits:
             ids = batch.column("id").to_numpy()
             for rows, owner, hashed, abund, _ in km._counted(batch, ksize, lookup, limit):
                 own = ids[rows][owner]
+                if within is not None:
+                    here = _inside(hashed, bits, within)
+                    hashed, own, abund = hashed[here], own[here], abund[here]
                 for a in range(0, len(own), held):
                     yield hashed[a : a + held], own[a : a + held], abund[a : a + held]
 
     return km.named(sequences).mapInArrow(lambda batches: _handed_on(found(batches), bits, split, held, part), BLOCKS)
 
 
-def blocks_again(postings: DataFrame, bits: int, split: int = 1, held: int = HELD) -> DataFrame:
+def blocks_again(postings: DataFrame, bits: int, split: int = 1, held: int = HELD, within: range | None = None) -> DataFrame:
     """Blocks of ``id, hashval, abund`` rows."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.column("hashval").to_numpy().view(np.uint64), batch.column("id").to_numpy(), batch.column("abund").to_numpy()
+            own = [batch.column(c).to_numpy() for c in ("hashval", "id", "abund")]
+            own[0] = own[0].view(np.uint64)
+            if within is not None:
+                here = _inside(own[0], bits, within)
+                own = [x[here] for x in own]
+            if len(own[0]):
+                yield tuple(own)
 
     return postings.select("id", "hashval", "abund").mapInArrow(lambda batches: _handed_on(found(batches), bits, split, held, 0), BLOCKS)
 
 
+def steps(n: int, scaled: int, bits: int, at_once: int) -> list[range]:
+    """The ranges of sampled hashes in groups of about ``at_once`` of ``n`` postings."""
+    ranges = (hashing.max_hash(scaled) >> 64 - bits) + 1
+    each = max(1, ranges // max(1, -(-n // at_once)))
+    return [range(a, min(a + each, ranges)) for a in range(0, ranges, each)]
+
+
 def merged(blocks: DataFrame, scaled: int, bits: int, folder_bits: int, split: int = 1, held: int = TAKEN) -> DataFrame:
     """``bucket, id, hashval, abund`` of blocks, in each task by hash and record; ``folder_bits`` of a hash, at least ``bits``, are its bucket."""
 

@@ -91,3 +91,21 @@ def test_combined_sketches_move_as_blocks(texts, scaled, held):
     got = km.combined_of(texts, 5, "dayhoff", scaled, held)
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert rows(got.select("hashval", "abund", "df")) == rows(km.combined_sketch(km.sketches(texts, 5, "dayhoff", scaled)).select("hashval", "abund", "df"))
+
+
+def test_a_compaction_in_steps(spark, texts, tmp_path, monkeypatch):
+    """Each step moves the postings of some ranges only; all together are what one step gives, also with a compaction that is there already."""
+    n = km.sketches(texts, 5).count()
+    assert [list(x) for x in po.steps(100, 1, 3, 30)] == [[0, 1], [2, 3], [4, 5], [6, 7]] and [list(x) for x in po.steps(0, 5, 0, 30)] == [[0]]
+    assert sorted(i for x in po.steps(1 << 40, 7, 9, 1 << 31) for i in x) == list(range(74))
+    monkeypatch.setattr("protloom.index.STEP_ROWS", n // 3)
+    own, seen = ProteinIndex(spark, str(tmp_path / "index"), 5, 1, "protein"), []
+    blocks_of = po.blocks_of
+    monkeypatch.setattr(po, "blocks_of", lambda *args, **kw: (seen.append((kw["within"], out := blocks_of(*args, **kw)))) or out)
+    for part in ("id % 2 = 0", "id % 2 <> 0"):
+        own.store(texts.where(part).select("name", "sequence"))
+        seen.clear()
+        own.compact(bucket_rows=n // 15)
+        assert len(seen) > 1
+        assert all({r["range"] for r in out.select("range").distinct().collect()} <= set(within) for within, out in seen[:2])
+        assert rows(own.postings()) == rows(own.sketch().select("id", "hashval", "abund"))
